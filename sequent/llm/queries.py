@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sequent.llm import idplanes, packing
+from sequent.llm import idplanes, mixing, neardup, packing, topk
 from sequent.llm.tokens import word_vocabulary
 
 
@@ -22,12 +23,114 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every twentieth embedding among all."""
+    codes = topk.codes_of(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(codes, codes.where(F.col("id") % 20 == 0))
+
+
 def queries() -> dict:
     return {
         "op1_id_planes": op1_id_planes,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_source_mix": op4_source_mix,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_exact_top_k": op9_exact_top_k,
     }
 
 
+ORACLE: dict[str, str] = {}
+
+ORACLE["op8_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+ORACLE["op9_exact_top_k"] = """
+WITH c AS (
+  SELECT vec_id AS id, list_transform(embedding[1:64], x -> x > 0) AS bits FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+d AS (
+  SELECT q.id AS query_id, o.id AS neighbor_id,
+    CAST(len(list_filter(list_zip(q.bits, o.bits), z -> z[1] <> z[2])) AS INTEGER) AS distance
+  FROM c q JOIN c o ON q.id <> o.id WHERE q.id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+ORACLE["op4_source_mix"] = """
+WITH s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+num AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number,
+    CAST(coalesce(sum(source_size) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM src),
+w AS (SELECT *, CASE number % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 2 AS full_size FROM num),
+f AS (
+  SELECT *, row_number() OVER o AS fill,
+    (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(full_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY CAST(full_size AS DOUBLE) / weight, number)),
+g AS (SELECT *, full_size <= level * weight AS stopped FROM f),
+t AS (
+  SELECT g.*, CASE WHEN stopped THEN CAST(full_size AS DOUBLE)
+    ELSE weight * (SELECT x.level FROM g x WHERE NOT x.stopped ORDER BY x.fill LIMIT 1) END AS target FROM g),
+b AS (SELECT *, CAST(ceil(source_size / 64.0) AS BIGINT) AS blocks FROM t),
+h AS (SELECT *, CAST(floor(sum(target) OVER () / 64 + 0.5) AS BIGINT) AS seats FROM b),
+q AS (
+  SELECT h.number, count(k.k) AS quota FROM h LEFT JOIN (
+    SELECT number, k, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, number) AS r
+    FROM (SELECT number, target, unnest(range(1, 2 * blocks + 1)) AS k FROM h WHERE target > 0)) k
+  ON k.number = h.number AND k.r <= h.seats GROUP BY h.number),
+sh AS (
+  SELECT h.number, j.shard, q.quota, least(16384, h.blocks - j.shard * 16384) AS own
+  FROM h JOIN q USING (number), (SELECT unnest(range(0, 64)) AS shard) j WHERE j.shard * 16384 < h.blocks),
+sq AS (
+  SELECT sh.number, sh.shard, any_value(sh.own) AS own, count(k.k) AS quota FROM sh LEFT JOIN (
+    SELECT number, shard, row_number() OVER (PARTITION BY number ORDER BY CAST(own AS DOUBLE) / (2 * k - 1) DESC, shard) AS r, k
+    FROM (SELECT number, shard, own, unnest(range(1, 2 * own + 1)) AS k FROM sh)) k
+  ON k.number = sh.number AND k.shard = sh.shard AND k.r <= sh.quota GROUP BY sh.number, sh.shard),
+runs AS (
+  SELECT number, shard, own, quota // own AS times, quota % own AS extra,
+    CAST('0x' || substr(md5('0:' || number || ':' || shard), 1, 8) AS BIGINT) % own AS first FROM sq),
+p AS (
+  SELECT s.doc_id, s.size, h.source_size, h.target, h.number,
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY h.number ORDER BY s.ord, s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+    row_number() OVER () AS row FROM s JOIN h ON s.source IS NOT DISTINCT FROM h.source),
+x AS (
+  SELECT p.row, times, greatest(p.start, shard * 1048576) AS lo, least(p.start + p.size, (shard + 1) * 1048576) AS hi,
+    shard * 1048576 + first * 64 AS a1, shard * 1048576 + least(own, first + extra) * 64 AS b1,
+    shard * 1048576 AS a2, shard * 1048576 + greatest(0, first + extra - own) * 64 AS b2
+  FROM p JOIN runs USING (number) WHERE p.start < (shard + 1) * 1048576 AND p.start + p.size > shard * 1048576),
+y AS (
+  SELECT row, CAST(sum(times * (hi - lo) + greatest(0, least(hi, b1) - greatest(lo, a1)) + greatest(0, least(hi, b2) - greatest(lo, a2))) AS BIGINT) AS taken FROM x GROUP BY row)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(y.taken, 0) AS taken FROM p LEFT JOIN y USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
