@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequent.llm import idplanes, mixing, neardup, packing, topk
+from sequent.llm import idplanes, jaccard, lm, mixing, neardup, packing, topk
 from sequent.llm.tokens import word_vocabulary
 
 
@@ -18,6 +18,11 @@ def op1_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idplanes.id_planes(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and links of all documents: five words, a similarity of 0.8."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), word_vocabulary())
@@ -39,13 +44,20 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(codes, codes.where(F.col("id") % 20 == 0))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and interpolated bigram scores of all documents."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_id_planes": op1_id_planes,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_source_mix": op4_source_mix,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_exact_top_k": op9_exact_top_k,
+        "op10_lm_scores": op10_lm_scores,
     }
 
 
@@ -55,7 +67,7 @@ ORACLE["op8_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
@@ -70,12 +82,12 @@ FROM embeddings e JOIN least ON least.node = e.vec_id LEFT JOIN n ON n.a = e.vec
 
 ORACLE["op9_exact_top_k"] = """
 WITH c AS (
-  SELECT vec_id AS id, list_transform(embedding[1:64], x -> x > 0) AS bits FROM embeddings
+  SELECT vec_id AS id, list_transform(embedding[1:64], lambda x: x > 0) AS bits FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
   SELECT q.id AS query_id, o.id AS neighbor_id,
-    CAST(len(list_filter(list_zip(q.bits, o.bits), z -> z[1] <> z[2])) AS INTEGER) AS distance
+    CAST(len(list_filter(list_zip(q.bits, o.bits), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
   FROM c q JOIN c o ON q.id <> o.id WHERE q.id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
