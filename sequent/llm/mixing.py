@@ -69,18 +69,20 @@ def apportioned(parties: DataFrame, group: list[str], party: str, share: str, mo
     return found.withColumn("quota", F.col("__base") + F.coalesce("__won", F.lit(0))).drop("__ideal", "__base", "__top", "__free", "__won")
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, limit: int = 2, block: int = 64, shard_blocks: int = 16_384, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, limit: int = 2, block: int = 64, shard_blocks: int = 16_384, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of each document of `docs` (doc_id, text, source).
 
     Returns, for each row of docs: doc_id, source, size (words), source_size, target (of its source, words), taken
     (words, repeats counted), cuts (array of from, to, times: the word ranges taken).  No document is taken more
     than `limit` times.  A null or empty text has no words, and nothing of it is taken.  Null sources are one
-    source.  Rows alike in doc_id, source and size may change places, which changes nothing in the result.  Other
-    columns are not read.
+    source.  Rows alike in doc_id, source and size may change places, which changes nothing in the result.  Columns
+    named in `carry` follow, as they are in the row; others are not read.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"))
-    lines = range_numbered(sized, [F.asc_nulls_last("source"), "order", F.asc_nulls_first("doc_id"), "size"], "mix-lines")
+    carried = [F.col(c).alias(f"__carry_{k}") for k, c in enumerate(carry)]
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order"), *carried)
+    held = range_numbered(sized, [F.asc_nulls_last("source"), "order", F.asc_nulls_first("doc_id"), "size"], "mix-lines")
+    lines = held.select("doc_id", "source", "size", "part", "local")
     sources = targets(lines.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("most", F.col("blocks") * limit).withColumn("all", F.lit(0))
     sources = sources.withColumn("seats", F.floor(F.sum("target").over(W.Window.partitionBy("all")) / block + 0.5))
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, limit:
     placed = lines.withColumn("in_part", F.coalesce(F.sum("size").over(in_part), F.lit(0))).join(before, "part")
     head = sources.select(F.col("source").alias("__source"), "number", "source_size", "target", "before")
     placed = placed.join(head, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    placed = placed.withColumn("start", F.col("part_before") + F.col("in_part") - F.col("before")).drop("part_before", "in_part", "before", "order")
+    placed = placed.withColumn("start", F.col("part_before") + F.col("in_part") - F.col("before")).drop("part_before", "in_part", "before")
 
     width = block * shard_blocks
     last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
@@ -116,7 +118,11 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, limit:
     cuts = spread.groupBy("part", "local").agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias("cuts"))
     words_taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, r: a + (r["to"] - r["from"]) * r["times"])
     found = placed.join(cuts, ["part", "local"], "left")
-    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce(words_taken, F.lit(0)).alias("taken"), F.coalesce("cuts", F.array().cast("array<struct<from:bigint,to:bigint,times:int>>")).alias("cuts"))
+    if carry:
+        found = found.join(held.select("part", "local", *(f"__carry_{k}" for k in range(len(carry)))), ["part", "local"])
+    empty = F.array().cast("array<struct<from:bigint,to:bigint,times:int>>")
+    more = [F.col(f"__carry_{k}").alias(c) for k, c in enumerate(carry)]
+    return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce(words_taken, F.lit(0)).alias("taken"), F.coalesce("cuts", empty).alias("cuts"), *more)
 
 
 def cut_texts(docs: DataFrame, text: str = "text", cuts: str = "cuts") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequent.llm import idplanes, jaccard, lm, mixing, neardup, packing, topk
+from sequent.llm import idplanes, jaccard, lm, mixing, neardup, packing, pii, quality, topk, urlfilter
 from sequent.llm.tokens import word_vocabulary
 
 
@@ -33,6 +34,27 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+#: (verdict, rule)
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES) + " AS t(verdict, rule)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "metadata_score", "quality_score", "accepted")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9."""
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -55,9 +77,13 @@ def queries() -> dict:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_source_mix": op4_source_mix,
+        "op5_pii": op5_pii,
+        "op6_url_rules": op6_url_rules,
+        "op7_quality": op7_quality,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_lm_scores": op10_lm_scores,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -144,5 +170,19 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(y.taken, 0) AS taken
 """
 
 
+ORACLE["op6_url_rules"] = """
+WITH r(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '(?s)^([^/?#]*)', 1) AS raw FROM u),
+x AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '(?s)^([^?#]*)', 1) AS path, row_number() OVER () AS row FROM h),
+m AS (
+  SELECT x.row, max({'n': length(r.h), 'k': length(r.p), 'rule': r.h || r.p, 'verdict': r.verdict}) AS best
+  FROM x JOIN r ON (x.host = r.h OR ends_with(x.host, '.' || r.h)) AND starts_with(x.path, r.p) GROUP BY x.row)
+SELECT x.page_id, x.host, x.path, m.best.rule AS rule, coalesce(m.best.verdict, 'allow') AS verdict FROM x LEFT JOIN m USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
