@@ -86,3 +86,65 @@ pt AS (SELECT *, max(CASE WHEN class_id = truth THEN p END) OVER (PARTITION BY g
 
 def score_sql(name: str = "s", pred: str = "pred") -> str:
     return SCORE_SQL.format(name=name, pred=pred)
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+HYPOTHESIS = ["game", "hypothesis"]
+#: Weights of a class's four variants.
+VARIANT_WEIGHTS = (1, 2, 3, 4)
+
+
+def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """game, step, event_id, kind, k, truth: a user's events in order; truth is the user's greatest event type."""
+    user = W.Window.partitionBy("game")
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("game"), "event_id", "ts", F.col("event_type").alias("kind"), F.from_json("props", "k int")["k"].alias("k"))
+    return events.select("game", F.row_number().over(user.orderBy("ts", "event_id")).cast("long").alias("step"), "event_id", "kind", "k", F.max("kind").over(user).alias("truth"))
+
+
+def hypotheses(spark: SparkSession) -> DataFrame:
+    """h, class_id, variant, prior: twenty hypotheses, four to a class."""
+    rows = [(4 * c + v, name, v, VARIANT_WEIGHTS[v] / sum(VARIANT_WEIGHTS) / len(EVENT_TYPES)) for c, name in enumerate(EVENT_TYPES) for v in range(4)]
+    return spark.createDataFrame(rows, "h long, class_id string, variant int, prior double")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each event and hypothesis: known, allowed (of 5), legal, log_likelihood (null if unknown), prior."""
+    rows = event_steps(spark, sf_dir).join(F.broadcast(hypotheses(spark)))
+    mixed = F.col("event_id") + F.col("h")
+    known = mixed % 7 != 0
+    legal = (mixed % 11 != 0) | (F.col("class_id") == F.col("truth"))
+    allowed = F.when(known, 1 + mixed % 5)
+    return rows.select("game", "step", "event_id", "kind", "truth", "h", "class_id", "variant", "prior", known.alias("known"), allowed.alias("allowed"), legal.alias("legal"), F.when(known, -F.log(allowed.cast("double"))).alias("log_likelihood"))
+
+
+EVENTS_SQL = """
+ev AS (
+  SELECT user_id AS game, event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, max(event_type) OVER (PARTITION BY user_id) AS truth FROM events)"""
+
+HYPOTHESES_SQL = "hyp(h, class_id, variant, prior) AS (VALUES " + ", ".join(f"({4 * c + v}, '{name}', {v}, {VARIANT_WEIGHTS[v] / sum(VARIANT_WEIGHTS) / len(EVENT_TYPES)!r}::DOUBLE)" for c, name in enumerate(EVENT_TYPES) for v in range(4)) + ")"
+
+EVIDENCE_SQL = """
+evidence AS (
+  SELECT game, step, event_id, kind, truth, h, class_id, variant, prior, (event_id + h) % 7 <> 0 AS known,
+    CASE WHEN (event_id + h) % 7 <> 0 THEN 1 + (event_id + h) % 5 END AS allowed,
+    (event_id + h) % 11 <> 0 OR class_id = truth AS legal,
+    CASE WHEN (event_id + h) % 7 <> 0 THEN -ln(1 + (event_id + h) % 5) END AS log_likelihood
+  FROM ev CROSS JOIN hyp)"""
+
+POSTERIOR_SQL = """
+acc AS (
+  SELECT *, max(CASE WHEN known AND NOT legal THEN 1 ELSE 0 END) OVER w = 1 AS eliminated, ln(prior) + sum(coalesce(log_likelihood, 0)) OVER w AS log_weight
+  FROM evidence WINDOW w AS (PARTITION BY game, h ORDER BY step ROWS UNBOUNDED PRECEDING)),
+top AS (SELECT *, max(CASE WHEN NOT eliminated THEN log_weight END) OVER (PARTITION BY game, step) AS m FROM acc),
+ex AS (SELECT *, CASE WHEN eliminated THEN 0.0 ELSE exp(log_weight - m) END AS e FROM top),
+post AS (SELECT *, CASE WHEN sum(e) OVER (PARTITION BY game, step) > 0 THEN e / sum(e) OVER (PARTITION BY game, step) ELSE 0.0 END AS p FROM ex)"""
+
+CLASS_SQL = """
+cls AS (
+  SELECT game, step, truth, class_id, sum(p) AS p, bool_and(eliminated) AS eliminated, count(*) FILTER (NOT eliminated) AS live, count(*) AS variants
+  FROM post GROUP BY game, step, truth, class_id)"""
+
+
+def posterior_sql() -> str:
+    return "WITH " + ",".join([EVENTS_SQL, HYPOTHESES_SQL, EVIDENCE_SQL, POSTERIOR_SQL, CLASS_SQL])

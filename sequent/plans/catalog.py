@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sequent.plans import q_metrics
+from sequent.plans import q_metrics, q_sequences
 
-MODULES = (q_metrics,)
+MODULES = (q_metrics, q_sequences)
 
 
 def queries() -> dict:
