@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sequent.plans import q_metrics, q_sequences
+from sequent.plans import q_metrics, q_sequences, q_tables
 
-MODULES = (q_metrics, q_sequences)
+MODULES = (q_metrics, q_sequences, q_tables)
 
 
 def queries() -> dict:
