@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded, as sums depend on the order of rows; a negative zero becomes zero."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def scores(spark: SparkSession, d: str, system: str = "A") -> DataFrame:
