@@ -36,7 +36,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's runs of `size` words; of fewer words, of them all; of none, nothing."""
     hashes, counts = words.word_hashes(texts)
     runs = np.zeros(len(hashes), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(hashes))):
         runs[: len(hashes) - k] = (runs[: len(hashes) - k] + hashes[k:]) * np.uint64(0x9E3779B97F4A7C15)
     runs = words.mixed(runs)
     found, at = [], 0
@@ -44,10 +44,10 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
         if n >= size:
             found.append(np.unique(runs[at : at + n - size + 1]))
         elif n:
-            whole = np.uint64(n)
+            whole = np.full(1, n, np.uint64)  # an array, as its products may wrap
             for h in hashes[at : at + n]:
                 whole = (whole + h) * np.uint64(0x9E3779B97F4A7C15)
-            found.append(words.mixed(np.array([whole])))
+            found.append(words.mixed(whole))
         else:
             found.append(hashes[:0])
         at += n

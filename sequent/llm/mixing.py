@@ -53,7 +53,8 @@ def targets(sizes: DataFrame, weights: tuple, share: float, limit: float) -> Dat
 def apportioned(parties: DataFrame, group: list[str], party: str, share: str, most: str, seats: str) -> DataFrame:
     """Add `quota`: the group's seats given to parties by the highest quotients share / (2 k - 1), k up to `most`.
 
-    Seats at a divisor of all shares / seats are near the outcome; only the quotients around them are ranked.
+    Seats at a divisor of all shares / seats are near the outcome; only the quotients around them are ranked.  So
+    `most` may only bind in rounding: it must not be under share x seats / all shares.
     """
     own = W.Window.partitionBy(*group)
     ideal = F.col(share) * F.col(seats) / F.sum(share).over(own)
