@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -54,12 +56,8 @@ def lower_bound(values: DataFrame, place: int) -> DataFrame:
 
 def splitmix64(x: Column) -> Column:
     """The 64-bit mixer's output as an unsigned decimal string, for signed 64-bit input; by an Arrow UDF, as it wraps."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mix(values: pd.Series) -> pd.Series:
-        import numpy as np
-
         z = values.to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
