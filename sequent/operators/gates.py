@@ -97,3 +97,23 @@ def decide(found: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     line = F.concat_ws("|", "gate", "op", F.format_number("bound", 6))
     return found.agg(n("passed").alias("passed"), n("failed").alias("failed"), n("missing").alias("missing"), ((n("failed") == 0) & (n("missing") == 0) & (F.count("*") == F.count_distinct("gate")) & (F.count("*") > 0)).alias("accepted"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("contract"))
+
+
+def bootstrap_statistic(clusters: DataFrame, key: str, statistic: Column, count: int) -> DataFrame:
+    """(r, value): any aggregate expression over the drawn clusters' columns, `times` telling how often each was drawn."""
+    indexed = numbered_clusters(clusters, key).withColumn("j", F.col("i").cast("long")).drop("i")
+    draws = replicates(clusters.sparkSession, indexed.count(), count).groupBy("r", "j").agg(F.count("*").alias("times"))
+    return draws.join(indexed, "j").groupBy("r").agg(statistic.alias("value"))
+
+
+def non_regression(control: DataFrame, treatment: DataFrame, keys: list[str], higher: list[str], slack: float = 0.0) -> DataFrame:
+    """Per key and metric whether the treatment is no worse; metrics in `higher` should grow, the others fall."""
+    both = control.select(*keys, "metric", F.col("value").alias("control")).join(treatment.select(*keys, "metric", F.col("value").alias("treatment")), [*keys, "metric"], "full_outer")
+    gain = F.when(F.col("metric").isin(higher), F.col("treatment") - F.col("control")).otherwise(F.col("control") - F.col("treatment"))
+    return both.withColumn("gain", gain).withColumn("ok", F.coalesce(gain >= -slack, F.lit(False)))
+
+
+def release(values: DataFrame, deltas: DataFrame, least_gain: float, place: int) -> DataFrame:
+    """Whether the mean paired gain and its bootstrap lower bound allow a release."""
+    gain = deltas.agg(F.avg("delta").alias("gain"))
+    return gain.crossJoin(lower_bound(values, place).withColumnRenamed("value", "low")).select("gain", "low", ((F.col("gain") >= least_gain) & (F.col("low") > 0)).alias("released"))  # one row each

@@ -17,9 +17,9 @@ HORIZONS = (5, 10, 15, 20)
 
 
 def credit(k: int, classes: Column, above: Column, tied: Column) -> Column:
-    """The share of the truth's tie that fits into the first k places."""
+    """The share of the truth's tie that fits into the first k places; null if the truth is not among the classes."""
     slots = F.least(F.lit(k), classes) - above
-    return F.when(slots <= 0, 0.0).otherwise(F.least(F.lit(1.0), slots / tied))
+    return F.when(tied == 0, None).when(slots <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(slots, tied)))
 
 
 def row_scores(pred: DataFrame, row: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sequent.plans import q_features, q_metrics, q_models, q_sequences, q_sources, q_tables
+from sequent.plans import q_features, q_metrics, q_models, q_more, q_sequences, q_sources, q_tables
 
-MODULES = (q_metrics, q_sequences, q_tables, q_models, q_features, q_sources)
+MODULES = (q_metrics, q_sequences, q_tables, q_models, q_features, q_sources, q_more)
 
 
 def queries() -> dict:
