@@ -4,7 +4,8 @@
    that two nodes share a fraction of tokens near their similarity.
 2. In each of a number of runs a node follows the tokens that a hash of (path, token) samples, `branch` of them on
    average, as similar nodes do: nodes on one path form a bucket.  A bucket of over `limit` nodes is split by the
-   next sampled token, up to `depth` tokens; the others, and what is still larger, are brute-forced on their tokens.
+   next sampled token, up to `depth` tokens, unless its nodes are so alike that all of them would follow on; the
+   other buckets are brute-forced on their tokens.
    The number of runs follows from the recall asked for at the threshold.
 3. A bucket gives links enough to connect the nodes that look similar, not their pairs.  Connected nodes form a
    group, and in each group the exact similarity of all pairs of shingle sets is computed, which finds also pairs
@@ -118,6 +119,13 @@ def in_blocks(rows: DataFrame, keys: list[str], count: str, block: int) -> DataF
     return dealt.withColumn("__p", F.explode(pairs)).withColumn("i", F.col("__p.i")).withColumn("j", F.col("__p.j")).drop("__p", "__blocks", count)
 
 
+def likeness(buckets: DataFrame, probes: int = 8) -> DataFrame:
+    """(path, likeness): the mean fraction of tokens that two nodes of a bucket share, seen on a few token places."""
+    tokens = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("sketch", 4 * k + 1, 4).alias("token")) for k in range(probes)))
+    counts = buckets.select("path", "rows", F.explode(tokens).alias("t")).groupBy("path", "rows", "t.k", "t.token").agg(F.count("*").alias("n"))
+    return counts.groupBy("path").agg((F.sum(F.pow(F.col("n") / F.col("rows"), 2)) / probes).alias("likeness"))
+
+
 def sides(mine: np.ndarray, i: int, j: int) -> tuple[np.ndarray, slice, slice]:
     """An order of a piece of work's rows, and its left and right rows in it."""
     order = np.argsort(mine, kind="stable")
@@ -212,11 +220,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
         paths = stored(followed(at.select("node", "sketch") if level == 1 else at, salts if level == 1 else None, branch), "paths")
         counts = paths.groupBy("path").agg(F.count("*").alias("rows")).where("rows > 1")
         met = stored(paths.join(counts, "path").join(nodes.select("node", "sketch"), "node"), "buckets")
-        ready = met if level == depth else met.where(F.col("rows") <= limit)
-        work = in_blocks(ready, ["path"], "rows", limit)
+        small, large = met.where(F.col("rows") <= limit), met.where(F.col("rows") > limit)
+        ready = met
+        if level < depth:
+            large = large.join(likeness(large), "path")
+            ready = small.unionByName(large.where(F.col("likeness") * branch >= 1).drop("likeness"))
+            large = large.where(F.col("likeness") * branch < 1)
+        work = in_blocks(ready, ["path"], "rows", 2 * limit)
         alike = stored(work.groupBy("path", "i", "j").applyInArrow(look_alike(threshold - 4 * spread), "a long, b long"), "alike")
         edges = alike if edges is None else edges.union(alike)
-        at = met.where(F.col("rows") > limit).select("path", "node", "sketch")
+        at = large.select("path", "node", "sketch")
         if level < depth and at.isEmpty():
             break
 
