@@ -133,3 +133,22 @@ def encoded_sequence(tokens: Column, ids: Column, length: int, unknown: int = 1)
 def symbolic_vector(p: Column, eliminated: Column) -> Column:
     """Probabilities, then the mask as numbers."""
     return F.concat(p, F.transform(eliminated, lambda e: e.cast("double")))
+
+
+def piece_at(letters: Column, where: Column) -> Column:
+    """The letter on a square such as e4, of 64 board letters."""
+    place = (F.ascii(F.substring(where, 1, 1)) - 97) + 8 * (8 - (F.ascii(F.substring(where, 2, 1)) - 48)) + 1
+    return F.substring(letters, place, F.lit(1))
+
+
+def behavior_features(rows: DataFrame, key: list[str], fen: str, uci: str, legal: str) -> DataFrame:
+    """Sparse (key, index, value): moved piece (0-11), captured piece (12-23), capture, promotion, and the legal moves' shares by piece (26-37)."""
+    boards = rows.select(*key, board_letters(F.col(fen)).alias("letters"), F.col(uci).alias("m"), F.col(legal).alias("legal"))
+    code = lambda letter: F.instr(F.lit(PIECES), letter) - 1
+    moved, captured = piece_at(F.col("letters"), F.substring("m", 1, 2)), piece_at(F.col("letters"), F.substring("m", 3, 2))
+    taken = captured != "."
+    own = F.array(F.when(moved != ".", code(moved)), F.when(taken, 12 + code(captured)), F.when(taken, F.lit(24)), F.when(F.length("m") == 5, F.lit(25)))
+    flags = boards.select(*key, F.explode(F.array_compact(own)).alias("index"), F.lit(1.0).alias("value"))
+    pieces = boards.select(*key, F.size("legal").alias("n"), F.explode("legal").alias("l"), "letters")
+    shares = pieces.groupBy(*key, "n", (26 + code(piece_at(F.col("letters"), F.substring("l", 1, 2)))).alias("index")).agg(F.count("*").alias("k"))
+    return flags.unionByName(shares.select(*key, "index", (F.col("k") / F.col("n")).alias("value")))

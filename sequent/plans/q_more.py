@@ -336,3 +336,11 @@ def st_reorder(spark, d):
 def st_session_switch(spark, d):
     rows = live_rows(spark, d, F.col("game") * 2)
     return rows.where("status = 'delivered'").groupBy("session").agg(F.count_distinct("revision").alias("delivered"))
+
+
+@query("f_behavior_vector", "SELECT event_id, i AS \"index\", v AS value FROM events, (VALUES (5, 1.0), (23, 1.0), (24, 1.0), (31, 0.5), (26, 0.5)) AS x(i, v)")
+def f_behavior_vector(spark, d):
+    letter = lambda x: F.char((97 + x % 8).cast("int"))
+    move = F.concat(letter(F.col("user_id")), F.lit("1"), letter(F.col("event_id")), F.lit("8"))
+    rows = positions(spark, d).withColumn("uci", move).withColumn("legal", F.array("uci", F.lit("a2a3")))
+    return c.behavior_features(rows, ["event_id"], "fen", "uci", "legal").select("event_id", "index", "value")
