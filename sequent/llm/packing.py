@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequent.llm.shared import part_offsets, range_numbered
+from sequent.llm.shared import part_offsets, range_numbered, stored
 from sequent.llm.tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -135,4 +135,4 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 2048, end
     A null text is empty: one piece, the end id.  Null and repeated doc_ids are documents of their own.  Only
     documents of more than capacity ids are cut.  Other columns are not read.
     """
-    return pack(pieces(docs, vocabulary, capacity, end_id), capacity)
+    return pack(stored(pieces(docs, vocabulary, capacity, end_id), "pieces-cut"), capacity)
