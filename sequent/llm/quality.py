@@ -68,19 +68,23 @@ def metadata(sources: list[str | None], langs: list[str | None], sizes: list[int
 
 
 class Logistic:
-    """Ridge logistic regression on standardised, clipped features, by Newton's method."""
+    """Ridge logistic regression on standardised, clipped features, by Newton's method in chunks of rows."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
-        self.mean, self.scale = x.mean(0), x.std(0)
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
         self.scale[self.scale < 1e-9] = 1
-        z = self._ready(x)
-        self.w = np.zeros(z.shape[1])
-        penalty = np.full(len(self.w), ridge)
+        size = x.shape[1] + 1
+        self.w = np.zeros(size)
+        penalty = np.full(size, ridge)
         penalty[0] = 1e-6
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            slope = z.T @ (y - p) - penalty * self.w
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), slope)
+            slope, bend = -penalty * self.w, np.diag(penalty)
+            for at in range(0, len(x), 2048):
+                z = self._ready(x[at : at + 2048])
+                p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+                slope += z.T @ (y[at : at + 2048] - p)
+                bend += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+            step = np.linalg.solve(bend, slope)
             self.w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -89,7 +93,8 @@ class Logistic:
         return np.concatenate([np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -6, 6)], 1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._ready(x) @ self.w, -30, 30)
+        parts = [self._ready(x[at : at + 2048]) @ self.w for at in range(0, len(x), 2048)]
+        return np.clip(np.concatenate(parts) if parts else np.zeros(0), -30, 30)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(x)))
@@ -154,11 +159,12 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int,
                 yield pa.RecordBatch.from_arrays([part["label"], *(pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in own)], names=["label", "content", "metadata"])
 
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("label", "text", "source", "lang", "n_chars")
-    rows = rows.mapInArrow(features, FEATURES).toPandas()  # at most as many rows as the sample has, 700 bytes each
-    if rows.empty:
+    rows = rows.mapInArrow(features, FEATURES).toArrow()  # at most as many rows as the sample has, 700 bytes each
+    if not rows.num_rows:
         return None
-    views = [np.stack([np.frombuffer(x, "<f4") for x in rows[c]]).astype(np.float64) for c in ("content", "metadata")]
-    label = rows["label"].to_numpy(dtype=np.float64, na_value=np.nan)
+    views = [np.frombuffer(b"".join(rows[c].to_pylist()), "<f4").reshape(rows.num_rows, -1) for c in ("content", "metadata")]
+    label = np.array([np.nan if x is None else x for x in rows["label"].to_pylist()])
+    del rows
     order = np.lexsort([views[0][:, k] for k in range(64, 72)])  # no matter in which order the rows came
     views, label = [v[order] for v in views], label[order]
     has = ~np.isnan(label)
