@@ -177,13 +177,13 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int,
     return CoTrained([v[has] for v in views], y, [v[~has] for v in views], held, rounds, sure, gain)
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_pool: int = 20_000, rounds: int = 5, sure: float = 0.98, gain: int = 1_000, accept: float = 0.5, seed: int = 0) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_pool: int = 20_000, rounds: int = 5, sure: float = 0.98, gain: int = 1_000, accept: float = 0.2, seed: int = 0) -> DataFrame:
     """docs (doc_id, text, source, lang, n_chars) with text_score, metadata_score, quality_score and accepted.
 
     labels: doc_id, quality (1 good, 0 bad; other values and null ids are not used; of two labels the better one
     counts).  The model is fitted on at most max_labelled labelled and max_pool other documents, the first in the
     order of a seeded hash; every document is scored, from its whole text.  accepted: quality_score is `accept` or
-    more.  A null, empty or blank text has a quality_score of 0.  Without labels of both kinds every other document
+    more; the default is low, so that only what is quite surely bad goes.  A null, empty or blank text has a quality_score of 0.  Without labels of both kinds every other document
     has null scores and is accepted.  All columns and rows of docs are kept.  No rows: no rows.
     """
     model = fitted(docs, labels, max_labelled, max_pool, rounds, sure, gain, seed)
