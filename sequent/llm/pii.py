@@ -1,11 +1,12 @@
 """Personal data: base patterns, and terms that reveal who is meant.
 
 Base spans (email, ip, card, phone) are the protected entities.  A term is a run of three or more letters in the
-`window` characters before or after one.  Over all documents, P(entity | term) is the share of the term's documents
-in which it stands beside the entity.  A term discloses an entity if that share, the information it gives about the
-entity, log2 P(entity | term) / P(entity), and the number of different texts in which the two meet reach their
-thresholds.  Such a term beside the entity is a span of its own: it is generalised, or removed if its share reaches
-`remove_at`.
+`window` characters before or after one.  An entity stands for itself, for its group (an email's domain, an address's
+network, a card's issuer, a phone's area) and for its kind, so that entities that occur once are told by what they have
+in common.  Over all different texts, P(entity | term) is the share of the term's texts in which it stands beside the
+entity, smoothed by `prior` texts that have the entity as often as any text has.  A term discloses an entity if that
+share and the information it gives about the entity, log2 P(entity | term) / P(entity), reach their thresholds.  Such a
+term beside the entity is a span of its own: it is generalised, or removed if its share reaches `remove_at`.
 """
 
 from __future__ import annotations
@@ -87,9 +88,18 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def entities(span: Column) -> Column:
+    """What a base span stands for: its value, its group and its kind, as hashes."""
+    text, number = F.lower(span["value"]), digits(span["value"])
+    value = F.when(span["rank"] >= 2, number).otherwise(text)
+    group = F.when(span["rank"] == 0, F.regexp_replace(text, "^[^@]*@", "")).when(span["rank"] == 1, F.regexp_replace(text, r"\.[0-9]+$", ""))
+    group = group.when(span["rank"] == 2, F.substring(number, 1, 6)).otherwise(F.substring(number, F.lit(1), F.length(number) - 7))
+    return F.array(*(F.xxhash64(F.lit(level), span["rank"], name) for level, name in enumerate((value, group, F.lit("")))))
+
+
 def contexts(found: DataFrame, window: int) -> DataFrame:
-    """(h, g, entity, term, start, stop) for each term beside a base span; found: h, g, text, base, n."""
-    each = found.select("h", "g", "text", "base", "n", F.explode("base").alias("s"))
+    """(h, g, entity, term, start, stop) for each term beside a base span and each entity that it stands for; found: h, g, text, base."""
+    each = found.select("h", "g", "text", "base", F.explode("base").alias("s"))
     low = F.greatest(F.lit(0), F.col("s.start") - window)
     before = F.substring("text", low + 1, F.col("s.start") - low)
     after = F.substring("text", F.col("s.stop") + 1, F.lit(window))
@@ -97,34 +107,34 @@ def contexts(found: DataFrame, window: int) -> DataFrame:
     cut_tail = F.when(F.length("text") > F.col("s.stop") + window, F.length(F.regexp_extract(after, r"\p{L}*$", 0))).otherwise(0)
     head = F.substring(before, cut_head + 1, F.length(before))
     tail = F.substring(after, F.lit(1), F.length(after) - cut_tail)
-    entity = F.xxhash64("s.rank", F.lower("s.value"))
     sides = F.array(F.struct((low + cut_head).alias("at"), head.alias("part")), F.struct(F.col("s.stop").alias("at"), tail.alias("part")))
-    split = each.select("h", "g", "base", "n", entity.alias("entity"), F.explode(sides).alias("side"))
-    terms = split.select("h", "g", "base", "n", "entity", F.col("side.at").alias("at"), F.explode(matches(F.col("side.part"), TERM, 4)).alias("t"))
-    terms = terms.select("h", "g", "n", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).cast("int").alias("start"), (F.col("at") + F.col("t.stop")).cast("int").alias("stop"), "base")
+    split = each.select("h", "g", "base", F.explode(sides).alias("side"), entities(F.col("s")).alias("entities"))
+    split = split.select("h", "g", "base", "side", F.explode("entities").alias("entity"))
+    terms = split.select("h", "g", "base", "entity", F.col("side.at").alias("at"), F.explode(matches(F.col("side.part"), TERM, 4)).alias("t"))
+    terms = terms.select("h", "g", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).cast("int").alias("start"), (F.col("at") + F.col("t.stop")).cast("int").alias("stop"), "base")
     return terms.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))).drop("base")
 
 
-def find(docs: DataFrame, window: int = 48, support: int = 5, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0) -> DataFrame:
+def find(docs: DataFrame, window: int = 48, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0, prior: float = 1.0) -> DataFrame:
     """(h, g, base, terms) for each distinct text of `docs` (text) that has a base span; h and g hash the text.
 
     base and terms are arrays of (start, rank, stop, value) in code points, rank being the place in KINDS; a term's
-    value is what its span becomes: [TERM] if it is generalised, nothing if it is removed.  Statistics count every
-    document, copies too; `support` counts different texts.  Null and empty texts have no span.
+    value is what its span becomes: [TERM] if it is generalised, nothing if it is removed.  Statistics count different
+    texts, so that a rare word of a copied text tells nothing.  Null and empty texts have no span.
     """
     keyed = docs.select(F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
     found = keyed.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    found = found.groupBy("h", "g").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+    found = found.groupBy("h", "g").agg(F.first("text").alias("text"), F.first("base").alias("base"))
     found = stored(found, "pii-base")
     near = stored(contexts(found, window), "pii-contexts")
-    met = near.groupBy("entity", "term", "h", "g").agg(F.first("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = found.select("h", "g", "n", F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["rank"], F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("entity_docs"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    every = docs.agg(F.count("*").alias("docs"))
-    met = met.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(every))  # one row
-    p = F.col("together") / F.col("term_docs")
-    gain = F.log2(p / (F.col("entity_docs") / F.col("docs")))
-    telling = met.where((p >= share) & (gain >= bits)).select("entity", "term", F.when(p >= remove_at, "").otherwise(WORDS_OF["term"]).alias("value"))
+    met = near.select("entity", "term", "h", "g").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    holders = found.select("h", "g", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_texts"))
+    terms = keyed.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count_distinct("h").alias("term_texts"))
+    every = keyed.agg(F.count_distinct("h").alias("texts"))
+    met = met.join(holders, "entity").join(terms, "term").crossJoin(F.broadcast(every))  # one row
+    usual = F.col("entity_texts") / F.col("texts")
+    p = (F.col("together") + prior * usual) / (F.col("term_texts") + prior)
+    telling = met.where((p >= share) & (F.log2(p / usual) >= bits)).select("entity", "term", F.when(p >= remove_at, "").otherwise(WORDS_OF["term"]).alias("value"))
     hits = near.join(telling, ["entity", "term"]).groupBy("h", "g", "start", "stop").agg(F.min("value").alias("value"))
     spans = hits.groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "stop", "value"))).alias("terms"))
     return found.select("h", "g", "base").join(spans, ["h", "g"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))

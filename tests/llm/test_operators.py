@@ -250,6 +250,20 @@ def test_pii_terms_that_reveal(spark):
     assert all("Zorblatt" not in clean[k] and "[EMAIL]" in clean[k] for k in range(8)) and clean[100] == rows[8][1]
 
 
+def test_pii_terms_of_rare_entities(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    pick = lambda k, n: " ".join(words[(k * 7 + j * 13) % 200] for j in range(n))
+    rows = [(k, f"{pick(k, 9)} ask Zorblatt at u{k}@corp.example {pick(k + 3, 9)} once{chr(97 + k)}") for k in range(4)]
+    rows += [(100 + k, f"{pick(k, 30)} ask n{k} {pick(k, 5)}") for k in range(300)]
+    rows += [(500, rows[0][1])] * 20
+    by = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows[:4]:  # each email stands in one text, its domain in four
+        at, once = t.index("Zorblatt"), t.index("once")
+        assert f"term:{at}:{at + 8}" in by[k].split(",")
+        assert f"term:{once}:" not in by[k] and f"term:{t.index('ask')}:" not in by[k]
+    assert by[500] == by[0] and all(by[k] == "" for k in range(100, 400))
+
+
 def plain_verdict(url, rules):
     if url is None or "://" not in url:
         return ("", "", None, "allow")
