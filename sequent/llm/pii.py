@@ -1,12 +1,12 @@
 """Personal data: base patterns, and terms that reveal who is meant.
 
-Base spans (email, ip, card, phone) are the protected entities.  A term is a run of three or more letters in the
-`window` characters before or after one.  An entity stands for itself, for its group (an email's domain, an address's
-network, a card's issuer, a phone's area) and for its kind, so that entities that occur once are told by what they have
-in common.  Over all different texts, P(entity | term) is the share of the term's texts in which it stands beside the
-entity, smoothed by `prior` texts that have the entity as often as any text has.  A term discloses an entity if that
-share and the information it gives about the entity, log2 P(entity | term) / P(entity), reach their thresholds.  Such a
-term beside the entity is a span of its own: it is generalised, or removed if its share reaches `remove_at`.
+Base spans (email, ip, card, phone) are the protected entities.  A term is a run of three or more letters.  An entity
+stands for itself, for its group (an email's domain, an address's network, a card's issuer, a phone's area) and for its
+kind, so that entities that occur once are told by what they have in common.  Over all different texts, P(entity | term)
+is the share of the term's texts that have the entity anywhere, smoothed by `prior` texts that have the entity as often
+as any text has.  A term discloses an entity if that share and the information it gives about the entity,
+log2 P(entity | term) / P(entity), reach their thresholds.  Wherever such a term stands, with or without the entity, it
+is a span of its own: it is generalised, or removed if its share reaches `remove_at`.
 """
 
 from __future__ import annotations
@@ -97,26 +97,29 @@ def entities(span: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(level), span["rank"], name) for level, name in enumerate((value, group, F.lit("")))))
 
 
-def contexts(found: DataFrame, window: int) -> DataFrame:
-    """(h, g, entity, term, start, stop) for each term beside a base span and each entity that it stands for; found: h, g, text, base."""
-    each = found.select("h", "g", "text", "base", F.explode("base").alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.start") - window)
-    before = F.substring("text", low + 1, F.col("s.start") - low)
-    after = F.substring("text", F.col("s.stop") + 1, F.lit(window))
-    cut_head = F.when(low > 0, F.length(F.regexp_extract(before, r"^\p{L}*", 0))).otherwise(0)
-    cut_tail = F.when(F.length("text") > F.col("s.stop") + window, F.length(F.regexp_extract(after, r"\p{L}*$", 0))).otherwise(0)
-    head = F.substring(before, cut_head + 1, F.length(before))
-    tail = F.substring(after, F.lit(1), F.length(after) - cut_tail)
-    sides = F.array(F.struct((low + cut_head).alias("at"), head.alias("part")), F.struct(F.col("s.stop").alias("at"), tail.alias("part")))
-    split = each.select("h", "g", "base", F.explode(sides).alias("side"), entities(F.col("s")).alias("entities"))
-    split = split.select("h", "g", "base", "side", F.explode("entities").alias("entity"))
-    terms = split.select("h", "g", "base", "entity", F.col("side.at").alias("at"), F.explode(matches(F.col("side.part"), TERM, 4)).alias("t"))
-    terms = terms.select("h", "g", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).cast("int").alias("start"), (F.col("at") + F.col("t.stop")).cast("int").alias("stop"), "base")
-    return terms.where(~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))).drop("base")
+def words(keyed: DataFrame) -> DataFrame:
+    """(h, g, term) for each different term of a text; keyed: h, g, text."""
+    return keyed.select("h", "g", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
 
 
-def find(docs: DataFrame, window: int = 48, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0, prior: float = 1.0) -> DataFrame:
-    """(h, g, base, terms) for each distinct text of `docs` (text) that has a base span; h and g hash the text.
+def places(text: Column, base: Column, telling: Column) -> Column:
+    """Spans of the telling terms (a map of term to what its span becomes) in a text, outside its base spans."""
+    found, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), F.try_element_at(telling, F.lower(m)).alias("value")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(a: Column, p: Column) -> Column:
+        start = a["at"] + p["gap"]
+        stop = (start + p["size"]).cast("int")
+        span = F.struct(start.cast("int").alias("start"), F.lit(4).alias("rank"), stop.alias("stop"), p["value"].alias("value"))
+        return F.struct(stop.alias("at"), F.when(p["value"].isNull(), a["spans"]).otherwise(F.array_append(a["spans"], span)).alias("spans"))
+
+    spans = F.aggregate(pairs, begin, step, lambda a: a["spans"])
+    return F.filter(spans, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
+
+
+def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0, prior: float = 1.0) -> DataFrame:
+    """(h, g, base, terms) for each distinct text of `docs` (text) that has a base span or a telling term; h and g hash the text.
 
     base and terms are arrays of (start, rank, stop, value) in code points, rank being the place in KINDS; a term's
     value is what its span becomes: [TERM] if it is generalised, nothing if it is removed.  Statistics count different
@@ -126,25 +129,34 @@ def find(docs: DataFrame, window: int = 48, share: float = 0.6, remove_at: float
     found = keyed.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
     found = found.groupBy("h", "g").agg(F.first("text").alias("text"), F.first("base").alias("base"))
     found = stored(found, "pii-base")
-    near = stored(contexts(found, window), "pii-contexts")
-    met = near.select("entity", "term", "h", "g").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
-    holders = found.select("h", "g", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_texts"))
-    terms = keyed.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count_distinct("h").alias("term_texts"))
+    own = words(found)
+    once = keyed.groupBy("h", "g").agg(F.first("text").alias("text"))
+    terms = words(once).groupBy("term").agg(F.count("*").alias("term_texts"))
+    held = own.groupBy("term").agg(F.count("*").alias("held"))
+    # An entity that passes is in less than 2^-bits of the texts, and meets a term in no more texts than have any entity.
+    least = share * (F.col("term_texts") + prior) - prior * 2.0**-bits - 1e-9
+    likely = stored(terms.join(held, "term").where(F.col("held") >= least).drop("held"), "pii-likely")
+    holders = found.select("h", "g", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity"))
+    met = own.join(likely, "term").join(holders, ["h", "g"]).groupBy("entity", "term").agg(F.count("*").alias("together"), F.first("term_texts").alias("term_texts")).where(F.col("together") >= least)
     every = keyed.agg(F.count_distinct("h").alias("texts"))
-    met = met.join(holders, "entity").join(terms, "term").crossJoin(F.broadcast(every))  # one row
+    met = met.join(holders.groupBy("entity").agg(F.count("*").alias("entity_texts")), "entity").crossJoin(F.broadcast(every))  # one row
     usual = F.col("entity_texts") / F.col("texts")
     p = (F.col("together") + prior * usual) / (F.col("term_texts") + prior)
-    telling = met.where((p >= share) & (F.log2(p / usual) >= bits)).select("entity", "term", F.when(p >= remove_at, "").otherwise(WORDS_OF["term"]).alias("value"))
-    hits = near.join(telling, ["entity", "term"]).groupBy("h", "g", "start", "stop").agg(F.min("value").alias("value"))
-    spans = hits.groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "stop", "value"))).alias("terms"))
-    return found.select("h", "g", "base").join(spans, ["h", "g"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    telling = met.where((p >= share) & (F.log2(p / usual) >= bits)).groupBy("term").agg(F.min(F.when(p >= remove_at, "").otherwise(WORDS_OF["term"])).alias("value"))
+    telling = stored(telling, "pii-telling")
+    hits = words(keyed).join(telling, "term").groupBy("h", "g").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("telling"))
+    hits = stored(hits, "pii-hits")
+    bases, none = found.select("h", "g", "base"), F.array().cast(SPAN)
+    spans = keyed.join(hits, ["h", "g"]).groupBy("h", "g").agg(F.first("text").alias("text"), F.first("telling").alias("telling")).join(bases, ["h", "g"], "left")
+    spans = spans.select("h", "g", places(F.col("text"), F.coalesce("base", none), F.col("telling")).alias("terms"))
+    return bases.join(spans, ["h", "g"], "full").select("h", "g", F.coalesce("base", none).alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
     """docs with `pii_base` and `pii_terms`, both empty where nothing is found; a null text has neither."""
     found = find(docs, **options).select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("base").alias("pii_base"), F.col("terms").alias("pii_terms"))
     none = F.array().cast(SPAN)
-    rows = docs.join(found, (F.xxhash64(docs["text"]) == F.col("__h")) & (F.hash(docs["text"]) == F.col("__g")), "left").drop("__h", "__g")
+    rows = docs.withColumns({"__h": F.xxhash64("text"), "__g": F.hash("text")}).join(found, ["__h", "__g"], "left").drop("__h", "__g")
     return rows.withColumn("pii_base", F.coalesce("pii_base", none)).withColumn("pii_terms", F.coalesce("pii_terms", none))
 
 

@@ -264,6 +264,19 @@ def test_pii_terms_of_rare_entities(spark):
     assert by[500] == by[0] and all(by[k] == "" for k in range(100, 400))
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    pick = lambda k, n: " ".join(f"w{chr(97 + (k + j) % 25)}{chr(97 + (k * 7 + j) % 26)}" for j in range(n))
+    rows = [(k, f"ÉZorblatt\U0001f600 {pick(k, 40)} u{k}@corp.example {pick(k + 3, 40)} ézorblatt") for k in range(6)]
+    rows += [(50, f"the ézorblatt {pick(9, 9)}")] + [(100 + k, pick(k, 60)) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (60, None)], "doc_id long, text string")
+    by = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in pii.digest(docs).collect()}
+    for k, t in rows[:6]:
+        assert by[k] == ["term:0:9", f"term:{len(t) - 9}:{len(t)}"]
+    assert by[50] == ["term:4:13"] and all(by[k] == [] for k in [60, *range(100, 400)])
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all("zorblatt" not in clean[k].lower() for k in [*range(6), 50]) and clean[100] == rows[7][1] and clean[60] is None
+
+
 def plain_verdict(url, rules):
     if url is None or "://" not in url:
         return ("", "", None, "allow")
