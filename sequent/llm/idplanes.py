@@ -186,8 +186,13 @@ READ = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
-    """Every document of the shard files: doc_id, start, n_tokens, ids_crc32, shard."""
+    """Every document of the shard files: doc_id, start, n_tokens, ids_crc32, shard.
+
+    One task reads about one shard, however few bytes the manifest has.  A very long document's ids pass block by
+    block; an empty manifest gives no rows.
+    """
     files = manifest.select("shard", "file", "start")
+    shards = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int64())])
@@ -205,10 +210,16 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     for at in range(0, len(rows), 10_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 10_000], strict=True), schema, strict=True)], schema=schema)
 
-    return files.repartition("shard").mapInArrow(read, READ)
+    return files.repartitionByRange(shards, "shard").mapInArrow(read, READ)
 
 
 def id_planes(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: int = 1 << 16, plane: str = "byte") -> DataFrame:
-    """Write the ids of all documents as shard files and read them back, document by document."""
+    """Write the ids of all documents as shard files and read them back, document by document.
+
+    A null text is empty; an empty text has the end id alone.  A text of any length is encoded whole: its ids go to as
+    many blocks as they need, and a task holds one such text at a time.  Null and repeated doc_ids are documents of
+    their own; of one doc_id those go first whose text has the smaller hash, and rows alike in both may change places,
+    which changes nothing.  No rows: no rows.  Other columns are not read, whatever their names.
+    """
     manifest = write_shards(docs, fresh_path(docs.sparkSession, "id-planes"), vocabulary, end_id, block_ids, plane)
     return read_documents(manifest)

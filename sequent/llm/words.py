@@ -13,23 +13,12 @@ import numpy as np
 
 #: Bytes of text that are worked on at once.
 CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Places in a word whose bytes' values are tabulated; those of later places are made as they come.
+PLACES = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, CHUNK + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A well spread 64-bit hash of each 64-bit value."""
@@ -42,6 +31,10 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h
 
 
+#: The value of byte b at place p of a word stands at 256 p + b.
+_VALUES = mixed(np.arange(PLACES << 8, dtype=np.uint64), 11)
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, owner, stop) of about CHUNK bytes each: piece k ends at stop[k] and belongs to text owner[k].
 
@@ -93,14 +86,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    powers, inverses = _powers_to(len(data) + 1)
+    """A 64-bit hash of each word; words stand one after the other."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(starts[0], len(data), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(data)))
+    own = data[starts[0] :]
     total = np.zeros(len(data) + 1, np.uint64)
-    step = data.astype(np.uint64)
-    step += np.uint64(1)
-    step *= powers[: len(data)]
-    np.cumsum(step, out=total[1:])
-    return mixed((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    value = _VALUES[(np.minimum(place, PLACES - 1) << 8) | own]
+    if int((ends - starts).max()) > PLACES:
+        late = np.flatnonzero(place >= PLACES)
+        value[late] = mixed((place[late].astype(np.uint64) << np.uint64(8)) | own[late], 11)
+    np.cumsum(value, out=total[starts[0] + 1 :])
+    return mixed(total[ends] - total[starts], 5)
 
 
 def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -412,3 +412,22 @@ def test_long_texts_are_cut_at_white_space_only():
     text = ("ab " * 700_000) + "z" * (3 << 20) + " end"
     hashes, counts = words.word_hashes([text, None, "end"])
     assert counts.tolist() == [700_002, 0, 1] and hashes[-1] == hashes[-2]
+
+
+def alternating(letters, n=2048):
+    """The Thue-Morse word: with its complement it collides under any polynomial hash modulo 2^64."""
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, plain):
+    a, b = alternating("ab"), alternating("ba")
+    hashes, _ = words.word_hashes([a, b, f"{a} {b}", "é" * 40 + "x", "é" * 40 + "y"])
+    assert len(set(hashes.tolist())) == 4 and hashes[0] == hashes[2] and hashes[1] == hashes[3]
+    assert [x.tolist() for x in tokens.encoder(tokens.word_vocabulary()).texts([a, b])] == [plain(a), plain(b)]
+    docs = spark.createDataFrame([(1, a), (2, b), (11, f"{b} {a}"), (12, a)], "doc_id long, text string")
+    by = {r.doc_id: r for r in idplanes.id_planes(docs, tokens.word_vocabulary()).collect()}
+    assert {k: by[k].ids_crc32 for k in by} == {k: crc([*plain(t), 2]) for k, t in [(1, a), (2, b), (11, f"{b} {a}"), (12, a)]}
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_classes(docs).collect()} == {1: 1, 2: 0, 11: 0, 12: 1}
+    learnt = [d for d in (1, 2, 11, 12) if zlib.crc32(str(d).encode()) % 10]
+    known = collections.Counter(w for d, t in [(1, a), (2, b), (11, f"{b} {a}"), (12, a)] if d in learnt for w in [*t.split(), ""])
+    assert {r.doc_id: r.n_known for r in lm.scores(docs).collect()} == {1: (known[a] > 0) + 1, 2: (known[b] > 0) + 1, 11: (known[a] > 0) + (known[b] > 0) + 1, 12: (known[a] > 0) + 1}
