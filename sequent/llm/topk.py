@@ -1,15 +1,19 @@
 """Exact top-k search among binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into m substrings.  Distinct codes are dealt into blocks; a block keeps one index per
-substring, and a query searches substring 1 at radius 0, substring 2 at radius 0, ..., substring 1 at radius 1, and
-so on.  After radius s of substring t every code within m s + t (t from 0) bits is known: had it more than s bits
-off in substrings up to t and more than s - 1 in the others, it would be further.  A query stops once its k-th
-verified distance is covered.  Each block's k best meet in a last sort, so the result is exact.
+A code of 64 bits is cut into m substrings.  The index holds every distinct code once per substring, dealt by
+(substring, leading bits of its value): a cell.  At radius s a query probes, for each substring, the values that are s
+bits off its own: it visits the cells whose leading bits are j <= s bits off, and looks up the rest of the value s - j
+bits off inside.  After radius s every code within m (s + 1) - 1 bits is known, since a further one has more than s bits
+off in each substring.  The small radii, which have few values, are one round, and every further radius is a round.  Candidates are verified on the whole code, the k best so far of each query are kept in a table
+between rounds, and a query stops once its k-th verified distance is covered.  Cells with many codes or many visits are
+cut into blocks and slabs, so that a piece of work is bounded whatever the codes look like.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,114 +41,164 @@ def flips(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
 
 
-class MultiIndex:
-    """The substring indexes of one block of codes."""
-
-    def __init__(self, codes: np.ndarray, substrings: int):
-        self.codes, self.m, self.width = codes, substrings, BITS // substrings
-        self._mask = np.uint64((1 << self.width) - 1)
-        self._orders, self._edges = [], []
-        for t in range(substrings):
-            part = self._part(codes, t)
-            order = np.argsort(part, kind="stable")
-            self._orders.append(order)
-            self._edges.append(np.searchsorted(part[order], np.arange((1 << self.width) + 1)))
-
-    def _part(self, codes: np.ndarray, t: int) -> np.ndarray:
-        return ((codes >> np.uint64(t * self.width)) & self._mask).astype(np.int64)
-
-    def search(self, queries: np.ndarray, enough) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code place, distance) of all codes within the radius that each query needs.
-
-        enough: of live queries and what is found so far, the distance that must be covered.
-        """
-        live = np.arange(len(queries))
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        for s in range(self.width + 1):
-            masks = flips(self.width, s)
-            for t in range(self.m):
-                if not len(live):
-                    return tuple(found)
-                step = max(1, (1 << 20) // len(masks))
-                for at in range(0, len(live), step):
-                    some = live[at : at + step]
-                    probes = (self._part(queries[some], t)[:, None] ^ masks).ravel()
-                    low, size = self._edges[t][probes], self._edges[t][probes + 1] - self._edges[t][probes]
+def parts_of(codes: np.ndarray, substrings: int) -> list[np.ndarray]:
+    width = BITS // substrings
+    return [((codes >> np.uint64(t * width)) & np.uint64((1 << width) - 1)).astype(np.int64) for t in range(substrings)]
+
+
+def placed(index: DataFrame, substrings: int, lead: int) -> DataFrame:
+    """(code, first, t, cell) for each substring of each code."""
+    width = BITS // substrings
+    cells = [F.struct(F.lit(t).alias("t"), F.shiftrightunsigned("code", t * width + width - lead).bitwiseAND(F.lit((1 << lead) - 1)).cast("int").alias("cell")) for t in range(substrings)]
+    return index.select("code", F.get("ids", F.lit(0)).alias("first"), F.explode(F.array(*cells)).alias("p")).select("code", "first", "p.t", "p.cell")
+
+
+def rounds(width: int, together: int = 1024) -> list[list[int]]:
+    """The radii of each round: the first ones as long as they have `together` values at most, then one by one."""
+    first = [s for s in range(width + 1) if sum(comb(width, r) for r in range(s + 1)) <= together] or [0]
+    return [first, *([s] for s in range(len(first), width + 1))]
+
+
+def visits(live: DataFrame, substrings: int, lead: int, radii: list[int]) -> DataFrame:
+    """(code, within, t, cell, radius, left) for each cell that a query visits; left: bits that are off inside."""
+    width = BITS // substrings
+    masks = [(m, s, s - j) for s in radii for j in range(max(0, s - (width - lead)), min(s, lead) + 1) for m in flips(lead, j).tolist()]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, radius, left = (np.array(x, np.int64) for x in zip(*masks, strict=True))
+        for batch in batches:
+            step = max(1, (1 << 20) // len(mask))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                code = part["code"].to_numpy()
+                for t, own in enumerate(parts_of(code.view(np.uint64), substrings)):
+                    cell = (own >> (width - lead))[:, None] ^ mask
+                    n = len(mask)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(code, n)), pa.array(np.repeat(part["within"].to_numpy(), n)), pa.array(np.full(cell.size, t, np.int32)), pa.array(cell.ravel().astype(np.int32)), *(pa.array(np.tile(x, len(code)).astype(np.int32)) for x in (radius, left))],
+                        names=["code", "within", "t", "cell", "radius", "left"],
+                    )
+
+    return live.select("code", "within").mapInArrow(visit, "code long, within int, t int, cell int, radius int, left int")
+
+
+def looked_up(substrings: int, lead: int, k: int):
+    """A piece's codes and visits -> (query, code, first, distance): the k best that the round finds in it for each query.
+
+    Best are the nearest, of one distance those with the smallest first id.  A code is reported at a radius by the first substring that has so many bits off, if none has fewer: so once in all.
+    """
+    width = BITS // substrings
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        t = left["t"][0].as_py()
+        codes = left["code"].to_numpy().view(np.uint64)
+        low = parts_of(codes, substrings)[t] & ((1 << (width - lead)) - 1)
+        order = np.argsort(low, kind="stable")
+        codes, low, first_id = codes[order], low[order], left["first"].to_numpy()[order]
+        every, within = right["code"].to_numpy().view(np.uint64), right["within"].to_numpy()
+        radius, off = right["radius"].to_numpy(), right["left"].to_numpy()
+        own = parts_of(every, substrings)[t] & ((1 << (width - lead)) - 1)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for s, inside in sorted(set(zip(radius.tolist(), off.tolist(), strict=True))):
+            mine = np.flatnonzero((radius == s) & (off == inside))
+            masks = flips(width - lead, inside)
+            probe = len(masks) * 4 <= len(codes)  # else comparing all values is the shorter way to the same matches
+            step = max(1, (1 << 20) // (len(masks) if probe else len(codes)))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                if probe:
+                    values = (own[some][:, None] ^ masks).ravel()
+                    first, last = np.searchsorted(low, values), np.searchsorted(low, values, side="right")
+                    size = last - first
                     hit = np.flatnonzero(size)
-                    size, low = size[hit], low[hit]
+                    first, size = first[hit], size[hit]
                     query = np.repeat(some[hit // len(masks)], size)
-                    place = self._orders[t][np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    diff = queries[query] ^ self.codes[place]
-                    bits = [np.bitwise_count(self._part(diff, u)) for u in range(self.m)]
-                    new = np.ones(len(query), bool)  # not found before: substrings up to t within s, others within s - 1
-                    for u in range(self.m):
-                        if u != t:
-                            new &= bits[u] > s if u < t else bits[u] >= s
-                    found = [np.concatenate([a, b[new]]) for a, b in zip(found, (query, place, sum(b.astype(np.int64) for b in bits)), strict=True)]
-                live = live[enough(live, *found) > self.m * s + t]
-        return tuple(found)
-
-
-def kth_distance(live: np.ndarray, query: np.ndarray, weight: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
-    """The distance within which each live query has found k rows; beyond all bits if it has fewer."""
-    order = np.lexsort((distance, query))
-    q, d, w = query[order], distance[order], np.cumsum(weight[order])
-    first, last = np.searchsorted(q, live), np.searchsorted(q, live, side="right")
-    base = np.where(first > 0, w[np.maximum(first - 1, 0)] if len(w) else 0, 0)
-    at = np.searchsorted(w, base + k) if len(w) else first
-    return np.where(at < last, d[np.minimum(at, len(d) - 1)] if len(d) else BITS + 1, BITS + 1)
-
-
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, substrings: int = 4, block: int = 16_384, slab: int = 65_536) -> DataFrame:
+                    place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                else:
+                    query, place = np.nonzero(np.bitwise_count(own[some][:, None] ^ low) == inside)
+                    query = some[query]
+                diff = every[query] ^ codes[place]
+                bits = [np.bitwise_count(x) for x in parts_of(diff, substrings)]
+                new = sum(b.astype(np.int32) for b in bits) <= within[query]
+                for u in range(substrings):
+                    if u != t:
+                        new &= bits[u] > s if u < t else bits[u] >= s
+                query, place, distance = query[new], place[new], np.bitwise_count(diff[new]).astype(np.int32)
+                order = np.lexsort((first_id[place], distance, query))
+                query, place, distance = query[order], place[order], distance[order]
+                best = np.arange(len(query)) - np.searchsorted(query, query) < k
+                for held, found in zip(out, (every[query[best]].view(np.int64), codes[place[best]].view(np.int64), first_id[place[best]], distance[best]), strict=True):
+                    held.append(found)
+        if not out[0]:
+            return none
+        return pa.table(dict(zip(("query", "code", "first", "distance"), map(np.concatenate, out), strict=True)))
+
+    return look
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, substrings: int = 4, block: int = 4_096, slab: int = 4_096) -> DataFrame:
     """The k nearest rows of `codes` (id, code) for each row of `queries` (id, code), by Hamming distance.
 
     Returns query_id, rank (from 1), neighbor_id, distance.  Ties go to the smaller id.  A row is not its own
     neighbour: rows with the query's id are left out.  Rows with a null id or code are left out on both sides, and
-    a repeated query is one query.  Fewer than k other rows give fewer neighbours.  Other columns are not read.
-    Work is dealt by blocks of codes and slabs of queries.
-    Equal codes stand in the index once, with their k + 1 smallest ids: no more of them can be in a result.
+    a repeated query is one query.  Fewer than k other rows give fewer neighbours.  No codes or no queries: no rows.
+    Other columns are not read, whatever their names.  substrings divides 64.
+    Equal codes stand in the index once, with their k + 1 smallest ids (no more of them can be in a result), and
+    equal queries are searched once.  A piece of work holds about `block` codes and `slab` visits.
     """
     rows = codes.select("id", "code").where("id is not null and code is not null").distinct()
-    first = W.Window.partitionBy("code").orderBy("id")
-    few = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    index = few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    index = stored(index, "codes")
-    blocks = max(1, -(-index.count() // block))
-    index = index.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
-    asked = queries.select("id", "code").where("id is not null and code is not null").distinct()
-    slabs = max(1, -(-asked.count() // slab))
-    asked = asked.withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = index.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = left["code"].to_numpy().view(np.uint64)
-        ids = left["ids"].combine_chunks()
-        sizes, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        table = MultiIndex(codes, substrings)
-        every, code = right["id"].to_numpy(), right["code"].to_numpy().view(np.uint64)
-        out = [[], [], []]
-        for at in range(0, len(every) if len(codes) else 0, 128):
-            own = every[at : at + 128]
-            query, place, distance = table.search(code[at : at + 128], lambda live, q, p, d: kth_distance(live, q, sizes[p], d, k + 1))
-            number = sizes[place]
-            row = np.repeat(starts[place] - (np.cumsum(number) - number), number) + np.arange(number.sum())
-            query, distance, neighbor = np.repeat(query, number), np.repeat(distance, number), flat[row]
-            other = neighbor != own[query]
-            query, distance, neighbor = query[other], distance[other], neighbor[other]
-            order = np.lexsort((neighbor, distance, query))
-            query, distance, neighbor = query[order], distance[order], neighbor[order]
-            best = np.arange(len(query)) - np.searchsorted(query, query) < k
-            for held, found in zip(out, (own[query[best]], neighbor[best], distance[best]), strict=True):
-                held.append(found)
-        out = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "neighbor_id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.int32())})
-
-    near = index.groupBy("block", "slab").cogroup(asked.groupBy("block", "slab")).applyInArrow(search, "query_id long, neighbor_id long, distance int")
-    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    few = rows.withColumn("n", F.row_number().over(W.Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
+    held = stored(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
+    asked = stored(queries.select("id", "code").where("id is not null and code is not null").distinct(), "queries")
+    count, width = held.count(), BITS // substrings
+    if not count:
+        return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("neighbor_id"), F.lit(0).alias("distance")).limit(0)
+    lead = min(width - 1, max(0, (max(count, 1) - 1) // block).bit_length())
+    index = stored(placed(held, substrings, lead), "code-cells")
+    stock = index.groupBy("t", "cell").agg(F.count("*").alias("codes")).withColumn("blocks", F.ceil(F.col("codes") / block).cast("int"))
+    stock = stored(stock, "cells")
+
+    wanted = min(k + 1, count)  # as many codes hold at least as many ids, and the query's own may be one of them
+    live, best = stored(asked.select("code").distinct().withColumn("within", F.lit(BITS)), "live"), None
+    parts = max(1, min(2 * (stock.agg(F.sum("blocks")).first()[0] or 0), 16_384))
+    for radii in rounds(width):
+        seen = visits(live, substrings, lead, radii)
+        cells = seen.groupBy("t", "cell").agg(F.count("*").alias("visits")).join(stock, ["t", "cell"])
+        cells = cells.withColumn("slabs", F.ceil(F.col("visits") / slab).cast("int"))  # a row a cell
+        keys = ["t", "cell", "b", "s"]
+        mine = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
+        left = index.join(cells.select("t", "cell", "blocks", "slabs"), ["t", "cell"])
+        left = left.select("code", "first", "t", "cell", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("s"))
+        right = seen.join(cells.select("t", "cell", "blocks", "slabs"), ["t", "cell"])
+        right = right.select("code", "within", "radius", "left", "t", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod(F.xxhash64("code"), F.col("slabs")).cast("int").alias("s"))
+        left, right = (x.repartition(parts, *keys).groupBy(*keys) for x in (left, right))
+        found = left.cogroup(right).applyInArrow(looked_up(substrings, lead, wanted), "query long, code long, first long, distance int")
+        best = found if best is None else best.unionByName(found)
+        place = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "first"))
+        best = stored(best.withColumn("place", place).where(F.col("place") <= wanted).drop("place"), "best")
+        known = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        within = F.when(F.col("n") >= wanted, F.col("far")).otherwise(BITS)
+        live = live.select("code").join(known, F.col("code") == F.col("query"), "left").select("code", F.coalesce(within, F.lit(BITS)).cast("int").alias("within"))
+        live = stored(live.where(F.col("within") > substrings * (radii[-1] + 1) - 1), "live")
+        if live.isEmpty():
+            break
+
+    near = best.join(held, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+    first = F.row_number().over(W.Window.partitionBy("query").orderBy("distance", "neighbor_id"))
+    near = near.withColumn("n", first).where(F.col("n") <= k + 1).drop("n")
+    near = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+    answers = asked.join(near, asked["code"] == near["query"]).select(F.col("id").alias("query_id"), F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k).alias("near"))
+    answers = answers.select("query_id", F.posexplode("near").alias("pos", "x"))
+    return answers.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
 
 
 def codes_of(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, code) of the rows with a usable vector: the signs of its first 64 components."""
+    """(id, code) of the rows with a usable vector: the signs of its first 64 components.
+
+    A null or zero vector, one with a null or non-finite component and a row without an id give no code; a shorter
+    vector has zeros for the components it lacks.  Repeated rows and ids stay as they are.  No rows: no rows.
+    """
     return rows.where(usable(vec_id, embedding)).select(F.col(vec_id).alias("id"), sign_code(F.col(embedding)).alias("code"))
