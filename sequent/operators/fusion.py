@@ -28,11 +28,11 @@ def long_logits(rows: DataFrame, key: str, logits: str, truth: str, mask: Column
     return found.withColumn("logit", F.col("logit").cast("double")).withColumn("eliminated", gone & (F.col("c") != F.col("truth")))
 
 
-def temperature_nll(logits: DataFrame, key: str, grid: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean negative log likelihood of the truth at each temperature of a grid, by one pass over the logits."""
+def temperature_nll(logits: DataFrame, key: str, grid: list[float] | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean negative log likelihood of the truth at each temperature of a grid (or of a row's own), by one pass over the logits."""
     live = ~F.col("eliminated")
     rows = logits.groupBy(*by, key).agg(F.max(F.when(live, F.col("logit"))).alias("top"), F.max(F.when(F.col("c") == F.col("truth"), F.col("logit"))).alias("own"), F.collect_list(F.when(live, F.col("logit"))).alias("all"))
-    each = rows.select(*by, key, "top", "own", "all", F.explode(F.array(*map(F.lit, grid))).alias("t"))
+    each = rows.select(*by, key, "top", "own", "all", F.explode(F.array(*map(F.lit, grid)) if isinstance(grid, list) else grid).alias("t"))
     total = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / F.col("t")))
     return each.withColumn("nll", F.log(total) - (F.col("own") - F.col("top")) / F.col("t")).groupBy(*by, "t").agg(F.avg("nll").alias("nll"))
 
@@ -42,21 +42,33 @@ def fit_temperature(logits: DataFrame, key: str, rounds: int = 4, points: int =
 
     Each round is one aggregate over a log grid around the last best point: the nll is convex in 1 / T.
     """
-    low, high = math.log(LOW_T), math.log(HIGH_T)
-    held = logits.cache()
+    every = fit_temperatures(logits.withColumn("__all", F.lit(0)), key, "__all", rounds, points)
+    return every[0]
+
+
+def fit_temperatures(logits: DataFrame, key: str, by: str, rounds: int = 5, points: int = 33) -> dict:
+    """{group: (temperature, nll)} for each of the few values of `by`; all groups share each round's aggregate."""
+    held, bounds = logits.cache(), None
     try:
         for _ in range(rounds):
-            step = (high - low) / (points - 1)
-            grid = [math.exp(low + k * step) for k in range(points)]
-            best = temperature_nll(held, key, grid).orderBy("nll", "t").first()
-            low, high = max(math.log(LOW_T), math.log(best["t"]) - step), min(math.log(HIGH_T), math.log(best["t"]) + step)
+            if bounds is None:
+                bounds = {r[0]: (math.log(LOW_T), math.log(HIGH_T)) for r in held.select(by).distinct().collect()}
+            grids = {g: [math.exp(low + k * (high - low) / (points - 1)) for k in range(points)] for g, (low, high) in bounds.items()}
+            own = F.create_map(*(x for g, grid in grids.items() for x in (F.lit(g), F.array(*map(F.lit, grid)))))
+            found = temperature_nll(held, key, F.element_at(own, F.col(by)), (by,)).collect()  # points rows a group
+            best = {g: min((r["nll"], r["t"]) for r in found if r[by] == g) for g in bounds}
+            steps = {g: (high - low) / (points - 1) for g, (low, high) in bounds.items()}
+            bounds = {g: (max(math.log(LOW_T), math.log(t) - steps[g]), min(math.log(HIGH_T), math.log(t) + steps[g])) for g, (_, t) in best.items()}
     finally:
         held.unpersist()
-    return best["t"], best["nll"]
+    return {g: (t, nll) for g, (nll, t) in best.items()}
+
 
+def hard_mask_fusion(rows: DataFrame, row: list[str], prior: str, residual: str, alpha: float | Column, smoothing: float | Column) -> DataFrame:
+    """softmax(log((1 - s) prior + s / n) + alpha residual) over the survivors; alpha 0 gives the smoothed prior.
 
-def hard_mask_fusion(rows: DataFrame, row: list[str], prior: str, residual: str, alpha: float, smoothing: float) -> DataFrame:
-    """softmax(log((1 - s) prior + s / n) + alpha residual) over the survivors; alpha 0 gives the smoothed prior."""
+    alpha and smoothing may be columns, as of a grid that was exploded; then they belong to `row`.
+    """
     n = F.count_if(~F.col("eliminated")).over(W.Window.partitionBy(*row))
     mixed = (1 - smoothing) * F.col(prior) + smoothing / n
     return softmax(rows.withColumn("__m", mixed), row, F.log("__m") + alpha * F.col(residual), ~F.col("eliminated") & (F.col("__m") > 0)).drop("__m")
@@ -86,18 +98,19 @@ def rank_fusion(rows: DataFrame, row: list[str], prior: str, residual: str, alph
     """
     alive = ~F.col("eliminated")
     same = W.Window.partitionBy(*row)
+    ordered = same.orderBy("__tier")
     found = softmax(rows, row, F.col(residual), alive, "__r").withColumn("__n", F.count_if(alive).over(same))
     found = found.withColumn("__tier", F.when(alive & (F.col(prior) > 0), F.log(prior)))
-    distinct = found.where("__tier is not null").select(*row, "__tier").distinct()
-    below, above = F.lag("__tier").over(W.Window.partitionBy(*row).orderBy("__tier")), F.lead("__tier").over(W.Window.partitionBy(*row).orderBy("__tier"))
-    room = F.least(F.lit(1.0), F.coalesce((F.col("__tier") - below) / 4, F.lit(1.0)), F.coalesce((above - F.col("__tier")) / 4, F.lit(1.0)))
-    heads = distinct.withColumn("__room", room)
-    found = found.join(heads, [*row, "__tier"], "left")
+    # Of equal tiers the first one sees the tier below and the last one the tier above; the others take it from them.
+    found = found.withColumn("__below", F.lag("__tier").over(ordered)).withColumn("__above", F.lead("__tier").over(ordered))
+    below = F.last(F.when(F.col("__below") < F.col("__tier"), F.col("__below")), ignorenulls=True).over(ordered.rowsBetween(W.Window.unboundedPreceding, 0))
+    above = F.first(F.when(F.col("__above") > F.col("__tier"), F.col("__above")), ignorenulls=True).over(ordered.rowsBetween(0, W.Window.unboundedFollowing))
+    found = found.withColumn("__below", below).withColumn("__above", above)
+    room = F.least(F.lit(1.0), F.coalesce((F.col("__tier") - F.col("__below")) / 4, F.lit(1.0)), F.coalesce((F.col("__above") - F.col("__tier")) / 4, F.lit(1.0)))
     lowest = F.min("__tier").over(same)
     base = F.coalesce("__tier", F.coalesce(lowest, F.lit(0.0)) - 1e6)
-    signal = F.col("__r") - 1 / F.col("__n")
-    logit = base + alpha * F.coalesce("__room", F.lit(1.0)) * signal
-    return softmax(found.withColumn("__l", logit), row, F.col("__l"), ~F.col("eliminated")).drop("__r", "__n", "__tier", "__room", "__l")
+    logit = base + alpha * room * (F.col("__r") - 1 / F.col("__n"))
+    return softmax(found.withColumn("__l", logit), row, F.col("__l"), alive).drop("__r", "__n", "__tier", "__below", "__above", "__l")
 
 
 def order_inversions(rows: DataFrame, row: list[str], prior: str) -> DataFrame:
@@ -119,6 +132,12 @@ def blend_grid(a: DataFrame, b: DataFrame, row: list[str], weights: list[float])
     return each.withColumn("p", (1 - F.col("weight")) * F.col("p") + F.col("weight") * F.col("__q")).drop("__q")
 
 
+def blended(rows: DataFrame, options: str, weights: list[float]) -> DataFrame:
+    """As blend_grid, of rows whose array `options` has p and `other` of each class: one row for each weight."""
+    each = rows.withColumn("weight", F.explode(F.array(*map(F.lit, weights))))
+    return each.withColumn(options, F.transform(options, lambda x: F.struct(x["class_id"].alias("class_id"), x["eliminated"].alias("eliminated"), ((1 - F.col("weight")) * x["p"] + F.col("weight") * x["other"]).alias("p"))))
+
+
 def ordered_choice(candidates: DataFrame, order: list, by: tuple[str, ...] = ()) -> DataFrame:
     """The first candidate of each group in an order of columns."""
     rank = F.row_number().over(W.Window.partitionBy(*by).orderBy(*order))

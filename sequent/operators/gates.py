@@ -2,44 +2,139 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Draw of replicate r, place i among n clusters, as an index: an integer formula that any engine shares.
-DRAW = (1103515245, 12345, 2147483648)
-
+#: SplitMix64's increment and multipliers, and the seed of the fixed bootstrap (fixed values).
+INCREMENT, FACTORS, SEED = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 633_454_611
+#: Clusters of a block, and draws of a piece of work.
+BLOCK, PIECE = 1 << 16, 1 << 22
 
-def numbered_clusters(clusters: DataFrame, key: str) -> DataFrame:
-    """Clusters with an index from 0 in the order of their key."""
-    return clusters.withColumn("i", F.row_number().over(W.Window.orderBy(key)) - 1)
 
+def mixed64(state: np.ndarray) -> np.ndarray:
+    """SplitMix64's output for each 64-bit state."""
+    z = (state ^ (state >> np.uint64(30))) * np.uint64(FACTORS[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(FACTORS[1])
+    return z ^ (z >> np.uint64(31))
 
-def draw_index(r: Column, i: Column, n: Column) -> Column:
-    """A counter-based draw: twice the linear congruential step, from replicate and place."""
-    a, c, m = DRAW
-    one = ((r * 7919 + i * 104729 + 1) % m * F.lit(a).cast("long") % m + c) % m
-    two = (one * F.lit(a).cast("long") % m + c) % m
-    return F.floor(two / 65536).cast("long") % n
 
+def drawn(seed: int, counter: np.ndarray, n: int) -> np.ndarray:
+    """A place from 0 to n - 1 for each draw number: SplitMix64's value of that number modulo n.
 
-def replicates(spark, n: int, count: int) -> DataFrame:
-    """(r, i, j): replicate r draws cluster j at place i."""
-    grid = spark.range(count).withColumnRenamed("id", "r").join(F.broadcast(spark.range(n).withColumnRenamed("id", "i")))
-    return grid.withColumn("j", draw_index(F.col("r"), F.col("i"), F.lit(n)))
+    Values in the last, incomplete run of n are rejected, so that no place is favoured; the draw takes the next value
+    of a sequence of its own.
+    """
+    state = (counter.astype(np.uint64) + np.uint64(1)) * np.uint64(INCREMENT) + np.uint64(seed & (2**64 - 1))
+    value = mixed64(state)
+    if excess := (1 << 64) % n:
+        limit = np.uint64((1 << 64) - excess)
+        while (over := value >= limit).any():
+            value[over] = mixed64(value[over] + np.uint64(INCREMENT))
+    return (value % np.uint64(n)).astype(np.int64)
 
 
-def bootstrap(clusters: DataFrame, key: str, total: str, weight: str, count: int) -> DataFrame:
-    """(r, value): sum(total) / sum(weight) of each replicate, which draws as many clusters as there are.
+def shares(seed: int, sizes: np.ndarray, block: int, count: int) -> np.ndarray:
+    """How many of a replicate's sum(sizes) draws fall into a block, for each of `count` replicates.
 
-    clusters has one row a cluster with sufficient statistics, so what is resampled is that table, not its rows.
+    The draws are split binomially from the whole down to the block; every block that splits a run of blocks does it
+    alike, so the blocks' shares add up.
+    """
+    low, high = 0, len(sizes)
+    own = np.full(count, int(sizes.sum()), np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(own, sizes[low:middle].sum() / sizes[low:high].sum())
+        low, high, own = (low, middle, left) if block < middle else (middle, high, own - left)
+    return own
+
+
+def _blocks(clusters: DataFrame, key: str, count: int) -> tuple[DataFrame, np.ndarray, int]:
+    """Clusters dealt to (block, run of replicates), sizes of the blocks, and replicates of a run."""
+    n = clusters.count()
+    dealt = clusters.withColumn("__block", F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
+    sizes = np.zeros(max(1, -(-n // BLOCK)), np.int64)
+    for row in dealt.groupBy("__block").agg(F.count("*").alias("n")).collect():  # a row for each 65,536 clusters
+        sizes[row["__block"]] = row["n"]
+    step = max(1, min(count, PIECE // max(1, int(sizes.max()))))
+    runs = -(-count // step)
+    pieces = dealt.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    return pieces.repartition(min(len(sizes) * runs, 16_384), "__block", "__run").groupBy("__block", "__run"), sizes, step
+
+
+def _times(key: tuple, sizes: np.ndarray, step: int, count: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, times each cluster is drawn in each of some replicates) of a piece."""
+    block, run = (x.as_py() for x in key)
+    n, first, last = int(sizes[block]), run * step, min(count, (run + 1) * step)
+    own = shares(seed, sizes, block, count)[first:last]
+    stream = seed if len(sizes) == 1 else int(mixed64(np.array([seed + INCREMENT * (block + 1) & (2**64 - 1)], np.uint64))[0])
+    most = int(sizes.sum())
+    few = max(1, (1 << 20) // n)
+    for at in range(0, last - first, few):
+        part = own[at : at + few]
+        replicate = np.repeat(np.arange(len(part)), part)
+        place = np.arange(len(replicate)) - np.repeat(np.cumsum(part) - part, part)
+        number = (replicate + first + at).astype(np.uint64) * np.uint64(most) + place.astype(np.uint64)
+        yield first + at, np.bincount(replicate * n + drawn(stream, number, n), minlength=len(part) * n).reshape(len(part), n)
+
+
+def resampled_sums(clusters: DataFrame, key: str, columns: list[str], count: int, seed: int = SEED) -> DataFrame:
+    """(r, *columns): for each of `count` replicates, which draw as many clusters as there are, the sums of columns.
+
+    clusters has one row a cluster (key) with sufficient statistics, so what is resampled is that table, not its rows.
+    All columns see the same draws.  Clusters are dealt to blocks of about 65,536; a replicate's draws are split over
+    the blocks binomially, and in a block they go to clusters in the order of their keys by SplitMix64 with rejection.
+    Up to that size there is one block, and the draws are those of one plain SplitMix64 sequence.  Null statistics
+    count as 0.  No clusters: no rows.
     """
-    indexed = numbered_clusters(clusters, key).select(F.col("i").cast("long").alias("j"), total, weight)
-    n = indexed.count()
-    draws = replicates(clusters.sparkSession, n, count).groupBy("r", "j").agg(F.count("*").alias("times"))
-    return draws.join(indexed, "j").groupBy("r").agg((F.sum(F.col(total) * F.col("times")) / F.sum(F.col(weight) * F.col("times"))).alias("value"))
+    pieces, sizes, step = _blocks(clusters.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns)), key, count)
+
+    def add_up(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(key, "ascending")])
+        values = np.stack([table[c].to_numpy() for c in columns], 1)
+        found = [(first, times @ values) for first, times in _times(group, sizes, step, count, seed)]
+        numbers = np.concatenate([np.arange(len(x)) + first for first, x in found])
+        sums = np.concatenate([x for _, x in found])
+        return pa.table({"r": pa.array(numbers, pa.int64()), **{c: sums[:, k] for k, c in enumerate(columns)}})
+
+    found = pieces.applyInArrow(add_up, ", ".join(["r long", *(f"`{c}` double" for c in columns)]))
+    return found.groupBy("r").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def resampled(clusters: DataFrame, key: str, count: int, seed: int = SEED) -> DataFrame:
+    """(r, times and the clusters' columns): every cluster that a replicate draws, and how often; draws as in resampled_sums."""
+    pieces, sizes, step = _blocks(clusters, key, count)
+    columns = clusters.columns
+
+    def draw(group: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(key, "ascending")]).select(columns)
+        parts = []
+        for first, times in _times(group, sizes, step, count, seed):
+            r, place = np.nonzero(times)
+            own = table.take(pa.array(place))
+            parts.append(pa.table([pa.array(r + first, pa.int64()), pa.array(times[r, place], pa.int64()), *own.columns], names=["r", "times", *own.column_names]))
+        return pa.concat_tables(parts)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clusters.schema)
+    return pieces.applyInArrow(draw, f"r long, times long, {kinds}")
+
+
+def bootstrap(clusters: DataFrame, key: str, total: str, weight: str, count: int, seed: int = SEED) -> DataFrame:
+    """(r, value): sum(total) / sum(weight) of each replicate."""
+    return resampled_sums(clusters, key, [total, weight], count, seed).select("r", F.try_divide(total, weight).alias("value"))
+
+
+def paired_bootstrap(clusters: DataFrame, key: str, a: str, b: str, weight: str, count: int, seed: int = SEED) -> DataFrame:
+    """(r, measure, value) of two systems and their difference, from identical resamples: sum / sum(weight)."""
+    sums = resampled_sums(clusters, key, [a, b, weight], count, seed)
+    parts = [("candidate", F.col(a)), ("comparator", F.col(b)), ("difference", F.col(a) - F.col(b))]
+    each = F.array(*(F.struct(F.lit(n).alias("measure"), F.try_divide(x, F.col(weight)).alias("value")) for n, x in parts))
+    return sums.select("r", F.explode(each).alias("m")).select("r", "m.measure", "m.value")
 
 
 def interval(values: DataFrame, level: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
@@ -49,7 +144,7 @@ def interval(values: DataFrame, level: float = 0.95, by: tuple[str, ...] = ()) -
 
 
 def lower_bound(values: DataFrame, place: int) -> DataFrame:
-    """The value at a place in ascending order (from 1)."""
+    """The value at a place in ascending order (from 1) of a row for each replicate."""
     rank = F.row_number().over(W.Window.orderBy("value", "r"))
     return values.withColumn("rank", rank).where(F.col("rank") == place).select("value")
 
@@ -58,10 +153,7 @@ def splitmix64(x: Column) -> Column:
     """The 64-bit mixer's output as an unsigned decimal string, for signed 64-bit input; by an Arrow UDF, as it wraps."""
     @F.pandas_udf("string")
     def mix(values: pd.Series) -> pd.Series:
-        z = values.to_numpy(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return pd.Series((z ^ (z >> np.uint64(31))).astype(str))
+        return pd.Series(mixed64(values.to_numpy(np.int64).view(np.uint64) + np.uint64(INCREMENT)).astype(str))
 
     return mix(x)
 
@@ -99,11 +191,9 @@ def decide(found: DataFrame) -> DataFrame:
     return found.agg(n("passed").alias("passed"), n("failed").alias("failed"), n("missing").alias("missing"), ((n("failed") == 0) & (n("missing") == 0) & (F.count("*") == F.count_distinct("gate")) & (F.count("*") > 0)).alias("accepted"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("contract"))
 
 
-def bootstrap_statistic(clusters: DataFrame, key: str, statistic: Column, count: int) -> DataFrame:
+def bootstrap_statistic(clusters: DataFrame, key: str, statistic: Column, count: int, seed: int = SEED) -> DataFrame:
     """(r, value): any aggregate expression over the drawn clusters' columns, `times` telling how often each was drawn."""
-    indexed = numbered_clusters(clusters, key).withColumn("j", F.col("i").cast("long")).drop("i")
-    draws = replicates(clusters.sparkSession, indexed.count(), count).groupBy("r", "j").agg(F.count("*").alias("times"))
-    return draws.join(indexed, "j").groupBy("r").agg(statistic.alias("value"))
+    return resampled(clusters, key, count, seed).groupBy("r").agg(statistic.alias("value"))
 
 
 def non_regression(control: DataFrame, treatment: DataFrame, keys: list[str], higher: list[str], slack: float = 0.0) -> DataFrame:

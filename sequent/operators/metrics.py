@@ -1,13 +1,12 @@
 """Tie-aware classification metrics over long predictions.
 
-A prediction is a set of rows (row keys, truth, class_id, p, eliminated).  `row_scores` turns it into one row, and
-every metric is an aggregate of those; so all metrics of a table share one exchange on the track.
+A prediction is a set of rows (row keys, truth, class_id, p, eliminated), or one row with an array of (class_id, p).
+`row_scores` and `array_scores` turn it into one row of scores, the latter without any exchange, and every metric is an
+aggregate of those; so all metrics of a table share one exchange on the track.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -31,9 +30,27 @@ def row_scores(pred: DataFrame, row: list[str], keep: tuple[str, ...] = ()) -> D
         F.first("p_truth").alias("p_truth"), F.count_if(F.col("p") > F.col("p_truth")).alias("above"), F.count_if(F.col("p") == F.col("p_truth")).alias("tied"),
         F.count("*").alias("classes"), F.max("p").alias("confidence"), F.sum((F.col("p") - hit) * (F.col("p") - hit)).alias("brier"), F.abs(F.sum("p") - 1).alias("sum_error"),
     )
+    return _scored(found, [*row, "truth", *keep])
+
+
+def array_scores(rows: DataFrame, options: str, row: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """As row_scores, of rows that have their classes in an array of structs (class_id, p)."""
+    ps = F.transform(options, lambda x: x["p"])
+    own = F.transform(F.filter(options, lambda x: x["class_id"] == F.col("truth")), lambda x: x["p"])
+    found = rows.select(*row, "truth", *keep, options, ps.alias("__ps"), F.array_max(own).alias("p_truth"))
+    hit = lambda x: F.when(x["class_id"] == F.col("truth"), 1).otherwise(0)
+    found = found.select(
+        *row, "truth", *keep, "p_truth", F.size(F.filter("__ps", lambda p: p > F.col("p_truth"))).cast("long").alias("above"), F.size(F.filter("__ps", lambda p: p == F.col("p_truth"))).cast("long").alias("tied"),
+        F.size("__ps").cast("long").alias("classes"), F.array_max("__ps").alias("confidence"),
+        F.aggregate(options, F.lit(0.0), lambda a, x: a + (x["p"] - hit(x)) * (x["p"] - hit(x))).alias("brier"), F.abs(F.aggregate("__ps", F.lit(0.0), lambda a, p: a + p) - 1).alias("sum_error"),
+    )
+    return _scored(found, [*row, "truth", *keep])
+
+
+def _scored(found: DataFrame, kept: list[str]) -> DataFrame:
     credits = [credit(k, F.col("classes"), F.col("above"), F.col("tied")).alias(f"credit_{k}") for k in (1, 3, 5)]
     nll = F.when(F.col("p_truth") > 0, -F.log("p_truth")).alias("nll")
-    return found.select(*row, "truth", *keep, "p_truth", "above", "tied", "confidence", "brier", "sum_error", nll, *credits)
+    return found.select(*kept, "p_truth", "above", "tied", "confidence", "brier", "sum_error", nll, *credits)
 
 
 def top_k(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,12 +144,35 @@ def diagnostics(pred: DataFrame, row: list[str]) -> DataFrame:
     return rows.agg(F.max("error").alias("max_sum_error"), F.count_if("masked").alias("masked_rows"), F.count_if(~F.col("masked")).alias("unmasked_rows"), F.sum("violations").alias("violations"), F.coalesce(F.max("most"), F.lit(0.0)).alias("max_eliminated_p"))
 
 
+def gap_sums(bins: int = 15) -> list[Column]:
+    """Aggregates gap_0, gap_1, ...: accuracy less confidence, summed over each confidence bin."""
+    place = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))
+    return [F.sum(F.when(place == b, F.col("credit_1") - F.col("confidence"))).alias(f"gap_{b}") for b in range(bins)]
+
+
+def gap_error(bins: int = 15) -> Column:
+    """The calibration error of n rows from their gap sums."""
+    return sum((F.abs(F.coalesce(F.col(f"gap_{b}"), F.lit(0.0))) for b in range(bins)), F.lit(0.0)) / F.col("n")
+
+
+def sums(scores_of: tuple = MEANS) -> list[Column]:
+    """Aggregates n, and sum and count of each measure."""
+    return [F.count("*").alias("n"), *(x for a, b in scores_of for x in (F.sum(a).alias(f"s_{b}"), F.count(a).alias(f"n_{b}")))]
+
+
+def added(bins: int = 15) -> list[Column]:
+    """Aggregates that add up what `sums` and `gap_sums` made."""
+    return [F.sum(c).alias(c) for c in ["n", *(f"{k}_{b}" for _, b in MEANS for k in "sn"), *(f"gap_{b}" for b in range(bins))]]
+
+
 def report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Row and track means, calibration error and counts, as one long table (metric, value)."""
-    rows = summary(scores, by).select(*by, *(F.col(c).cast("double").alias(f"row_{c}") for c in ("support", "top_1", "top_3", "top_5", "nll", "brier")))
-    tracks = game_normalized(scores, by=by).select(*by, *(F.col(c).cast("double").alias(f"track_{c}") for c in ("tracks", "top_1", "top_3", "top_5", "nll", "brier")))
-    parts = [rows, tracks, ece(scores, by=by)]
-    return reduce(DataFrame.unionByName, [melted(x, by) for x in parts])
+    """Row and track means, calibration error and counts, as one long table (metric, value): one pass over the rows."""
+    tracks = scores.groupBy(*by, *(t for t in TRACK if t not in by)).agg(*sums(), *gap_sums())
+    means = [F.avg(F.try_divide(f"s_{b}", f"n_{b}")).alias(f"track_{b}") for _, b in MEANS]
+    found = tracks.groupBy(*by).agg(*added(), F.count("*").cast("double").alias("track_tracks"), *means)
+    rows = [F.try_divide(f"s_{b}", f"n_{b}").alias(f"row_{b}") for _, b in MEANS]
+    wide = found.select(*by, F.col("n").cast("double").alias("row_support"), *rows, "track_tracks", *(f"track_{b}" for _, b in MEANS), gap_error().alias("ece"))
+    return melted(wide if by else wide.where("row_support is not null"), by)
 
 
 def melted(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -181,11 +221,16 @@ def zero_truth(scores: DataFrame, track: tuple[str, ...] = TRACK) -> DataFrame:
 
 
 def horizon_full(scores: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """All means and the calibration error at each horizon and at the last step, by side and for both."""
-    last = scores.groupBy(*TRACK).agg(F.max_by(F.struct(*(c for c in scores.columns if c not in TRACK)), "step").alias("v")).select(*TRACK, F.lit(-1).alias("horizon"), "v.*")
-    rows = at_horizons(scores, horizons=horizons).unionByName(last)
-    rows = rows.unionByName(rows.withColumn("group", F.lit("both")), allowMissingColumns=True).withColumn("group", F.coalesce("group", "side"))
-    return summary(rows, ("horizon", "group")).join(ece(rows, by=("horizon", "group")), ["horizon", "group"])
+    """All means and the calibration error at each horizon and at the last step (-1), by side and for both: one pass."""
+    measures = ["confidence", *(a for a, _ in MEANS)]
+    values = F.struct(*measures)
+    picks = [F.max_by(values, F.when(F.col("step") <= h, F.col("step"))).alias(f"h{h}") for h in horizons]
+    wide = scores.groupBy(*TRACK).agg(*picks, F.max_by(values, "step").alias("h"))
+    options = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("v")) for h in horizons), F.struct(F.lit(-1).alias("horizon"), F.col("h").alias("v")))
+    rows = wide.select("side", F.explode(options).alias("o")).where("o.v is not null").select("side", "o.horizon", "o.v.*")
+    cells = rows.groupBy("horizon", "side").agg(*sums(), *gap_sums())  # a few rows
+    groups = cells.withColumn("group", F.explode(F.array("side", F.lit("both")))).groupBy("horizon", "group").agg(*added())
+    return groups.select("horizon", "group", F.col("n").alias("support"), *(F.try_divide(f"s_{b}", f"n_{b}").alias(b) for _, b in MEANS), gap_error().alias("ece"))
 
 
 def parameters(truth: DataFrame, predicted: DataFrame, row: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ has a distribution over the six part types, with some eliminated; truth is the g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -31,18 +31,34 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(*TRACK, "okey", "kind", F.row_number().over(track.orderBy(*order)).cast("long").alias("step"), F.max("kind").over(track).alias("truth"))
 
 
-def predictions(spark: SparkSession, sf_dir: str, system: str = "A") -> DataFrame:
-    """game, side, step, okey, truth, class_id, family, eliminated, w, p: one row for each step and class."""
-    a, b, c, m = SYSTEMS[system]
+def distributions(spark: SparkSession, sf_dir: str, systems: str = "A") -> DataFrame:
+    """game, side, step, okey, truth, o: one row for each step, with an array of its classes.
+
+    Each has class_id, family, eliminated, w and p of the first system; with two systems, `other` is the second one's p.
+    """
+    rows, weights = steps(spark, sf_dir).select(*ROW, "okey", "truth"), {}
+    for s in systems:
+        a, b, c, m = SYSTEMS[s]
+        weights[s] = [F.when(gone(k, name), 0).otherwise(1 + (F.col("okey") * a + F.col("step") * b + k * c) % m).cast("long") for k, name in enumerate(CLASSES)]
+    rows = rows.withColumns({f"__w{s}": F.array(*w) for s, w in weights.items()})
+    totals = {s: F.aggregate(f"__w{s}", F.lit(0).cast("long"), lambda t, x: t + x) for s in systems}
+    rows = rows.withColumns({f"__t{s}": t for s, t in totals.items()})
     options = []
     for k, name in enumerate(CLASSES):
-        gone = ((F.col("okey") + k) % 5 == 0) & (F.col("truth") != name)
-        weight = F.when(gone, 0).otherwise(1 + (F.col("okey") * a + F.col("step") * b + k * c) % m)
-        options.append(F.struct(F.lit(name).alias("class_id"), F.lit(k % 2).alias("family"), gone.alias("eliminated"), weight.cast("long").alias("w")))
-    rows = steps(spark, sf_dir).select(*ROW, "okey", "truth", F.array(*options).alias("o"))
-    total = F.aggregate("o", F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    rows = rows.select(*ROW, "okey", "truth", total.alias("total"), F.explode("o").alias("o"))
-    return rows.select(*ROW, "okey", "truth", "o.class_id", "o.family", "o.eliminated", "o.w", (F.col("o.w") / F.col("total")).alias("p"))
+        w = [F.get(f"__w{s}", F.lit(k)) for s in systems]
+        p = [(w[n] / F.col(f"__t{s}")).alias(("p", "other")[n]) for n, s in enumerate(systems)]
+        options.append(F.struct(F.lit(name).alias("class_id"), F.lit(k % 2).alias("family"), gone(k, name).alias("eliminated"), w[0].alias("w"), *p))
+    return rows.select(*ROW, "okey", "truth", F.array(*options).alias("o"))
+
+
+def gone(k: int, name: str) -> Column:
+    """Whether a step eliminates class k."""
+    return ((F.col("okey") + k) % 5 == 0) & (F.col("truth") != name)
+
+
+def predictions(spark: SparkSession, sf_dir: str, systems: str = "A") -> DataFrame:
+    """game, side, step, okey, truth and what `distributions` has of each class: one row for each step and class."""
+    return distributions(spark, sf_dir, systems).select(*ROW, "okey", "truth", F.explode("o").alias("o")).select(*ROW, "okey", "truth", "o.*")
 
 
 CLASS_VALUES = ", ".join(f"({k}, '{name}')" for k, name in enumerate(CLASSES))

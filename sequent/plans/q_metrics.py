@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequent.operators import metrics as m
-from sequent.plans.adapters import CLASSES, ROW, pred_sql, predictions, read, score_sql, with_sql
+from sequent.plans.adapters import CLASSES, ROW, distributions, pred_sql, predictions, read, score_sql, with_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str, system: str = "A") -> DataFrame:
-    return m.row_scores(predictions(spark, d, system), ROW)
+    return m.array_scores(distributions(spark, d, system), "o", ROW)
 
 
 def families(spark: SparkSession) -> DataFrame:
@@ -185,7 +185,12 @@ AB = with_sql(pred_sql(), score_sql("s"), pred_sql("B", "pred_b"), score_sql("s_
 
 
 def both_systems(spark, d):
-    return scores(spark, d).withColumn("system", F.lit("A")).unionByName(scores(spark, d, "B").withColumn("system", F.lit("B")))
+    """Row scores of both systems, from one scan."""
+    other = F.transform("o", lambda x: F.struct(x["class_id"].alias("class_id"), x["other"].alias("p")))
+    own = F.transform("o", lambda x: F.struct(x["class_id"].alias("class_id"), x["p"].alias("p")))
+    systems = F.array(F.struct(F.lit("A").alias("system"), own.alias("o")), F.struct(F.lit("B").alias("system"), other.alias("o")))
+    rows = distributions(spark, d, "AB").select(*ROW, "truth", F.explode(systems).alias("s")).select(*ROW, "truth", "s.*")
+    return m.array_scores(rows, "o", ["system", *ROW])
 
 
 @query("m_side_report", f"{AB} SELECT system, side, count(*) AS support, {MEAN} FROM (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b) GROUP BY system, side")

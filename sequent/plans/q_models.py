@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from sequent.operators import fusion as f
 from sequent.operators import gates as g
 from sequent.operators import metrics as m
-from sequent.operators import posteriors as o
-from sequent.plans.adapters import CLASSES, ROW, TRACK, pred_sql, predictions, read, score_sql, with_sql
-from sequent.plans.q_metrics import rounded, scores
+from sequent.plans.adapters import CLASSES, ROW, TRACK, distributions, pred_sql, predictions, read, score_sql, with_sql
+from sequent.plans.q_metrics import both_systems, rounded, scores
 from sequent.plans.q_tables import PAIRS
 
 QUERIES: dict = {}
@@ -28,15 +27,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-LOGITS = "lg AS (SELECT vec_id, label AS truth, c, CAST(embedding[c + 1] AS DOUBLE) * 8 AS logit, (vec_id + c) % 7 = 0 AND c <> label AS eliminated FROM embeddings, range(10) AS r(c))"
+LOGITS = "lg AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'white' ELSE 'black' END AS side, label AS truth, c, CAST(embedding[c + 1] AS DOUBLE) * 8 AS logit, (vec_id + c) % 7 = 0 AND c <> label AS eliminated FROM embeddings, range(64) AS r(c))"
 GRID = [0.5, 1.0, 2.0, 4.0]
 WEIGHTS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def logits(spark, d):
-    rows = read(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).alias("e"))
-    found = f.long_logits(rows, "vec_id", "e", "label", (F.col("vec_id") + F.col("c")) % 7 == 0)
-    return found.withColumn("logit", F.col("logit") * 8)
+    found = f.long_logits(read(spark, d, "embeddings"), "vec_id", "embedding", "label", (F.col("vec_id") + F.col("c")) % 7 == 0)
+    return found.withColumn("logit", F.col("logit") * 8).withColumn("side", F.when(F.col("vec_id") % 2 == 0, "white").otherwise("black"))
 
 
 def softmax_sql(logit: str, alive: str, source: str, row: str, name: str) -> str:
@@ -57,19 +55,30 @@ def c_temp_nll(spark, d):
     return rounded(f.temperature_nll(logits(spark, d), "vec_id", GRID))
 
 
-@query("c_temp_fit", f"{NLL.replace(', '.join(f'({t}::DOUBLE)' for t in GRID), ', '.join(f'({2.0 ** (k / 4)!r}::DOUBLE)' for k in range(-12, 13)))} SELECT t FROM a ORDER BY nll, t LIMIT 1")
+def fit_sql(rounds: int = 5, points: int = 33) -> str:
+    """The temperature search of fusion.fit_temperatures as a chain of grids."""
+    parts = [LOGITS, "rw AS (SELECT vec_id, side, max(CASE WHEN NOT eliminated THEN logit END) AS top, max(CASE WHEN c = truth THEN logit END) AS own, list(logit) FILTER (NOT eliminated) AS every FROM lg GROUP BY vec_id, side)"]
+    parts.append(f"b0 AS (SELECT DISTINCT side, ln({f.LOW_T}) AS lo, ln({f.HIGH_T}) AS hi FROM rw)")
+    for k in range(rounds):
+        parts.append(f"g{k} AS (SELECT side, lo, hi, exp(lo + i * (hi - lo) / {points - 1}) AS t FROM b{k}, range({points}) AS r(i))")
+        parts.append(f"n{k} AS (SELECT side, any_value(lo) AS lo, any_value(hi) AS hi, t, avg(ln(list_sum(list_transform(every, lambda x: exp((x - top) / t)))) - (own - top) / t) AS nll FROM rw JOIN g{k} USING (side) GROUP BY side, t)")
+        parts.append(f"b{k + 1} AS (SELECT side, greatest(ln({f.LOW_T}), ln(t) - (hi - lo) / {points - 1}) AS lo, least(ln({f.HIGH_T}), ln(t) + (hi - lo) / {points - 1}) AS hi, t, nll FROM n{k} QUALIFY row_number() OVER (PARTITION BY side ORDER BY nll, t) = 1)")
+    return "WITH " + ", ".join(parts) + f" SELECT side, round(t, 4) AS t, round(nll, 6) AS nll FROM b{rounds}"
+
+
+@query("c_temp_fit", fit_sql())
 def c_temp_fit(spark, d):
-    grid = f.temperature_nll(logits(spark, d), "vec_id", [2.0 ** (k / 4) for k in range(-12, 13)])
-    return f.ordered_choice(grid, ["nll", "t"]).select("t")
+    found = f.fit_temperatures(logits(spark, d), "vec_id", "side")
+    return spark.createDataFrame([(side, round(t, 4), round(nll, 6)) for side, (t, nll) in found.items()], "side string, t double, nll double")  # a row a side
 
 
 BOTH = with_sql(pred_sql(), pred_sql("B", "pred_b")) + ", z AS (SELECT x.*, y.p AS other, (x.okey * 3 + x.step + length(x.class_id)) % 7 / 2.0 AS residual FROM pred x JOIN pred_b y ON x.game = y.game AND x.side = y.side AND x.step = y.step AND x.class_id = y.class_id)"
 
 
 def both(spark, d):
-    other = predictions(spark, d, "B").select(*ROW, "class_id", F.col("p").alias("other"))
+    """Both systems' classes, from one scan: p, other and a residual."""
     residual = (F.col("okey") * 3 + F.col("step") + F.length("class_id")) % 7 / 2.0
-    return predictions(spark, d).join(other, [*ROW, "class_id"]).withColumn("residual", residual)
+    return predictions(spark, d, "AB").withColumn("residual", residual)
 
 
 R3 = "game, side, step"
@@ -121,8 +130,7 @@ BLENDED = f"{BOTH}, bw AS (SELECT {R3}, truth, class_id, weight, (1 - weight) *
 
 
 def blended_scores(spark, d):
-    grid = f.blend_grid(predictions(spark, d), predictions(spark, d, "B"), ROW, WEIGHTS)
-    return m.row_scores(grid, ["weight", *ROW])
+    return m.array_scores(f.blended(distributions(spark, d, "AB"), "o", WEIGHTS), "o", ["weight", *ROW])
 
 
 @query("c_blend", f"{BLENDED} SELECT weight, round(avg(credit_1), 6) AS top_1, round(avg(nll), 6) AS nll FROM bs GROUP BY weight")
@@ -173,8 +181,7 @@ def s_candidate(spark, d):
 
 def metric_table(spark, d):
     """Long metrics (system, side, metric, value) of both systems."""
-    both_scores = scores(spark, d).withColumn("system", F.lit("A")).unionByName(scores(spark, d, "B").withColumn("system", F.lit("B")))
-    return m.melted(m.summary(both_scores, ("system", "side")), ("system", "side"))
+    return m.melted(m.summary(both_systems(spark, d), ("system", "side")), ("system", "side"))
 
 
 AB = with_sql(pred_sql(), score_sql("s"), pred_sql("B", "pred_b"), score_sql("s_b", "pred_b").replace("pt AS", "pt_b AS").replace("FROM pt GROUP", "FROM pt_b GROUP"))
@@ -256,7 +263,8 @@ DELTAS = f"{AB}, ga AS (SELECT game, side, avg(credit_1) AS v FROM s GROUP BY AL
 
 
 def track_deltas(spark, d):
-    return g.track_deltas(scores(spark, d), scores(spark, d, "B"), TRACK, "game", "credit_1")
+    own = both_systems(spark, d)
+    return g.track_deltas(own.where("system = 'A'"), own.where("system = 'B'"), TRACK, "game", "credit_1")
 
 
 @query("b_track_delta", f"{DELTAS} SELECT game, round(delta, 6) + 0.0::DOUBLE AS delta FROM dl")
@@ -264,38 +272,92 @@ def b_track_delta(spark, d):
     return rounded(track_deltas(spark, d))
 
 
-def boot_sql(source: str, total: str, weight: str, count: int, key: str = "game") -> str:
-    """CTE `rep` (r, value) of the shared draws over `source`, one row a cluster."""
-    one = "((CAST(r AS HUGEINT) * 7919 + i * 104729 + 1) % 2147483648 * 1103515245 % 2147483648 + 12345) % 2147483648"
-    return f"cl AS (SELECT row_number() OVER (ORDER BY {key}) - 1 AS j, {total} AS a, {weight} AS b FROM {source}), nn AS (SELECT count(*) AS n FROM cl), dr AS (SELECT r, CAST(floor(((({one}) * 1103515245 % 2147483648 + 12345) % 2147483648) / 65536) AS BIGINT) % n AS j FROM range({count}) AS x(r), nn, LATERAL (SELECT unnest(range(n)) AS i)), rep AS (SELECT r, sum(a) / sum(b) AS value FROM dr JOIN cl USING (j) GROUP BY r)"
+def boot_sql(source: str, columns: dict[str, str], count: int, key: str = "game") -> str:
+    """CTEs `dr` (r, j) of one SplitMix64 sequence over `source`, one row a cluster, and `rep` (r, sums of columns).
+
+    A product modulo 2^64 is put together from 32-bit halves, which DuckDB multiplies without overflow.
+    """
+    half = 1 << 32
+
+    def times(name: str, z: str, factor: int, before: str) -> str:
+        """CTEs that multiply z by a factor; (r, z) is left."""
+        high, low = divmod(factor, half)
+        return (
+            f"{name}a AS (SELECT r, {z} AS z FROM {before}), {name}b AS (SELECT r, z >> 32 AS h, z % {half}::UBIGINT AS l FROM {name}a), "
+            f"{name}c AS (SELECT r, (h * {low}::UBIGINT) % {half}::UBIGINT + (l * {high}::UBIGINT) % {half}::UBIGINT AS h, l * {low}::UBIGINT AS l FROM {name}b), "
+            f"{name} AS (SELECT r, ((h + (l >> 32)) % {half}::UBIGINT) * {half}::UBIGINT + l % {half}::UBIGINT AS z FROM {name}c)"
+        )
+
+    plus = f"CASE WHEN z > {2**64 - 1 - g.SEED}::UBIGINT THEN z - {2**64 - g.SEED}::UBIGINT ELSE z + {g.SEED}::UBIGINT END"
+    return ", ".join([
+        f"cl AS (SELECT row_number() OVER (ORDER BY {key}) - 1 AS j, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in columns.items())} FROM {source}), nn AS (SELECT count(*) AS n FROM cl)",
+        f"d0 AS (SELECT r, CAST(r * n + i + 1 AS UBIGINT) AS z FROM range({count}) AS x(r), nn, LATERAL (SELECT unnest(range(n)) AS i))",
+        times("d1", "z", g.INCREMENT, "d0"), f"d2 AS (SELECT r, {plus} AS z FROM d1)",
+        times("d3", "xor(z, z >> 30)", g.FACTORS[0], "d2"), times("d4", "xor(z, z >> 27)", g.FACTORS[1], "d3"),
+        f"dr AS (SELECT r, CAST(xor(z, z >> 31) % CAST(n AS UBIGINT) AS BIGINT) AS j FROM d4, nn), rep AS (SELECT r, {', '.join(f'sum({n}) AS {n}' for n in columns)} FROM dr JOIN cl USING (j) GROUP BY r)",
+    ])
 
 
-@query("b_cluster_ci", f"{AB}, gm AS (SELECT game, sum(credit_1) AS t, CAST(count(*) AS DOUBLE) AS w FROM s GROUP BY game), {boot_sql('gm', 't', 'w', 50)} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean, count(*) AS replicates FROM rep")
+#: Replicates of an interval, of the fixed bootstrap, and the place of its lower bound (fixed values).
+REPLICATES, FIXED, PLACE = 10_000, 20_000, 1_000
+CI = "round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean, count(*) AS replicates"
+
+
+@query("b_cluster_ci", f"{AB}, gm AS (SELECT game, sum(credit_1) AS t, count(*) AS w FROM s GROUP BY game), {boot_sql('gm', {'t': 't', 'w': 'w'}, REPLICATES)} SELECT {CI.replace('value', 't / w')} FROM rep")
 def b_cluster_ci(spark, d):
     games = scores(spark, d).groupBy("game").agg(F.sum("credit_1").alias("t"), F.count("*").cast("double").alias("w"))
-    return rounded(g.interval(g.bootstrap(games, "game", "t", "w", 50)))
+    return rounded(g.interval(g.bootstrap(games, "game", "t", "w", REPLICATES)))
+
+
+def pair_tracks(spark, d):
+    """Per track: examples, and both systems' sums of credits and nll, from one scan."""
+    own = lambda s, c, name: F.sum(F.when(F.col("system") == s, F.col(c))).alias(f"{name}_{s}")
+    sums = [own(s, c, name) for s in "AB" for c, name in (("credit_1", "top_1"), ("nll", "nll"))]
+    return both_systems(spark, d).groupBy(*TRACK).agg(F.count_if(F.col("system") == "A").alias("n"), *sums)
 
 
-def paired_games(spark, d):
-    tracks = [o.track_summary(scores(spark, d, k), TRACK).groupBy("game").agg(F.sum("top_1_sum").alias(k), F.sum("example_count").cast("double").alias(f"n_{k}")) for k in "AB"]
-    return tracks[0].join(tracks[1], "game").select("game", (F.col("A") - F.col("B")).alias("t"), F.col("n_A").alias("w"))
+PAIRED = f"{PAIRS}, pg AS (SELECT game, sum(ta.top_1_sum) AS x, sum(tb.top_1_sum) AS y, sum(ta.example_count) AS w FROM ta JOIN tb USING (game, side) GROUP BY game), {boot_sql('pg', {c: c for c in 'xyw'}, REPLICATES)}, mv AS (SELECT unnest(['candidate', 'comparator', 'difference']) AS measure, unnest([x / w, y / w, (x - y) / w]) AS value FROM rep)"
 
 
-@query("b_paired_ci", f"{PAIRS}, pg AS (SELECT game, sum(ta.top_1_sum) - sum(tb.top_1_sum) AS t, CAST(sum(ta.example_count) AS DOUBLE) AS w FROM ta JOIN tb USING (game, side) GROUP BY game), {boot_sql('pg', 't', 'w', 50)} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean, count(*) AS replicates FROM rep")
+@query("b_paired_ci", f"{PAIRED} SELECT measure, {CI} FROM mv GROUP BY measure")
 def b_paired_ci(spark, d):
-    return rounded(g.interval(g.bootstrap(paired_games(spark, d), "game", "t", "w", 50)))
+    games = pair_tracks(spark, d).groupBy("game").agg(F.sum("top_1_A").alias("x"), F.sum("top_1_B").alias("y"), F.sum("n").alias("w"))
+    return rounded(g.interval(g.paired_bootstrap(games, "game", "x", "y", "w", REPLICATES), by=("measure",)))
 
 
-@query("b_fixed_bootstrap", f"{DELTAS}, dw AS (SELECT game, delta, 1.0::DOUBLE AS w FROM dl), {boot_sql('dw', 'delta', 'w', 100)} SELECT round(value, 6) AS value FROM (SELECT value, row_number() OVER (ORDER BY value, r) AS k FROM rep) WHERE k = 5")
+FIXED_SQL = f"{DELTAS}, {boot_sql('dl', {'delta': 'delta', 'w': '1'}, FIXED)}, lo AS (SELECT delta / w AS value FROM rep ORDER BY delta / w, r LIMIT 1 OFFSET {PLACE - 1})"
+
+
+@query("b_fixed_bootstrap", f"{FIXED_SQL} SELECT round(value, 6) + 0.0::DOUBLE AS value FROM lo")
 def b_fixed_bootstrap(spark, d):
     deltas = track_deltas(spark, d).withColumn("w", F.lit(1.0))
-    return rounded(g.lower_bound(g.bootstrap(deltas, "game", "delta", "w", 100), 5))
+    return rounded(g.lower_bound(g.bootstrap(deltas, "game", "delta", "w", FIXED), PLACE))
+
+
+SIDES, METRIC = ("white", "black"), ("top_1", "nll")
+SUMMARIES = {f"{side}_{x}": f"sum(CASE WHEN side = '{side}' THEN {'d_' + x if x != 'n' else 1} ELSE 0 END)" for side in SIDES for x in (*METRIC, "n")}
+INTERVALS = f"{PAIRS}, pt2 AS (SELECT game, side, (ta.top_1_sum - tb.top_1_sum) / ta.example_count AS d_top_1, (ta.nll_sum - tb.nll_sum) / ta.example_count AS d_nll FROM ta JOIN tb USING (game, side)), gm AS (SELECT game, {', '.join(f'{x} AS {n}' for n, x in SUMMARIES.items())} FROM pt2 GROUP BY game), {boot_sql('gm', {n: n for n in SUMMARIES}, REPLICATES)}, mv AS ({' UNION ALL '.join(f'SELECT {chr(39)}{s}{chr(39)} AS side, {chr(39)}{x}{chr(39)} AS metric, {s}_{x} / nullif({s}_n, 0) AS value FROM rep' for s in SIDES for x in METRIC)}), iv AS (SELECT side, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high, avg(value) AS mean, count(value) AS replicates FROM mv GROUP BY side, metric)"
+
 
+def summary_intervals(spark, d):
+    """Intervals of the mean track difference of top-1 and nll, by side, all from the same draws of games."""
+    tracks = pair_tracks(spark, d)
+    diff = {x: (F.col(f"{x}_A") - F.col(f"{x}_B")) / F.col("n") for x in METRIC} | {"n": F.lit(1.0)}
+    columns = [F.sum(F.when(F.col("side") == s, v)).alias(f"{s}_{x}") for s in SIDES for x, v in diff.items()]
+    sums = g.resampled_sums(tracks.groupBy("game").agg(*columns), "game", [f"{s}_{x}" for s in SIDES for x in diff], REPLICATES)
+    values = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(x).alias("metric"), F.try_divide(f"{s}_{x}", f"{s}_n").alias("value")) for s in SIDES for x in METRIC))
+    return g.interval(sums.select(F.explode(values).alias("v")).select("v.*").where("value is not null"), by=("side", "metric"))
 
-@query("g_bootstrap", f"{DELTAS}, dw AS (SELECT game, delta, 1.0::DOUBLE AS w FROM dl), {boot_sql('dw', 'delta', 'w', 100)} SELECT quantile_cont(value, 0.025) > 0 AS improves, quantile_cont(value, 0.975) < 0 AS worsens FROM rep")
+
+@query("b_summary_intervals", f"{INTERVALS} SELECT side, metric, round(low, 6) AS low, round(high, 6) AS high, round(mean, 6) AS mean, replicates FROM iv")
+def b_summary_intervals(spark, d):
+    return rounded(summary_intervals(spark, d).select("side", "metric", "low", "high", "mean", "replicates"))
+
+
+@query("g_bootstrap", f"{INTERVALS} SELECT side, metric, CASE WHEN metric = 'top_1' THEN low > -0.02 ELSE high < 0 END AS passed FROM iv")
 def g_bootstrap(spark, d):
-    deltas = track_deltas(spark, d).withColumn("w", F.lit(1.0))
-    return g.interval(g.bootstrap(deltas, "game", "delta", "w", 100)).select((F.col("low") > 0).alias("improves"), (F.col("high") < 0).alias("worsens"))
+    passed = F.when(F.col("metric") == "top_1", F.col("low") > -0.02).otherwise(F.col("high") < 0)
+    return summary_intervals(spark, d).select("side", "metric", passed.alias("passed"))
 
 
 @query("c_calibration_accept", f"{NLL}, q AS (SELECT max(CASE WHEN t = 1 THEN nll END) AS before, max(CASE WHEN t = 2 THEN nll END) AS after FROM a) SELECT round(before, 6) AS before, round(after, 6) AS after, after < before AS accepted FROM q")

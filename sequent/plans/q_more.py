@@ -18,7 +18,7 @@ from sequent.plans import adapters as a
 from sequent.plans import q_features, q_models, q_sources
 from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, TRACK, pred_sql, predictions, read, score_sql, with_sql
 from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, rounded, scores
-from sequent.plans.q_models import AB, BLENDED, DELTAS, METRICS, NLL, blended_scores, boot_sql, logits, metric_table, track_deltas
+from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, blended_scores, boot_sql, logits, metric_table, track_deltas
 from sequent.plans.q_sequences import IN_VIEW, VIEW
 from sequent.sources import ndjson as src
 from sequent.sources.folders import fresh_path
@@ -47,13 +47,15 @@ def src_ndjson_lenient(spark, d):
     return found.where("event_id is not null")
 
 
-@query("src_sidecar", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'white' ELSE 'black' END AS side, count(*) AS rows, CAST(sum(label) AS BIGINT) AS labels FROM embeddings GROUP BY 1")
+@query("src_sidecar", f"WITH {LOGITS} SELECT side, count(DISTINCT vec_id) AS rows, CAST(sum(CASE WHEN c = truth THEN c END) AS BIGINT) AS labels, count(*) FILTER (eliminated) AS masked FROM lg GROUP BY side")
 def src_sidecar(spark, d):
     path = fresh_path(spark, "sidecar")
-    rows = read(spark, d, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, "white").otherwise("black").alias("side"), F.slice("embedding", 1, 10).alias("logits"), F.col("label").alias("truth"))
-    rows.write.mode("errorifexists").partitionBy("side").parquet(path)
-    found = spark.read.parquet(path).where((F.size("logits") == 10) & F.col("truth").between(0, 9))
-    return found.groupBy("side").agg(F.count("*").alias("rows"), F.sum("truth").alias("labels"))
+    mask = F.transform("embedding", lambda x, c: ((F.col("vec_id") + c) % 7 == 0) & (c != F.col("label")))
+    rows = read(spark, d, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, "white").otherwise("black").alias("side"), F.col("embedding").alias("logits"), F.col("label").alias("truth"), mask.alias("mask"))
+    src.write_sidecar(rows, path)
+    found = src.read_sidecar(spark, path)
+    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x.cast("int"))
+    return found.groupBy("side").agg(F.count("*").alias("rows"), F.sum("truth").alias("labels"), F.sum(masked).alias("masked"))
 
 
 @query("src_prediction_bundle", with_sql(pred_sql()) + " SELECT round(avg(p), 6) AS p, count(*) AS n FROM pred WHERE class_id = truth")
@@ -116,7 +118,7 @@ def a_view_systems(spark, d):
 
 
 def marked_scores(spark, d):
-    return m.row_scores(predictions(spark, d), ROW, ("okey",))
+    return m.array_scores(a.distributions(spark, d), "o", ROW, ("okey",))
 
 
 OK = S.replace("SELECT game, side, step, truth, any_value(pt)", "SELECT game, side, step, truth, any_value(okey) AS okey, any_value(pt)")
@@ -137,9 +139,11 @@ GRID2 = [(0.0, 0.1), (0.5, 0.1), (0.5, 0.2)]
 
 
 def smoothed(spark, d):
-    rows = q_models.both(spark, d).withColumnRenamed("p", "prior").cache()
-    parts = [m.row_scores(f.hard_mask_fusion(rows, ROW, "prior", "residual", al, sm), ROW).agg(F.lit(al).alias("alpha"), F.lit(sm).alias("smoothing"), F.round(F.avg("credit_1"), 4).alias("top_1"), F.round(F.avg("credit_3"), 4).alias("top_3"), F.round(F.avg("nll"), 4).alias("nll")) for al, sm in GRID2]
-    return reduce(DataFrame.unionByName, parts)
+    grid = F.explode(F.array(*(F.struct(F.lit(al).alias("alpha"), F.lit(sm).alias("smoothing")) for al, sm in GRID2))).alias("g")
+    rows = q_models.both(spark, d).select(*ROW, "truth", "class_id", "eliminated", F.col("p").alias("prior"), "residual", grid).select("*", "g.*").drop("g")
+    row = [*ROW, "alpha", "smoothing"]
+    found = m.row_scores(f.hard_mask_fusion(rows, row, "prior", "residual", F.col("alpha"), F.col("smoothing")), row)
+    return found.groupBy("alpha", "smoothing").agg(*(F.round(F.avg(x), 4).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
 
 
 def smoothed_sql() -> str:
@@ -187,6 +191,7 @@ def s_treatment(spark, d):
 
 @query("s_paired_test", treatment_sql("WHERE game % 3 = 0"))
 def s_paired_test(spark, d):
+    """The comparison on the held-out table: games that model selection (the other two thirds) never saw."""
     return treatments(spark, d, blended_scores(spark, d).where("game % 3 = 0"))
 
 
@@ -199,16 +204,6 @@ def s_blend_run(spark, d):
     return best.crossJoin(control).select("weight", F.when(ok, "promote").otherwise("retain").alias("decision"))  # one row each
 
 
-SUMS = f"{AB}, sm AS (SELECT game, sum(a.c - b.c) AS t, CAST(sum(a.n) AS DOUBLE) AS w FROM (SELECT game, side, sum(nll) AS c, count(*) AS n FROM s GROUP BY ALL) a JOIN (SELECT game, side, sum(nll) AS c FROM s_b GROUP BY ALL) b USING (game, side) WHERE side = 'white' GROUP BY game)"
-
-
-@query("b_summary_intervals", f"{SUMS}, {boot_sql('sm', 't', 'w', 40)} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, round(avg(value), 6) AS mean, count(*) AS replicates FROM rep")
-def b_summary_intervals(spark, d):
-    x, y = (o.track_summary(scores(spark, d, k), TRACK).where("side = 'white'").select("game", F.col("nll_sum").alias(k), F.col("example_count").cast("double").alias(f"n_{k}")) for k in "AB")
-    games = x.join(y, "game").select("game", (F.col("A") - F.col("B")).alias("t"), F.col("n_A").alias("w"))
-    return rounded(g.interval(g.bootstrap(games, "game", "t", "w", 40)))
-
-
 @query("g_calibration", f"{NLL} SELECT 0 AS reordered, max(CASE WHEN t = 2 THEN nll END) < max(CASE WHEN t = 1 THEN nll END) AS better FROM a")
 def g_calibration(spark, d):
     rows = logits(spark, d)
@@ -226,16 +221,16 @@ def g_blend(spark, d):
     return rounded(found.select("side", "metric", "control", "treatment", "gain", "ok"))
 
 
-@query("g_release", f"{DELTAS}, dw AS (SELECT game, delta, 1.0::DOUBLE AS w FROM dl), {boot_sql('dw', 'delta', 'w', 100)}, lo AS (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value, r) AS k FROM rep) WHERE k = 5), ga2 AS (SELECT avg(delta) AS gain FROM dl) SELECT round(gain, 6) AS gain, round(value, 6) AS low, gain >= 0.001 AND value > 0 AS released FROM ga2, lo")
+@query("g_release", f"{FIXED_SQL}, ga2 AS (SELECT avg(delta) AS gain FROM dl) SELECT round(gain, 6) + 0.0::DOUBLE AS gain, round(value, 6) + 0.0::DOUBLE AS low, gain >= 0.001 AND value > 0 AS released FROM ga2, lo")
 def g_release(spark, d):
     deltas = track_deltas(spark, d)
-    return rounded(g.release(g.bootstrap(deltas.withColumn("w", F.lit(1.0)), "game", "delta", "w", 100), deltas, 0.001, 5))
+    return rounded(g.release(g.bootstrap(deltas.withColumn("w", F.lit(1.0)), "game", "delta", "w", FIXED), deltas, 0.001, PLACE))
 
 
-@query("x_statistic", boot_sql("gm", "t", "w", 50).join(["WITH gm AS (SELECT o_custkey AS game, CAST(max(o_orderkey) AS DOUBLE) AS t, 1.0::DOUBLE AS w FROM orders GROUP BY 1), ", " SELECT r, max(a) AS value FROM dr JOIN cl USING (j) GROUP BY r"]))
+@query("x_statistic", boot_sql("gm", {"t": "t"}, 1_000).join(["WITH gm AS (SELECT o_custkey AS game, max(o_orderkey) AS t FROM orders GROUP BY 1), ", " SELECT r, max(t) AS value FROM dr JOIN cl USING (j) GROUP BY r"]))
 def x_statistic(spark, d):
     games = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("game")).agg(F.max("o_orderkey").cast("double").alias("t"))
-    return g.bootstrap_statistic(games, "game", F.max("t"), 50)
+    return g.bootstrap_statistic(games, "game", F.max("t"), 1_000)
 
 
 @query("x_gate_predicate", f"{METRICS} SELECT side, metric, CASE WHEN metric = 'top_1' AND value > 0.2 THEN 'passed' WHEN metric = 'support' AND value = -1 THEN 'passed' ELSE 'failed' END AS status FROM mt WHERE system = 'A' AND metric IN ('top_1', 'support')")

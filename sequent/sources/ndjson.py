@@ -111,6 +111,31 @@ def write_dataset(rows: DataFrame, path: str, game: str, partition: list[str] =
     return manifest(rows.sparkSession.read.parquet(path), game)
 
 
+def sidecar_faults(rows: DataFrame) -> Column:
+    """Why a calibration row (side, logits, truth, mask) cannot be used; null if it can.
+
+    Logits and mask must have one length and finite values, the truth must be one of their places and not masked.
+    """
+    n, finite = F.size("logits"), F.forall("logits", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (
+        F.when(F.col("logits").isNull() | F.col("mask").isNull() | F.col("truth").isNull() | F.col("side").isNull(), "missing field").when((n == 0) | (n != F.size("mask")), "lengths differ")
+        .when(~finite, "logit not finite").when((F.col("truth") < 0) | (F.col("truth") >= n), "truth out of range").when(F.coalesce(F.get("mask", F.col("truth").cast("int")), F.lit(True)), "truth is masked")
+    )
+
+
+def write_sidecar(rows: DataFrame, path: str) -> None:
+    """Calibration rows by side, where nothing is yet."""
+    rows.select("side", "logits", "truth", "mask").write.mode("errorifexists").partitionBy("side").parquet(path)
+
+
+def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """Calibration rows; one that cannot be used fails the read."""
+    rows = spark.read.parquet(path)
+    fault = sidecar_faults(rows)
+    checked = F.when(fault.isNull(), F.col("truth")).otherwise(F.raise_error(F.concat(F.lit("sidecar: "), fault)).cast(rows.schema["truth"].dataType))
+    return rows.withColumn("truth", checked)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Rows as JSON lines with sorted keys, where nothing is yet."""
     report.select(F.to_json(F.struct(*sorted(report.columns))).alias("value")).write.mode("errorifexists").text(path)
