@@ -105,24 +105,39 @@ def test_packing(odd, none, plain):
     assert packing.best_fit_packing(none, tokens.word_vocabulary()).count() == 0
 
 
-def test_rounds_pack_as_well_as_sequential_best_fit():
+def best_fit(lengths, capacity):
+    """Sequences of sequential best-fit decreasing."""
     import bisect
 
-    for seed in range(20):
-        lengths = np.minimum(100, np.random.default_rng(seed).integers(1, 140, 300))
-        sizes, counts = np.unique(lengths, return_counts=True)
-        table = np.array(packing.rounds(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), 100))
-        number, ordered = np.arange(300), np.sort(lengths)[::-1]
-        run = table[np.searchsorted(table[:, 0], number, side="right") - 1]
-        sequence = run[:, 2] + (number - run[:, 0]) // run[:, 1]
-        assert np.bincount(sequence, weights=ordered).max() <= 100
-        gaps, opened = [], 0
-        for n in ordered:
-            k = bisect.bisect_left(gaps, n)
-            gap = gaps.pop(k) if k < len(gaps) else 100
-            opened += gap == 100
-            bisect.insort(gaps, gap - n)
-        assert len(set(sequence)) <= opened + 2
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(gaps, n)
+        opened += k == len(gaps)
+        bisect.insort(gaps, (gaps.pop(k) if k < len(gaps) else capacity) - n)
+    return opened
+
+
+@pytest.mark.parametrize("kind", ["mixed", "long", "thirds", "short"])
+def test_packs_as_well_as_sequential_best_fit(spark, kind):
+    rng = np.random.default_rng(3)
+    lengths = {"mixed": np.minimum(100, rng.integers(1, 140, 3000)), "long": rng.integers(40, 70, 1500), "thirds": np.full(900, 33), "short": rng.geometric(0.2, 3000)}[kind].tolist()
+    rows = spark.createDataFrame([(k, 0, int(n), "clash") for k, n in enumerate(lengths)], "doc_id long, piece int, length int, number string").repartition(4)
+    got = packing.pack(rows, 100).collect()
+    assert sorted(r.length for r in got) == sorted(lengths) and {r.number for r in got} == {"clash"}
+    assert check_packing(got, 100) <= best_fit(lengths, 100) * 1.02 + 2
+
+
+def test_parentheses_pair_up():
+    for seed in range(30):
+        opens = np.random.default_rng(seed).random(200) < 0.5
+        want, stack = [-1] * 200, []
+        for k, o in enumerate(opens):
+            if o:
+                stack.append(k)
+            elif stack:
+                want[k] = stack.pop()
+                want[want[k]] = k
+        assert packing.paired(opens).tolist() == want
 
 
 def test_mixing(odd, none):
