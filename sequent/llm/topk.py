@@ -5,7 +5,8 @@ A code of 64 bits is cut into m substrings.  The index holds every distinct code
 bits off its own: it visits the cells whose leading bits are j <= s bits off, and looks up the rest of the value s - j
 bits off inside.  After radius s every code within m (s + 1) - 1 bits is known, since a further one has more than s bits
 off in each substring.  The small radii, which have few values, are one round, and every further radius is a round.  Candidates are verified on the whole code, the k best so far of each query are kept in a table
-between rounds, and a query stops once its k-th verified distance is covered.  Cells with many codes or many visits are
+between rounds, and a query stops once its k-th verified distance is covered.  A query starts with the k-th distance
+among a block of the first substring's cell it lies in: an upper bound, beyond which nothing is reported.  Cells with many codes or many visits are
 cut into blocks and slabs, so that a piece of work is bounded whatever the codes look like.
 """
 
@@ -139,6 +140,21 @@ def looked_up(substrings: int, lead: int, k: int):
     return look
 
 
+def nearby(k: int):
+    """A block's codes and queries -> (code, within): the k-th distance in the block, all bits if it holds fewer."""
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, every = left["code"].to_numpy().view(np.uint64), right["code"].to_numpy().view(np.uint64)
+        within = np.full(len(every), BITS, np.int32)
+        if len(codes) >= k:
+            for at in range(0, len(every), 256):
+                distance = np.bitwise_count(every[at : at + 256, None] ^ codes)
+                within[at : at + 256] = np.partition(distance, k - 1, axis=1)[:, k - 1]
+        return pa.table({"code": right["code"], "within": within})
+
+    return scan
+
+
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, substrings: int = 4, block: int = 4_096, slab: int = 4_096) -> DataFrame:
     """The k nearest rows of `codes` (id, code) for each row of `queries` (id, code), by Hamming distance.
 
@@ -161,9 +177,15 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, substrings: int = 4
     stock = index.groupBy("t", "cell").agg(F.count("*").alias("codes")).withColumn("blocks", F.ceil(F.col("codes") / block).cast("int"))
     stock = stored(stock, "cells")
 
+    parts = max(1, min(2 * stock.agg(F.sum("blocks")).first()[0], 16_384))
     wanted = min(k + 1, count)  # as many codes hold at least as many ids, and the query's own may be one of them
-    live, best = stored(asked.select("code").distinct().withColumn("within", F.lit(BITS)), "live"), None
-    parts = max(1, min(2 * (stock.agg(F.sum("blocks")).first()[0] or 0), 16_384))
+    one, keys = asked.select("code").distinct(), ["cell", "s"]
+    home = placed(one.withColumn("ids", F.array().cast("array<bigint>")), substrings, lead).where("t = 0").select("code", "cell")
+    slabs = home.groupBy("cell").agg(F.ceil(F.count("*") / slab).cast("int").alias("slabs"))
+    near = index.where("t = 0").join(stock.where("t = 0").select("cell", "blocks"), "cell").where(F.pmod(F.xxhash64("code"), F.col("blocks")) == 0)
+    left = near.join(slabs, "cell").select("code", "cell", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("s"))
+    right = home.join(slabs, "cell").select("code", "cell", F.pmod(F.xxhash64("code"), F.col("slabs")).cast("int").alias("s"))
+    live, best = stored(left.repartition(parts, *keys).groupBy(*keys).cogroup(right.repartition(parts, *keys).groupBy(*keys)).applyInArrow(nearby(wanted), "code long, within int"), "live"), None
     for radii in rounds(width):
         seen = visits(live, substrings, lead, radii)
         cells = seen.groupBy("t", "cell").agg(F.count("*").alias("visits")).join(stock, ["t", "cell"])
@@ -181,7 +203,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, substrings: int = 4
         best = stored(best.withColumn("place", place).where(F.col("place") <= wanted).drop("place"), "best")
         known = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         within = F.when(F.col("n") >= wanted, F.col("far")).otherwise(BITS)
-        live = live.select("code").join(known, F.col("code") == F.col("query"), "left").select("code", F.coalesce(within, F.lit(BITS)).cast("int").alias("within"))
+        within = F.least("within", F.coalesce(within, F.lit(BITS))).cast("int")
+        live = live.join(known, F.col("code") == F.col("query"), "left").select("code", within.alias("within"))
         live = stored(live.where(F.col("within") > substrings * (radii[-1] + 1) - 1), "live")
         if live.isEmpty():
             break
