@@ -85,13 +85,37 @@ def board_letters(fen: Column) -> Column:
     return board
 
 
+#: Where a position's scalars start, and greatest values of counters (fixed values).
+SCALARS, HALF_MOVES, FULL_MOVES, PLIES, LEGAL = 768, 100, 300, 600, 218
+
+
 def board_features(positions: DataFrame, key: list[str], fen: str) -> DataFrame:
-    """Sparse (key, index, value) features: 12 piece planes of 64 squares, side to move, four castling rights."""
-    letters = positions.select(*key, F.split(fen, " ").alias("f"), F.posexplode(F.split(board_letters(F.col(fen)), "")).alias("place", "letter"))
-    pieces = letters.where("letter <> '.' and letter <> ''").select(*key, ((F.instr(F.lit(PIECES), F.col("letter")) - 1) * 64 + F.col("place")).alias("index"))
-    flags = [(768, F.element_at(F.split(fen, " "), 2) == "w"), *((769 + k, F.contains(F.element_at(F.split(fen, " "), 3), F.lit(c))) for k, c in enumerate("KQkq"))]
-    scalars = positions.select(*key, F.explode(F.array(*(F.when(on, F.lit(n)) for n, on in flags))).alias("index")).where("index is not null")
-    return pieces.unionByName(scalars).withColumn("value", F.lit(1.0))
+    """Sparse (key, index, value) features of a position of six fields.
+
+    12 piece planes of 64 squares (a1 is 0, h8 is 63), then white or black to move, four castling rights, the
+    en-passant file (a to h, or none), and the two counters as shares of their greatest values.
+    """
+    parts = F.split(fen, r"\s+")
+    field = lambda n: F.element_at(parts, n)
+    letters = positions.select(*key, F.posexplode(F.split(board_letters(F.col(fen)), "")).alias("place", "letter"))
+    place = F.col("place")  # eighth rank first
+    pieces = letters.where("letter <> '.' and letter <> ''").select(*key, ((F.instr(F.lit(PIECES), F.col("letter")) - 1) * 64 + (7 - F.floor(place / 8)) * 8 + place % 8).cast("int").alias("index"), F.lit(1.0).alias("value"))
+    on = lambda n, flag: F.struct(F.lit(SCALARS + n).alias("index"), F.when(flag, 1.0).otherwise(0.0).alias("value"))
+    share = lambda n, x, most: F.struct(F.lit(SCALARS + n).alias("index"), (F.least(x.cast("double"), F.lit(float(most))) / most).alias("value"))
+    flags = [on(0, field(2) == "w"), on(1, field(2) == "b"), *(on(2 + k, F.contains(field(3), F.lit(c))) for k, c in enumerate("KQkq"))]
+    flags += [*(on(6 + k, field(4).startswith(c)) for k, c in enumerate("abcdefgh")), on(14, field(4) == "-")]
+    flags += [share(15, field(5), HALF_MOVES), share(16, field(6), FULL_MOVES)]
+    scalars = positions.select(*key, F.explode(F.array(*flags)).alias("s")).select(*key, "s.index", "s.value").where("value <> 0")
+    return pieces.unionByName(scalars)
+
+
+def position_features(rows: DataFrame, key: list[str], fen: str, uci: str, white: Column, ply: Column, move_number: Column, history: Column, legal: Column) -> DataFrame:
+    """board_features and, after its scalars: the player's colour, ply, move number, length of the history, legal moves, and the move's two squares as shares."""
+    share = lambda n, x, most: F.struct(F.lit(SCALARS + n).alias("index"), (F.least(x.cast("double"), F.lit(float(most))) / most).alias("value"))
+    move = move_index(F.col(uci))
+    own = [share(17, white.cast("int"), 1), share(18, ply, PLIES), share(19, move_number, FULL_MOVES), share(20, history, PLIES), share(21, legal, LEGAL), share(22, F.floor(move / (64 * 5)), 63), share(23, F.floor(move / 5) % 64, 63)]
+    scalars = rows.select(*key, F.explode(F.array(*own)).alias("s")).select(*key, "s.index", "s.value").where("value <> 0")
+    return board_features(rows, key, fen).unionByName(scalars)
 
 
 def san_facts(san: Column) -> dict[str, Column]:

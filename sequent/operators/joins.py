@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from sequent.sources.tables import stored
+
 
 def both_sides(rows: DataFrame, game: str, side: str, label: str, sides: tuple[str, str] = ("white", "black")) -> DataFrame:
     """Every row with both sides' labels; `conflict` if a side has several labels or none."""
@@ -23,10 +30,18 @@ def cover(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("matched"), F.count_if(F.col("b") == 0).alias("missing"), F.count_if(F.col("a") == 0).alias("unknown"), F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("repeated"))
 
 
+@F.pandas_udf(T.StringType())
+def folded(titles: pd.Series) -> pd.Series:
+    """NFKC, then case folded."""
+    return titles.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
 def title_key(title: Column) -> Column:
-    """Straight quotes, single blanks, lower case; for text that is in NFKC."""
-    straight = F.translate(title, "‘’“”", "''\"\"")
-    return F.lower(F.trim(F.regexp_replace(straight, r"\s+", " ")))
+    """NFKC, straight quotes, single blanks, case folded.  Only titles beyond ASCII need Python; they alone are sent there."""
+    beyond = title.rlike(r"[^\x00-\x7F]")
+    folded_title = F.when(beyond, folded(F.when(beyond, title))).otherwise(F.lower(title))
+    straight = F.translate(folded_title, "‘’“”", "''\"\"")
+    return F.trim(F.regexp_replace(straight, r"\s+", " "))
 
 
 def by_title(left: DataFrame, right: DataFrame, title: str, other: str) -> DataFrame:
@@ -57,13 +72,52 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> Da
     return both.withColumn("ok", F.col("example_count").eqNullSafe(F.col("other_count"))).withColumns({f"d_{v}": F.col(f"a_{v}") - F.col(f"b_{v}") for v in values})
 
 
+def _nearest(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Hits of `rows` (group, at, hit, tie) with the nearest other row of their group: choice (distance, tie, at)."""
+    own = W.Window.partitionBy(*group)
+    control = F.when(~F.col("hit"), F.struct("at", "tie"))
+    # Of controls at one place the one with the smallest tie is seen first from either side.
+    before = F.last(control, ignorenulls=True).over(own.orderBy("at", F.desc("tie")).rowsBetween(W.Window.unboundedPreceding, 0))
+    behind = F.last(control, ignorenulls=True).over(own.orderBy(F.desc("at"), F.desc("tie")).rowsBetween(W.Window.unboundedPreceding, 0))
+    found = rows.withColumn("before", before).withColumn("behind", behind).where("hit")
+    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("distance"), F.col(f"{c}.tie").alias("tie"), F.col(f"{c}.at").alias("at")))
+    return found.withColumn("choice", F.least(option("before"), option("behind"))).where("choice is not null").select(*group, "at", "tie", "choice")
+
+
+def nearest_any(rows: DataFrame, key: list[str], band: Column, order: str, flag: str, tie: Column) -> DataFrame:
+    """For each flagged row the unflagged row of the same key and band that is nearest in order; ties by hash; by windows alone."""
+    slim = rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.col(flag).alias("hit"), tie.alias("tie"))
+    return _nearest(slim, [*key, "band"]).select(*key, "at", F.col("choice.at").alias("control"), "choice.distance")
+
+
 def nearest_control(rows: DataFrame, key: list[str], band: Column, order: str, flag: str, tie: Column) -> DataFrame:
-    """For each flagged row the unflagged row of the same key and band that is nearest in order; ties by hash."""
-    banded = rows.withColumn("__band", band).withColumn("__tie", tie)
-    hits = banded.where(F.col(flag)).select(*key, "__band", F.col(order).alias("at"))
-    controls = banded.where(~F.col(flag)).select(*key, "__band", F.col(order).alias("control"), "__tie")
-    near = F.min(F.struct(F.abs(F.col("at") - F.col("control")).alias("distance"), "__tie", "control")).alias("m")
-    return hits.join(controls, [*key, "__band"]).groupBy(*key, "at").agg(near).select(*key, "at", "m.control", "m.distance")
+    """As nearest_any, but no row serves twice: key, at, control, distance.
+
+    In rounds every flagged row that is left asks for the nearest row that is left, and each row that is asked for
+    goes to the nearest asker (of equal ones to that with the smaller hash); until nobody gets one any more.  Rows are
+    told apart by key, order and hash.
+    """
+    group = [*key, "band"]
+    left = stored(rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.col(flag).alias("hit"), tie.alias("tie")), "pairing")
+    found = []
+    while True:
+        asked = W.Window.partitionBy(*group, "choice.at", "choice.tie").orderBy("choice.distance", "tie", "at")
+        won = _nearest(left, group).withColumn("place", F.row_number().over(asked)).where("place = 1").drop("place")
+        won = stored(won, "pairs")
+        found.append(won.select(*key, "at", F.col("choice.at").alias("control"), "choice.distance"))
+        gone = won.select(*group, "at", F.lit(True).alias("hit"), "tie").union(won.select(*group, "choice.at", F.lit(False), "choice.tie"))
+        if won.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        left = stored(left.join(gone, [*group, "at", "hit", "tie"], "left_anti"), "pairing")
+
+
+def expand_outcomes(hypotheses: DataFrame, outcomes: DataFrame, key: str, p: str) -> DataFrame:
+    """Each hypothesis with its random outcomes; `ok` if their probabilities are positive and sum to 1 within 1e-12.
+
+    A hypothesis without outcomes stays, with null ones, and is not ok.
+    """
+    checked = outcomes.groupBy(key).agg(((F.min(p) > 0) & (F.count(p) == F.count("*")) & (F.abs(F.sum(p) - 1) <= 1e-12)).alias("ok"))
+    return hypotheses.join(outcomes, key, "left").join(checked, key, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
 def blend(a: DataFrame, b: DataFrame, keys: list[str], weight: float) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.sources.tables import numbered
+
 
 def uniform(pred: DataFrame, row: list[str], survivors: bool = False) -> DataFrame:
     """Equal mass over a row's classes, or over those not eliminated (none, if all are)."""
@@ -135,7 +137,7 @@ def vocabulary(rows: DataFrame, value: Column, most: int | None = None) -> DataF
     found = rows.select(value.alias("token")).where("token is not null").distinct()
     if most is not None and found.limit(most + 1).count() > most:
         raise ValueError(f"the vocabulary has more than {most} values")
-    return found.withColumn("id", F.row_number().over(W.Window.orderBy("token")) - 1)
+    return numbered(found, ["token"], "id")
 
 
 def track_weights(rows: DataFrame, track: list[str], triggered: str, multiplier: float) -> DataFrame:

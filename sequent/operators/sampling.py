@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.sources.tables import numbered
+
 
 def hashed(seed: str, *key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in key)), 256)
@@ -72,8 +74,8 @@ def opportunity_paired(rows: DataFrame, game: str, step: str, hit: str, k: int =
 
 
 def shuffled(rows: DataFrame, seed: str, *key: str) -> DataFrame:
-    """Rows with their place in a seeded order."""
-    return rows.withColumn("__h", hashed(seed, *key)).orderBy("__h", *key).drop("__h")
+    """Rows with their `place` from 0 in a seeded order."""
+    return numbered(rows.withColumn("__h", hashed(seed, *key)), ["__h", *key], "place").drop("__h")
 
 
 def scored(rows: DataFrame, predict, schema: str) -> DataFrame:

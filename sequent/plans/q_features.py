@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sequent.functions import columns as c
 from sequent.operators import identify as i
+from sequent.operators import metrics as m
 from sequent.operators import sampling as p
 from sequent.operators import sequences as s
 from sequent.plans import adapters as a
@@ -152,11 +154,11 @@ def f_quantile_linear(spark, d):
     return rounded(read(spark, d, "events").groupBy("event_type").agg(*(F.percentile("value", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975)))))
 
 
-@query("f_symbolic_vector", "SELECT vec_id, 8 AS width, CAST(len(list_filter(embedding[1:4], lambda x: x > 0)) AS DOUBLE) AS ones FROM embeddings")
+@query("f_symbolic_vector", "SELECT vec_id, 2 * len(embedding) AS width, CAST(len(list_filter(embedding, lambda x: x > 0)) AS DOUBLE) AS ones FROM embeddings")
 def f_symbolic_vector(spark, d):
-    e = F.slice("embedding", 1, 4).cast("array<double>")
+    e = F.col("embedding").cast("array<double>")
     v = c.symbolic_vector(e, F.transform(e, lambda x: x > 0))
-    return read(spark, d, "embeddings").select("vec_id", F.size(v).alias("width"), F.aggregate(F.slice(v, 5, 4), F.lit(0.0), lambda t, x: t + x).alias("ones"))
+    return read(spark, d, "embeddings").select("vec_id", F.size(v).alias("width"), F.aggregate(F.slice(v, F.size(e) + 1, F.size(e)), F.lit(0.0), lambda t, x: t + x).alias("ones"))
 
 
 @query("i_survivors", f"{P}, x AS (SELECT game, step, count(*) FILTER (NOT eliminated) AS hypotheses, count(DISTINCT CASE WHEN NOT eliminated THEN class_id END) AS classes FROM post GROUP BY game, step) SELECT game, step, hypotheses, classes, classes = 1 AS identifiable, round(CASE WHEN classes > 0 THEN least(1.0, 1.0 / classes) END, 6) AS credit_1, round(CASE WHEN classes > 0 THEN least(1.0, 3.0 / classes) END, 6) AS credit_3, round(CASE WHEN classes > 0 THEN least(1.0, 5.0 / classes) END, 6) AS credit_5 FROM x")
@@ -233,10 +235,9 @@ def p_opportunity_paired(spark, d):
     return p.opportunity_paired(rows, "game", "step", "hit")
 
 
-@query("p_shuffle", "SELECT event_id, row_number() OVER (ORDER BY sha256('s1:' || event_id), event_id) % 2 AS half FROM events ORDER BY sha256('s1:' || event_id) LIMIT 100")
+@query("p_shuffle", "SELECT event_id, row_number() OVER (ORDER BY sha256('s1:' || event_id), event_id) - 1 AS place FROM events")
 def p_shuffle(spark, d):
-    rows = p.shuffled(read(spark, d, "events").select("event_id"), "s1", "event_id").limit(100)
-    return rows.select("event_id", (F.row_number().over(W.Window.orderBy(p.hashed("s1", "event_id"), "event_id")) % 2).cast("long").alias("half"))
+    return p.shuffled(read(spark, d, "events").select("event_id"), "s1", "event_id")
 
 
 @query("x_likelihood", f"{P} SELECT game, step, h, CASE WHEN known THEN round(-2 * ln(1 + allowed), 6) END AS log_likelihood FROM evidence")
@@ -245,12 +246,24 @@ def x_likelihood(spark, d):
     return rounded(a.evidence(spark, d).select(*EV, "h", F.when(F.col("known"), scorer(F.col("allowed"))).alias("log_likelihood")))
 
 
-@query("x_predictor", "SELECT event_id, event_id % 4 / 4.0 AS p FROM events")
+PREDICTED = f"WITH {a.EVENTS_SQL}, kk(c, class_id) AS (VALUES {', '.join(f'({k}, {chr(39)}{e}{chr(39)})' for k, e in enumerate(a.EVENT_TYPES))}), x AS (SELECT event_id, kind AS truth, class_id, exp((event_id * (c + 3)) % 7 / 2.0) AS e FROM ev CROSS JOIN kk), y AS (SELECT *, e / sum(e) OVER (PARTITION BY event_id) AS p FROM x), z AS (SELECT *, max(CASE WHEN class_id = truth THEN p END) OVER (PARTITION BY event_id) AS own FROM y), s AS (SELECT event_id, any_value(own) AS own, count(*) FILTER (p > own + 1e-12) AS above, count(*) FILTER (abs(p - own) <= 1e-12) AS tied FROM z GROUP BY event_id)"
+
+
+@query("x_predictor", f"{PREDICTED} SELECT round(avg(CASE WHEN 1 - above <= 0 THEN 0.0 ELSE least(1.0, (1 - above) / tied) END), 6) AS top_1, round(avg(CASE WHEN 3 - above <= 0 THEN 0.0 ELSE least(1.0, (3 - above) / tied) END), 6) AS top_3, round(avg(-ln(own)), 6) AS nll, count(*) AS n FROM s")
 def x_predictor(spark, d):
-    def predict(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": frame["event_id"], "p": frame["event_id"] % 4 / 4.0})
+    """A model of rows -> distributions, in Arrow batches, scored by the metric suite."""
+    names = list(a.EVENT_TYPES)
 
-    return p.scored(read(spark, d, "events").select("event_id"), predict, "event_id long, p double")
+    def predict(frame: pd.DataFrame) -> pd.DataFrame:
+        logits = np.stack([frame["event_id"].to_numpy() * (k + 3) % 7 / 2.0 for k in range(len(names))], 1)
+        p = np.exp(logits)
+        p = np.round(p / p.sum(1, keepdims=True), 12)  # equal logits give equal probabilities
+        return pd.DataFrame({"event_id": frame["event_id"].repeat(len(names)), "truth": frame["truth"].repeat(len(names)), "class_id": names * len(frame), "p": p.ravel()})
+
+    rows = read(spark, d, "events").select("event_id", F.col("event_type").alias("truth"))
+    pred = p.scored(rows, predict, "event_id long, truth string, class_id string, p double")
+    own = m.row_scores(pred, ["event_id"])
+    return rounded(own.agg(F.avg("credit_1").alias("top_1"), F.avg("credit_3").alias("top_3"), F.avg("nll").alias("nll"), F.count("*").alias("n")))
 
 
 @query("x_constraint", f"{P} SELECT class_id, count(*) FILTER (eliminated) AS eliminated FROM cls GROUP BY class_id")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from sequent.functions import columns as c
 from sequent.operators import fusion as f
@@ -79,12 +80,15 @@ def snk_report(spark, d):
     return spark.read.text(path)
 
 
-@query("aud_inventory", "SELECT count(*) AS lines, count(DISTINCT user_id) AS games FROM events")
+LINES = "l AS (SELECT event_id, user_id, 'part=' || user_id % 3 AS folder, '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}' AS line FROM events)"
+
+
+@query("aud_inventory", f"WITH {LINES} SELECT folder, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, count(*) AS lines, count(DISTINCT user_id) AS games, sha256(string_agg(line, chr(10) ORDER BY event_id) || chr(10)) AS sha256 FROM l GROUP BY folder UNION ALL SELECT NULL, CAST(sum(length(line) + 1) AS BIGINT), count(*), count(DISTINCT user_id), NULL FROM l")
 def aud_inventory(spark, d):
     path = fresh_path(spark, "inventory")
-    read(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value"), (F.col("user_id") % 3).alias("part")).repartition("part").write.partitionBy("part").text(path)
-    files = src.inventory(spark, path, F.get_json_object("value", "$.user_id"))
-    return files.agg(F.sum("lines").alias("lines"), F.sum("games").alias("games"))
+    rows = read(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id")).alias("value"), (F.col("user_id") % 3).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return src.inventory(spark, path, F.get_json_object("value", "$.user_id"))
 
 
 @query("m_heldout", f"{CELLS}, {BINARY}, {score_sql()} SELECT 'class' AS head, 'top_1' AS metric, round(avg(credit_1), 6) AS value FROM s UNION ALL SELECT 'trigger', 'accuracy', round(avg(CAST((q >= 0.5) = y AS INT)), 6) FROM r UNION ALL SELECT 'mask', 'precision', round(count(*) FILTER (yes AND y) / count(*) FILTER (yes), 6) FROM e")
@@ -261,16 +265,23 @@ def positions(spark, d):
     return read(spark, d, "events").select("event_id", "user_id", F.concat(board, F.when(F.col("event_id") % 2 == 0, " w KQ - 0 1").otherwise(" b - - 007 012")).alias("fen"))
 
 
-@query("f_board_vector", "WITH p AS (SELECT event_id, 11 * 64 + event_id % 8 AS \"index\" FROM events UNION ALL SELECT event_id, 5 * 64 + 56 + user_id % 8 FROM events UNION ALL SELECT event_id, 48 + f FROM events, range(8) AS r(f) UNION ALL SELECT event_id, 768 + f FROM events, range(3) AS r(f) WHERE event_id % 2 = 0) SELECT event_id, \"index\", 1.0 AS value FROM p")
+BOARD = "p AS (SELECT event_id, 11 * 64 + 56 + event_id % 8 AS \"index\", 1.0 AS value FROM events UNION ALL SELECT event_id, 5 * 64 + user_id % 8, 1.0 FROM events UNION ALL SELECT event_id, 8 + f, 1.0 FROM events, range(8) AS r(f) UNION ALL SELECT event_id, 768 + event_id % 2, 1.0 FROM events UNION ALL SELECT event_id, 770 + f, 1.0 FROM events, range(2) AS r(f) WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 782, 1.0 FROM events UNION ALL SELECT event_id, 783, 0.07 FROM events WHERE event_id % 2 = 1 UNION ALL SELECT event_id, 784, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 12 END / 300.0 FROM events)"
+
+
+@query("f_board_vector", f'WITH {BOARD} SELECT event_id, "index", round(value, 6) AS value FROM p')
 def f_board_vector(spark, d):
-    return c.board_features(positions(spark, d), ["event_id"], "fen").select("event_id", F.col("index").cast("long").alias("index"), "value")
+    return rounded(c.board_features(positions(spark, d), ["event_id"], "fen").select("event_id", F.col("index").cast("long").alias("index"), "value"))
+
+
+FEATURES = [(785, "CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END / 1.0"), (786, "event_id % 70 / 600.0"), (787, "(event_id % 70 // 2 + 1) / 300.0"), (788, "event_id % 70 / 600.0"), (789, "(20 + user_id % 5) / 218.0"), (790, "(event_id % 8 + 8 * (user_id % 8)) / 63.0"), (791, "((event_id * 3) % 8 + 8 * (event_id % 7)) / 63.0")]
 
 
-@query("f_feature_vector", "WITH b AS (SELECT event_id, 10 + CASE WHEN event_id % 2 = 0 THEN 3 ELSE 0 END AS n FROM events) SELECT event_id, n + 1 AS features FROM b")
+@query("f_feature_vector", f'WITH {BOARD}, s AS ({" UNION ALL ".join(f"SELECT event_id, {n} AS i, {x} AS value FROM events" for n, x in FEATURES)}) SELECT event_id, "index", round(value, 6) AS value FROM p UNION ALL SELECT event_id, i, round(value, 6) FROM s WHERE value <> 0')
 def f_feature_vector(spark, d):
-    board = c.board_features(positions(spark, d), ["event_id"], "fen")
-    move = q_features.moves(spark, d).select("event_id", (1000 + c.move_index(F.col("uci"))).alias("index"), F.lit(1.0).alias("value"))
-    return board.unionByName(move).groupBy("event_id").agg(F.count("*").alias("features"))
+    rows = positions(spark, d).join(q_features.moves(spark, d), "event_id")
+    e, ply = F.col("event_id"), F.col("event_id") % 70
+    found = c.position_features(rows, ["event_id"], "fen", "uci", e % 2 == 0, ply, F.floor(ply / 2) + 1, ply, 20 + F.col("user_id") % 5)
+    return rounded(found.select("event_id", F.col("index").cast("long").alias("index"), "value"))
 
 
 @query("f_normalize_fen", f"SELECT event_id, {FEN} || CASE WHEN event_id % 2 = 0 THEN ' w KQ - 0 1' ELSE ' b - - 7 12' END AS fen FROM events")
@@ -301,36 +312,51 @@ def f_splitmix64(spark, d):
     return read(spark, d, "events").select("event_id", g.splitmix64(F.col("event_id")).alias("mixed"))
 
 
-def live_rows(spark, d, session):
-    """Sessions' scores, written out of order and read as a stream."""
+def streamed(spark, rows, operator):
+    """Rows written out of order and read as a stream through a stateful operator."""
     path = fresh_path(spark, "live")
-    ll = F.array(*(F.when(F.col("kind") == k, 0.5).otherwise(-0.25) for k in EVENT_TYPES))
-    rows = a.event_steps(spark, d).select(session.alias("session"), F.col("step").alias("revision"), ll.alias("scores"))
     rows.orderBy(F.desc("revision")).write.parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return live.run_to_memory(live.live_posterior(stream, EVENT_TYPES), path.rpartition("/")[2].replace("-", "_"))
+        return live.run_to_files(operator(stream, EVENT_TYPES), fresh_path(spark, "live-out"))
     finally:
         spark.conf.unset(name)
 
 
+def score_array(kind):
+    return F.array(*(F.when(kind == k, 0.5).otherwise(-0.25) for k in EVENT_TYPES))
+
+
+def live_rows(spark, d):
+    rows = a.event_steps(spark, d).select(F.col("game").alias("session"), F.col("step").alias("revision"), score_array(F.col("kind")).alias("scores"))
+    return streamed(spark, rows, live.live_posterior)
+
+
 @query("st_live_posterior", q_sources.ORACLES["st_live_posterior_batch"])
 def st_live_posterior(spark, d):
-    return rounded(live_rows(spark, d, F.col("game")).select("session", "revision", "class_id", "p"))
+    return rounded(live_rows(spark, d).select("session", "revision", "class_id", "p"))
 
 
-@query("st_reorder", "SELECT user_id AS session, count(*) AS delivered, count(*) AS last FROM events GROUP BY user_id")
+@query("st_reorder", f"WITH {a.EVENTS_SQL} SELECT game AS session, step AS revision, 'delivered' AS status, step = max(step) OVER (PARTITION BY game) AS latest FROM ev")
 def st_reorder(spark, d):
-    rows = live_rows(spark, d, F.col("game")).where("status = 'delivered'")
-    return rows.groupBy("session").agg(F.count_distinct("revision").alias("delivered"), F.max("revision").alias("last"))
+    """Revisions that arrive last first, delivered in order, the latest one marked."""
+    rows = live_rows(spark, d).select("session", "revision", "status").distinct()
+    return rows.withColumn("latest", F.col("revision") == F.max("revision").over(W.Window.partitionBy("session")))
+
+
+SWITCH = f"WITH {a.EVENTS_SQL}, kk(class_id) AS (VALUES {', '.join(f'({chr(39)}{e}{chr(39)})' for e in EVENT_TYPES)}), sw AS (SELECT game AS client, (step - 1) // 5 AS session, (step - 1) % 5 + 1 AS revision, kind, step FROM ev), w AS (SELECT client, session, revision, class_id, sum(CASE WHEN kind = class_id THEN 0.5 ELSE -0.25 END) OVER (PARTITION BY client, session, class_id ORDER BY revision) AS w FROM sw CROSS JOIN kk), e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY client, session, revision)) AS e FROM w)"
 
 
-@query("st_session_switch", "SELECT user_id * 2 AS session, count(*) AS delivered FROM events GROUP BY user_id")
+@query("st_session_switch", f"{SWITCH} SELECT client, session, revision, class_id, round(e / sum(e) OVER (PARTITION BY client, session, revision), 6) AS p, 'delivered' AS status FROM e UNION ALL SELECT client, session - 1, 5, NULL, NULL, 'late' FROM sw WHERE step % 5 = 2 AND step > 5")
 def st_session_switch(spark, d):
-    rows = live_rows(spark, d, F.col("game") * 2)
-    return rows.where("status = 'delivered'").groupBy("session").agg(F.count_distinct("revision").alias("delivered"))
+    """A client's session lasts five events; during the next one an answer to the old one comes too late."""
+    steps = a.event_steps(spark, d).select(F.col("game").alias("client"), "step", score_array(F.col("kind")).alias("scores"))
+    own = steps.select("client", (F.col("step") * 2).alias("arrival"), F.floor((F.col("step") - 1) / 5).alias("session"), ((F.col("step") - 1) % 5 + 1).alias("revision"), "scores")
+    late = steps.where("step % 5 = 2 and step > 5").select("client", (F.col("step") * 2 + 1).alias("arrival"), (F.floor((F.col("step") - 1) / 5) - 1).alias("session"), F.lit(5).cast("long").alias("revision"), "scores")
+    found = streamed(spark, own.unionByName(late), live.switching_posterior)
+    return rounded(found.select("client", "session", "revision", "class_id", "p", "status"))
 
 
 @query("f_behavior_vector", "SELECT event_id, i AS \"index\", v AS value FROM events, (VALUES (5, 1.0), (23, 1.0), (24, 1.0), (31, 0.5), (26, 0.5)) AS x(i, v)")

@@ -38,9 +38,17 @@ def classes(spark, d):
     return o.class_posterior(post(spark, d), [*EV, "truth"])
 
 
-@query("w_posterior", f"{P} SELECT game, step, h, round(log_weight, 6) AS log_weight, round(p, 6) AS p FROM post")
+#: Posteriors are often whole multiples of a power of two, which end in a 5: moved by this they are no ties of rounding.
+OFF = 1e-8
+
+
+def moved(df, *columns):
+    return rounded(df.withColumns({c: F.col(c) + OFF for c in columns}))
+
+
+@query("w_posterior", f"{P} SELECT game, step, h, round(log_weight, 6) AS log_weight, round(p + {OFF}, 6) AS p FROM post")
 def w_posterior(spark, d):
-    return rounded(post(spark, d).select(*EV, "h", "log_weight", "p"))
+    return moved(post(spark, d).select(*EV, "h", "log_weight", "p"), "p")
 
 
 @query("w_elimination", f"{P} SELECT game, h, min(CASE WHEN eliminated THEN step END) AS since, count(*) FILTER (eliminated) AS rows FROM post GROUP BY game, h")
@@ -213,15 +221,15 @@ def prj_class_view(spark, d):
     return rounded(o.class_view(predictions(spark, d), ROW, VIEW).select(*ROW, "class_id", "p"))
 
 
-@query("a_class_posterior", f"{P} SELECT game, step, class_id, round(p, 6) AS p, eliminated, live, variants FROM cls")
+@query("a_class_posterior", f"{P} SELECT game, step, class_id, round(p + {OFF}, 6) AS p, eliminated, live, variants FROM cls")
 def a_class_posterior(spark, d):
-    return rounded(o.class_posterior(post(spark, d), EV))
+    return moved(o.class_posterior(post(spark, d), EV), "p")
 
 
-@query("a_posterior_vector", f"{P}, voc(class_id, n) AS (VALUES ('click', 0), ('error', 1), ('other', 2), ('purchase', 3), ('signup', 4), ('view', 5)), r AS (SELECT DISTINCT game, step FROM cls), x AS (SELECT r.game, r.step, n, round(coalesce(p, 0), 6) AS p, coalesce(eliminated, true) AS e FROM r CROSS JOIN voc LEFT JOIN cls ON cls.game = r.game AND cls.step = r.step AND cls.class_id = voc.class_id) SELECT game, step, sum(p * (n + 1)) AS weighted, CAST(sum(CASE WHEN e THEN 1 << n ELSE 0 END) AS BIGINT) AS mask FROM x GROUP BY game, step")
+@query("a_posterior_vector", f"{P}, voc(class_id, n) AS (VALUES ('click', 0), ('error', 1), ('other', 2), ('purchase', 3), ('signup', 4), ('view', 5)), r AS (SELECT DISTINCT game, step FROM cls), x AS (SELECT r.game, r.step, n, round(coalesce(p, 0) + {OFF}, 6) AS p, coalesce(eliminated, true) AS e FROM r CROSS JOIN voc LEFT JOIN cls ON cls.game = r.game AND cls.step = r.step AND cls.class_id = voc.class_id) SELECT game, step, sum(p * (n + 1)) AS weighted, CAST(sum(CASE WHEN e THEN 1 << n ELSE 0 END) AS BIGINT) AS mask FROM x GROUP BY game, step")
 def a_posterior_vector(spark, d):
     rows = o.posterior_vector(classes(spark, d), EV, sorted([*EVENT_TYPES, "other"]))
-    weighted = sum((F.round(F.get("p", F.lit(k)), 6) * (k + 1) for k in range(6)), F.lit(0.0))
+    weighted = sum((F.round(F.get("p", F.lit(k)) + OFF, 6) * (k + 1) for k in range(6)), F.lit(0.0))
     mask = sum((F.when(F.get("eliminated", F.lit(k)), 1 << k).otherwise(0) for k in range(6)), F.lit(0)).cast("long")
     return rounded(rows.select(*EV, weighted.alias("weighted"), mask.alias("mask")))
 
@@ -229,9 +237,9 @@ def a_posterior_vector(spark, d):
 ORACLES["a_posterior_vector"] = ORACLES["a_posterior_vector"].replace("sum(p * (n + 1)) AS weighted", "round(sum(p * (n + 1)), 6) AS weighted")
 
 
-@query("a_param_posterior", f"{P}, x AS (SELECT game, step, class_id, variant AS value, sum(p) AS mass FROM post GROUP BY ALL), y AS (SELECT *, sum(mass) OVER (PARTITION BY game, step, class_id) AS covered FROM x) SELECT game, step, class_id, value, round(mass, 6) AS mass, round(covered, 6) AS covered, CASE WHEN covered > 0 THEN round(mass / covered, 6) END AS share FROM y")
+@query("a_param_posterior", f"{P}, x AS (SELECT game, step, class_id, variant AS value, sum(p) AS mass FROM post GROUP BY ALL), y AS (SELECT *, sum(mass) OVER (PARTITION BY game, step, class_id) AS covered FROM x) SELECT game, step, class_id, value, round(mass + {OFF}, 6) AS mass, round(covered + {OFF}, 6) AS covered, CASE WHEN covered > 0 THEN round(mass / covered + {OFF}, 6) END AS share FROM y")
 def a_param_posterior(spark, d):
-    return rounded(o.parameter_posterior(post(spark, d), EV, "variant"))
+    return moved(o.parameter_posterior(post(spark, d), EV, "variant"), "mass", "covered", "share")
 
 
 @query("a_opportunity", f"{P}, x AS (SELECT game, step, class_id, sum(prior) AS t, sum(CASE WHEN known THEN prior ELSE 0 END) AS k, sum(CASE WHEN known THEN prior * allowed / 5 ELSE 0 END) AS al, sum(CASE WHEN known AND allowed < 5 THEN prior ELSE 0 END) AS tr, sum(CASE WHEN known AND allowed = 1 THEN prior ELSE 0 END) AS fo FROM evidence GROUP BY ALL) SELECT game, step, class_id, round(k / t, 6) AS known_mass, round(al / t, 6) AS allowed_mass, round(tr / t, 6) AS triggered_mass, round(fo / t, 6) AS forced_mass FROM x")

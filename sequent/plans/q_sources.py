@@ -10,6 +10,7 @@ from sequent.operators import sequences as s
 from sequent.plans import adapters as a
 from sequent.plans.adapters import EVENT_TYPES, read
 from sequent.sources import ndjson as src
+from sequent.sources.folders import fresh_path
 from sequent.streaming import live
 
 QUERIES: dict = {}
@@ -59,9 +60,13 @@ def src_trace_explode(spark, d):
     return src.exploded(traces, ["conv_id"], "steps", ["role"])
 
 
-@query("src_catalog", "SELECT source, any_value(lang) AS lang FROM documents WHERE doc_id % 50 = 3 GROUP BY source HAVING count(DISTINCT lang) = 1")
+@query("src_catalog", "WITH e AS (SELECT source AS id, lang AS family FROM documents UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) SELECT id, CASE WHEN count(DISTINCT family) = 1 THEN any_value(family) END AS family, count(DISTINCT family) AS families FROM e GROUP BY id")
 def src_catalog(spark, d):
-    return src.catalog(read(spark, d, "documents").where("doc_id % 50 = 3"), "source", "lang")[0]
+    """All documents' sources and all nations: the former conflict, the latter do not."""
+    entries = read(spark, d, "documents").select(F.col("source").alias("id"), F.col("lang").alias("family"))
+    entries = entries.unionByName(read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("family")))
+    good, bad = src.catalog(entries, "id", "family")
+    return good.withColumn("families", F.lit(1).cast("long")).unionByName(bad.withColumn("family", F.lit(None).cast("string")))
 
 
 @query("src_game_corpus", "SELECT doc_id, doc_id % 9 <> 0 AND count(*) OVER (PARTITION BY text) = 1 AS ok FROM documents")
@@ -70,9 +75,15 @@ def src_game_corpus(spark, d):
     return src.corpus(docs, "text", "declared", "doc_id").select("doc_id", "ok")
 
 
-@query("src_labels", "SELECT doc_id, quality FROM labels JOIN documents USING (doc_id)")
+LABELS = "lb AS (SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 40 = 1 UNION ALL SELECT doc_id + 100000000, quality FROM labels WHERE doc_id % 50 = 4)"
+
+
+@query("src_labels", f"WITH {LABELS}, a AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS m, min(quality) AS quality FROM lb GROUP BY doc_id), x AS (SELECT doc_id, quality, CASE WHEN n IS NULL THEN 'unknown' WHEN m IS NULL THEN 'missing' WHEN n > 1 OR m > 1 THEN 'repeated' ELSE 'ok' END AS status FROM a FULL JOIN b USING (doc_id)) SELECT doc_id, CASE WHEN status = 'ok' THEN quality END AS quality, status FROM x")
 def src_labels(spark, d):
-    return read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "quality")
+    """All labels, some of them twice and some of documents that are not there."""
+    own = read(spark, d, "labels").select("doc_id", "quality")
+    labels = own.union(own.where("doc_id % 40 = 1")).union(own.where("doc_id % 50 = 4").withColumn("doc_id", F.col("doc_id") + 100_000_000))
+    return src.one_label_each(read(spark, d, "documents"), labels, "doc_id", "quality")
 
 
 @query("src_multi_namespaced", "SELECT 'n:' || n_nationkey AS id, 'n' AS namespace FROM nation UNION ALL SELECT 'r:' || r_regionkey, 'r' FROM region")
@@ -103,13 +114,15 @@ def event_stream(spark, d, columns):
 def st_metrics(spark, d):
     hit = (F.col("event_id") % 3 == 0).cast("double")
     stream = event_stream(spark, d, ["event_type", *(hit.alias(f"credit_{k}") for k in (1, 3, 5)), F.lit(0.0).alias("nll"), F.lit(0.0).alias("brier")])
-    found = live.run_to_memory(live.streaming_metrics(stream, ["event_type"]), "st_metrics_out", "complete")
+    found = live.run_to_files(live.streaming_metrics(stream, ["event_type"]), fresh_path(spark, "st-metrics"), "complete")
     return found.select("event_type", "n", F.round("top_1", 6).alias("top_1"))
 
 
 @query("st_convert", "SELECT DISTINCT user_id, event_type FROM events")
 def st_convert(spark, d):
-    return live.run_to_memory(live.converted(event_stream(spark, d, ["user_id", "event_type"]), ["user_id", "event_type"]), "st_convert_out")
+    """Repeats within the watermark's delay are dropped, so the memory of keys is bounded."""
+    rows = live.converted(event_stream(spark, d, ["user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")]), ["user_id", "event_type"], "ts", "60 days")
+    return live.run_to_files(rows.select("user_id", "event_type"), fresh_path(spark, "st-convert"))
 
 
 LIVE = f"WITH {a.EVENTS_SQL}, kk(class_id) AS (VALUES {', '.join(f'({chr(39)}{e}{chr(39)})' for e in EVENT_TYPES)}), w AS (SELECT game, step, class_id, sum(CASE WHEN kind = class_id THEN 0.5 ELSE -0.25 END) OVER (PARTITION BY game, class_id ORDER BY step) AS w FROM ev CROSS JOIN kk), e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY game, step)) AS e FROM w) SELECT game AS session, step AS revision, class_id, round(e / sum(e) OVER (PARTITION BY game, step), 6) AS p FROM e"

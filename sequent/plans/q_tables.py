@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from sequent.operators import contracts as c
 from sequent.operators import joins as j
@@ -145,9 +146,15 @@ def j_label_cover(spark, d):
     return j.cover(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
 
 
+WIDE = str.maketrans({c: chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
 @query("j_title_norm", "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey")
 def j_title_norm(spark, d):
-    regions = read(spark, d, "region").select("r_regionkey", F.concat(F.lit("  "), F.lower("r_name"), F.lit("\t’s ")).alias("title"))
+    """Titles in full-width letters and curly quotes against plain ones."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    wide = F.translate(F.upper("r_name"), letters, letters.translate(WIDE))
+    regions = read(spark, d, "region").select("r_regionkey", F.concat(F.lit("  "), wide, F.lit("\t’s ")).alias("title"))
     nations = read(spark, d, "nation").join(read(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.concat("r_name", F.lit(" 's")).alias("name")), "n_regionkey")
     return j.by_title(nations, regions, "name", "title").select("n_nationkey", "r_regionkey")
 
@@ -193,11 +200,13 @@ def j_expand_hypotheses(spark, d):
     return a.evidence(spark, d).groupBy("class_id", "variant").agg(F.count("*").alias("rows"), F.sum("allowed").alias("allowed"), F.count_if("legal").alias("legal"))
 
 
-@query("j_expand_outcomes", f"WITH {a.HYPOTHESES_SQL} SELECT h, count(*) AS outcomes, round(sum(q), 6) AS total FROM hyp, (VALUES (0, 0.5), (1, 0.3), (2, 0.2)) AS o(o, q) GROUP BY h")
+@query("j_expand_outcomes", "WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) * CASE WHEN l_orderkey % 10 = 3 THEN 0.9 ELSE 1 END AS q FROM lineitem) SELECT o_orderkey, count(l_linenumber) AS outcomes, round(sum(q), 6) AS total, coalesce(min(q) > 0 AND abs(sum(q) - 1) <= 1e-12, false) AS ok FROM orders LEFT JOIN t ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def j_expand_outcomes(spark, d):
-    outcomes = spark.createDataFrame([(k, q) for k, q in enumerate((0.5, 0.3, 0.2))], "o int, q double")
-    rows = a.hypotheses(spark).join(F.broadcast(outcomes))
-    return rounded(rows.groupBy("h").agg(F.count("*").alias("outcomes"), F.sum("q").alias("total")))
+    """An order is a hypothesis, its lines are the outcomes; every tenth order's probabilities do not add up."""
+    own = F.col("l_quantity") / F.sum("l_quantity").over(W.Window.partitionBy("l_orderkey"))
+    outcomes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (own * F.when(F.col("l_orderkey") % 10 == 3, 0.9).otherwise(1.0)).alias("q"))
+    rows = j.expand_outcomes(read(spark, d, "orders").select("o_orderkey"), outcomes, "o_orderkey", "q")
+    return rounded(rows.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("outcomes"), F.sum("q").alias("total"), F.first("ok").alias("ok")))
 
 
 @query("j_asof_horizon", f"{S}, hz(horizon) AS (VALUES (5), (10), (15), (20)) SELECT horizon, game, side, step FROM s JOIN hz ON step <= horizon QUALIFY row_number() OVER (PARTITION BY horizon, game, side ORDER BY step DESC) = 1")
@@ -212,10 +221,19 @@ def horizon_band(order):
     return F.when(order < 5, 0).when(order < 10, 1).when(order < 20, 2).when(order < 40, 3).otherwise(4)
 
 
-@query("j_nearest_control", a.with_sql() + f", x AS (SELECT game, side, step, {BAND} AS band, okey % 4 = 0 AS hit, sha256(CAST(step AS VARCHAR)) AS t FROM steps) SELECT h.game, h.side, h.step AS at, c.step AS control, abs(h.step - c.step) AS distance FROM x h JOIN x c ON h.hit AND NOT c.hit AND h.game = c.game AND h.side = c.side AND h.band = c.band QUALIFY row_number() OVER (PARTITION BY h.game, h.side, h.step ORDER BY abs(h.step - c.step), c.t) = 1")
+def control_rows(spark, d):
+    return a.steps(spark, d).withColumn("hit", F.col("okey") % 4 == 0), TRACK, horizon_band(F.col("step")), "step", "hit", F.sha2(F.col("step").cast("string"), 256)
+
+
+@query("j_nearest_any", a.with_sql() + f", x AS (SELECT game, side, step, {BAND} AS band, okey % 4 = 0 AS hit, sha256(CAST(step AS VARCHAR)) AS t FROM steps) SELECT h.game, h.side, h.step AS at, c.step AS control, abs(h.step - c.step) AS distance FROM x h JOIN x c ON h.hit AND NOT c.hit AND h.game = c.game AND h.side = c.side AND h.band = c.band QUALIFY row_number() OVER (PARTITION BY h.game, h.side, h.step ORDER BY abs(h.step - c.step), c.t) = 1")
+def j_nearest_any(spark, d):
+    return j.nearest_any(*control_rows(spark, d))
+
+
+@query("j_nearest_control")
 def j_nearest_control(spark, d):
-    rows = a.steps(spark, d).withColumn("hit", F.col("okey") % 4 == 0)
-    return j.nearest_control(rows, TRACK, horizon_band(F.col("step")), "step", "hit", F.sha2(F.col("step").cast("string"), 256))
+    """Without reuse, in rounds: held against plain Python in the tests."""
+    return j.nearest_control(*control_rows(spark, d))
 
 
 BLEND = with_sql(pred_sql(), pred_sql("B", "pred_b"))

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +34,10 @@ def nested_repeats(rows: DataFrame, raw: str) -> DataFrame:
             return True
         return False
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(repeats=[bad(x) for x in frame[raw]])
-
-    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("repeats", T.BooleanType())]))
+    # A flat object of plain strings and numbers is judged in the JVM; only what may nest is sent to Python.
+    plain = F.col(raw).rlike(r"^\s*\{[^{}\[\]']*\}\s*$") & ~F.col(raw).rlike("NaN|Infinity")
+    judged = F.pandas_udf(lambda texts: texts.map(lambda x: None if x is None else bad(x)), T.BooleanType())
+    return rows.withColumn("repeats", F.when(plain, F.coalesce(repeated_keys(F.col(raw)), F.lit(False))).otherwise(judged(F.when(~plain, F.col(raw)))))
 
 
 def strict(lines: DataFrame, schema: T.StructType, raw: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -83,10 +80,18 @@ def catalog(entries: DataFrame, key: str, family: str) -> tuple[DataFrame, DataF
 
 def corpus(items: DataFrame, text: str, declared: str, key: str) -> DataFrame:
     """Adds `ok`: the content's SHA-256 is the declared one, and no other item has the same content."""
-    from pyspark.sql import window as W
+    own = items.withColumn("__h", F.sha2(text, 256))
+    again = own.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1")
+    return own.join(again, "__h", "left").withColumn("ok", (F.col("__h") == F.col(declared)) & F.col("__n").isNull()).drop("__h", "__n")
+
 
-    own = F.sha2(text, 256)
-    return items.withColumn("__h", own).withColumn("ok", (F.col("__h") == F.col(declared)) & (F.count("*").over(W.Window.partitionBy("__h")) == 1)).drop("__h")
+def one_label_each(items: DataFrame, labels: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, status of every item and label: `ok` if an item has exactly one label, else missing, unknown or repeated."""
+    own = items.groupBy(key).agg(F.count("*").alias("__items"))
+    found = labels.groupBy(key).agg(F.count("*").alias("__labels"), F.min(value).alias(value))
+    both = own.join(found, key, "full_outer")
+    status = F.when(F.col("__items").isNull(), "unknown").when(F.col("__labels").isNull(), "missing").when((F.col("__items") > 1) | (F.col("__labels") > 1), "repeated").otherwise("ok")
+    return both.select(key, F.when(status == "ok", F.col(value)).alias(value), status.alias("status"))
 
 
 def namespaced(sources: dict[str, DataFrame], key: str) -> DataFrame:
@@ -142,6 +147,12 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def inventory(spark: SparkSession, path: str, game: Column) -> DataFrame:
-    """Per file under a root: lines, games and bytes."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), game.alias("game"))
-    return lines.groupBy("file").agg(F.max("bytes").alias("bytes"), F.count("*").alias("lines"), F.count_distinct("game").alias("games"))
+    """Per file under a root: folder, bytes, lines, games and the content's SHA-256; then one row (folder null) for all of them, with the union of games."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), game.alias("game"))
+    counts = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_distinct("game").alias("games"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    folder = F.element_at(F.split("file", "/"), -2)
+    each = files.join(counts, "file", "left").select(folder.alias("folder"), "bytes", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("games", F.lit(0)).alias("games"), "sha256")
+    union = lines.agg(F.count("*").alias("lines"), F.count_distinct("game").alias("games"))
+    total = files.agg(F.sum("bytes").alias("bytes")).crossJoin(union)  # one row each
+    return each.unionByName(total.select(F.lit(None).cast("string").alias("folder"), "bytes", "lines", "games", F.lit(None).cast("string").alias("sha256")))

@@ -53,6 +53,39 @@ class LivePosterior(StatefulProcessor):
         pass
 
 
+class SwitchingPosterior(LivePosterior):
+    """The posterior of each client's current session: a newer session discards the state, and an older one's rows are late.
+
+    Rows (client, arrival, session, revision, scores) are taken in the order of arrival; sessions count upwards.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._session = handle.getValueState("session", "session long", self._ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self._session.get()
+        current, out = held[0] if held else None, []
+        for frame in [pd.concat(list(rows)).sort_values(["arrival", "session", "revision"])]:  # one client's rows of a batch
+            for session, own in frame.groupby((frame["session"] != frame["session"].shift()).cumsum(), sort=False):
+                session = int(own["session"].iloc[0])
+                if current is not None and session < current:
+                    out.append(pd.DataFrame({"session": session, "revision": own["revision"], "class_id": None, "p": None, "status": "late"}))
+                    continue
+                if session != current:
+                    self._state.clear()
+                    self._waiting.clear()
+                    current = session
+                out += [part.assign(session=session) for part in super().handleInputRows((session,), iter([own]), timers)]
+        self._session.update((current,))
+        yield pd.concat([part.assign(client=key[0]) for part in out])[["client", "session", "revision", "class_id", "p", "status"]]
+
+
+def switching_posterior(stream: DataFrame, classes: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """Posteriors of a stream (client, arrival, session, revision from 1, scores): delivered, stale, and late rows."""
+    return stream.groupBy("client").transformWithStateInPandas(SwitchingPosterior(classes, ttl_ms), f"client long, {OUTPUT}", "append", "None" if ttl_ms is None else "ProcessingTime")
+
+
 def live_posterior(stream: DataFrame, classes: list[str], ttl_ms: int | None = None) -> DataFrame:
     """Posteriors of a stream (session, revision from 1, scores array<double>), as revisions get their turn."""
     return stream.groupBy("session").transformWithStateInPandas(LivePosterior(classes, ttl_ms), OUTPUT, "append", "None" if ttl_ms is None else "ProcessingTime")
@@ -70,11 +103,21 @@ def converted(traces: DataFrame, keys: list[str], time: str | None = None, delay
     return traces.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything that is there and return it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process everything that is there into Parquet under path, and return what the files hold.
+
+    Rows go from the tasks to files in the shared folder, not through the driver; the checkpoint lies beside them, so
+    a stopped query goes on where it was.  In complete mode each batch is a table of its own and the last one counts.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{path}/rows").start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch-{last[0]}")

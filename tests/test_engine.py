@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,7 +154,7 @@ def test_position_codecs(spark):
     assert (row.m, row.u, row.f) == ((12 * 64 + 28) * 5, (52 * 64 + 60) * 5 + 4, start)
     assert (row.piece, row.capture, row.check, row.castle) == ("N", True, True, False)
     features = c.board_features(df, ["id"], "fen")
-    assert features.count() == 32 + 5
+    assert features.count() == 32 + 7  # white to move, four castling rights, no en passant, move number
     assert df.select(c.normalized_fen(F.lit("8/8/8/8/8/8/8/8 w - - 0 1")).alias("f")).first().f is None
     text = '[White "A \\"b\\""]\n[Event "x"]\n1. e4'
     assert spark.createDataFrame([(text,)], "t string").select(c.headers(F.col("t")).alias("h")).first().h == {"Event": "x", "White": 'A "b"'}
@@ -173,7 +174,7 @@ def test_live_posterior_reorders_and_drops_stale_revisions(spark, tmp_path):
         spark.createDataFrame([(int(a[1:]), r, x) for a, r, x in rows], "session long, revision long, scores array<double>").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema("session long, revision long, scores array<double>").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    rows = live.run_to_memory(live.live_posterior(stream, ["a", "b"]), f"live_{os.getpid()}").collect()
+    rows = live.run_to_files(live.live_posterior(stream, ["a", "b"]), f"{tmp_path}/out").collect()
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     done = sorted((r.session, r.revision) for r in rows if r.status == "delivered" and r.class_id == "a")
     assert done == [(1, 1), (1, 2), (1, 3), (2, 1)]
@@ -193,3 +194,120 @@ def test_sinks_do_not_overwrite(spark, tmp_path):
     assert ndjson.write_dataset(rows, f"{tmp_path}/out", "game").first().rows == 2
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         ndjson.write_dataset(rows, f"{tmp_path}/out", "game")
+
+
+def plain_splitmix(seed, count, n):
+    """Places that one SplitMix64 sequence draws from n by rejection."""
+    state, mask, out = seed, 2**64 - 1, []
+    while len(out) < count:
+        state = (state + 0x9E3779B97F4A7C15) & mask
+        z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        z ^= z >> 31
+        if z < 2**64 - 2**64 % n:
+            out.append(z % n)
+    return out
+
+
+def test_fixed_bootstrap_equals_the_plain_sequence(spark):
+    rng = random.Random(5)
+    deltas = [(f"g{k:04d}", rng.uniform(-1, 1)) for k in range(625)]
+    rows = spark.createDataFrame(deltas, "game string, delta double").withColumn("w", F.lit(1.0)).repartition(7)
+    got = {r.r: r.value for r in gates.bootstrap(rows, "game", "delta", "w", 60).collect()}
+    places = plain_splitmix(gates.SEED, 60 * 625, 625)
+    want = [sum(deltas[p][1] for p in places[r * 625 : r * 625 + 625]) / 625 for r in range(60)]
+    assert len(got) == 60 and all(math.isclose(got[r], want[r], abs_tol=1e-12) for r in range(60))
+    times = gates.resampled(rows.select("game", "delta"), "game", 3).groupBy("r").agg(F.sum("times").alias("n"), F.sum(F.col("delta") * F.col("times")).alias("s")).collect()
+    assert {r.r: r.n for r in times} == {0: 625, 1: 625, 2: 625} and all(math.isclose(r.s / 625, want[r.r], abs_tol=1e-12) for r in times)
+
+
+def test_resampling_is_uniform_over_many_clusters(spark):
+    n, count = 100_000, 40
+    found = gates.resampled(spark.range(n).withColumnRenamed("id", "k"), "k", count)
+    per = found.groupBy("k").agg(F.sum("times").alias("times"))
+    assert found.groupBy("r").agg(F.sum("times").alias("n")).where(F.col("n") != n).count() == 0
+    runs = per.groupBy((F.col("k") * 16 / n).cast("int").alias("run")).agg(F.sum("times").alias("n")).collect()
+    mean = n * count / 16
+    assert len(runs) == 16 and all(abs(r.n - mean) < 5 * mean**0.5 for r in runs)
+    drawn = per.count()
+    assert abs(drawn - n * (1 - math.exp(-count))) < 5 and per.agg(F.max("times")).first()[0] < 90
+    one = found.where("r = 0").count()
+    assert abs(one - n * (1 - 1 / math.e)) < 1000
+    assert gates.resampled_sums(spark.range(0).withColumn("t", F.lit(1.0)), "id", ["t"], 5).count() == 0
+
+
+def test_nearest_control_without_reuse(spark):
+    rng = random.Random(8)
+    rows = [(g, k, rng.random() < 0.45, f"{rng.randrange(16**6):06x}") for g in range(12) for k in sorted(rng.sample(range(60), 30))]
+    df = spark.createDataFrame(rows, "g int, step int, hit boolean, t string")
+    band = F.when(F.col("step") < 20, 0).otherwise(1)
+    got = sorted(tuple(r) for r in joins.nearest_control(df, ["g"], band, "step", "hit", F.col("t")).collect())
+    want = []
+    for g in range(12):
+        for b in (0, 1):
+            own = [r for r in rows if r[0] == g and (r[1] >= 20) == b]
+            hits, free = [r for r in own if r[2]], [r for r in own if not r[2]]
+            while hits and free:
+                asks = {}
+                for h in hits:
+                    c = min(free, key=lambda c: (abs(c[1] - h[1]), c[3], c[1]))
+                    asks.setdefault(c, []).append(h)
+                for c, hs in asks.items():
+                    h = min(hs, key=lambda h: (abs(c[1] - h[1]), h[3], h[1]))
+                    want.append((g, h[1], c[1], abs(c[1] - h[1])))
+                    hits.remove(h)
+                    free.remove(c)
+    assert got == sorted(want) and len({(g, c) for g, _, c, _ in got}) == len(got)
+
+
+def test_board_features_of_the_start(spark):
+    fen = "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 50 600"
+    rows = spark.createDataFrame([(1, fen, "e2e4")], "k int, fen string, uci string")
+    got = {r["index"]: r["value"] for r in c.board_features(rows, ["k"], "fen").collect()}
+    pieces = {0: [8, 9, 10, 11, 28, 13, 14, 15], 1: [1, 6], 2: [2, 5], 3: [0, 7], 4: [3], 5: [4], 6: range(48, 56), 7: [57, 62], 8: [58, 61], 9: [56, 63], 10: [59], 11: [60]}
+    want = {p * 64 + s: 1.0 for p, squares in pieces.items() for s in squares}
+    assert got == {**want, 769: 1.0, 770: 1.0, 771: 1.0, 772: 1.0, 773: 1.0, 778: 1.0, 783: 0.5, 784: 1.0}
+    whole = c.position_features(rows, ["k"], "fen", "uci", F.lit(False), F.lit(1), F.lit(1), F.lit(1), F.lit(20))
+    more = {r["index"]: r["value"] for r in whole.collect() if r["index"] >= 785}
+    assert more == {786: 1 / 600, 787: 1 / 300, 788: 1 / 600, 789: 20 / 218, 790: 12 / 63, 791: 28 / 63}
+
+
+def test_temperatures_equal_golden_section(spark):
+    rng = random.Random(4)
+    rows = [(k, "white" if k % 2 else "black", [rng.gauss(0, 3 + 5 * (k % 2)) for _ in range(6)], rng.randrange(6)) for k in range(200)]
+    rows = [(k, s, [x + 6 * (c == t) * (rng.random() < 0.7) for c, x in enumerate(v)], t) for k, s, v, t in rows]
+    logits = fusion.long_logits(spark.createDataFrame(rows, "k long, side string, v array<double>, t int"), "k", "v", "t")
+    logits = logits.join(spark.createDataFrame([(k, s) for k, s, *_ in rows], "k long, side string"), "k")
+    got = fusion.fit_temperatures(logits, "k", "side")
+    for side in ("white", "black"):
+        own = [(v, t) for _, s, v, t in rows if s == side]
+
+        def nll(x, own=own):
+            total = 0.0
+            for v, t in own:
+                scaled = [y / math.exp(x) for y in v]
+                top = max(scaled)
+                total += top + math.log(sum(math.exp(y - top) for y in scaled)) - scaled[t]
+            return total / len(own)
+
+        low, high, ratio = math.log(0.05), math.log(10), (5**0.5 - 1) / 2
+        for _ in range(96):
+            a, b = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, b) if nll(a) <= nll(b) else (a, high)
+        assert math.isclose(got[side][0], math.exp(low), rel_tol=1e-4) and math.isclose(got[side][1], nll(low), abs_tol=1e-8)
+
+
+def test_json_lines_are_judged_alike_with_and_without_python(spark):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
+    lines = ['{"a":1,"b":"x"}', '{"a":1,"a":2,"b":"x"}', '{"a":1,"b":"{x}"}', "{'a':1,'b':'x'}", '{"a":1}', "", '{"a":NaN,"b":"x"}', '{"a":1,"b":"it\'s"}', '{"a":1,"b":"x"} y', '{"a":1,"b":{"c":1,"c":2}}', "[1]"]
+    rows, bad = ndjson.strict(spark.createDataFrame([(x,) for x in lines], "value string"), schema)
+    assert sorted(r.b for r in rows.collect()) == ["it's", "x", "{x}"]
+    assert {r.value: r.reason for r in bad.collect()}['{"a":1,"a":2,"b":"x"}'] == "repeated key or bad number" and bad.count() == 8
+
+
+def test_sidecar_rejects_bad_rows(spark):
+    good = ("white", [0.1, 2.0], 1, [False, False])
+    bad = [("white", [0.1, float("nan")], 1, [False, False]), ("white", [0.1], 0, [False, False]), ("white", [0.1, 1.0], 2, [False, False]), ("white", [0.1, 1.0], 1, [False, True]), (None, [0.1], 0, [False])]
+    rows = spark.createDataFrame([good, *bad], "side string, logits array<double>, truth int, mask array<boolean>")
+    faults = [r[0] for r in rows.select(ndjson.sidecar_faults(rows)).collect()]
+    assert faults == [None, "logit not finite", "lengths differ", "truth out of range", "truth is masked", "missing field"]
