@@ -1,12 +1,13 @@
 """Near duplicates among embeddings by Euclidean p-stable hashing.
 
-Vectors of one direction are put together first.  Each of L tables has K hashes floor((a.v + b) / width) of the
-normalised vector, a drawn from the normal distribution (which is 2-stable) and b from [0, width).  K makes the
-mean bucket hold about `load` unrelated vectors at any number of vectors, and L makes a pair at the threshold meet
-with a chance of `recall`.  In a bucket the cosines of all pairs are computed in double precision.  A pair that
-meets in several buckets counts in the first table only, which both rows' hashes tell.  Buckets over `rows` rows are
-split into blocks, and each pair of blocks is a piece of work of its own, so that no task holds a whole hot bucket.
-Pairs are not written: a piece of work gives each vector's number of links, and links enough to connect them.
+Equal vectors are put together first.  Each of L tables has K hashes floor((a.v + b) / width) of the normalised vector,
+a drawn from the normal distribution (which is 2-stable) and b from [0, width).  K makes the mean bucket hold about
+`load` unrelated vectors at any number of vectors, and L makes a pair at the threshold meet with a chance of `recall`.
+In a bucket the cosines of all pairs are computed in double precision.  A pair that meets in several buckets counts in
+the first table only, which both vectors' hashes tell; they are computed again where there is a pair, and as they are
+sums of whole numbers they are the same everywhere.  Buckets over `block` vectors are split into blocks, and each pair
+of blocks is a piece of work of its own, so that no task holds a whole hot bucket.  Pairs are not written: a piece of
+work gives each vector's number of links, and links enough to connect them.
 """
 
 from __future__ import annotations
@@ -59,14 +60,37 @@ def normalised(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = 0.99, width: float = 2.0, load: int = 128, block: int = 1024, seed: int = 0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+#: Binary places that vectors and directions are rounded to before they are hashed.
+FINE, COARSE = 24, 12
+
+
+class Tables:
+    """The hashes of vectors of d components; a bucket is a 64-bit mix of its table's K cells."""
+
+    def __init__(self, d: int, k: int, tables: int, width: float, seed: int):
+        draw = np.random.default_rng([seed, d])
+        self.k, self.tables = k, tables
+        self._a = np.rint(draw.standard_normal((d, tables * k)) * (1 << COARSE))
+        self._width = float(round(width * (1 << (FINE + COARSE))))
+        self._b = np.rint(draw.uniform(0, self._width, tables * k))
+        self._mix = draw.integers(1, 1 << 62, (tables, k), dtype=np.int64) | 1
+
+    def buckets(self, unit: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Bucket of each vector in the tables from first up to last: exact, as all sums are of whole numbers under 2^53."""
+        own = slice(first * self.k, last * self.k)
+        cells = np.floor((np.rint(unit * (1 << FINE)) @ self._a[:, own] + self._b[own]) / self._width).astype(np.int64)
+        keys = (cells.reshape(len(unit), last - first, self.k) * self._mix[first:last]).sum(2)
+        return keys ^ (keys >> 29)
+
+
+def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = 0.99, width: float = 2.0, load: int = 8_192, block: int = 16_384, seed: int = 0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """For each row of `rows`: vec_id, n_links, component_id, kept.
 
     Two rows link if their cosine is `cosine` or more; n_links counts the other rows a row links with, and
     component_id is the smallest vec_id that links reach.  A vector that is null or zero or holds a null or
     non-finite component links with nothing, and vectors of different lengths do not link.  Rows that repeat a
     vec_id are rows of their own: they link if their vectors do.  A row with a null vec_id links with nothing.
-    No rows: no rows.
+    No rows: no rows.  Other columns are not read, whatever their names.
     """
     kind = "<f4" if rows.schema[embedding].dataType.elementType.simpleString() == "float" else "<f8"
     vectors = valid_vectors(rows, vec_id, embedding)
@@ -75,6 +99,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = 0.99,
     groups = stored(groups.withColumn("node", F.xxhash64("key")), "directions")
     sizes = groups.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()  # a row for each vector length
     dims = {r["d"]: tables_for(r["n"], cosine, width, load, recall) for r in sizes}
+    parts = max(1, min(16_384, sum(r["n"] * dims[r["d"]][1] for r in sizes) // load))
 
     def hashed(whole: bool):
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,30 +108,29 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = 0.99,
             for batch in batches:
                 for d, (k, tables) in dims.items():
                     own = batch.filter(pc.equal(pc.list_value_length(batch["vector"]), d))
+                    hashes = Tables(d, k, tables, width, seed)
                     for at in range(0, own.num_rows, 512):
                         part = own.slice(at, 512)
-                        v = part["vector"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                        draw = np.random.default_rng([seed, d])
-                        a, b = draw.standard_normal((d, tables * k)), draw.uniform(0, width, tables * k)
-                        cells = np.floor((normalised(v) @ a + b) / width).astype(np.int64).reshape(-1, tables, k)
-                        keys = (cells * (draw.integers(1, 1 << 62, (tables, k), dtype=np.int64) | 1)).sum(2)
-                        keys ^= keys >> 29
-                        n = len(v)
-                        found = {"d": pa.array(np.full(n * tables, d, np.int32)), "tab": pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), "bucket": pa.array(np.ascontiguousarray(keys.T).ravel())}
-                        if whole:
-                            found |= {"node": pa.array(np.tile(part["node"].to_numpy(), tables)), "number": pa.array(np.tile(part["number"].to_numpy(), tables))}
-                            found |= {name: pa.array([x.tobytes() for x in rows] * tables, pa.binary()) for name, rows in (("raw", v.astype(kind)), ("keys", keys.astype("<i4")))}
-                        yield pa.RecordBatch.from_pydict(found)
+                        n = part.num_rows
+                        v = part["vector"].flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+                        unit = normalised(v)
+                        raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()) if whole else None
+                        for tab in range(tables):  # a batch a table: its vectors are written once in it
+                            found = {"d": pa.array(np.full(n, d, np.int32)), "tab": pa.array(np.full(n, tab, np.int32)), "bucket": pa.array(hashes.buckets(unit, tab, tab + 1)[:, 0])}
+                            if whole:
+                                found |= {"node": part["node"], "number": part["number"], "raw": raw}
+                            yield pa.RecordBatch.from_pydict(found)
 
         return places
 
-    tables_only = groups.select("vector").mapInArrow(hashed(False), "d int, tab int, bucket long")
-    places = groups.select("node", "number", "vector").mapInArrow(hashed(True), "d int, tab int, bucket long, node long, number long, raw binary, keys binary")
-    counts = tables_only.groupBy("d", "tab", "bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    shared = places.join(counts, ["d", "tab", "bucket"]).withColumn("blocks", F.ceil(F.col("rows") / block))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    keys = ["d", "tab", "bucket"]
+    counts = groups.select("vector").mapInArrow(hashed(False), "d int, tab int, bucket long").groupBy(*keys).agg(F.count("*").alias("rows"))
+    hot = stored(counts.where(F.col("rows") > block).withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")).drop("rows"), "hot-buckets")
+    places = groups.select("node", "number", "vector").mapInArrow(hashed(True), "d int, tab int, bucket long, node long, number long, raw binary")
+    shared = places.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    work = shared.withColumn("mine", mine).withColumn("p", F.explode(pairs)).select("d", "tab", "bucket", "p.i", "p.j", "mine", "node", "number", "raw", "keys")
+    work = shared.withColumn("mine", mine).withColumn("p", F.explode(pairs)).select(*keys, "p.i", "p.j", "mine", "node", "number", "raw")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         d, tab, _, i, j = (x.as_py() for x in key)
@@ -114,39 +138,64 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = 0.99,
         order = np.argsort(mine, kind="stable")
         node, number = table["node"].to_numpy()[order], table["number"].to_numpy()[order]
         unit = normalised(np.frombuffer(b"".join(table["raw"].take(pa.array(order)).to_pylist()), kind).reshape(-1, d).astype(np.float64))
-        keys = np.frombuffer(b"".join(table["keys"].take(pa.array(order)).to_pylist()), "<i4").reshape(len(order), -1)
         split = len(order) if i == j else int((mine == i).sum())
-        left = slice(0, split)
-        right = left if i == j else slice(split, len(order))
-        links, root = np.zeros(len(order), np.int64), np.arange(len(order))
-        for at in range(left.start, left.stop, 256):
-            rows = slice(at, min(at + 256, left.stop))
-            x, y = np.nonzero(unit[rows] @ unit[right].T >= cosine)
-            x, y = x + at, y + right.start
-            if i == j:
-                x, y = x[x < y], y[x < y]
-            first = ~(keys[x, :tab] == keys[y, :tab]).any(1) if tab else np.ones(len(x), bool)
-            x, y = x[first], y[first]
-            np.add.at(links, x, number[y])
-            np.add.at(links, y, number[x])
-            root = joined_roots(root, x, y)
+        right = slice(0, split) if i == j else slice(split, len(order))
+        found = Found(unit, number, Tables(d, *dims[d], width, seed), tab, cosine)
+        for at in range(0, split, 128):
+            found.add(slice(at, min(at + 128, split)), right)
+        links, root = found.links, found.root
         some, a = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
         return pa.table({
             "node": pa.array(np.concatenate([node[some], node[a]]).astype(np.int64)), "links": pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)])),
             "to": pa.array([None] * len(some) + node[root[a]].tolist(), pa.int64()),
         })
 
-    found = stored(work.groupBy("d", "tab", "bucket", "i", "j").applyInArrow(compare, "node long, links long, to long"), "links")
+    split = [*keys, "i", "j"]
+    found = stored(work.repartition(parts, *split).groupBy(*split).applyInArrow(compare, "node long, links long, to long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     base = groups.join(links, "node", "left").join(joined, "node", "left").select("node", "key", "rep", "number", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", F.col("node")).alias("component"))
-    lowest = base.groupBy("component").agg(F.min("rep").alias("component_id"))
+    base = stored(base, "linked")
+    lowest = stored(base.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
     per_key = base.join(lowest, "component").select("key", (F.col("links") + F.col("number") - 1).alias("n_links"), "component_id")
     linked = alike.select("vec_id", "key").join(per_key, "key").select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable(vec_id, embedding)).select(F.col(vec_id).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+class Found:
+    """Links of a piece of work: their number for each vector, and the lowest vector that each is connected with."""
+
+    def __init__(self, unit: np.ndarray, number: np.ndarray, tables: Tables, tab: int, cosine: float):
+        self._unit, self._rough, self._number = unit, unit.astype(np.float32), number
+        self._tables, self._tab, self._cosine = tables, tab, cosine
+        self._buckets, self._known = np.zeros((len(unit), tab), np.int64), np.zeros(len(unit), bool)
+        self.links, self.root = np.zeros(len(unit), np.int64), np.arange(len(unit))
+
+    def add(self, rows: slice, right: slice) -> None:
+        """Links between two runs of vectors, of pairs that did not meet in an earlier table; of one run with itself, each pair once."""
+        linked = self._rough[rows] @ self._rough[right].T >= np.float32(self._cosine - 1e-4)  # the exact cosine follows
+        if right.start == 0:
+            linked &= np.arange(right.start, right.stop) > np.arange(rows.start, rows.stop)[:, None]
+        x, y = np.nonzero(linked)
+        if not len(x):
+            return
+        if len(x) * 16 > linked.size:
+            linked &= self._unit[rows] @ self._unit[right].T >= self._cosine
+        else:
+            linked[x, y] = np.einsum("ij,ij->i", self._unit[rows][x], self._unit[right][y]) >= self._cosine
+        if self._tab:
+            new = np.union1d(np.flatnonzero(linked.any(1)) + rows.start, np.flatnonzero(linked.any(0)) + right.start)
+            new = new[~self._known[new]]
+            self._buckets[new], self._known[new] = self._tables.buckets(self._unit[new], 0, self._tab), True
+            for tab in range(self._tab):
+                linked &= self._buckets[rows, tab][:, None] != self._buckets[right, tab]
+        self.links[rows] += linked @ self._number[right]
+        self.links[right] += self._number[rows] @ linked
+        x, y = np.nonzero(linked)
+        self.root = joined_roots(self.root, x + rows.start, y + right.start)
+
+
 def joined_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The lowest place that each place is connected with, once x and y are linked too."""
     while True:
@@ -156,5 +205,5 @@ def joined_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
         x, y = x[apart], y[apart]
         np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while (up := root[root]).tolist() != root.tolist():
+        while ((up := root[root]) != root).any():
             root = up
