@@ -10,7 +10,9 @@
 3. A bucket gives links enough to connect the nodes that look similar, not their pairs.  Connected nodes form a
    group, and in each group the exact similarity of all pairs of shingle sets is computed, which finds also pairs
    that no bucket held.
-Buckets and groups of over `block` nodes are worked on in pairs of blocks, so no task holds a whole one.
+Buckets and groups of over `block` nodes (groups also by the bytes of their sets) are worked on in pairs of blocks, so
+no task holds a whole one.  A group of several blocks sends its min-hash tokens round first, and only the nodes that
+look like another one of a pair of blocks have their shingle sets fetched for it.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def survival(shared: float, branch: float, depth: int) -> float:
 
 
 def sketched(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, h (hash of the text), key (of the shingle set), sketch; documents without a word are left out."""
+    """doc_id, h (hash of the text), key (of the shingle set), size (of that set), sketch; documents without a word are left out."""
     factors = np.random.default_rng(seed).integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +86,10 @@ def sketched(docs: DataFrame, size: int, seed: int) -> DataFrame:
                 sets = [s for s in sets if len(s)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sketches = [min_hashes(s, factors).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].filter(full), part["h"].filter(full), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].filter(full), part["h"].filter(full), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "key", "size", "sketch"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return hashed.mapInArrow(sketch, "doc_id long, h long, key binary, sketch binary")
+    return hashed.mapInArrow(sketch, "doc_id long, h long, key binary, size long, sketch binary")
 
 
 def followed(nodes: DataFrame, salts: list[int] | None, branch: float) -> DataFrame:
@@ -111,12 +113,11 @@ def followed(nodes: DataFrame, salts: list[int] | None, branch: float) -> DataFr
     return nodes.mapInArrow(follow, "path long, node long")
 
 
-def in_blocks(rows: DataFrame, keys: list[str], count: str, block: int) -> DataFrame:
-    """Rows with `mine` (a block of their key) dealt to all pairs (i, j) of blocks of the key."""
-    blocks = F.ceil(F.col(count) / block)
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows with `mine` (a block of their key) dealt to all pairs (i, j) of the key's blocks."""
     dealt = rows.withColumn("__blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("__blocks")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    return dealt.withColumn("__p", F.explode(pairs)).withColumn("i", F.col("__p.i")).withColumn("j", F.col("__p.j")).drop("__p", "__blocks", count)
+    return dealt.withColumn("__p", F.explode(pairs)).withColumn("i", F.col("__p.i")).withColumn("j", F.col("__p.j")).drop("__p", "__blocks")
 
 
 def likeness(buckets: DataFrame, probes: int = 32) -> DataFrame:
@@ -143,6 +144,18 @@ def sides(mine: np.ndarray, i: int, j: int) -> tuple[np.ndarray, slice, slice]:
     return order, slice(0, split), slice(split, len(order))
 
 
+def shared_tokens(sketches: list[bytes], order: np.ndarray, left: slice, right: slice) -> Iterator[tuple[int, np.ndarray]]:
+    """(first left row, how many min-hash tokens some left rows share with all right rows)."""
+    tokens = np.frombuffer(b"".join(sketches), "<u4").reshape(-1, SIZE)[order].astype(np.uint16)
+    columns = np.ascontiguousarray(tokens[right].T)
+    for at in range(left.start, left.stop, 64):
+        own = np.ascontiguousarray(tokens[at : min(at + 64, left.stop)].T)
+        same = np.zeros((own.shape[1], columns.shape[1]), np.uint8)
+        for k in range(SIZE):
+            same += own[k][:, None] == columns[k]
+        yield at, same
+
+
 def look_alike(least: float):
     """A bucket's (or pair of blocks') nodes -> links that connect those sharing a fraction `least` of tokens."""
 
@@ -150,14 +163,8 @@ def look_alike(least: float):
         _, i, j = (x.as_py() for x in key)
         order, left, right = sides(table["mine"].to_numpy(), i, j)
         node = table["node"].to_numpy()[order]
-        tokens = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u4").reshape(-1, SIZE)[order].astype(np.uint16)
         root = np.arange(len(order))
-        columns = np.ascontiguousarray(tokens[right].T)
-        for at in range(left.start, left.stop, 64):
-            own = np.ascontiguousarray(tokens[at : min(at + 64, left.stop)].T)
-            same = np.zeros((own.shape[1], columns.shape[1]), np.uint8)
-            for k in range(SIZE):
-                same += own[k][:, None] == columns[k]
+        for at, same in shared_tokens(table["sketch"].to_pylist(), order, left, right):
             x, y = np.nonzero(same >= least * SIZE)
             root = joined_roots(root, x + at, y + right.start)
         far = np.flatnonzero(root != np.arange(len(root)))
@@ -166,6 +173,26 @@ def look_alike(least: float):
     return compare
 
 
+def worth_fetching(least: float):
+    """A pair of blocks of a large group -> the nodes in it that share a fraction `least` of tokens with another one."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        grp, i, j = (x.as_py() for x in key)
+        order, left, right = sides(table["mine"].to_numpy(), i, j)
+        found = np.zeros(len(order), bool)
+        for at, same in shared_tokens(table["sketch"].to_pylist(), order, left, right):
+            alike = same >= least * SIZE
+            if i == j:
+                alike[np.arange(len(alike)), np.arange(len(alike)) + at] = False
+            found[at : at + len(alike)] |= alike.any(1)
+            found[right] |= alike.any(0)
+        node = table["node"].to_numpy()[order][found]
+        n = len(node)
+        return pa.table({"grp": np.full(n, grp, np.int64), "i": np.full(n, i, np.int64), "j": np.full(n, j, np.int64), "mine": table["mine"].to_numpy()[order][found].astype(np.int64), "node": node})
+
+    return compare
+
+
 def similar(threshold: float):
     """A group's (or pair of blocks') shingle sets -> each node's links, weighted, and links that connect them."""
 
@@ -205,7 +232,7 @@ def similar(threshold: float):
     return compare
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, branch: float = 2.0, depth: int = 4, limit: int = 512, block: int = 256, seed: int = 0) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, branch: float = 2.0, depth: int = 4, limit: int = 512, block: int = 1024, block_bytes: int = 16 << 20, seed: int = 0) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, h, class_id, n_links, kept.
 
     Two documents link if the Jaccard similarity of their sets of `size`-word shingles (words stand between ASCII
@@ -213,11 +240,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     counts the other documents a document links with, copies included.  class_id is the smallest doc_id that links
     reach.  One text of each class is kept: the one of the smallest doc_id, null ids last, then smallest h (a hash
     of the text).  Rows alike in doc_id and text are kept or not together.  A null, empty or blank text links with
-    nothing and is kept.  No rows: no rows.  Other columns are not read.
+    nothing and is kept.  A very long text is shingled whole.  No rows: no rows.  Other columns are not read, whatever
+    their names.  `block` and `block_bytes` bound the nodes of a group and the bytes of their shingle sets that one
+    side of a piece of work holds; they change no result.
     """
     rows = stored(sketched(docs, size, seed), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    grouped = rows.groupBy("key").agg(F.min(place).alias("rep"), F.count("*").alias("number"), F.first("sketch").alias("sketch"))
+    grouped = rows.groupBy("key").agg(F.min(place).alias("rep"), F.count("*").alias("number"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = stored(grouped.withColumn("node", F.xxhash64("key")), "nodes")
 
     spread = math.sqrt(threshold * (1 - threshold) / SIZE)
@@ -234,7 +263,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
             large = large.join(likeness(large), "path")
             ready = small.unionByName(large.where(F.col("likeness") * branch >= 1).drop("likeness"))
             large = large.where(F.col("likeness") * branch < 1)
-        work = in_blocks(ready, ["path"], "rows", 2 * limit)
+        work = in_blocks(ready.drop("size"), F.ceil(F.col("rows") / (2 * limit))).drop("rows")
         alike = stored(work.groupBy("path", "i", "j").applyInArrow(look_alike(threshold - 4 * spread), "a long, b long"), "alike")
         edges = alike if edges is None else edges.union(alike)
         at = large.select("path", "node", "sketch")
@@ -242,20 +271,27 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
             break
 
     groups = components(edges)
-    members = nodes.join(groups, "node").select("node", "number", F.col("component").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
-    members = members.join(members.groupBy("grp").agg(F.count("*").alias("nodes")), "grp")
+    members = nodes.join(groups, "node").select("node", "number", "size", "sketch", F.col("component").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
+    sizes = stored(members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("size") / block_bytes)).alias("blocks")), "group-blocks")
+    members = stored(members.join(sizes, "grp"), "members")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    texts = texts.join(members, (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "nodes", "node", "number", "text")
+    texts = texts.join(members.drop("sketch"), (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "blocks", "node", "number", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 sets = shingle_sets(part["text"].to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("grp", "nodes", "node", "number")), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["grp", "nodes", "node", "number", "shingles"])
-
-    sets = texts.mapInArrow(shingled, "grp long, nodes long, node long, number long, shingles binary").dropDuplicates(["node"])
-    work = in_blocks(sets, ["grp"], "nodes", block)
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("grp", "blocks", "node", "number")), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["grp", "blocks", "node", "number", "shingles"])
+
+    sets = stored(texts.mapInArrow(shingled, "grp long, blocks long, node long, number long, shingles binary").dropDuplicates(["node"]), "sets")
+    piece = ["grp", "i", "j"]
+    large = in_blocks(members.where("blocks > 1").select("grp", "blocks", "node", "sketch"), F.col("blocks"))
+    alike = stored(large.groupBy(*piece).applyInArrow(worth_fetching(threshold - 6 * spread), "grp long, i long, j long, mine long, node long"), "fetched")
+    fetched = alike.join(sets.select("node", "number", "shingles"), "node")
+    one = F.lit(0).cast("long")
+    work = sets.where("blocks = 1").select("grp", one.alias("i"), one.alias("j"), one.alias("mine"), "node", "number", "shingles")
+    work = work.unionByName(fetched)
     found = stored(work.groupBy("grp", "i", "j").applyInArrow(similar(threshold), "node long, links long, to long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
