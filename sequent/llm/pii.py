@@ -123,7 +123,8 @@ def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: floa
 
     base and terms are arrays of (start, rank, stop, value) in code points, rank being the place in KINDS; a term's
     value is what its span becomes: [TERM] if it is generalised, nothing if it is removed.  Statistics count different
-    texts, so that a rare word of a copied text tells nothing.  Null and empty texts have no span.
+    texts, so that a rare word of a copied text tells nothing.  Null and empty texts have no span, a very long text is
+    read whole, and other columns are not read.  No rows: no rows.
     """
     keyed = docs.select(F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
     found = keyed.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
@@ -153,30 +154,39 @@ def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: floa
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs with `pii_base` and `pii_terms`, both empty where nothing is found; a null text has neither."""
-    found = find(docs, **options).select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("base").alias("pii_base"), F.col("terms").alias("pii_terms"))
+    """docs (text) with `pii_base` and `pii_terms`, both empty where nothing is found; a null text has neither.
+
+    Every other column stays as it is; columns that have these two names already are replaced.
+    """
+    found = stored(find(docs, **options).select(F.col("h").alias("__h"), F.col("g").alias("__g"), F.col("base").alias("pii_base"), F.col("terms").alias("pii_terms")), "pii-spans")
     none = F.array().cast(SPAN)
-    rows = docs.withColumns({"__h": F.xxhash64("text"), "__g": F.hash("text")}).join(found, ["__h", "__g"], "left").drop("__h", "__g")
-    return rows.withColumn("pii_base", F.coalesce("pii_base", none)).withColumn("pii_terms", F.coalesce("pii_terms", none))
+    kept = [c for c in docs.columns if c not in ("pii_base", "pii_terms")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.xxhash64("text").alias("__h"), F.hash("text").alias("__g"))
+    rows = rows.join(found, ["__h", "__g"], "left")  # found has a row a text, stored, so that Spark can split a text's rows
+    return rows.select("__row.*", F.coalesce("pii_base", none).alias("pii_base"), F.coalesce("pii_terms", none).alias("pii_terms"))
 
 
 def sanitised(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with every span replaced: base spans and generalised terms by a word for their kind, other terms by nothing.
+    """docs with every span of column `text` replaced: base spans and generalised terms by a word for their kind, other terms by nothing.
 
-    Of spans that overlap the first counts, of two with one start the first kind.  Other columns stay as they are.
+    Of spans that overlap the first counts, of two with one start the first kind.  Null and empty texts stay, a text
+    of any length is worked on whole, and repeated rows are rows of their own.  Other columns stay as they are,
+    whatever their names.  No rows: no rows.
     """
-    rows = with_spans(docs, **options)
+    columns = docs.columns
+    rows = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{text}`").alias("text")), **options)
     words = F.array(*(F.lit(WORDS_OF[k]) for k in KINDS))
     spans = F.array_sort(F.concat("pii_base", "pii_terms"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, s: Column) -> Column:
         word = F.when(s["rank"] == 4, s["value"]).otherwise(F.get(words, s["rank"]))
-        more = F.concat(a["parts"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), word))
+        more = F.concat(a["parts"], F.array(F.substring("text", a["at"] + 1, s["start"] - a["at"]), word))
         return F.when(s["start"] >= a["at"], F.struct(s["stop"].alias("at"), more.alias("parts"))).otherwise(a)
 
-    clean = F.aggregate(spans, begin, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop("pii_base", "pii_terms")
+    clean = F.aggregate(spans, begin, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["at"] + 1, F.length("text"))))
+    found = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
+    return rows.select(*(found.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
