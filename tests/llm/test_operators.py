@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sequent.llm import idplanes, jaccard, lm, mixing, neardup, packing, pii, quality, tokens, topk, urlfilter, words
@@ -292,6 +293,62 @@ def test_pii_terms_far_from_the_entity(spark):
     assert all("zorblatt" not in clean[k].lower() for k in [*range(6), 50]) and clean[100] == rows[7][1] and clean[60] is None
 
 
+def plain_terms(texts, share=0.6, remove_at=0.9, bits=4.0):
+    """(start, end) -> replacement of the term spans of each text, straight from the definition."""
+    different = sorted({t for t in texts if t is not None})
+    words_of = {t: {m.group().lower() for m in regex.finditer(r"\p{L}{3,}", t)} for t in different}
+    entities = {}
+    for t in different:
+        own = set()
+        for a, rank, b, _ in plain_spans(t):
+            text, number = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            group = (text.split("@", 1)[-1], text.rpartition(".")[0], number[:6], number[:-7])[rank]
+            own |= {(0, rank, number if rank >= 2 else text), (1, rank, group), (2, rank)}
+        entities[t] = own
+    found = {}
+    for w in set().union(*words_of.values()):
+        having = [t for t in different if w in words_of[t]]
+        for e in set().union(*(entities[t] for t in having)):
+            usual = sum(e in entities[t] for t in different) / len(different)
+            p = (sum(e in entities[t] for t in having) + usual) / (len(having) + 1)
+            if p >= share and math.log2(p / usual) >= bits:
+                found[w] = "" if p >= remove_at else found.get(w, "[TERM]")
+    return [{} if t is None else {m.span(): found[m.group().lower()] for m in regex.finditer(r"\p{L}{3,}", t) if m.group().lower() in found and not any(a < m.end() and m.start() < b for a, _, b, _ in plain_spans(t))} for t in texts]
+
+
+def test_pii_terms_equal_plain_ones(spark):
+    random.seed(12)
+    filler = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    pick = lambda n: " ".join(random.choice(filler) for _ in range(n))
+    rare = [f"name{chr(97 + k)}" for k in range(12)]
+    whose = [0] * 12 + [1 + k // 4 for k in range(44)]
+    texts = [f"{pick(12)} {rare[n]} {(f'u{k}@d{n}.org', f'10.{n}.7.{k}', f'+1 55{n} 1234 {1000 + k}')[n % 3]} {pick(9)}" for k, n in enumerate(whose)]
+    texts += [f"{pick(15)} {random.choice(rare)} {pick(3)}" for _ in range(6)] + [pick(25) for _ in range(700)] + [None, "", "x" * 50_000, texts[0], texts[0]]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    by = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 20 and {v for x in want for v in x.values()} >= {"", "[TERM]"}
+    for k in range(len(texts)):
+        assert sorted(tuple(map(int, s.split(":")[1:])) for s in by[k].split(",") if s.startswith("term")) == sorted(want[k]), texts[k]
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    for k, t in enumerate(texts[:62]):
+        parts = sorted([(a, b, f"[{kind.upper()}]") for a, _, b, kind in plain_spans(t)] + [(*s, v) for s, v in want[k].items()])
+        made, at = "", 0
+        for a, b, v in parts:
+            made, at = made + t[at:a] + v, b
+        assert clean[k] == made + t[at:]
+
+
+def test_pii_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "pii_base", "pii_terms", "__h", "__g", "h", "g", "row", "__row"]
+    docs = spark.createDataFrame([(1, "mail a@b.org", *"abcdefgh"), (2, None, *"abcdefgh")], names)
+    got = pii.sanitised(docs)
+    assert got.columns == names
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "mail [EMAIL]", *"abcdefgh"), (2, None, *"abcdefgh")]
+    assert pii.sanitised(docs.withColumnRenamed("text", "body"), "body").orderBy("doc_id").first().body == "mail [EMAIL]"
+    assert [len(r.pii_base) for r in pii.with_spans(docs).orderBy("doc_id").collect()] == [1, 0] and pii.digest(docs).count() == 2
+
+
 def plain_verdict(url, rules):
     if url is None or "://" not in url:
         return ("", "", None, "allow")
@@ -330,6 +387,42 @@ def test_quality_on_held_out_labels(spark, none):
     assert quality.score(none, labels).count() == 0
 
 
+def test_quality_rounds_equal_plain_ones(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(30))  # repeated rows
+    got = quality.fitted(docs, labels, 1000, 3, 0.9, 7, 0.01, 0)
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    keyed = docs.withColumn("key", F.xxhash64("text", "source", "lang", F.col("n_chars").cast("long"))).collect()
+    rows = {r.key: r for r in keyed if split(r.text)}
+    views = {k: [quality.content([r.text])[0].astype("f4"), quality.metadata([r.source], [r.lang], [r.n_chars])[0].astype("f4")] for k, r in rows.items()}
+    have = [r for r in keyed if split(r.text)]
+    mine = sorted((min(r.key for r in have if r.doc_id == d), q) for d, q in label.items() if any(r.doc_id == d for r in have))
+    mine, y = [k for k, _ in mine], np.array([float(q) for _, q in mine])
+    held = np.zeros(len(y), bool)
+    for value in (0, 1):
+        held[np.flatnonzero(y == value)[1::4]] = True
+    stack = lambda keys, v: np.array([views[k][v] for k in keys], np.float32).reshape(len(keys), (72, quality.SOURCES + quality.LANGS + quality.LENGTHS)[v])
+    want = quality.CoTrained([stack(mine, v) for v in (0, 1)], y, held)
+    pool = {r.key for r in have if r.doc_id not in label}
+    total = len(pool)
+    for _ in range(3):
+        picks = {}
+        for v in (0, 1):
+            for lab in (0, 1):
+                doubt = [((1 - p) if lab else p, k) for k in pool for p in [round(float(want.calibrated(v, stack([k], v))[0]), 9)]]
+                picks[v, lab] = {k for d, k in sorted(doubt)[:7] if d <= 1 - 0.9}
+        torn = (picks[0, 0] | picks[1, 0]) & (picks[0, 1] | picks[1, 1])
+        for (v, lab), keys in picks.items():
+            want.learn(1 - v, stack(sorted(keys - torn), 1 - v), lab)
+        pool -= set().union(*picks.values())
+        want.fit()
+    want.finish(0.01)
+    assert len(pool) < total
+    for v in (0, 1):
+        assert np.allclose(got.views[v].w, want.views[v].w, atol=1e-6)
+    assert np.allclose(got.joint.w, want.joint.w, atol=1e-6) and math.isclose(got.accept, want.accept, abs_tol=1e-9)
+
+
 def test_quality_edge_rows(odd, spark):
     docs, rows = odd
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(None, 1), (1, None), (3, 7), (3, 1)], "doc_id long, quality int")
