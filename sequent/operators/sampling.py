@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sequent.sources.tables import numbered
+from sequent.operators.joins import nearest_control
+from sequent.sources.tables import numbered, stored
 
 
 def hashed(seed: str, *key: str) -> Column:
@@ -42,35 +43,45 @@ def stratified(tracks: DataFrame, strata: list[str], source: str, key: str, seed
     return placed.where((extra & (F.col("place") <= F.col("use_supplemental"))) | (~extra & (F.col("place") <= F.col("quota") - F.col("use_supplemental")))).drop("quota", "use_supplemental")
 
 
-def opportunity_paired(rows: DataFrame, game: str, step: str, hit: str, k: int = 24, pairs: int = 4, anchors: int = 8) -> DataFrame:
-    """Of each game: anchors, pairs of a hit and its nearest other row of the same band without reuse, then others, k in all.
+#: First steps of the horizon bands that pairs are made in (fixed values).
+BANDS = (0, 5, 10, 20, 40)
 
-    A game of fewer rows repeats them.  Returns game, step, role, place.  A game's rows are worked on together.
-    """
 
-    def choose(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["__h", step]).reset_index(drop=True)
-        band = pd.cut(own[step], [-1, 4, 9, 19, 39, 1 << 60], labels=False)
-        taken, out = set(), []
-        for i in range(min(anchors, len(own))):
-            taken.add(i)
-            out.append((i, "anchor"))
-        made = 0
-        for i in own.index[own[hit]]:
-            others = [x for x in own.index[~own[hit]] if x not in taken and band[x] == band[i]]
-            if made == pairs or i in taken or not others:
-                continue
-            near = min(others, key=lambda x: (abs(own[step][x] - own[step][i]), own["__h"][x]))
-            taken |= {i, near}
-            out += [(i, "hit"), (near, "control")]
-            made += 1
-        out += [(i, "fill") for i in own.index if i not in taken]
-        full = [out[n % len(out)] for n in range(k)]
-        return pd.DataFrame({game: own[game].iloc[0], step: [own[step][i] for i, _ in full], "role": [r for _, r in full], "place": range(k)})
-
-    keyed = rows.select(game, step, hit, hashed("pairs", game, step).alias("__h"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return keyed.groupBy(game).applyInPandas(choose, f"{game} {kind[game]}, {step} {kind[step]}, role string, place int")
+def opportunity_paired(rows: DataFrame, game: str, step: str, hit: str, k: int = 24, pairs: int = 4, anchors: int = 8, side: tuple[str, ...] = ()) -> DataFrame:
+    """k rows of each game: anchors, then pairs of a hit and its nearest other row of the same side and band, then others.
+
+    Anchors and others are the rows that hash lowest.  Pairs are made without reuse among the rows that are no anchors
+    (joins.nearest_control), and bands take turns in giving one, from a band on that the game's hash names: at most
+    `pairs` of them, and as many as fit into k.  A game of fewer than k rows gives all of them, and then rows drawn
+    by hash.  Returns game, the row's columns, role and place (from 0).
+    """
+    row = [game, *side, step]
+    number = lambda c: F.conv(F.substring(c, 1, 12), 16, 10).cast("long")
+    own = W.Window.partitionBy(game)
+    first = min(anchors, k)
+    held = rows.select(*row, hit, hashed("pairs", *row).alias("__h"))
+    held = held.withColumn("__n", F.count("*").over(own)).withColumn("__place", F.row_number().over(own.orderBy("__h", *row)) - 1)
+    held = stored(held, "paired-rows")
+    band = sum((F.when(F.col(step) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
+    free = held.where((F.col("__n") >= k) & (F.col("__place") >= first)).withColumn("__band", band)
+    made = nearest_control(free, [game, *side], F.col("__band"), step, hit, F.col("__h"))
+    hits = free.where(hit).select(*row, F.col(step).alias("at"), "__h", "__band").drop(step)
+    start = number(hashed("bands", game)) % len(BANDS)
+    turn = F.pmod(F.col("__band") - start, F.lit(len(BANDS)))
+    made = made.join(hits, [game, *side, "at"]).withColumn("__turn", turn)
+    made = made.withColumn("__round", F.row_number().over(W.Window.partitionBy(game, "__turn").orderBy("__h", "at")))
+    made = made.withColumn("__pair", F.row_number().over(own.orderBy("__round", "__turn")) - 1).where(F.col("__pair") < min(pairs, (k - first) // 2))
+    both = F.array(F.struct(F.col("at").alias(step), F.lit("hit").alias("__role"), (first + 2 * F.col("__pair")).alias("__at")), F.struct(F.col("control").alias(step), F.lit("control").alias("__role"), (first + 2 * F.col("__pair") + 1).alias("__at")))
+    made = made.select(game, *side, F.explode(both).alias("x")).select(game, *side, "x.*")
+    marked = held.join(made, row, "left")
+    role = F.when(F.col("__n") < k, "all").when(F.col("__place") < first, "anchor").otherwise(F.coalesce("__role", F.lit("fill")))
+    marked = marked.withColumn("role", role)
+    order = F.when(F.col("role") == "fill", k).otherwise(F.coalesce("__at", F.col("__place")))
+    placed = marked.withColumn("place", F.row_number().over(own.orderBy(order, "__h", *row)) - 1).where((F.col("place") < k) | (F.col("role") == "all"))
+    again = placed.where(F.col("role") == "all").select(game, "__n").distinct().select(game, "__n", F.explode(F.sequence(F.col("__n"), F.lit(k - 1))).alias("place"))
+    again = again.withColumn("__draw", number(F.sha2(F.concat_ws(":", F.lit("again"), F.col(game).cast("string"), F.col("place").cast("string")), 256)) % F.col("__n"))
+    again = again.join(placed.select(*row, F.col("place").alias("__draw")), [game, "__draw"]).select(*row, F.lit("again").alias("role"), "place")
+    return placed.select(*row, "role", "place").unionByName(again)
 
 
 def shuffled(rows: DataFrame, seed: str, *key: str) -> DataFrame:

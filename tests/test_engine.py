@@ -1,7 +1,7 @@
 """Hand-computed metrics, invariances and mutations of the engine's operators."""
 
+import hashlib
 import math
-import os
 import random
 
 import pytest
@@ -260,6 +260,43 @@ def test_nearest_control_without_reuse(spark):
     assert got == sorted(want) and len({(g, c) for g, _, c, _ in got}) == len(got)
 
 
+def plain_paired(rows, k, pairs, anchors):
+    """(step, role, place) of one game's rows (game, step, hit), straight from the definition."""
+    sha = lambda *x: hashlib.sha256(":".join(map(str, x)).encode()).hexdigest()
+    own = sorted((sha("pairs", g, s), s, h) for g, s, h in rows)
+    game, n = rows[0][0], len(rows)
+    if n < k:
+        steps = [s for _, s, _ in own]
+        return [(s, "all", p) for p, s in enumerate(steps)] + [(steps[int(sha("again", game, p)[:12], 16) % n], "again", p) for p in range(n, k)]
+    band = lambda s: sum(s >= b for b in sampling.BANDS[1:])
+    rest, found = own[anchors:], {}
+    for b in range(5):
+        hits, free = [x for x in rest if x[2] and band(x[1]) == b], [x for x in rest if not x[2] and band(x[1]) == b]
+        while hits and free:
+            asks = {}
+            for x in hits:
+                asks.setdefault(min(free, key=lambda c: (abs(c[1] - x[1]), c[0], c[1])), []).append(x)
+            for c, xs in asks.items():
+                x = min(xs, key=lambda x: (abs(c[1] - x[1]), x[0], x[1]))
+                found[x] = c
+                hits.remove(x)
+                free.remove(c)
+    start = int(sha("bands", game)[:12], 16) % 5
+    turns = {t: sorted(x for x in found if (band(x[1]) - start) % 5 == t) for t in range(5)}
+    chosen = [x for _, _, x in sorted((r, t, x) for t, xs in turns.items() for r, x in enumerate(xs))][: min(pairs, (k - anchors) // 2)]
+    out = [(s, "anchor") for _, s, _ in own[:anchors]] + [y for x in chosen for y in ((x[1], "hit"), (found[x][1], "control"))]
+    used = {s for s, _ in out}
+    return [(s, r, p) for p, (s, r) in enumerate((out + [(s, "fill") for _, s, _ in own if s not in used])[:k])]
+
+
+def test_opportunity_pairs_equal_plain_ones(spark):
+    rng = random.Random(6)
+    rows = [(g, s, rng.random() < 0.4) for g in range(9) for s in range((70, 40, 24, 23, 5, 1, 90, 30, 26)[g])]
+    got = sampling.opportunity_paired(spark.createDataFrame(rows, "game int, step int, hit boolean").repartition(3), "game", "step", "hit").collect()
+    for g in range(9):
+        assert sorted((r.step, r.role, r.place) for r in got if r.game == g) == sorted(plain_paired([r for r in rows if r[0] == g], 24, 4, 8)), g
+
+
 def test_board_features_of_the_start(spark):
     fen = "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq e3 50 600"
     rows = spark.createDataFrame([(1, fen, "e2e4")], "k int, fen string, uci string")
