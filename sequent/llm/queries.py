@@ -146,7 +146,7 @@ q AS (
   ON k.number = h.number AND k.r <= h.seats GROUP BY h.number),
 sh AS (
   SELECT h.number, j.shard, q.quota, least(16384, h.blocks - j.shard * 16384) AS own
-  FROM h JOIN q USING (number), (SELECT unnest(range(0, 64)) AS shard) j WHERE j.shard * 16384 < h.blocks),
+  FROM h JOIN q USING (number), (SELECT unnest(range(0, (SELECT max(blocks) FROM h) // 16384 + 1)) AS shard) j WHERE j.shard * 16384 < h.blocks),
 sq AS (
   SELECT sh.number, sh.shard, any_value(sh.own) AS own, count(k.k) AS quota FROM sh LEFT JOIN (
     SELECT number, shard, row_number() OVER (PARTITION BY number ORDER BY CAST(own AS DOUBLE) / (2 * k - 1) DESC, shard) AS r, k

@@ -1,38 +1,11 @@
-"""Tables and prefix sums that the corpus operators share."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import window as W
-
 from sequent.sources.folders import fresh_path
+from sequent.sources.tables import part_offsets, range_numbered, stored
+
+__all__ = ["WORD", "fresh_path", "part_offsets", "range_numbered", "stored"]
 
 #: One word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def range_numbered(df: DataFrame, keys: list, name: str) -> DataFrame:
-    """Rows with `part` (their place in a range partitioning by keys) and `local` (their place in the part).
-
-    Stored, so that both stay what they are however often the rows are read.
-    """
-    ids = F.monotonically_increasing_id()
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", ids)
-    placed = placed.withColumn("part", F.shiftright("__id", 33)).withColumn("local", F.col("__id") - F.shiftleft(F.shiftright("__id", 33), 33))
-    return stored(placed.drop("__id"), name)
-
-
-def part_offsets(df: DataFrame, total, by: str = "part") -> DataFrame:
-    """For each part the sum of `total` over all parts before it: a running sum over one row per part."""
-    sums = df.groupBy(by).agg(total.cast("long").alias("__sum"))
-    before = W.Window.orderBy(by).rowsBetween(W.Window.unboundedPreceding, -1)
-    return sums.select(by, F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast("long").alias("before"))

@@ -221,6 +221,38 @@ def test_jaccard_classes(odd, none, spark):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_jaccard_recall_of_planted_links(spark):
+    rng = random.Random(17)
+    words_ = [f"w{k}" for k in range(20_000)]
+    rows, family = [], []
+    for k in range(150):
+        base = [rng.choice(words_) for _ in range(rng.choice([12, 40, 150, 400]))]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                own[rng.randrange(len(own))] = rng.choice(words_)
+            family.append(k)
+            rows.append((len(rows), " ".join(own)))
+    links = [len(x) for k in range(150) for x in jaccard_links([r for r, f in zip(rows, family, strict=True) if f == k])]
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] <= n for k, n in enumerate(links)) and sum(links) > 500
+    assert sum(got.values()) >= 0.995 * sum(links)
+
+
+def test_jaccard_blocks_change_nothing(spark):
+    rng = random.Random(19)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(140):
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(tuple, jaccard.jaccard_classes(df, **sizes).collect())) for sizes in ({}, {"block": 20, "block_bytes": 9_000, "limit": 32}))
+    assert one == many and [r[3] for r in one] == [len(x) for x in jaccard_links(rows)]
+
+
 def plain_spans(text):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     found = []
@@ -460,6 +492,29 @@ def test_embedding_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("load", [8_192, 64])
+def test_embedding_recall_of_planted_links(spark, load):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((2000, 64))
+    rows = [v / np.linalg.norm(v) for v in base]
+    for k in range(600):  # partners at cosines from 0.85 to 0.95, a third of them to one vector
+        a = rows[0 if k % 3 == 0 else k]
+        across = rng.standard_normal(64)
+        across -= across @ a * a
+        c = rng.uniform(0.85, 0.95)
+        rows.append(c * a + math.sqrt(1 - c * c) * across / np.linalg.norm(across))
+    unit = np.array(rows, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.9).sum(1)
+    df = spark.createDataFrame([(k, np.float32(v).tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df, load=load, block=512 if load > 64 else 48).collect()}
+    found = sum(got.values())
+    assert all(got[k] <= want[k] for k in got) and want.sum() > 400
+    assert found >= 0.97 * want.sum()
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(6)
     codes = rng.integers(-(1 << 62), 1 << 62, 400)
@@ -491,6 +546,80 @@ def test_lm_scores(odd, none, spark):
     assert lm.scores(none).count() == 0
 
 
+def plain_lm(texts, fold):
+    """score of each text straight from the definition: interpolated bigrams, weights by EM on the deleted fold."""
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    lines = [(fold(d), ["<BEGIN>", *split((t or "").translate(low)), "<END>"]) for d, t in texts]
+    bucket = lambda n: n.bit_length()
+
+    def counted(folds):
+        single, pair = collections.Counter(), collections.Counter()
+        for f, ws in lines:
+            if f in folds:
+                single.update(ws)
+                pair.update(zip(ws, ws[1:], strict=False))
+        begun = single.pop("<BEGIN>", 0)
+        return single, pair, {**single, "<BEGIN>": begun}, sum(single.values())
+
+    single, pair, context, n = counted(range(2, 10))
+    step = lambda p: None if p == 0 else round(8 * math.log2(p))
+    value = lambda s: 0.0 if s is None else 2.0 ** (s / 8)
+    seen = collections.defaultdict(collections.Counter)
+    for f, ws in lines:
+        if f == 1:
+            for h, w in zip(ws, ws[1:], strict=False):
+                c = context.get(h, 0)
+                seen[bucket(c)][step(pair[h, w] / max(c, 1)), step(single[w] / max(n, 1))] += 1
+    found = {}
+    for b, cells in seen.items():
+        own, w = [(value(p), value(s), 1 / (len(single) + 1), k) for (p, s), k in cells.items()], [1 / 3] * 3
+        for _ in range(100):
+            share = [0.0] * 3
+            for *p, k in own:
+                total = sum(x * y for x, y in zip(p, w, strict=True))
+                for i in range(3):
+                    share[i] += k * p[i] * w[i] / total
+            after = [x / sum(k for *_, k in own) for x in share]
+            if max(abs(x - y) for x, y in zip(after, w, strict=True)) < 1e-9:
+                break
+            w = after
+        w[2] = max(w[2], 1e-7)
+        found[b] = [x / sum(w) for x in w]
+
+    def weights(b):
+        near = [x for x in found if (x == 0) == (b == 0)]
+        return found[min(near, key=lambda x: (abs(x - b), x))] if near else ([0, 0.5, 0.5] if b == 0 else [1 / 3] * 3)
+
+    single, pair, context, n = counted(range(1, 10))
+    out = []
+    for _, ws in lines:
+        total = 0.0
+        for h, w in zip(ws, ws[1:], strict=False):
+            c = context.get(h, 0)
+            x = weights(bucket(c)) if n else [0, 0, 1]
+            total += math.log10(x[0] * pair[h, w] / max(c, 1) + x[1] * single[w] / max(n, 1) + x[2] / (len(single) + 1))
+        out.append(total)
+    return out
+
+
+def test_lm_scores_equal_plain_ones(odd, spark):
+    random.seed(21)
+    follow = {w: [f"{w}{k}" for k in range(4)] for w in "abcdefgh"}
+    texts = [(d, t) for d, t, *_ in odd[1]]
+    for k in range(150):
+        own = []
+        for _ in range(random.randint(0, 30)):
+            w = random.choice("abcdefgh")
+            own += [w, random.choice(follow[w]).upper() if k % 7 == 0 else random.choice(follow[w])]
+        texts.append((5000 + k, " ".join(own)))
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
+    want = sorted((str(d), round(x, 5)) for (d, _), x in zip(texts, plain_lm(texts, fold), strict=True))
+    for sizes in ({"batch_chars": 3000, "range_keys": 400}, {}):
+        got = lm.scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), **sizes).collect()
+        made = sorted((str(r.doc_id), round(r.score, 5)) for r in got)
+        assert [d for d, _ in made] == [d for d, _ in want] and all(abs(x - y) < 2e-5 for (_, x), (_, y) in zip(made, want, strict=True))
+
+
 def test_lm_distribution_sums_to_one():
     found = lm.weights_by_em([(3, -8, -40, 10), (3, lm._NONE, -40, 30), (3, lm._NONE, lm._NONE, 5)], 1e-3)
     assert math.isclose(sum(found[3]), 1.0) and all(w > 0 for w in found[3])
