@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; run() writes what a stage keeps as Parquet in
 the shared folder and reads it again for the next one.  All stages but the last return the columns of documents.
-Null and empty texts do not get past the first stage; given to a later stage alone, they are kept by it (mixing, which
-takes words, takes none of them).
+Every stage takes rows with nulls in any column, empty and very long texts (worked on whole), repeated rows, ties, no
+rows at all, and extra columns of any name, which are not read and not returned.  What each of them does with such rows
+stands with it.
 """
 
 from __future__ import annotations
@@ -19,13 +20,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts."""
+    """The documents that the quality classifier accepts.
+
+    Null, empty and blank texts go.  Repeated rows are judged alike, each on its own.  Without labels of both kinds
+    every document that has a word stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score(docs.select(COLUMNS), labels).where("accepted").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; one row of those alike in doc_id and text."""
+    """One document of each near-duplicate class; one row of those alike in doc_id and text.
+
+    Of a class the text of the smallest doc_id stays, null ids last, then the one of the smallest hash.  Null, empty
+    and blank texts are like nothing and stay, but once for each doc_id.
+    """
     kept = jaccard.jaccard_classes(docs).where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "rows")
     found = docs.select(COLUMNS).withColumn("__key", F.xxhash64("text"))
@@ -35,18 +44,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced; n_chars follows the text."""
+    """Personal data replaced; n_chars follows the text.
+
+    Null and empty texts stay as they are, a null one with its n_chars; repeated rows stay repeated.
+    """
     return pii.sanitised(docs.select(COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a document taken twice is two rows, one taken in part has that part."""
+    """The words that the mix takes: a document taken twice is two rows, one taken in part has that part.
+
+    Null sources are one source.  Nothing is taken of null, empty and blank texts.  Repeated rows are documents of
+    their own.
+    """
     mixed = mixing.mix(docs, carry=("text", "lang")).where("taken > 0").select("doc_id", "text", "lang", "source", "cuts")
     return mixing.cut_texts(mixed).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences."""
+    """Token pieces with their sequences.
+
+    A null or empty text is one piece, its end id; repeated rows and null doc_ids are documents of their own.
+    """
     return packing.best_fit_packing(docs, word_vocabulary())
 
 
