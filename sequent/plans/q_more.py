@@ -176,10 +176,15 @@ def s_ablation_pair(spark, d):
     return rounded(control.join(treatment, "seed").select("control", "treatment", (F.col("y") - F.col("x")).alias("gain")), 4)
 
 
-def treatments(spark, d, rows=None):
-    table = (blended_scores(spark, d) if rows is None else rows).groupBy("weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
-    control = table.where("weight = 0").select(*(F.col(x).alias(f"c_{x}") for x in ("top_1", "top_3", "nll")))
+def treatments(spark, d):
+    table = blended_scores(spark, d).groupBy("weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
     best = f.ordered_choice(table.where("weight > 0"), [F.desc("top_1"), F.desc("top_3"), "nll", "weight"])
+    return compared(best, table.where("weight = 0"))
+
+
+def compared(best, control):
+    """A treatment's metrics against the control's, one row each."""
+    control = control.select(*(F.col(x).alias(f"c_{x}") for x in ("top_1", "top_3", "nll")))
     primary = F.struct("top_1", "top_3", -F.col("nll")) > F.struct("c_top_1", "c_top_3", -F.col("c_nll"))
     return best.crossJoin(control).select("weight", "top_1", "c_top_1", primary.alias("primary"), (primary & (F.col("nll") <= F.col("c_nll") + 0.05)).alias("release"))  # one row each
 
@@ -193,10 +198,15 @@ def s_treatment(spark, d):
     return treatments(spark, d)
 
 
-@query("s_paired_test", treatment_sql("WHERE game % 3 = 0"))
+COMPARED = "SELECT b.weight, b.top_1, k.top_1 AS c_top_1, (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AS \"primary\", (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AND b.nll <= k.nll + 0.05 AS release FROM b, k"
+
+
+@query("s_paired_test", f"{BLENDED}, tb AS (SELECT game % 3 = 0 AS test, weight, round(avg(credit_1), 6) AS top_1, round(avg(credit_3), 6) AS top_3, round(avg(nll), 6) AS nll FROM bs GROUP BY 1, 2), pick AS (SELECT weight FROM tb WHERE NOT test AND weight > 0 ORDER BY top_1 DESC, top_3 DESC, nll, weight LIMIT 1), b AS (SELECT tb.* FROM tb JOIN pick USING (weight) WHERE test), k AS (SELECT * FROM tb WHERE test AND weight = 0) {COMPARED}")
 def s_paired_test(spark, d):
-    """The comparison on the held-out table: games that model selection (the other two thirds) never saw."""
-    return treatments(spark, d, blended_scores(spark, d).where("game % 3 = 0"))
+    """The treatment chosen on two thirds of the games, compared with the control once on the third that is held out."""
+    table = blended_scores(spark, d).groupBy((F.col("game") % 3 == 0).alias("test"), "weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
+    best = f.ordered_choice(table.where("not test and weight > 0"), [F.desc("top_1"), F.desc("top_3"), "nll", "weight"]).select("weight")
+    return compared(table.where("test").join(best, "weight"), table.where("test and weight = 0"))
 
 
 @query("s_blend_run", treatment_sql().replace("SELECT b.weight, b.top_1, k.top_1 AS c_top_1,", "SELECT b.weight, CASE WHEN b.top_1 >= k.top_1 AND b.nll <= k.nll THEN 'promote' ELSE 'retain' END AS decision FROM b, k --"))
