@@ -94,21 +94,21 @@ def nearest_control(rows: DataFrame, key: list[str], band: Column, order: str, f
     """As nearest_any, but no row serves twice: key, at, control, distance.
 
     In rounds every flagged row that is left asks for the nearest row that is left, and each row that is asked for
-    goes to the nearest asker (of equal ones to that with the smaller hash); until nobody gets one any more.  Rows are
-    told apart by key, order and hash.
+    goes to the nearest asker (of equal ones to that with the smaller hash); until nobody is refused.  A round works on
+    the groups where somebody was refused before.  Rows are told apart by key, order and hash.
     """
     group = [*key, "band"]
     left = stored(rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.col(flag).alias("hit"), tie.alias("tie")), "pairing")
     found = []
     while True:
         asked = W.Window.partitionBy(*group, "choice.at", "choice.tie").orderBy("choice.distance", "tie", "at")
-        won = _nearest(left, group).withColumn("place", F.row_number().over(asked)).where("place = 1").drop("place")
-        won = stored(won, "pairs")
+        asks = stored(_nearest(left, group).withColumn("place", F.row_number().over(asked)), "asks")
+        won, refused = asks.where("place = 1"), asks.where("place > 1").select(*group).distinct()
         found.append(won.select(*key, "at", F.col("choice.at").alias("control"), "choice.distance"))
         gone = won.select(*group, "at", F.lit(True).alias("hit"), "tie").union(won.select(*group, "choice.at", F.lit(False), "choice.tie"))
-        if won.isEmpty():
+        if refused.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        left = stored(left.join(gone, [*group, "at", "hit", "tie"], "left_anti"), "pairing")
+        left = stored(left.join(refused, group, "left_semi").join(gone, [*group, "at", "hit", "tie"], "left_anti"), "pairing")
 
 
 def expand_outcomes(hypotheses: DataFrame, outcomes: DataFrame, key: str, p: str) -> DataFrame:
