@@ -50,6 +50,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
 
 #: The last level holds all pieces up to this length.
 SHORT = 16
+#: Rows that a part of a sweep gets: parts follow the number of pieces and gaps, so that a task's memory does not grow.
+PART = 1 << 18
 
 
 def levels(capacity: int) -> list[tuple[int, int]]:
@@ -109,7 +111,7 @@ def matched(pieces: DataFrame, n_pieces: int, able: DataFrame, n_gaps: int, top:
     offers = able.select(F.col("gap").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("length"), "sequence", F.explode(F.sequence(F.lit(1), places.cast("int"))).alias("place"))
     wants = pieces.select(F.col("length").alias("size"), F.lit(0).alias("kind"), "number", "length", F.lit(None).cast("long").alias("sequence"), F.lit(0).alias("place"))
     keys = ["size", "kind", "number", "sequence", "place"]
-    swept = stored(wants.unionByName(offers).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(sweep, SWEPT), "swept")
+    swept = stored(wants.unionByName(offers).repartitionByRange((2 * n_pieces + n_gaps) // PART + 1, *keys).sortWithinPartitions(*keys).mapInArrow(sweep, SWEPT), "swept")
     rest = swept.where("kind < 2")
     before = part_offsets(rest, F.sum(1 - 2 * F.col("kind")))  # a row a part
     same = W.Window.partitionBy("level").orderBy("part", F.desc("kind"))  # two rows a part at most
@@ -118,7 +120,7 @@ def matched(pieces: DataFrame, n_pieces: int, able: DataFrame, n_gaps: int, top:
     return stored(swept.where("kind = 2").select("number", "length", "sequence").unionByName(rest.select("number", "length", "sequence")), "met")
 
 
-def opened(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
+def opened(pieces: DataFrame, n_pieces: int, capacity: int, turn: int) -> DataFrame:
     """(number, length, sequence) of pieces in new sequences: longest first, each part fills one after the other."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def opened(pieces: DataFrame, capacity: int, turn: int) -> DataFrame:
             yield batch
 
     order = [F.desc("length"), "number"]
-    return stored(pieces.select("number", "length").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fill, "number long, length long, sequence long"), "opened")
+    return stored(pieces.select("number", "length").repartitionByRange(n_pieces // PART + 1, *order).sortWithinPartitions(*order).mapInArrow(fill, "number long, length long, sequence long"), "opened")
 
 
 def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -178,7 +180,7 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
             number, least = left.agg(F.count("*"), F.min("length")).first()
         if number:
             turn += 1
-            new = opened(left, capacity, turn)
+            new = opened(left, number, capacity, turn)
             placed.append(new)
             made = new.groupBy("sequence").agg((F.lit(capacity) - F.sum("length")).alias("gap")).where("gap > 0")
             gaps = stored(gaps.unionByName(made), "gaps")
