@@ -7,7 +7,8 @@ maximisation on it finds the mixture weights of each bucket; then all training d
 Words are 64-bit hashes.  Documents are laid in batches, and a batch asks once for each word and each word pair it
 holds: requests are sorted key runs, dealt by key range, with the batch's own counts.  A key range adds up what all
 batches bring and answers each with the totals of its keys.  So a frequent word or pair costs one entry a batch, and
-a key range holds about `range_keys` entries at any size of the corpus.
+a key range gets about `range_keys` entries from all batches together, at any size of the corpus.  There are as many
+partitions as key ranges, and as batches, so that a task holds one or a few of them and not more as the corpus grows.
 """
 
 from __future__ import annotations
@@ -218,14 +219,15 @@ def scores(docs: DataFrame, batch_chars: int = 6_000_000, range_keys: int = 1_50
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0; of these, mod 1 are deleted while
     the weights are found.  A null doc_id is an empty text for that.  Tokens: words between ASCII white space with
     A-Z lowered, then one end; a null, empty or blank text is its end alone.  Rows that repeat a doc_id are
-    documents of their own.  Without training documents every token has the uniform probability.  No rows: no rows.
+    documents of their own.  Without training documents every token has the uniform probability.  A very long text is
+    a batch of its own, scored whole.  No rows: no rows.  Other columns are not read, whatever their names.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
     role = F.when(fold == 0, HELD_OUT).when(fold == 1, DELETED).otherwise(KEPT)
     batches = stored(batched(docs.select("doc_id", "text", role.alias("role")), batch_chars), "lm-batches")
-    total = batches.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "train_tokens", "kept_tokens"))).first()
+    total = batches.agg(F.count("*").alias("batches"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "train_tokens", "kept_tokens"))).first()
     parts = tuple(max(1, -(-total[c] // range_keys)) for c in ("distinct", "tokens"))
-    answers = stored(requested(batches, parts).groupBy("kind", "part").applyInArrow(add_up, ANSWER), "lm-counts")
+    answers = stored(requested(batches, parts).repartition(sum(parts), "kind", "part").groupBy("kind", "part").applyInArrow(add_up, ANSWER), "lm-counts")
     distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("new_kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("new_train"), F.lit(0)).alias("train")).first()
     n_kept, n_train = total["kept_tokens"], total["train_tokens"]
     v_kept, v_train = (max(0, distinct[c] - 1) for c in ("kept", "train"))  # the place before a text is no token
@@ -268,4 +270,6 @@ def scores(docs: DataFrame, batch_chars: int = 6_000_000, range_keys: int = 1_50
             "train_tokens": np.full(len(starts), n_train, np.int64), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts),
         })
 
-    return batches.groupBy("batch").cogroup(by_batch.groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    n = max(1, total["batches"])
+    left, right = (x.repartition(n, "batch").groupBy("batch") for x in (batches, by_batch))
+    return left.cogroup(right).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
