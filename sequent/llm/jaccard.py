@@ -271,11 +271,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
             break
 
     groups = components(edges)
-    members = nodes.join(groups, "node").select("node", "number", "size", "sketch", F.col("component").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
+    members = nodes.join(groups, "node").select("node", "number", "size", F.col("component").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
     sizes = stored(members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("size") / block_bytes)).alias("blocks")), "group-blocks")
-    members = stored(members.join(sizes, "grp"), "members")
+    members = stored(members.join(sizes, "grp").drop("size"), "members")  # slim, so that Spark sees when it is small
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    texts = texts.join(members.drop("sketch"), (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "blocks", "node", "number", "text")
+    texts = texts.join(members, (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "blocks", "node", "number", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +286,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
 
     sets = stored(texts.mapInArrow(shingled, "grp long, blocks long, node long, number long, shingles binary").dropDuplicates(["node"]), "sets")
     piece = ["grp", "i", "j"]
-    large = in_blocks(members.where("blocks > 1").select("grp", "blocks", "node", "sketch"), F.col("blocks"))
+    large = nodes.select("node", "sketch").join(members.where("blocks > 1").select("grp", "blocks", "node"), "node")
+    large = in_blocks(large, F.col("blocks"))
     alike = stored(large.groupBy(*piece).applyInArrow(worth_fetching(threshold - 6 * spread), "grp long, i long, j long, mine long, node long"), "fetched")
     fetched = alike.join(sets.select("node", "number", "shingles"), "node")
     one = F.lit(0).cast("long")
