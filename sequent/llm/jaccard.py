@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from sequent.llm import words
 from sequent.llm.components import components
 from sequent.llm.neardup import joined_roots
-from sequent.llm.shared import stored
+from sequent.llm.shared import sent_whole, stored
 
 #: Min-hash tokens of a node.
 SIZE = 128
+#: Nodes of groups, of about 50 bytes each, that are sent whole to the texts; with more of them the texts are shuffled.
+SENT = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -273,9 +275,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, reca
     groups = components(edges)
     members = nodes.join(groups, "node").select("node", "number", "size", F.col("component").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
     sizes = stored(members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(8 * F.sum("size") / block_bytes)).alias("blocks")), "group-blocks")
-    members = stored(members.join(sizes, "grp").drop("size"), "members")  # slim, so that Spark sees when it is small
+    members = stored(members.join(sizes, "grp").drop("size"), "members")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    texts = texts.join(members, (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "blocks", "node", "number", "text")
+    texts = texts.join(sent_whole(members, SENT), (texts["h"] == members["rep_h"]) & texts["doc_id"].eqNullSafe(members["rep_id"])).select("grp", "blocks", "node", "number", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequent.llm.shared import stored
+from sequent.llm.shared import sent_whole, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns (fixed values).  Written so that Java's engine scans a run of characters once: a match can only
@@ -29,6 +29,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
 WORDS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+#: Texts with spans, of a few hundred bytes each, that are sent whole to the documents; with more of them the documents are shuffled.
+SENT = 1_000_000
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
@@ -162,7 +164,7 @@ def with_spans(docs: DataFrame, **options) -> DataFrame:
     none = F.array().cast(SPAN)
     kept = [c for c in docs.columns if c not in ("pii_base", "pii_terms")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), F.xxhash64("text").alias("__h"), F.hash("text").alias("__g"))
-    rows = rows.join(found, ["__h", "__g"], "left")  # found has a row a text, stored, so that Spark can split a text's rows
+    rows = rows.join(sent_whole(found, SENT), ["__h", "__g"], "left")  # found has a row for each different text
     return rows.select("__row.*", F.coalesce("pii_base", none).alias("pii_base"), F.coalesce("pii_terms", none).alias("pii_terms"))
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from sequent.sources.folders import fresh_path
 from sequent.sources.tables import part_offsets, range_numbered, stored
 
-__all__ = ["WORD", "fresh_path", "part_offsets", "range_numbered", "stored"]
+__all__ = ["WORD", "fresh_path", "part_offsets", "range_numbered", "sent_whole", "stored"]
 
 #: One word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+
+
+def sent_whole(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has `rows` rows at most; beyond that a join shuffles, and Spark splits hot keys."""
+    return F.broadcast(df) if df.count() <= rows else df
