@@ -33,8 +33,8 @@ from sequent.llm.shared import sent_whole, stored
 
 #: Min-hash tokens of a node.
 SIZE = 128
-#: Nodes of groups, of about 50 bytes each, that are sent whole to the texts; with more of them the texts are shuffled.
-SENT = 2_000_000
+#: Bytes (as JSON) of the nodes of groups that are sent whole to the texts; with more of them the texts are shuffled.
+SENT = 64 << 20
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:

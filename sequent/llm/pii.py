@@ -29,8 +29,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
 WORDS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Texts with spans, of a few hundred bytes each, that are sent whole to the documents; with more of them the documents are shuffled.
-SENT = 1_000_000
+#: Bytes (as JSON) of the texts with spans that are sent whole to the documents; with more of them the documents are shuffled.
+SENT = 64 << 20
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequent.llm import idplanes, jaccard, lm, mixing, neardup, packing, pii, quality, topk, urlfilter
+from sequent.llm import codes, idplanes, jaccard, lm, maintext, mixing, neardup, negatives, packing, pii, quality, topk, urlfilter
 from sequent.llm.tokens import word_vocabulary
 
 
@@ -71,6 +71,23 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: 8 parts, 16 entries, 6 rounds."""
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding among all, a seventh of the labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return maintext.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_id_planes": op1_id_planes,
@@ -83,6 +100,9 @@ def queries() -> dict:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_lm_scores": op10_lm_scores,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_main_text": op13_main_text,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -184,5 +204,44 @@ SELECT x.page_id, x.host, x.path, m.best.rule AS rule, coalesce(m.best.verdict,
 """
 
 
+#: Rows whose vector has no null and no non-finite component.
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+#: Rounds of Lloyd over components in long form: a_k has the entry of each part, c_k each codebook's components.
+ORACLE["op11_vector_codes"] = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding, len(embedding) // 8 AS w FROM embeddings WHERE {FINITE}),
+x AS MATERIALIZED (
+  SELECT row, i // w AS p, i % w AS i, CAST(floor(4096 * CAST(embedding[i + 1] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT row, embedding, w, unnest(range(0, 8 * w)) AS i FROM v)),
+seed AS (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM v QUALIFY e < 16),
+c0 AS MATERIALIZED (SELECT p, e, i, x AS c FROM x JOIN seed USING (row)),
+""" + ",\n".join(f"""d{k} AS (SELECT row, p, e, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{k} USING (p, i) GROUP BY row, p, e),
+a{k} AS MATERIALIZED (SELECT row, p, e, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY row, p ORDER BY d, e) = 1)""" + (f""",
+m{k} AS (SELECT p, e, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM x JOIN a{k} USING (row, p) GROUP BY p, e, i),
+c{k + 1} AS MATERIALIZED (SELECT p, e, i, coalesce(m, c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e, i))""" if k < 6 else "") for k in range(7)) + """,
+f AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY row),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (row), h
+"""
+
+ORACLE["op12_hard_negatives"] = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND {FINITE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike AND other <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+  s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -14,6 +14,10 @@ __all__ = ["WORD", "fresh_path", "part_offsets", "range_numbered", "sent_whole",
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sent_whole(df: DataFrame, rows: int) -> DataFrame:
-    """A stored table, marked for broadcast if it has `rows` rows at most; beyond that a join shuffles, and Spark splits hot keys."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sent_whole(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A stored table, marked for broadcast if its rows written as JSON have `most` bytes at most, arrays and all.
+
+    Beyond that a join shuffles, and Spark splits hot keys.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
