@@ -6,9 +6,13 @@ maximisation on it finds the mixture weights of each bucket; then all training d
 
 Words are 64-bit hashes.  Documents are laid in batches, and a batch asks once for each word and each word pair it
 holds: requests are sorted key runs, dealt by key range, with the batch's own counts.  A key range adds up what all
-batches bring and answers each with the totals of its keys.  So a frequent word or pair costs one entry a batch, and
-a key range gets about `range_keys` entries from all batches together, at any size of the corpus.  There are as many
-partitions as key ranges, and as batches, so that a task holds one or a few of them and not more as the corpus grows.
+askers bring and answers each with the totals of its keys, in 64 bits.  So a frequent word or pair costs one entry a
+batch, and a key range gets about `range_keys` entries from all batches together, at any size of the corpus.
+
+An asker deals its keys to `fan` ranges at most, so that the rows it makes stay bounded in number and do not shrink to
+a few keys as the corpus grows.  Where more ranges are needed, the askers of a coarse range form teams of about `fan`,
+a team adds up what its members bring and asks the finer ranges in their place, and hands the answers on: a tree of
+exchanges whose depth grows with the logarithm of the corpus.
 """
 
 from __future__ import annotations
@@ -122,15 +126,29 @@ class Batch:
         return single, np.bincount(self.pair[mine], minlength=len(self.pairs))
 
 
-REQUEST = "kind long, part long, batch long, n long, keys binary, kept binary, deleted binary"
+REQUEST = "kind long, part long, asker long, n long, keys binary, kept binary, deleted binary"
+#: Counts travel as 64-bit numbers; their upper byte planes are zeros and compress to nothing.
+COUNT = "<u8"
 
 
-def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of `parts` equal ranges of 64-bit keys ends in sorted keys."""
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+def ranges(keys: np.ndarray, parts: int, first: int = 0, number: int | None = None) -> np.ndarray:
+    """Where each of `number` ranges from `first` on, of `parts` equal ranges of 64-bit keys, ends in sorted keys that lie in them."""
+    edges = np.array([(k << 64) // parts for k in range(first + 1, first + (number or parts))], np.uint64)
     return np.concatenate([np.searchsorted(keys, edges), [len(keys)]])
 
 
+def request_rows(kind: int, asker: int, keys: np.ndarray, counts: list[np.ndarray], parts: int, first: int = 0, number: int | None = None) -> Iterator[pa.RecordBatch]:
+    """An asker's sorted keys and counts, a row for each range that has some."""
+    start, made = 0, []
+    for part, stop in enumerate(ranges(keys, parts, first, number).tolist(), first):
+        if stop > start:
+            own = keys[start:stop]
+            made.append((kind, part, asker, len(own), squeezed(np.diff(own, prepend=np.uint64(0))), *(squeezed(c[start:stop].astype(COUNT)) for c in counts)))
+        start = stop
+    for at in range(0, len(made), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made[at : at + 64], strict=True)], names=[c.split()[0] for c in REQUEST.split(", ")])
+
+
 def requested(batches: DataFrame, parts: tuple[int, int]) -> DataFrame:
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -138,38 +156,72 @@ def requested(batches: DataFrame, parts: tuple[int, int]) -> DataFrame:
                 b = Batch(row)
                 counts = [b.counts(role) for role in (KEPT, DELETED)]
                 for kind, keys in ((0, b.singles), (1, b.pairs)):
-                    start, made = 0, []
-                    for part, stop in enumerate(ranges(keys, parts[kind]).tolist()):
-                        if stop > start:
-                            own = keys[start:stop]
-                            made.append((kind, part, row["batch"], len(own), squeezed(np.diff(own, prepend=np.uint64(0))), *(squeezed(c[kind][start:stop].astype("<u4")) for c in counts)))
-                        start = stop
-                    for at in range(0, len(made), 64):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made[at : at + 64], strict=True)], names=[c.split()[0] for c in REQUEST.split(", ")])
+                    yield from request_rows(kind, row["batch"], keys, [c[kind] for c in counts], parts[kind])
 
     return batches.mapInArrow(ask, REQUEST)
 
 
-def add_up(key: tuple, table: pa.Table) -> pa.Table:
-    """Totals of a key range, answered to each batch; new: distinct keys with a training count."""
-    kind, part = (x.as_py() for x in key)
-    rows = table.select(["batch", "keys", "kept", "deleted"]).to_pylist()
-    keys = [np.cumsum(expanded(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
-    stops = np.cumsum([len(k) for k in keys])
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    del keys
-    totals = [np.bincount(which, np.concatenate([expanded(r[c], "<u4") for r in rows]), len(distinct)).astype("<u4") for c in ("kept", "deleted")]
-    kept = int((totals[0] > 0).sum())
-    train = int((totals[0] + totals[1] > 0).sum())
-    parts = [which[b - n : b] for b, n in zip(stops.tolist(), np.diff(stops, prepend=0).tolist(), strict=True)]
+def summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys, each row's keys' places among them end to end, their kept and deleted counts) of request rows."""
+    distinct, which = np.unique(np.concatenate([np.cumsum(expanded(r["keys"], "<u8"), dtype=np.uint64) for r in rows]), return_inverse=True)
+    # Sums of doubles are exact up to 2^53 occurrences of a key.
+    return distinct, which, [np.bincount(which, np.concatenate([expanded(r[c], COUNT) for r in rows]), len(distinct)).astype(COUNT) for c in ("kept", "deleted")]
+
+
+def answer_rows(rows: list[dict], which: np.ndarray, totals: list[np.ndarray], new_kept: int, new_train: int) -> pa.Table:
+    """Totals for each request row; what is new is told once."""
+    stops = np.cumsum([r["n"] for r in rows])
+    parts = [which[stop - r["n"] : stop] for stop, r in zip(stops.tolist(), rows, strict=True)]
     return pa.table({
-        "kind": pa.array([kind] * len(rows), pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), "batch": pa.array([r["batch"] for r in rows], pa.int64()),
-        "kept": pa.array([squeezed(totals[0][p]) for p in parts], pa.binary()), "deleted": pa.array([squeezed(totals[1][p]) for p in parts], pa.binary()),
-        "new_kept": pa.array([kept] + [0] * (len(rows) - 1), pa.int64()), "new_train": pa.array([train] + [0] * (len(rows) - 1), pa.int64()),
+        **{c: pa.array([r[c] for r in rows], pa.int64()) for c in ("kind", "part", "asker")}, **{c: pa.array([squeezed(totals[k][p]) for p in parts], pa.binary()) for k, c in enumerate(("kept", "deleted"))},
+        "new_kept": pa.array([new_kept] + [0] * (len(rows) - 1), pa.int64()), "new_train": pa.array([new_train] + [0] * (len(rows) - 1), pa.int64()),
     })
 
 
-ANSWER = "kind long, part long, batch long, kept binary, deleted binary, new_kept long, new_train long"
+def add_up(table: pa.Table) -> pa.Table:
+    """Totals of a key range, answered to each asker; new: distinct keys with a training count."""
+    rows = table.to_pylist()
+    _, which, totals = summed(rows)
+    return answer_rows(rows, which, totals, int((totals[0] > 0).sum()), int((totals[0] + totals[1] > 0).sum()))
+
+
+ANSWER = "kind long, part long, asker long, kept binary, deleted binary, new_kept long, new_train long"
+
+
+def exchanged(requests: DataFrame, parts: tuple[int, int], askers: int, levels: int, fan: int) -> DataFrame:
+    """Answers to stored requests that are dealt to `parts` ranges of either kind, `levels` finer levels being below."""
+    if not levels:
+        return requests.repartition(sum(parts), "kind", "part").groupBy("kind", "part").applyInArrow(add_up, ANSWER)
+    teams, keys = -(-askers // fan), ["kind", "part", "team"]
+    finer = tuple(n * fan for n in parts)
+    number = min(16_384, sum(parts) * teams)
+    teamed = requests.withColumn("team", F.pmod(F.xxhash64("asker"), F.lit(teams)))
+
+    def gather(table: pa.Table) -> pa.Table:
+        kind, part, team = (table[c][0].as_py() for c in keys)
+        distinct, _, totals = summed(table.to_pylist())
+        return pa.Table.from_batches(list(request_rows(kind, team, distinct, totals, finer[kind], part * fan, fan)))
+
+    def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, found = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["finer"])
+        _, which, _ = summed(rows)
+        totals = [np.concatenate([expanded(r[c], COUNT) for r in found]) for c in ("kept", "deleted")]
+        return answer_rows(rows, which, totals, sum(r["new_kept"] for r in found), sum(r["new_train"] for r in found))
+
+    asked = stored(teamed.repartition(number, *keys).groupBy(*keys).applyInArrow(gather, REQUEST), "lm-teams")
+    found = exchanged(asked, finer, teams, levels - 1, fan).withColumnRenamed("part", "finer")
+    found = found.withColumn("part", F.floor(F.col("finer") / fan)).withColumnRenamed("asker", "team")
+    left, right = (x.repartition(number, *keys).groupBy(*keys) for x in (teamed, found))
+    return left.cogroup(right).applyInArrow(hand_on, ANSWER)
+
+
+def answers_to(batches: DataFrame, wanted: tuple[int, int], number: int, fan: int) -> DataFrame:
+    """Totals for every batch, `wanted` key ranges of either kind being enough."""
+    levels, first = 0, wanted
+    while max(first) > fan:
+        levels, first = levels + 1, tuple(-(-n // fan) for n in first)
+    requests = requested(batches, first)
+    return exchanged(stored(requests, "lm-requests") if levels else requests, first, max(1, number), levels, fan)
 
 
 def answered(b: Batch, answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -177,7 +229,7 @@ def answered(b: Batch, answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]
     rows = sorted(answers.select(["kind", "part", "kept", "deleted"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
     out = []
     for kind, keys in ((0, b.singles), (1, b.pairs)):
-        own = [tuple(expanded(r[c], "<u4") for c in ("kept", "deleted")) for r in rows if r["kind"] == kind]
+        own = [tuple(expanded(r[c], COUNT) for c in ("kept", "deleted")) for r in rows if r["kind"] == kind]
         both = tuple(np.concatenate([o[k] for o in own]).astype(np.int64) for k in (0, 1))
         if len(both[0]) != len(keys):
             raise RuntimeError("a batch has not got the answers it asked for")
@@ -213,7 +265,7 @@ def weights_by_em(rows: list[tuple[int, int, int, int]], uniform: float, rounds:
     return found
 
 
-def scores(docs: DataFrame, batch_chars: int = 6_000_000, range_keys: int = 1_500_000) -> DataFrame:
+def scores(docs: DataFrame, batch_chars: int = 6_000_000, range_keys: int = 1_500_000, fan: int = 1_024) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training documents are those whose crc32(doc_id as text) mod 10 is not 0; of these, mod 1 are deleted while
@@ -227,7 +279,7 @@ def scores(docs: DataFrame, batch_chars: int = 6_000_000, range_keys: int = 1_50
     batches = stored(batched(docs.select("doc_id", "text", role.alias("role")), batch_chars), "lm-batches")
     total = batches.agg(F.count("*").alias("batches"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "train_tokens", "kept_tokens"))).first()
     parts = tuple(max(1, -(-total[c] // range_keys)) for c in ("distinct", "tokens"))
-    answers = stored(requested(batches, parts).repartition(sum(parts), "kind", "part").groupBy("kind", "part").applyInArrow(add_up, ANSWER), "lm-counts")
+    answers = stored(answers_to(batches, parts, total["batches"], fan).withColumnRenamed("asker", "batch"), "lm-counts")
     distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("new_kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("new_train"), F.lit(0)).alias("train")).first()
     n_kept, n_train = total["kept_tokens"], total["train_tokens"]
     v_kept, v_train = (max(0, distinct[c] - 1) for c in ("kept", "train"))  # the place before a text is no token

@@ -1,8 +1,9 @@
 """Words of many texts at once, as positions and 64-bit hashes in NumPy arrays.
 
 A word is what stands between ASCII white space.  Texts are laid end to end in a byte buffer, so that a batch
-costs a few array passes and no Python step per word.  The hash is a polynomial over the word's bytes, mixed;
-two different words of a corpus share one with a chance of about (number of words)^2 / 2^64.
+costs a few array passes and no Python step per word.  The hash adds up a pseudo-random value for each byte and its
+place, mixed: two given words share one with a chance of 2^-64 however they are built, and any two of n words with a
+chance of about n^2 / 2^65.
 """
 
 from __future__ import annotations

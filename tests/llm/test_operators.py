@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -614,12 +615,42 @@ def test_lm_scores_equal_plain_ones(odd, spark):
         texts.append((5000 + k, " ".join(own)))
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
     want = sorted((str(d), round(x, 5)) for (d, _), x in zip(texts, plain_lm(texts, fold), strict=True))
-    for sizes in ({"batch_chars": 3000, "range_keys": 400}, {}):
+    for sizes in ({"batch_chars": 3000, "range_keys": 400}, {"batch_chars": 500, "range_keys": 90, "fan": 3}, {}):
         got = lm.scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), **sizes).collect()
         made = sorted((str(r.doc_id), round(r.score, 5)) for r in got)
         assert [d for d, _ in made] == [d for d, _ in want] and all(abs(x - y) < 2e-5 for (_, x), (_, y) in zip(made, want, strict=True))
 
 
+def test_lm_totals_have_64_bits():
+    keys = np.array([5, 9, 2**63 + 1], np.uint64)
+    rows = [r for asker, n in ((1, 3_000_000_000), (2, 3_000_000_000), (3, 1 << 40)) for b in lm.request_rows(1, asker, keys, [np.array([n, 0, 1]), np.array([1, 0, n])], 1) for r in b.to_pylist()]
+    got = lm.add_up(pa.Table.from_pylist(rows))
+    assert got["asker"].to_pylist() == [1, 2, 3] and got["new_kept"].to_pylist() == [2, 0, 0] and got["new_train"].to_pylist() == [2, 0, 0]
+    for r in got.to_pylist():
+        assert lm.expanded(r["kept"], lm.COUNT).tolist() == [6_000_000_000 + (1 << 40), 0, 3]
+        assert lm.expanded(r["deleted"], lm.COUNT).tolist() == [3, 0, 6_000_000_000 + (1 << 40)]
+
+
+def test_lm_askers_make_rows_for_as_many_ranges_as_the_fan_has(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(200))) for k in range(40)], "doc_id long, text string")
+    batches = lm.batched(docs.withColumn("role", F.lit(lm.KEPT)), 1500).cache()
+    number = batches.count()
+    made = []
+    keep = lm.stored
+    lm.stored = lambda df, name: made.append((name, out := keep(df, name))) or out
+    try:
+        answers = lm.answers_to(batches, (60, 60), number, 4).cache()
+        answers.count()
+    finally:
+        lm.stored = keep
+    assert [name for name, _ in made] == ["lm-requests", "lm-teams", "lm-teams"]
+    for _, requests in made:
+        assert requests.groupBy("kind", "asker").agg(F.count_distinct("part").alias("n")).agg(F.max("n")).first()[0] <= 4 * 4 * 4
+    assert made[0][1].groupBy("kind", "asker").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 4
+    assert answers.agg(F.sum("new_kept")).first()[0] == 40 * 200 + 2 + 40 * 201  # words, the end, the place before; pairs
+    assert answers.groupBy("asker", "kind").count().count() == 2 * number
+
+
 def test_lm_distribution_sums_to_one():
     found = lm.weights_by_em([(3, -8, -40, 10), (3, lm._NONE, -40, 30), (3, lm._NONE, lm._NONE, 5)], 1e-3)
     assert math.isclose(sum(found[3]), 1.0) and all(w > 0 for w in found[3])
