@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequent.functions.nested import canonical_json
+
 #: Letters of a position's pieces, in the order of their feature planes (fixed values).
 PIECES = "PNBRQKpnbrqk"
 #: Promotion letters in the order of their codes (fixed values).
@@ -32,12 +34,13 @@ def expanded_prior(prior: str, weight: str, by: list[str]) -> Column:
 
 
 def canonical_parameters(parameters: Column) -> Column:
-    """A map of parameters as compact JSON with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parameters))))
+    """A map or struct of parameters, nested at will, as canonical JSON (nested.canonical_json)."""
+    return canonical_json(F.to_json(parameters))
 
 
 def hypothesis_id(class_id: Column, parameters: Column) -> Column:
-    return F.concat_ws("::", class_id, canonical_parameters(parameters))
+    """class::parameters, from the parameters' JSON text; null if that is refused."""
+    return F.concat(class_id, F.lit("::"), canonical_json(parameters))
 
 
 def supervised_parameters(parameters: Column, dropped: str = "seed") -> Column:

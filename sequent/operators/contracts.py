@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequent.functions.nested import canonical_json
+
 
 def key_difference(raw: Column, expected: list[str]) -> tuple[Column, Column]:
     """Missing and unknown top-level keys of a JSON object, sorted."""
@@ -58,6 +62,22 @@ def unit_tensor(x: Column, width: int) -> Column:
     return (F.size(x) == width) & F.forall(x, lambda v: v.isNotNull() & (v >= 0) & (v <= 1))
 
 
+def constraint_fault(constraint: str, position: str, request: str, legal: str) -> Column:
+    """What is wrong with a stored constraint, null if nothing is or there is none.
+
+    Its position key and request digest must be those of the canonical JSON of `position` and `request`, and its best
+    move one of the legal ones.
+    """
+    own = lambda field: F.col(f"{constraint}.{field}")
+    fields = ("provider", "policyId", "positionKey", "requestDigest", "bestMoveUci", "engineFingerprint")
+    empty = reduce(lambda x, y: x | y, (F.coalesce(own(f), F.lit("")) == "" for f in fields))
+    fault = (
+        F.when(empty, "missing field").when(own("provider") != "uci-best-move", "provider").when(~own("positionKey").eqNullSafe(canonical_json(position)), "stale position key")
+        .when(~F.coalesce(F.array_contains(legal, own("bestMoveUci")), F.lit(False)), "best move not legal").when(~own("requestDigest").eqNullSafe(F.sha2(canonical_json(request), 256)), "stale request digest")
+    )
+    return F.when(F.col(constraint).isNotNull(), fault)
+
+
 def of_partition(rows: DataFrame, seeds: DataFrame, seed: str) -> DataFrame:
     """Rows whose seed belongs to a partition."""
     return rows.join(seeds.select(seed).distinct(), seed, "left_semi")

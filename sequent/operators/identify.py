@@ -48,9 +48,20 @@ def slices(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*aggregates, F.grouping_id(*keys).alias("level"))
 
 
-def longitudinal(rows: DataFrame, track: list[str], order: str, history: str, count: str) -> DataFrame:
-    """Rows whose history is not the last one's continuation, or whose hypothesis count changed."""
-    spec = W.Window.partitionBy(*track).orderBy(order)
-    last, n = F.lag(history).over(spec), F.lag(count).over(spec)
-    bad = (F.slice(history, F.lit(1), F.size(last)) != last) | (n != F.col(count))
-    return rows.withColumn("__bad", bad).where("__bad").drop("__bad")
+def longitudinal(rows: DataFrame, track: list[str], order: str, then: tuple[str, ...], truth: str, move: Column, past: str, hypotheses: str, mask: str) -> DataFrame:
+    """Rows with `faults`, for all that break what must hold along a track: in constant state a row, however long the track is.
+
+    truth, hypotheses: the track's first row has the same; order: it rises strictly; history: the row's digest of its past
+    is the last row's, with that row's move added (sequences.with_past), and that of nothing at the start; restored: a
+    bit of the mask (eliminated) that was set is not; duplicate: another row of the track stands at the same place.
+    """
+    spec = W.Window.partitionBy(*track).orderBy(order, *then)
+    last = lambda c: F.lag(c).over(spec)
+    placed = rows.withColumn("__move", move)
+    expected = F.when(F.row_number().over(spec) == 1, F.lit(0)).otherwise(last(past) + last("__move"))
+    checks = {
+        "truth": F.col(truth).eqNullSafe(F.first(truth).over(spec)), "order": F.coalesce(last(order) < F.col(order), F.lit(True)), "history": F.col(past) == expected,
+        "hypotheses": F.col(hypotheses).eqNullSafe(F.first(hypotheses).over(spec)), "restored": F.coalesce(last(mask).bitwiseAND(F.bitwise_not(mask)) == 0, F.lit(True)), "duplicate": F.count("*").over(W.Window.partitionBy(*track, order)) == 1,
+    }
+    faults = F.filter(F.array(*(F.when(~F.coalesce(good, F.lit(False)), name) for name, good in checks.items())), lambda x: x.isNotNull())
+    return placed.withColumn("faults", faults).where(F.size("faults") > 0).drop("__move")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from sequent.sources.tables import stored
+from sequent.operators.pairing import nearest_in_turn
 
 
 def both_sides(rows: DataFrame, game: str, side: str, label: str, sides: tuple[str, str] = ("white", "black")) -> DataFrame:
@@ -93,22 +92,11 @@ def nearest_any(rows: DataFrame, key: list[str], band: Column, order: str, flag:
 def nearest_control(rows: DataFrame, key: list[str], band: Column, order: str, flag: str, tie: Column) -> DataFrame:
     """As nearest_any, but no row serves twice: key, at, control, distance.
 
-    In rounds every flagged row that is left asks for the nearest row that is left, and each row that is asked for
-    goes to the nearest asker (of equal ones to that with the smaller hash); until nobody is refused.  A round works on
-    the groups where somebody was refused before.  Rows are told apart by key, order and hash.
+    Flagged rows are served one after the other in hash order, and each takes the nearest row that is left (of equally
+    near ones that with the smaller hash); the last ones may get none.  One exchange and one sweep (pairing.py).
     """
-    group = [*key, "band"]
-    left = stored(rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.col(flag).alias("hit"), tie.alias("tie")), "pairing")
-    found = []
-    while True:
-        asked = W.Window.partitionBy(*group, "choice.at", "choice.tie").orderBy("choice.distance", "tie", "at")
-        asks = stored(_nearest(left, group).withColumn("place", F.row_number().over(asked)), "asks")
-        won, refused = asks.where("place = 1"), asks.where("place > 1").select(*group).distinct()
-        found.append(won.select(*key, "at", F.col("choice.at").alias("control"), "choice.distance"))
-        gone = won.select(*group, "at", F.lit(True).alias("hit"), "tie").union(won.select(*group, "choice.at", F.lit(False), "choice.tie"))
-        if refused.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        left = stored(left.join(refused, group, "left_semi").join(gone, [*group, "at", "hit", "tie"], "left_anti"), "pairing")
+    slim = rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.coalesce(F.col(flag), F.lit(False)).alias("hit"), tie.alias("tie"))
+    return nearest_in_turn(slim.where("at is not null"), [*key, "band"]).select(*key, "at", "control", "distance")
 
 
 def expand_outcomes(hypotheses: DataFrame, outcomes: DataFrame, key: str, p: str) -> DataFrame:
@@ -127,13 +115,6 @@ def blend(a: DataFrame, b: DataFrame, keys: list[str], weight: float) -> DataFra
     return both.withColumn("p", (1 - weight) * F.col("p") + weight * F.col("__q")).withColumn("ok", F.col("eliminated") == F.col("__m")).drop("__q", "__m")
 
 
-def difference(a: DataFrame, b: DataFrame, path: str, value: str, tolerance: float = 1e-6) -> DataFrame:
-    """Two flat reports compared path by path: fields only in one, fields that differ, and the greatest difference."""
-    both = a.select(path, F.col(value).alias("x"), F.lit(1).alias("l")).join(b.select(path, F.col(value).alias("y"), F.lit(1).alias("r")), path, "full_outer")
-    gap = F.abs(F.col("x") - F.col("y"))
-    return both.agg(F.count_if(F.col("l").isNull() | F.col("r").isNull()).alias("unmatched"), F.count_if(gap > tolerance).alias("different"), F.max(gap).alias("max_difference"), F.count("*").alias("fields"))
-
-
 def parity(a: DataFrame, b: DataFrame, row: list[str], top: int = 5) -> DataFrame:
     """Per row of two runtimes: same vocabulary, greatest difference, same top ids, same zero set."""
     def ids(p: str) -> Column:

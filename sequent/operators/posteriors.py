@@ -150,20 +150,6 @@ def weighted_mean(rows: DataFrame, value: str, weight: str, by: tuple[str, ...]
     return rows.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
 
 
-def seed_digest(rows: DataFrame, seed: str) -> DataFrame:
-    """SHA-256 of the sorted distinct seeds as compact JSON."""
-    seeds = F.array_join(F.transform(F.array_sort(F.collect_set(seed)), lambda x: x.cast("string")), ",")
-    return rows.agg(F.sha2(F.concat(F.lit("["), seeds, F.lit("]")), 256).alias("digest"), F.count_distinct(seed).alias("seeds"))
-
-
-def transcript_digest(rows: DataFrame, line: Column, buckets: int = 64) -> DataFrame:
-    """A digest of all rows that no order changes: rows' digests, sorted per bucket, digested, and digested again."""
-    each = rows.select(F.sha2(line, 256).alias("d"))
-    bucket = (F.conv(F.substring("d", 1, 4), 16, 10).cast("int") % buckets).alias("bucket")
-    parts = each.groupBy(bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("rows"))
-
-
 def corpus_set(corpora: DataFrame, same: list[str], different: list[str]) -> DataFrame:
     """Whether corpora agree on some fields and differ on others: field, values, ok."""
     n = F.count("*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sequent.operators.joins import nearest_control
+from sequent.operators.pairing import pairs_in_turn
 from sequent.sources.tables import numbered, stored
 
 
@@ -50,9 +50,9 @@ BANDS = (0, 5, 10, 20, 40)
 def opportunity_paired(rows: DataFrame, game: str, step: str, hit: str, k: int = 24, pairs: int = 4, anchors: int = 8, side: tuple[str, ...] = ()) -> DataFrame:
     """k rows of each game: anchors, then pairs of a hit and its nearest other row of the same side and band, then others.
 
-    Anchors and others are the rows that hash lowest.  Pairs are made without reuse among the rows that are no anchors
-    (joins.nearest_control), and bands take turns in giving one, from a band on that the game's hash names: at most
-    `pairs` of them, and as many as fit into k.  A game of fewer than k rows gives all of them, and then rows drawn
+    Anchors and others are the rows that hash lowest.  Pairs are made without reuse among the rows that are no anchors:
+    bands take turns in giving one, from a band on that the game's hash names, hits in hash order, each with the nearest
+    control that is left (pairing.pairs_in_turn): at most `pairs` of them, and as many as fit into k.  A game of fewer than k rows gives all of them, and then rows drawn
     by hash.  Returns game, the row's columns, role and place (from 0).
     """
     row = [game, *side, step]
@@ -63,17 +63,14 @@ def opportunity_paired(rows: DataFrame, game: str, step: str, hit: str, k: int =
     held = held.withColumn("__n", F.count("*").over(own)).withColumn("__place", F.row_number().over(own.orderBy("__h", *row)) - 1)
     held = stored(held, "paired-rows")
     band = sum((F.when(F.col(step) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
-    free = held.where((F.col("__n") >= k) & (F.col("__place") >= first)).withColumn("__band", band)
-    made = nearest_control(free, [game, *side], F.col("__band"), step, hit, F.col("__h"))
-    hits = free.where(hit).select(*row, F.col(step).alias("at"), "__h", "__band").drop(step)
     start = number(hashed("bands", game)) % len(BANDS)
-    turn = F.pmod(F.col("__band") - start, F.lit(len(BANDS)))
-    made = made.join(hits, [game, *side, "at"]).withColumn("__turn", turn)
-    made = made.withColumn("__round", F.row_number().over(W.Window.partitionBy(game, "__turn").orderBy("__h", "at")))
-    made = made.withColumn("__pair", F.row_number().over(own.orderBy("__round", "__turn")) - 1).where(F.col("__pair") < min(pairs, (k - first) // 2))
-    both = F.array(F.struct(F.col("at").alias(step), F.lit("hit").alias("__role"), (first + 2 * F.col("__pair")).alias("__at")), F.struct(F.col("control").alias(step), F.lit("control").alias("__role"), (first + 2 * F.col("__pair") + 1).alias("__at")))
-    made = made.select(game, *side, F.explode(both).alias("x")).select(game, *side, "x.*")
-    marked = held.join(made, row, "left")
+    side_key = F.concat_ws(":", *(F.col(c).cast("string") for c in side)) if side else F.lit("")
+    free = held.where((F.col("__n") >= k) & (F.col("__place") >= first))
+    free = free.select(game, side_key.alias("side"), F.pmod(band - start, F.lit(len(BANDS))).alias("turn"), F.col(step).alias("at"), F.coalesce(F.col(hit), F.lit(False)).alias("hit"), F.col("__h").alias("tie"), F.col("__place").cast("long").alias("row"), F.lit(min(pairs, (k - first) // 2)).alias("most"))
+    made = pairs_in_turn(free, game, "most")
+    both = F.array(F.struct(F.col("hit").alias("__place"), F.lit("hit").alias("__role"), (first + 2 * F.col("pair")).alias("__at")), F.struct(F.col("control").alias("__place"), F.lit("control").alias("__role"), (first + 2 * F.col("pair") + 1).alias("__at")))
+    made = made.select(game, F.explode(both).alias("x")).select(game, "x.*")
+    marked = held.join(made, [game, "__place"], "left")
     role = F.when(F.col("__n") < k, "all").when(F.col("__place") < first, "anchor").otherwise(F.coalesce("__role", F.lit("fill")))
     marked = marked.withColumn("role", role)
     order = F.when(F.col("role") == "fill", k).otherwise(F.coalesce("__at", F.col("__place")))

@@ -104,13 +104,6 @@ def repeats_of_side(rows: DataFrame, track: list[str], order: str, side: str) ->
     return rows.withColumn("__last", last).where(F.col("__last") == F.col(side)).drop("__last")
 
 
-def runs_of(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """Gaps and islands: how many runs of consecutive lines each key has; a contiguous key has one."""
-    spec = W.Window.partitionBy(key).orderBy(line)
-    starts = F.when(F.coalesce(F.lag(line).over(spec) + 1 == F.col(line), F.lit(False)), 0).otherwise(1)
-    return rows.withColumn("__start", starts).groupBy(key).agg(F.sum("__start").alias("runs"), F.count("*").alias("rows"))
-
-
 def chain_breaks(rows: DataFrame, track: list[str], order: str, after: str, ahead: str) -> DataFrame:
     """Rows that do not continue the row before: the step advances by one, and what it left is what this one finds."""
     spec = W.Window.partitionBy(*track).orderBy(order)
@@ -131,10 +124,38 @@ def restored(pred: DataFrame, keys: list[str], order: str) -> DataFrame:
     return pred.withColumn("__was", was).where("__was and not eliminated").drop("__was")
 
 
-def history(rows: DataFrame, track: list[str], order: str, value: str, last: int | None = None) -> DataFrame:
-    """Adds `history`: the track's values before each row, in order; the last ones only if `last` is given."""
-    spec = before(track, order) if last is None else W.Window.partitionBy(*track).orderBy(order).rowsBetween(-last, -1)
-    return rows.withColumn("history", F.collect_list(value).over(spec))
+def history(rows: DataFrame, track: list[str], order: str, value: str, last: int) -> DataFrame:
+    """Adds `history`: the track's last values before each row, in order."""
+    return rows.withColumn("history", F.collect_list(value).over(W.Window.partitionBy(*track).orderBy(order).rowsBetween(-last, -1)))
+
+
+def move_digest(place: str, value: str, half: int) -> Column:
+    """60 pseudo-random bits of a value at its place; half 1 or 2 of one hash."""
+    text = F.sha2(F.concat_ws(":", F.col(place).cast("string"), F.col(value).cast("string")), 256)
+    return F.conv(F.substring(text, 15 * half - 14, 15), 16, 10).cast("decimal(20,0)")
+
+
+def with_past(rows: DataFrame, track: list[str], order: str, value: str, *halves: int) -> DataFrame:
+    """Adds `past` (and `past_2`): a digest of the track's values before each row, each at its place; 0 before the first.
+
+    A digest is the sum of the values' pseudo-random numbers, so it is carried on by one addition, and a row needs no more than a
+    number, however long its history is.  Two histories that differ have one sum with a chance of 2^-60 for each half.
+    The order must number the track's rows.
+    """
+    digest = lambda half: F.coalesce(F.sum(move_digest(order, value, half)).over(before(track, order)), F.lit(0)).cast("decimal(38,0)")
+    return rows.withColumns({"past" if half == 1 else f"past_{half}": digest(half) for half in halves or (1, 2)})
+
+
+def list_past(values: Column, half: int) -> Column:
+    """The digest of a history that a row carries whole, its values standing at 1, 2, ..."""
+    numbers = F.transform(values, lambda x, k: F.conv(F.substring(F.sha2(F.concat_ws(":", (k + 1).cast("string"), x.cast("string")), 256), 15 * half - 14, 15), 16, 10).cast("decimal(20,0)"))
+    return F.aggregate(numbers, F.lit(0).cast("decimal(38,0)"), lambda total, x: (total + x).cast("decimal(38,0)"))
+
+
+def history_breaks(rows: DataFrame, track: list[str], order: str, value: str, carried: str) -> DataFrame:
+    """Rows whose carried history (an array) is not the track's values before them, from the first on."""
+    found = with_past(rows, track, order, value)
+    return found.where(~(F.col("past").eqNullSafe(list_past(F.col(carried), 1)) & F.col("past_2").eqNullSafe(list_past(F.col(carried), 2)))).drop("past", "past_2")
 
 
 def history_features(rows: DataFrame, track: list[str], order: str, kind: str, kinds: list[str]) -> DataFrame:

@@ -68,9 +68,13 @@ def parameters():
     return F.create_map(F.lit("size"), (F.col("p_partkey") % 7).cast("string"), F.lit("kind"), F.col("p_type"), F.lit("seed"), F.lit("1"))
 
 
-@query("f_canonical_params", "SELECT p_partkey, p_brand || '::{\"kind\":\"' || p_type || '\",\"seed\":\"1\",\"size\":\"' || (p_partkey % 7) || '\"}' AS id FROM part")
+@query("f_canonical_params", """SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN p_brand || '::{"a":[' || (p_partkey % 7) || ',0,{"kind":"' || p_type || '","none":null}],"big":1e+21,"small":1.5e-7,"é":' || CASE WHEN p_partkey % 7 = 0 THEN '0' ELSE CAST(p_partkey % 7 AS VARCHAR) END || '.5}' END AS id FROM part""")
 def f_canonical_params(spark, d):
-    return read(spark, d, "part").select("p_partkey", c.hypothesis_id(F.col("p_brand"), parameters()).alias("id"))
+    """Nested parameters with unsorted keys, blanks, signed zeros and exponents; every thirteenth has a number that is not finite."""
+    size = (F.col("p_partkey") % 7).cast("string")
+    text = F.concat(F.lit('{"é": '), size, F.lit('.50, "small":15e-8, "big": 1000000000000000000000, "a" : ['), size, F.lit('.0, -0.0, {"none":null,"kind":"'), F.col("p_type"), F.lit('"}]}'))
+    text = F.when(F.col("p_partkey") % 13 == 0, F.lit('{"a": NaN}')).otherwise(text)
+    return read(spark, d, "part").select("p_partkey", c.hypothesis_id(F.col("p_brand"), text).alias("id"))
 
 
 @query("f_supervised_params", "SELECT p_partkey, '{\"kind\":\"' || p_type || '\",\"size\":\"' || (p_partkey % 7) || '\"}' AS label FROM part")
@@ -191,10 +195,22 @@ def i_slices(spark, d):
     return rounded(i.slices(i.model_top(predictions(spark, d), [*ROW, "truth"]), ["side", "truth"], ["size", "credit"]))
 
 
-@query("i_longitudinal", f"WITH {a.EVENTS_SQL}, n AS (SELECT game, step, k, lag(k) OVER (PARTITION BY game ORDER BY step) AS was FROM ev) SELECT game, step FROM n WHERE was % 2 <> k % 2")
+LONG_SQL = f"""WITH {a.EVENTS_SQL}, h AS (SELECT *, CAST('0x' || substr(sha256(step || ':' || kind), 1, 15) AS HUGEINT) AS one FROM ev),
+p AS (SELECT game, step, event_id, kind, one, coalesce(sum(one) OVER (PARTITION BY game ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CAST(event_id % 29 = 0 AS INT) AS past FROM h),
+t AS (SELECT *, 0 AS copy FROM p UNION ALL SELECT *, 1 FROM p WHERE event_id % 41 = 0),
+v AS (SELECT *, CASE WHEN event_id % 37 = 0 THEN 'other' ELSE 'own' END AS truth, CASE WHEN event_id % 43 = 0 THEN 'h19' ELSE 'h20' END AS hyp, CAST(step * 3 % 8 AS BIGINT) AS mask FROM t),
+w AS (SELECT *, row_number() OVER o AS n, first_value(truth) OVER o AS t0, first_value(hyp) OVER o AS h0, lag(step) OVER o AS s1, lag(past) OVER o AS p1, lag(one) OVER o AS o1, lag(mask) OVER o AS m1, count(*) OVER (PARTITION BY game, step) AS same FROM v WINDOW o AS (PARTITION BY game ORDER BY step, copy))
+SELECT * FROM (SELECT game, step, copy, array_to_string(list_filter([CASE WHEN truth <> t0 THEN 'truth' END, CASE WHEN s1 >= step THEN 'order' END, CASE WHEN past <> CASE WHEN n = 1 THEN 0 ELSE p1 + o1 END THEN 'history' END, CASE WHEN hyp <> h0 THEN 'hypotheses' END, CASE WHEN (m1 & (7 - mask)) <> 0 THEN 'restored' END, CASE WHEN same > 1 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults FROM w) WHERE faults <> ''"""
+
+
+@query("i_longitudinal", LONG_SQL)
 def i_longitudinal(spark, d):
-    rows = s.history(a.event_steps(spark, d), ["game"], "step", "kind").withColumn("n", F.col("k") % 2)
-    return i.longitudinal(rows, ["game"], "step", "history", "n").select(*EV)
+    """Rows that carry a digest of their history; truths, histories, hypothesis sets, masks and keys are broken in some."""
+    rows = s.with_past(a.event_steps(spark, d), ["game"], "step", "kind", 1).withColumn("past", F.col("past") + (F.col("event_id") % 29 == 0).cast("int"))
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("event_id") % 41 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    rows = rows.withColumn("truth", F.when(F.col("event_id") % 37 == 0, "other").otherwise("own")).withColumn("hypotheses", F.when(F.col("event_id") % 43 == 0, "h19").otherwise("h20")).withColumn("mask", F.col("step") * 3 % 8)
+    found = i.longitudinal(rows, ["game"], "step", ("copy",), "truth", s.move_digest("step", "kind", 1), "past", "hypotheses", "mask")
+    return found.select(*EV, "copy", F.array_join("faults", ",").alias("faults"))
 
 
 @query("i_validate", "SELECT event_id, array_to_string(list_filter([CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'truth-eliminated' END, CASE WHEN value < 5 THEN 'low' END], lambda x: x IS NOT NULL), ',') AS violations FROM events WHERE (user_id % 2 = 0 AND event_id % 3 = 0) OR value < 5")

@@ -22,6 +22,7 @@ from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, rou
 from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, blended_scores, boot_sql, logits, metric_table, track_deltas
 from sequent.plans.q_sequences import IN_VIEW, VIEW
 from sequent.sources import ndjson as src
+from sequent.sources.committing import write_lines
 from sequent.sources.folders import fresh_path
 from sequent.streaming import live
 
@@ -68,9 +69,12 @@ def src_prediction_bundle(spark, d):
     return rounded(joined.agg(F.avg("p").alias("p"), F.count("*").alias("n")))
 
 
-@query("snk_dataset", q_sources.ORACLES["snk_dataset_manifest"])
+@query("snk_dataset", f"SELECT count(*) AS rows, CAST(sum(length({q_sources.EVENT_LINE}) + 1) AS BIGINT) AS bytes, sha256(string_agg({q_sources.EVENT_LINE}, chr(10) ORDER BY event_id) || chr(10)) AS sha256 FROM events GROUP BY user_id % 5")
 def snk_dataset(spark, d):
-    return src.write_dataset(read(spark, d, "events").select("event_id", "event_type", "user_id"), fresh_path(spark, "dataset"), "user_id")
+    """Committed files of events, five by user, and their manifest."""
+    rows = read(spark, d, "events").select("event_id", "event_type", "user_id")
+    dealt = rows.repartitionById(5, (F.col("user_id") % 5).cast("int")).sortWithinPartitions("event_id")
+    return write_lines(dealt, fresh_path(spark, "dataset")).select("rows", "bytes", "sha256")
 
 
 @query("snk_report", "SELECT '{\"n\":' || count(*) || ',\"source\":\"' || source || '\"}' AS value FROM documents GROUP BY source")

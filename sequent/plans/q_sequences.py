@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sequent.operators import posteriors as o
 from sequent.operators import sequences as s
+from sequent.operators import trees
 from sequent.plans import adapters as a
 from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, TRACK, posterior_sql, pred_sql, predictions, read, with_sql
 from sequent.plans.q_metrics import rounded
+from sequent.plans.q_sources import tree_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,11 +131,6 @@ def w_side_alternation(spark, d):
     return s.repeats_of_side(read(spark, d, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn", "role")
 
 
-@query("w_contiguity", "WITH x AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT user_id, CAST(sum(CASE WHEN was + 1 = event_id THEN 0 ELSE 1 END) AS BIGINT) AS runs, count(*) AS rows FROM x GROUP BY user_id")
-def w_contiguity(spark, d):
-    return s.runs_of(read(spark, d, "events"), "user_id", "event_id")
-
-
 @query("w_observation_chain", f"WITH {a.EVENTS_SQL}, c AS (SELECT game, step, kind, k, lag(k) OVER w AS after, lag(step) OVER w AS s0 FROM ev WINDOW w AS (PARTITION BY game ORDER BY step)) SELECT game, step FROM c WHERE s0 IS NOT NULL AND (s0 + 1 <> step OR (after + 3) % 10 IS DISTINCT FROM k)")
 def w_observation_chain(spark, d):
     rows = a.event_steps(spark, d).withColumn("after", (F.col("k") + 3) % 10)
@@ -150,10 +147,23 @@ def w_monotone_mask(spark, d):
     return s.restored(predictions(spark, d), [*TRACK, "class_id"], "step").select(*ROW, "class_id")
 
 
-@query("w_history_prefix", f"WITH {a.EVENTS_SQL} SELECT game, step, coalesce(string_agg(kind, ' ') OVER (PARTITION BY game ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS history FROM ev")
+PAST = "CAST(coalesce(sum(CAST('0x' || substr(sha256(step || ':' || kind), {}, 15) AS HUGEINT)) OVER (PARTITION BY game ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS VARCHAR)"
+
+
+@query("w_history_prefix", f"WITH {a.EVENTS_SQL} SELECT game, step, {PAST.format(1)} AS past, {PAST.format(16)} AS past_2 FROM ev")
 def w_history_prefix(spark, d):
-    rows = s.history(a.event_steps(spark, d), ["game"], "step", "kind", 5)
-    return rows.select(*EV, F.array_join("history", " ").alias("history"))
+    """Digests of whole histories."""
+    return s.with_past(a.event_steps(spark, d), ["game"], "step", "kind").select(*EV, F.col("past").cast("string").alias("past"), F.col("past_2").cast("string").alias("past_2"))
+
+
+@query("w_history_breaks", f"WITH {a.EVENTS_SQL} SELECT game, step FROM ev WHERE event_id % 31 = 0 AND step > 1")
+def w_history_breaks(spark, d):
+    """Documents' histories: every event carries those before it, and some carry one that is not."""
+    moves = a.event_steps(spark, d)
+    whole = moves.groupBy("game").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "kind"))), lambda x: x["kind"]).alias("moves"))
+    own = F.slice("moves", F.lit(1), (F.col("step") - 1).cast("int"))
+    carried = F.when(F.col("event_id") % 31 == 0, F.slice("moves", F.lit(1), F.greatest(F.lit(0), F.col("step") - 2).cast("int"))).otherwise(own)
+    return s.history_breaks(moves.join(whole, "game").withColumn("carried", carried), ["game"], "step", "kind", "carried").select(*EV)
 
 
 SHARES = ", ".join(f"CASE WHEN count(kind) OVER b > 0 THEN round(sum(CASE WHEN kind = '{k}' THEN 1 ELSE 0 END) OVER b / count(kind) OVER b, 6) ELSE 0.0 END AS share_{k}" for k in EVENT_TYPES)
@@ -293,14 +303,27 @@ def a_weighted_mean(spark, d):
     return rounded(o.weighted_mean(rows, "v", "w", ("l_returnflag",)))
 
 
-@query("a_seed_digest", "SELECT sha256('[' || string_agg(s, ',' ORDER BY n) || ']') AS digest, count(*) AS seeds FROM (SELECT DISTINCT o_custkey AS n, CAST(o_custkey AS VARCHAR) AS s FROM orders)")
+@query("a_seed_digest", tree_sql("(SELECT DISTINCT o_custkey FROM orders)", "o_custkey", "CAST(o_custkey AS VARCHAR)", 64, 16))
 def a_seed_digest(spark, d):
-    return o.seed_digest(read(spark, d, "orders"), "o_custkey")
+    seeds = read(spark, d, "orders").select("o_custkey").distinct()
+    return trees.root(seeds, ["o_custkey"], F.col("o_custkey").cast("string"), 64, 16).select("digest", "rows", F.col("first.o_custkey").alias("first"), F.col("last.o_custkey").alias("last"))
+
+
+def transcript_line():
+    return F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string"))
 
 
-@query("a_transcript_digest", "WITH e AS (SELECT sha256(event_id || '|' || event_type || '|' || user_id) AS d FROM events), b AS (SELECT CAST('0x' || d[1:4] AS INT) % 64 AS bucket, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM e GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM b")
+@query("a_transcript_digest", tree_sql("events", "event_id", "event_id || '|' || event_type || '|' || user_id"))
 def a_transcript_digest(spark, d):
-    return o.transcript_digest(read(spark, d, "events"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("user_id").cast("string")))
+    return trees.root(read(spark, d, "events"), ["event_id"], transcript_line()).select("digest", "rows", F.col("first.event_id").alias("first"), F.col("last.event_id").alias("last"))
+
+
+@query("a_transcript_changes", "SELECT event_id, in_a, 1 - in_a AS in_b FROM events, (VALUES (1), (0)) AS v(in_a) WHERE event_id % 701 = 5 AND event_type <> 'view'")
+def a_transcript_changes(spark, d):
+    """What differs between two transcripts, found by descent from their roots."""
+    rows = read(spark, d, "events")
+    other = rows.withColumn("event_type", F.when(F.col("event_id") % 701 == 5, "view").otherwise(F.col("event_type")))
+    return trees.changed(rows, other, ["event_id"], transcript_line(), 64, 16)
 
 
 @query("a_corpus_set", "WITH c AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, 1 AS version FROM documents GROUP BY lang) SELECT 'version' AS field, count(DISTINCT version) AS \"values\", count(DISTINCT version) = 1 AS ok FROM c UNION ALL SELECT 'sources', count(DISTINCT sources), count(DISTINCT sources) = 1 FROM c UNION ALL SELECT 'n', count(DISTINCT n), count(DISTINCT n) = count(*) FROM c")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from sequent.plans import adapters as a
 from sequent.plans.adapters import EVENT_TYPES, read
 from sequent.sources import ndjson as src
 from sequent.sources.folders import fresh_path
+from sequent.sources.lines import file_order, numbered_lines, read_lines
 from sequent.streaming import live
 
 QUERIES: dict = {}
@@ -30,27 +33,67 @@ def query(name: str, sql: str | None = None):
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("user_id", T.LongType())])
 
 
-def lines(spark, d):
-    """Events as JSON lines; some lack a key, repeat one, or are blank."""
+#: Bytes that a line of the strict source may have, and bytes of its ranges.
+LINE_BYTES, RANGE_BYTES = 200, 1 << 16
+KINDS = [(29, "over-long"), (23, "not UTF-8"), (19, "carriage return"), (11, "keys differ"), (13, "repeated key or bad number"), (17, "blank line")]
+KIND_SQL = "CASE " + " ".join(f"WHEN event_id % {n} = 0 THEN '{kind}'" for n, kind in KINDS) + " END"
+
+
+def written_lines(spark, d):
+    """Events as files of JSON lines, by user; some lines are broken in one way or another."""
     good = F.to_json(F.struct("event_id", "event_type", "user_id"))
-    bad = F.when(F.col("event_id") % 11 == 0, F.to_json(F.struct("event_id", "event_type"))).when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"event_id":1,"event_id":2,"event_type":"x","user_id":'), F.col("user_id"), F.lit("}"))).when(F.col("event_id") % 17 == 0, "")
-    return read(spark, d, "events").select(F.coalesce(bad, good).alias("value"))
+    bad = {
+        "over-long": F.concat(good, F.lit(" " * LINE_BYTES)), "not UTF-8": F.concat(good.cast("binary"), F.lit(b"\xc3\x28")).cast("string"), "carriage return": F.concat(good, F.lit("\r")), "keys differ": F.to_json(F.struct("event_id", "event_type")),
+        "repeated key or bad number": F.concat(F.lit('{"event_id":1,"event_id":2,"event_type":"x","user_id":'), F.col("user_id"), F.lit("}")), "blank line": F.lit(""),
+    }
+    value = reduce(lambda rest, x: F.when(F.col("event_id") % x[0] == 0, bad[x[1]]).otherwise(rest), reversed(KINDS), good)
+    path = fresh_path(spark, "lines")
+    rows = read(spark, d, "events").select("event_id", value.alias("value"), (F.col("user_id") % 3).alias("bucket"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "event_id").drop("event_id").write.partitionBy("bucket").text(path)
+    return path
+
 
+def bucket():
+    return F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket")
 
-@query("src_ndjson_strict", "SELECT event_id, event_type, user_id FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0")
+
+@query("src_ndjson_strict", f"SELECT event_id, event_type, user_id FROM events WHERE {KIND_SQL} IS NULL")
 def src_ndjson_strict(spark, d):
-    return src.strict(lines(spark, d), EVENT)[0]
+    return src.strict_files(spark, written_lines(spark, d), EVENT, LINE_BYTES, RANGE_BYTES)[0]
 
 
-@query("src_ndjson_rejects", "SELECT CASE WHEN event_id % 11 = 0 THEN 'keys differ' WHEN event_id % 13 = 0 THEN 'repeated key or bad number' ELSE 'blank line' END AS reason, count(*) AS n FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 GROUP BY 1")
+@query("src_ndjson_rejects", f"SELECT * FROM (SELECT user_id % 3 AS bucket, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS line, {KIND_SQL} AS reason FROM events) WHERE reason IS NOT NULL")
 def src_ndjson_rejects(spark, d):
-    return src.strict(lines(spark, d), EVENT)[1].groupBy("reason").agg(F.count("*").alias("n"))
+    """Every rejected line with its number in its file."""
+    return src.strict_files(spark, written_lines(spark, d), EVENT, LINE_BYTES, RANGE_BYTES)[1].select(bucket(), "line", "reason")
 
 
-@query("src_trace_bounded", "SELECT count(*) AS kept, sum(strlen(text)) AS bytes FROM documents WHERE strlen(text) <= 2000")
+@query("src_trace_bounded", "WITH x AS (SELECT doc_id % 4 AS bucket, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS line, strlen(doc_id || ':' || translate(text, chr(10) || chr(13), '  ')) AS n FROM documents) SELECT bucket, count(*) FILTER (n <= 2000) AS kept, CAST(sum(n) FILTER (n <= 2000) AS BIGINT) AS bytes, count(*) FILTER (n > 2000) AS long_lines, min(line) FILTER (n > 2000) AS first_long FROM x GROUP BY bucket")
 def src_trace_bounded(spark, d):
-    kept, _ = src.bounded(read(spark, d, "documents").select(F.col("text").alias("value")), 2000)
-    return kept.agg(F.count("*").alias("kept"), F.sum(F.octet_length("value")).alias("bytes"))
+    """Documents as lines of files, read with a bound on a line's bytes; over-long ones are told by their line numbers."""
+    path = fresh_path(spark, "traces")
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.translate("text", "\n\r", "  ")).alias("value"), (F.col("doc_id") % 4).alias("bucket"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+    lines = read_lines(spark, path, 2000, 1 << 18)
+    long = numbered_lines(lines, lines.where("fault = 'over-long'")).groupBy(bucket()).agg(F.count("*").alias("long_lines"), F.min("line").alias("first_long"))
+    kept = lines.where("fault is null").groupBy(bucket()).agg(F.count("*").alias("kept"), F.sum("bytes").alias("bytes"))
+    return kept.join(long, "bucket", "full_outer").select("bucket", F.coalesce("kept", F.lit(0)).alias("kept"), "bytes", F.coalesce("long_lines", F.lit(0)).alias("long_lines"), "first_long")
+
+
+ORDER_KEY = "event_id % 97 = 0, CASE WHEN user_id % 10 = 7 THEN user_id - 15 ELSE user_id END, user_id, event_id"
+
+
+@query("w_contiguity", f"WITH x AS (SELECT user_id % 3 AS bucket, user_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY {ORDER_KEY}) AS n FROM events), y AS (SELECT *, lag(user_id) OVER (PARTITION BY bucket ORDER BY n) AS was FROM x) SELECT bucket, user_id, count(*) FILTER (was IS NULL OR was <> user_id) AS runs, count(*) AS rows, count(*) FILTER (was > user_id) AS breaks FROM y GROUP BY bucket, user_id")
+def w_contiguity(spark, d):
+    """Files of events where some users' rows lie in several places and some users stand behind later ones: order by byte offset."""
+    path = fresh_path(spark, "order")
+    place = [F.col("event_id") % 97 == 0, F.when(F.col("user_id") % 10 == 7, F.col("user_id") - 15).otherwise(F.col("user_id")), "user_id", "event_id"]
+    rows = read(spark, d, "events").withColumn("bucket", F.col("user_id") % 3).repartition("bucket").sortWithinPartitions("bucket", *place)
+    rows.select(F.to_json(F.struct("event_id", "user_id")).alias("value"), "bucket").write.partitionBy("bucket").text(path)
+    lines = read_lines(spark, path, part_bytes=RANGE_BYTES).withColumn("user_id", F.get_json_object("value", "$.user_id").cast("long"))
+    games, breaks = file_order(lines, "user_id", "user_id")
+    broken = breaks.groupBy("file", "user_id").agg(F.count("*").alias("breaks"))
+    return games.join(broken, ["file", "user_id"], "left").select(bucket(), "user_id", "runs", "rows", F.coalesce("breaks", F.lit(0)).alias("breaks"))
 
 
 @query("src_trace_explode", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ply, role FROM conversations")
@@ -92,9 +135,22 @@ def src_multi_namespaced(spark, d):
     return src.namespaced(parts, "id")
 
 
-@query("snk_dataset_manifest", "WITH l AS (SELECT user_id, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS line FROM events) SELECT count(DISTINCT user_id) AS games, count(*) AS rows, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, CAST(sum(CAST('0x' || substr(sha256(line), 1, 12) AS HUGEINT)) AS VARCHAR) AS digest FROM l")
+def tree_sql(source, key, line, leaf=1024, fan=1024, levels=4):
+    """digest, rows, first, last of a hash tree (trees.py) over a table, levels folded one by one until one node is left."""
+    folds = "".join(f", l{k} AS (SELECT node // {fan} AS node, sha256('{k}:' || string_agg(d, '' ORDER BY p.node)) AS d FROM l{k - 1} p GROUP BY 1)" for k in range(1, levels))
+    tops = " UNION ALL ".join(f"SELECT {k} AS level, any_value(d) AS d, count(*) AS n FROM l{k}" for k in range(levels))
+    return (
+        f"WITH e AS (SELECT {key} AS key, sha256({line}) AS d FROM {source}), n AS (SELECT key, d, row_number() OVER (ORDER BY key, d) - 1 AS n FROM e), l0 AS (SELECT n // {leaf} AS node, sha256('0:' || string_agg(d, '' ORDER BY n)) AS d FROM n GROUP BY 1){folds} "
+        f"SELECT (SELECT d FROM ({tops}) WHERE n = 1 ORDER BY level LIMIT 1) AS digest, (SELECT count(*) FROM n) AS rows, (SELECT min(key) FROM n) AS first, (SELECT max(key) FROM n) AS last"
+    )
+
+
+EVENT_LINE = "'{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}'"
+
+
+@query("snk_dataset_manifest", f"SELECT (SELECT count(DISTINCT user_id) FROM events) AS games, (SELECT CAST(sum(length({EVENT_LINE}) + 1) AS BIGINT) FROM events) AS bytes, (SELECT CASE WHEN min(event_type) = max(event_type) THEN min(event_type) END FROM events) AS identity, t.rows, t.digest AS sha256 FROM ({tree_sql('events', 'event_id', EVENT_LINE)}) t")
 def snk_dataset_manifest(spark, d):
-    return src.manifest(read(spark, d, "events").select("event_id", "event_type", "user_id"), "user_id")
+    return src.manifest(read(spark, d, "events").select("event_id", "event_type", "user_id"), "user_id", ["event_id"], "event_type")
 
 
 @query("snk_training_frequency", a.with_sql() + ", u AS (SELECT DISTINCT game, side, truth FROM steps) SELECT side, count(*) AS total, count(DISTINCT truth) AS classes FROM u GROUP BY side")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.functions.nested import canonical_json, evidence_difference
 from sequent.operators import contracts as c
 from sequent.operators import joins as j
 from sequent.operators import metrics as m
@@ -77,9 +78,11 @@ def flt_prob_strict(spark, d):
     return rounded(c.bad_distributions(bent(spark, d).where("class_id <> 'SMALL'"), ROW, 1e-9, zero=False).select(*ROW, "total"))
 
 
-@query("flt_unit_tensor", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding[1:8], lambda x: x < 0 OR x > 1)) = 0")
+@query("flt_unit_tensor", "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR x < -0.35 OR x > 0.65)) = 0")
 def flt_unit_tensor(spark, d):
-    return read(spark, d, "embeddings").where(c.unit_tensor(F.slice("embedding", 1, 8), 8)).select("vec_id")
+    """All 64 components, moved so that some vectors lie in the unit cube."""
+    moved = F.transform("embedding", lambda x: x.cast("double") + 0.35)
+    return read(spark, d, "embeddings").where(c.unit_tensor(moved, 64)).select("vec_id")
 
 
 @query("flt_mask_domain", PRED + ", g AS (SELECT *, (okey + length(class_id)) % 4 = 0 AS gone FROM pred) SELECT game, side, step FROM g GROUP BY game, side, step HAVING bool_and(gone) OR bool_or(gone AND class_id = truth) OR sum(CASE WHEN gone THEN p ELSE 0 END) > 0")
@@ -88,11 +91,29 @@ def flt_mask_domain(spark, d):
     return c.bad_masks(rows, ROW, len(CLASSES)).select(*ROW)
 
 
-@query("flt_constraint", "SELECT o_orderkey, sha256('{\"customer\":' || o_custkey || ',\"order\":' || o_orderkey || '}') AS digest FROM orders WHERE o_orderkey % 17 <> 0")
+FINGERPRINT = "engine:1:aa:" + "0" * 64
+CONSTRAINT_SQL = """WITH m AS (
+  SELECT l_orderkey AS k, string_agg(DISTINCT '"m' || l_linenumber || '"', ',' ORDER BY '"m' || l_linenumber || '"') AS roots, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT k AS o_orderkey, CASE WHEN k % 31 = 0 THEN 'provider' WHEN k % 23 = 0 THEN 'stale position key' WHEN k % 19 = 0 THEN 'best move not legal' WHEN k % 17 = 0 THEN 'stale request digest' END AS fault,
+  sha256('{"fen":"f' || k || '","fingerprint":{"engine":"engine","optionsDigest":"' || repeat('0', 64) || '","version":1},"limit":{"kind":"nodes","value":' || (k % 5) || '.5},"policy":{"id":"p","version":2},"rootMoves":[' || roots || '],"schemaVersion":1}') AS digest
+FROM m WHERE k % 29 <> 0"""
+
+
+@query("flt_constraint", CONSTRAINT_SQL)
 def flt_constraint(spark, d):
-    rows = read(spark, d, "orders").select("o_orderkey", F.sha2(F.to_json(F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order"))), 256).alias("digest"))
-    stored = rows.withColumn("stored", F.when(F.col("o_orderkey") % 17 == 0, "other").otherwise(F.col("digest")))
-    return stored.where("stored = digest").select("o_orderkey", "digest")
+    """Each order's stored constraint against the nested request and position that its lines make; orders without one are left out."""
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")))).alias("legal")).withColumnRenamed("l_orderkey", "k")
+    fen = F.concat(F.lit("f"), F.col("k").cast("string"))
+    limit = F.struct((F.col("k") % 5 + 0.5).cast("double").alias("value"), F.lit("nodes").alias("kind"))
+    fingerprint = F.struct(F.lit(1.0).alias("version"), F.lit("engine").alias("engine"), F.lit("0" * 64).alias("optionsDigest"))
+    request = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.struct(F.lit(2).alias("version"), F.lit("p").alias("id")).alias("policy"), fingerprint.alias("fingerprint"), fen.alias("fen"), F.col("legal").alias("rootMoves"), limit.alias("limit")))
+    position = F.to_json(F.struct(fen.alias("fen"), "legal"))
+    rows = rows.withColumn("request", request).withColumn("position", position).withColumn("digest", F.sha2(canonical_json("request"), 256)).withColumn("key", canonical_json("position"))
+    stale = lambda n, c: F.when(F.col("k") % n == 0, "other").otherwise(F.col(c))
+    best = F.when(F.col("k") % 19 == 0, "m0").otherwise(F.get("legal", F.lit(0)))
+    made = F.struct(F.when(F.col("k") % 31 == 0, "cloud").otherwise("uci-best-move").alias("provider"), F.lit("p").alias("policyId"), stale(23, "key").alias("positionKey"), stale(17, "digest").alias("requestDigest"), best.alias("bestMoveUci"), F.lit(FINGERPRINT).alias("engineFingerprint"))
+    rows = rows.withColumn("constraint", F.when(F.col("k") % 29 != 0, made))
+    return rows.where("constraint is not null").select(F.col("k").alias("o_orderkey"), c.constraint_fault("constraint", "position", "request", "legal").alias("fault"), "digest")
 
 
 @query("flt_partition_seeds", "SELECT count(*) AS n, sum(o_orderkey) AS keys FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
@@ -244,10 +265,21 @@ def j_blend(spark, d):
     return rounded(j.blend(predictions(spark, d), predictions(spark, d, "B"), [*ROW, "class_id"], 0.25).select(*ROW, "class_id", "p", "ok"))
 
 
-@query("j_evidence_diff", BLEND + ", x AS (SELECT class_id, avg(p) AS v FROM pred GROUP BY 1), y AS (SELECT class_id, avg(p) AS v FROM pred_b WHERE class_id <> 'LARGE' GROUP BY 1) SELECT count(*) FILTER (x.v IS NULL OR y.v IS NULL) AS unmatched, count(*) FILTER (abs(x.v - y.v) > 1e-6) AS different, round(max(abs(x.v - y.v)), 6) AS max_difference, count(*) AS fields FROM x FULL JOIN y USING (class_id)")
+def reports(spark, d, system):
+    """A nested report for each game; system B's lack a side or count one row more in some games."""
+    sides = predictions(spark, d, system).groupBy("game", "side").agg(F.avg("p").alias("p"), F.count_distinct("step").alias("n"), F.min("step").alias("first"), F.max("step").alias("last"), F.max("truth").alias("truth"), F.avg(F.when(F.col("class_id") == F.col("truth"), F.col("p"))).alias("own"))
+    if system == "B":
+        sides = sides.withColumn("n", F.col("n") + (F.col("game") % 11 == 0).cast("int"))
+    body = F.struct(F.col("n").alias("rows"), F.struct(F.round(F.col("own") + 1e-3, 9).alias("own")).alias("metrics"), F.array("first", "last").alias("steps"), "truth")
+    games = sides.groupBy("game").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("side", body.alias("body"))))).alias("sides"))
+    if system == "B":
+        games = games.withColumn("sides", F.map_filter("sides", lambda side, _: (F.col("game") % 7 != 0) | (side == "white")))
+    return games.select("game", F.to_json(F.struct("sides", F.lit(1).alias("version"))).alias("report"))
+
+
+@query("j_evidence_diff", BLEND + ", x AS (SELECT game, side, round(avg(CASE WHEN class_id = truth THEN p END) + 1e-3, 9) AS v FROM pred GROUP BY 1, 2), y AS (SELECT game, side, round(avg(CASE WHEN class_id = truth THEN p END) + 1e-3, 9) AS v FROM pred_b GROUP BY 1, 2), z AS (SELECT game, game % 7 = 0 AND side = 'black' AS gone, game % 11 = 0 AS more, x.v AS a, y.v AS b FROM x JOIN y USING (game, side)) SELECT game, CAST(5 * count(*) FILTER (gone) + CAST(bool_and(gone) AS INT) AS BIGINT) AS unmatched, count(*) FILTER (NOT gone AND more) + count(*) FILTER (NOT gone AND abs(a - b) > 1e-6) AS different, count(*) FILTER (NOT gone) AS floats, round(max(abs(a - b)) FILTER (NOT gone), 6) AS max_difference FROM z GROUP BY game")
 def j_evidence_diff(spark, d):
-    x, y = (predictions(spark, d, k).groupBy("class_id").agg(F.avg("p").alias("v")) for k in "AB")
-    return rounded(j.difference(x, y.where("class_id <> 'LARGE'"), "class_id", "v"))
+    return rounded(evidence_difference(reports(spark, d, "A"), reports(spark, d, "B"), ["game"], "report"))
 
 
 @query("j_parity", BLEND + ", z AS (SELECT x.game, x.side, x.step, class_id, x.p AS x, y.p AS y FROM pred x FULL JOIN pred_b y USING (game, side, step, class_id)) SELECT game, side, step, count(*) = count(x) AND count(*) = count(y) AS same_vocabulary, round(max(abs(x - y)), 6) AS max_difference, list_slice(list(class_id ORDER BY x DESC, class_id), 1, 5) = list_slice(list(class_id ORDER BY y DESC, class_id), 1, 5) AS same_top, count(*) FILTER ((x = 0) <> (y = 0)) = 0 AS same_zeros FROM z GROUP BY game, side, step")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sequent.operators.trees import root
+from sequent.sources.committing import hashed_files
+from sequent.sources.lines import numbered_lines, read_lines
+
 
 def repeated_keys(raw: Column) -> Column:
     """Whether a JSON object names a top-level key twice."""
@@ -43,17 +47,26 @@ def nested_repeats(rows: DataFrame, raw: str) -> DataFrame:
 def strict(lines: DataFrame, schema: T.StructType, raw: str = "value") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of one JSON object per line: closed key set, no blank line, no repeated key, no NaN or Infinity.
 
-    rejects has the line and the reason.  Types follow the schema; a value of another type is a reason too.
+    rejects has the line's columns and the reason; a `fault` that the source found comes first.  Types follow the
+    schema; a value of another type is a reason too.
     """
     expected = F.array_sort(F.array(*(F.lit(f.name) for f in schema.fields)))
     keys = F.array_sort(F.array_distinct(F.json_object_keys(raw)))
-    parsed = nested_repeats(lines, raw).withColumn("row", F.from_json(raw, T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "false"}))
+    parsed = nested_repeats(lines, raw).withColumn("__row", F.from_json(raw, T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "allowNonNumericNumbers": "false"}))
+    found = F.col("fault") if "fault" in lines.columns else F.lit(None).cast("string")
     reason = (
         F.when(F.trim(raw) == "", "blank line").when(F.json_object_keys(raw).isNull(), "not an object").when(F.col("repeats"), "repeated key or bad number")
-        .when(keys != expected, "keys differ").when(F.col("row._broken").isNotNull(), "bad value")
+        .when(keys != expected, "keys differ").when(F.col("__row._broken").isNotNull(), "bad value")
     )
-    marked = parsed.withColumn("reason", reason)
-    return marked.where("reason is null").select(*(F.col(f"row.{f.name}").alias(f.name) for f in schema.fields)), marked.where("reason is not null").select(raw, "reason")
+    marked = parsed.withColumn("reason", F.coalesce(found, reason))
+    return marked.where("reason is null").select(*(F.col(f"__row.{f.name}").alias(f.name) for f in schema.fields)), marked.where("reason is not null").select(*lines.columns, "reason")
+
+
+def strict_files(spark: SparkSession, path: str, schema: T.StructType, most: int = 64 << 20, part_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the JSON lines in the files under a path; rejects: file, line (its number), offset, bytes, reason."""
+    lines = read_lines(spark, path, most, part_bytes)
+    rows, rejects = strict(lines, schema)
+    return rows, numbered_lines(lines, rejects).select("file", "line", "offset", "bytes", "reason")
 
 
 def lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -61,12 +74,6 @@ def lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def bounded(lines: DataFrame, most: int = 64 << 20, raw: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(lines, lines that have more bytes than allowed, with their sizes)."""
-    size = F.octet_length(raw)
-    return lines.where(size <= most), lines.where(size > most).select(size.alias("bytes"))
-
-
 def exploded(traces: DataFrame, keys: list[str], steps: str, public: list[str]) -> DataFrame:
     """Nested traces to step rows, with the named public fields only."""
     return traces.select(*keys, F.posexplode(steps).alias("ply", "__s")).select(*keys, "ply", *(F.col(f"__s.{c}").alias(c) for c in public))
@@ -103,17 +110,12 @@ def namespaced(sources: dict[str, DataFrame], key: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def manifest(rows: DataFrame, game: str) -> DataFrame:
-    """Games, rows, bytes and an order-free digest of rows as JSON."""
+def manifest(rows: DataFrame, game: str, keys: list[str], identity: str) -> DataFrame:
+    """games, rows, bytes, sha256 of rows as JSON lines (root of a hash tree in the order of keys), and the identity if all rows have one."""
     line = F.to_json(F.struct(*sorted(rows.columns)))
-    each = rows.select(F.col(game), line.alias("line"))
-    return each.agg(F.count_distinct(game).alias("games"), F.count("*").alias("rows"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.sum(F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
-
-
-def write_dataset(rows: DataFrame, path: str, game: str, partition: list[str] = []) -> DataFrame:  # noqa: B006
-    """Write Parquet where nothing is yet, and return the manifest of what was written."""
-    rows.write.mode("errorifexists").partitionBy(*partition).parquet(path)
-    return manifest(rows.sparkSession.read.parquet(path), game)
+    same = F.when((F.min(identity) == F.max(identity)) & (F.count(identity) == F.count("*")), F.min(identity)).alias("identity")
+    counts = rows.agg(F.count_distinct(game).alias("games"), F.sum(F.octet_length(line) + 1).alias("bytes"), same)
+    return counts.join(root(rows, keys, line).select("rows", F.col("digest").alias("sha256")))  # one row each
 
 
 def sidecar_faults(rows: DataFrame) -> Column:
@@ -147,12 +149,16 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def inventory(spark: SparkSession, path: str, game: Column) -> DataFrame:
-    """Per file under a root: folder, bytes, lines, games and the content's SHA-256; then one row (folder null) for all of them, with the union of games."""
+    """Per file under a root: folder, bytes, lines, games and the content's SHA-256; then one row (folder null) for all of them, with the union of games.
+
+    Contents are hashed as streams; the listing reads none.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), game.alias("game"))
     counts = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count_distinct("game").alias("games"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    files = hashed_files(listed).select(F.col("path").alias("file"), F.col("length").alias("bytes"), "sha256")
     folder = F.element_at(F.split("file", "/"), -2)
     each = files.join(counts, "file", "left").select(folder.alias("folder"), "bytes", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("games", F.lit(0)).alias("games"), "sha256")
     union = lines.agg(F.count("*").alias("lines"), F.count_distinct("game").alias("games"))
-    total = files.agg(F.sum("bytes").alias("bytes")).crossJoin(union)  # one row each
+    total = listed.agg(F.sum("length").alias("bytes")).crossJoin(union)  # one row each
     return each.unionByName(total.select(F.lit(None).cast("string").alias("folder"), "bytes", "lines", "games", F.lit(None).cast("string").alias("sha256")))

@@ -1,5 +1,6 @@
 """Every query that has SQL gives the same rows in DuckDB, on the smallest tables; those with structural ties also on larger ones."""
 
+import decimal
 import os
 
 import duckdb
@@ -27,7 +28,7 @@ def duck():
 def plain(value):
     if value is None:
         return ""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if isinstance(value, (int, float, decimal.Decimal)) and not isinstance(value, bool):
         return f"{float(value) + 0.0:.9f}"
     return str(value)
 
