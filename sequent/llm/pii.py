@@ -5,8 +5,14 @@ stands for itself, for its group (an email's domain, an address's network, a car
 kind, so that entities that occur once are told by what they have in common.  Over all different texts, P(entity | term)
 is the share of the term's texts that have the entity anywhere, smoothed by `prior` texts that have the entity as often
 as any text has.  A term discloses an entity if that share and the information it gives about the entity,
-log2 P(entity | term) / P(entity), reach their thresholds.  Wherever such a term stands, with or without the entity, it
-is a span of its own: it is generalised, or removed if its share reaches `remove_at`.
+log2 P(entity | term) / P(entity), reach their thresholds, and if it is no chance: were the term's n texts drawn at random,
+so large a share q of them would have an entity that a share u of all texts has with a probability of 2^(-n KL(q, u)) at
+most (Chernoff), and that times the number of pairs of terms and entities must not exceed `chance`.  Wherever such a
+term stands, with or without the entity, it is a span of its own: it is generalised, or removed if its share reaches
+`remove_at`.
+
+Terms that stand in the same texts count as one, and entities as well: a text with very many of both, as a long log,
+has few such classes, and only classes are paired.
 """
 
 from __future__ import annotations
@@ -31,21 +37,55 @@ TERM = r"\p{L}{3,}"
 WORDS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 #: Bytes (as JSON) of the texts with spans that are sent whole to the documents; with more of them the documents are shuffled.
 SENT = 64 << 20
+#: Behind every place in a text.
+END = (1 << 31) - 1
 SPAN = "array<struct<start:int,rank:int,stop:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, rank: int) -> Column:
-    """Spans (start, rank, stop, value) of a pattern's leftmost non-overlapping matches, in code points."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), m.alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def bound(value: Column, use) -> Column:
+    """use(value), the value being computed once however often it is used, and also inside of lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, zero: int, op, block: int = 64) -> Column:
+    """For each of some whole numbers, op over those before it, op being a sum, a minimum or a maximum.
+
+    Arrays grow by copying, so they grow block by block: n numbers cost about 64 n + (n / 64)^2 / 2 copied ones.
+    """
+    lists = F.array().cast("array<array<int>>")
+
+    def inside(part: Column) -> Column:
+        begin = F.struct(F.lit(zero).alias("total"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, begin, lambda a, x: F.struct(op(a["total"], x).cast("int").alias("total"), F.array_append(a["before"], a["total"]).alias("before")))
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: inside(F.slice(v, b * block + 1, F.lit(block))))
+        step = lambda a, p: F.struct(op(a["total"], p["total"]).cast("int").alias("total"), F.array_append(a["lists"], F.transform(p["before"], lambda x: op(a["total"], x).cast("int"))).alias("lists"))
+        done = F.aggregate(parts, F.struct(F.lit(zero).alias("total"), lists.alias("lists")), step, lambda a: F.flatten(a["lists"]))
+        return F.when(F.size(v) > 0, done).otherwise(F.array().cast("array<int>"))
+
+    return bound(values, whole)
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), (start + p["size"]).cast("int").alias("stop"), p["value"].alias("value"))
-        return F.struct((start + p["size"]).cast("int").alias("at"), F.array_append(a["spans"], span).alias("spans"))
 
-    return F.aggregate(pairs, begin, step, lambda a: a["spans"])
+def located(text: Column, pattern: str, value) -> Column:
+    """(start, stop, value) of a pattern's leftmost non-overlapping matches, in code points; value: of a match's text."""
+    def pairs(found: Column) -> Column:
+        return F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), value(m).alias("value")))
+
+    def placed(own: Column) -> Column:
+        before = running(F.transform(own, lambda p: p["gap"] + p["size"]), 0, lambda a, x: a + x)
+        return F.zip_with(own, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("stop"), p["value"].alias("value")))
+
+    return bound(bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pairs), placed)
+
+
+def spans_of(places: Column, rank: int) -> Column:
+    return F.transform(places, lambda p: F.struct(p["start"].cast("int").alias("start"), F.lit(rank).alias("rank"), p["stop"].cast("int").alias("stop"), p["value"].alias("value")))
+
+
+def matches(text: Column, pattern: str, rank: int) -> Column:
+    """Spans (start, rank, stop, value) of a pattern's leftmost non-overlapping matches."""
+    return spans_of(located(text, pattern, lambda m: m), rank)
 
 
 def digits(value: Column) -> Column:
@@ -106,26 +146,25 @@ def words(keyed: DataFrame) -> DataFrame:
 
 def places(text: Column, base: Column, telling: Column) -> Column:
     """Spans of the telling terms (a map of term to what its span becomes) in a text, outside its base spans."""
-    found, between = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), F.try_element_at(telling, F.lower(m)).alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    own = F.filter(located(text, TERM, lambda m: F.try_element_at(telling, F.lower(m))), lambda t: t["value"].isNotNull())
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        stop = (start + p["size"]).cast("int")
-        span = F.struct(start.cast("int").alias("start"), F.lit(4).alias("rank"), stop.alias("stop"), p["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(p["value"].isNull(), a["spans"]).otherwise(F.array_append(a["spans"], span)).alias("spans"))
+    def outside(spans: Column) -> Column:
+        # A term is free if the base spans before it end before it begins, and the next one begins after it ends.
+        ended = running(F.transform(spans, lambda s: F.when(s["rank"] < 4, s["stop"]).otherwise(0)), 0, F.greatest)
+        starts = F.transform(F.reverse(spans), lambda s: F.when(s["rank"] < 4, s["start"]).otherwise(END))
+        begins = F.reverse(running(starts, END, F.least))
+        free = F.zip_with(F.zip_with(spans, ended, lambda s, e: F.struct(s.alias("s"), (e <= s["start"]).alias("ok"))), begins, lambda x, b: F.when(x["ok"] & (b >= x["s"]["stop"]) & (x["s"]["rank"] == 4), x["s"]))
+        return F.filter(free, lambda x: x.isNotNull())
 
-    spans = F.aggregate(pairs, begin, step, lambda a: a["spans"])
-    return F.filter(spans, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])))
+    return bound(F.array_sort(F.concat(base, spans_of(own, 4))), outside)
 
 
-def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0, prior: float = 1.0) -> DataFrame:
+def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: float = 4.0, prior: float = 1.0, chance: float = 0.01) -> DataFrame:
     """(h, g, base, terms) for each distinct text of `docs` (text) that has a base span or a telling term; h and g hash the text.
 
     base and terms are arrays of (start, rank, stop, value) in code points, rank being the place in KINDS; a term's
     value is what its span becomes: [TERM] if it is generalised, nothing if it is removed.  Statistics count different
-    texts, so that a rare word of a copied text tells nothing.  Null and empty texts have no span, a very long text is
+    texts, so that a rare word of a copied text tells nothing; repeated rows have one row.  Null and empty texts have no span, a very long text is
     read whole, and other columns are not read.  No rows: no rows.
     """
     keyed = docs.select(F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
@@ -135,17 +174,26 @@ def find(docs: DataFrame, share: float = 0.6, remove_at: float = 0.9, bits: floa
     own = words(found)
     once = keyed.groupBy("h", "g").agg(F.first("text").alias("text"))
     terms = words(once).groupBy("term").agg(F.count("*").alias("term_texts"))
-    held = own.groupBy("term").agg(F.count("*").alias("held"))
+    texts_of = (F.bit_xor(F.xxhash64("h", "g")).alias("x"), F.bit_xor(F.xxhash64("g", "h", F.lit(1))).alias("y"))  # a set of texts, as 128 bits
+    held = own.groupBy("term").agg(F.count("*").alias("held"), *texts_of)
     # An entity that passes is in less than 2^-bits of the texts, and meets a term in no more texts than have any entity.
     least = share * (F.col("term_texts") + prior) - prior * 2.0**-bits - 1e-9
-    likely = stored(terms.join(held, "term").where(F.col("held") >= least).drop("held"), "pii-likely")
+    likely = terms.join(held, "term").where((F.col("held") >= least) & (F.col("term_texts") > 1))
+    likely = stored(likely.select("term", "term_texts", F.xxhash64("x", "y", "term_texts").alias("class")), "pii-likely")
     holders = found.select("h", "g", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity"))
-    met = own.join(likely, "term").join(holders, ["h", "g"]).groupBy("entity", "term").agg(F.count("*").alias("together"), F.first("term_texts").alias("term_texts")).where(F.col("together") >= least)
-    every = keyed.agg(F.count_distinct("h").alias("texts"))
-    met = met.join(holders.groupBy("entity").agg(F.count("*").alias("entity_texts")), "entity").crossJoin(F.broadcast(every))  # one row
-    usual = F.col("entity_texts") / F.col("texts")
+    whole = stored(holders.groupBy("entity").agg(F.count("*").alias("entity_texts"), *texts_of).select("entity", "entity_texts", F.xxhash64("x", "y").alias("owner")), "pii-entities")
+    owners = holders.join(whole.where("entity_texts > 1"), "entity").select("h", "g", "owner", "entity_texts").distinct()
+    classes = own.join(likely, "term").select("h", "g", "class", "term_texts").distinct()
+    met = classes.join(owners, ["h", "g"]).groupBy("owner", "class").agg(F.count("*").alias("together"), F.first("term_texts").alias("term_texts"), F.first("entity_texts").alias("entity_texts")).where(F.col("together") >= least)
+    # Terms of one text and entities of one text cannot pass, so they are no tests.
+    every = keyed.agg(F.count_distinct("h").alias("texts")).crossJoin(terms.agg(F.count_if(F.col("term_texts") > 1).alias("terms"))).crossJoin(whole.agg(F.count_if(F.col("entity_texts") > 1).alias("entities")))
+    met = met.crossJoin(F.broadcast(every))  # one row
+    usual, q = F.col("entity_texts") / F.col("texts"), F.col("together") / F.col("term_texts")
     p = (F.col("together") + prior * usual) / (F.col("term_texts") + prior)
-    telling = met.where((p >= share) & (F.log2(p / usual) >= bits)).groupBy("term").agg(F.min(F.when(p >= remove_at, "").otherwise(WORDS_OF["term"])).alias("value"))
+    apart = q * F.log2(q / usual) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - usual))).otherwise(0.0)
+    sure = (q > usual) & (F.col("term_texts") * apart >= F.log2(F.col("terms").cast("double") * F.col("entities") / chance))
+    telling = met.where((p >= share) & (F.log2(p / usual) >= bits) & sure).groupBy("class").agg(F.min(F.when(p >= remove_at, "").otherwise(WORDS_OF["term"])).alias("value"))
+    telling = likely.join(telling, "class").select("term", "value")
     telling = stored(telling, "pii-telling")
     hits = words(keyed).join(telling, "term").groupBy("h", "g").agg(F.map_from_entries(F.collect_set(F.struct("term", "value"))).alias("telling"))
     hits = stored(hits, "pii-hits")

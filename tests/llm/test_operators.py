@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -326,7 +327,7 @@ def test_pii_terms_far_from_the_entity(spark):
     assert all("zorblatt" not in clean[k].lower() for k in [*range(6), 50]) and clean[100] == rows[7][1] and clean[60] is None
 
 
-def plain_terms(texts, share=0.6, remove_at=0.9, bits=4.0):
+def plain_terms(texts, share=0.6, remove_at=0.9, bits=4.0, chance=0.01):
     """(start, end) -> replacement of the term spans of each text, straight from the definition."""
     different = sorted({t for t in texts if t is not None})
     words_of = {t: {m.group().lower() for m in regex.finditer(r"\p{L}{3,}", t)} for t in different}
@@ -339,12 +340,16 @@ def plain_terms(texts, share=0.6, remove_at=0.9, bits=4.0):
             own |= {(0, rank, number if rank >= 2 else text), (1, rank, group), (2, rank)}
         entities[t] = own
     found = {}
-    for w in set().union(*words_of.values()):
+    often = [collections.Counter(x for t in different for x in own[t]) for own in (words_of, entities)]
+    tests = math.prod(sum(n > 1 for n in c.values()) for c in often)
+    for w in (w for w, n in often[0].items() if n > 1):
         having = [t for t in different if w in words_of[t]]
         for e in set().union(*(entities[t] for t in having)):
             usual = sum(e in entities[t] for t in different) / len(different)
-            p = (sum(e in entities[t] for t in having) + usual) / (len(having) + 1)
-            if p >= share and math.log2(p / usual) >= bits:
+            q = sum(e in entities[t] for t in having) / len(having)
+            p = (q * len(having) + usual) / (len(having) + 1)
+            apart = q * math.log2(q / usual) + ((1 - q) * math.log2((1 - q) / (1 - usual)) if q < 1 else 0)
+            if p >= share and math.log2(p / usual) >= bits and q > usual and len(having) * apart >= math.log2(tests / chance):
                 found[w] = "" if p >= remove_at else found.get(w, "[TERM]")
     return [{} if t is None else {m.span(): found[m.group().lower()] for m in regex.finditer(r"\p{L}{3,}", t) if m.group().lower() in found and not any(a < m.end() and m.start() < b for a, _, b, _ in plain_spans(t))} for t in texts]
 
@@ -372,6 +377,36 @@ def test_pii_terms_equal_plain_ones(spark):
         assert clean[k] == made + t[at:]
 
 
+def test_pii_shuffled_entities_tell_nothing_and_planted_ones_do(spark):
+    random.seed(31)
+    filler = ["".join(random.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40_000)]
+    pick = lambda n: " ".join(random.choice(filler) for _ in range(n))
+    mails = [f"u{random.randrange(150)}@d{random.randrange(8)}.org" for _ in range(400)]
+    texts = [f"{pick(25)} {mails[k] if k < 400 else ''} {pick(15)}" for k in range(2000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sum("term" in r.spans for r in pii.digest(docs).collect()) == 0
+    assert sum("term" in r.spans for r in pii.digest(docs.select("doc_id", "text"), chance=1e30).collect()) > 20  # without the test there are many
+    planted = [(5000 + k, f"{pick(20)} Quillfeather {pick(4)} quill@feather.example {pick(5)}") for k in range(4)]
+    by = {r.doc_id: r.spans for r in pii.digest(docs.union(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert {k for k, x in by.items() if "term" in x} == {k for k, _ in planted}
+
+
+def test_pii_of_a_very_long_text(spark):
+    log = " ".join(f"login of u{k}@h{k % 7}.org from 10.{k % 250}.{k // 250}.7 telling" for k in range(20_000))
+    docs = spark.createDataFrame([(1, log), (2, log + " end"), (3, "telling")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in pii.digest(docs).collect()}
+    assert time.time() - start < 60 and (got[1].n_email, got[1].n_ip) == (20_000, 20_000)
+    assert got[1].base_sha256 == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in plain_spans(log)).encode()).hexdigest()
+
+
+def test_running_totals(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 63, 64, 65, 1000)], "v array<int>")
+    got = rows.select("v", pii.running(F.col("v"), 0, lambda a, x: a + x).alias("sums"), pii.running(F.reverse("v"), 10**6, F.least).alias("least")).collect()
+    for r in got:
+        assert r.sums == [sum(r.v[:k]) for k in range(len(r.v))] and r.least == [min([10**6, *r.v[::-1][:k]]) for k in range(len(r.v))]
+
+
 def test_pii_keeps_clashing_columns(spark):
     names = ["doc_id", "text", "pii_base", "pii_terms", "__h", "__g", "h", "g", "row", "__row"]
     docs = spark.createDataFrame([(1, "mail a@b.org", *"abcdefgh"), (2, None, *"abcdefgh")], names)
