@@ -165,9 +165,18 @@ def added(bins: int = 15) -> list[Column]:
     return [F.sum(c).alias(c) for c in ["n", *(f"{k}_{b}" for _, b in MEANS for k in "sn"), *(f"gap_{b}" for b in range(bins))]]
 
 
-def report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Row and track means, calibration error and counts, as one long table (metric, value): one pass over the rows."""
-    tracks = scores.groupBy(*by, *(t for t in TRACK if t not in by)).agg(*sums(), *gap_sums())
+def track_sums(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What a report needs of each track: sums that can be added to those of other rows of the track."""
+    return scores.groupBy(*by, *(t for t in TRACK if t not in by)).agg(*sums(), *gap_sums())
+
+
+def added_tracks(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of tracks from several parts, as one row a track."""
+    return parts.groupBy(*by, *(t for t in TRACK if t not in by)).agg(*added())
+
+
+def reported(tracks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The report of track sums."""
     means = [F.avg(F.try_divide(f"s_{b}", f"n_{b}")).alias(f"track_{b}") for _, b in MEANS]
     found = tracks.groupBy(*by).agg(*added(), F.count("*").cast("double").alias("track_tracks"), *means)
     rows = [F.try_divide(f"s_{b}", f"n_{b}").alias(f"row_{b}") for _, b in MEANS]
@@ -175,29 +184,55 @@ def report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return melted(wide if by else wide.where("row_support is not null"), by)
 
 
+def report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Row and track means, calibration error and counts, as one long table (metric, value): one pass over the rows."""
+    return reported(track_sums(scores, by), by)
+
+
 def melted(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     names = [c for c in wide.columns if c not in by]
     pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names))
     return wide.select(*by, F.explode(pairs).alias("m")).select(*by, "m.metric", "m.value")
 
 
-def binary(rows: DataFrame, label: str, p: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
-    """Accuracy at a threshold, negative log likelihood (null if infinite) and Brier score of a Boolean label."""
+def binary_sums(rows: DataFrame, label: str, p: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """What `binary_of` needs, as sums that can be added."""
     y, q = F.col(label), F.col(p)
     own = F.when(y, q).otherwise(1 - q)
-    zero = F.count_if(own <= 0)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(((q >= threshold) == y).cast("double")).alias("accuracy"), F.when(zero == 0, F.avg(-F.log(F.when(own > 0, own)))).alias("nll"), F.avg(F.pow(q - y.cast("double"), 2)).alias("brier"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if((q >= threshold) == y).alias("right"), F.count_if(own <= 0).alias("zero"), F.sum(-F.log(F.when(own > 0, own))).alias("loss"), F.sum(F.pow(q - y.cast("double"), 2)).alias("square"))
 
 
-def mask_metrics(cells: DataFrame, row: list[str], truth: str, p: str, threshold: float = 0.5) -> DataFrame:
-    """Multi-label cells: exact match by row, micro precision, recall and F1 (0 where undefined), mean cross entropy."""
+def binary_of(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    found = parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "right", "zero", "loss", "square")))
+    return found.select(*by, "n", (F.col("right") / F.col("n")).alias("accuracy"), F.when(F.col("zero") == 0, F.col("loss") / F.col("n")).alias("nll"), (F.col("square") / F.col("n")).alias("brier"))
+
+
+def binary(rows: DataFrame, label: str, p: str, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy at a threshold, negative log likelihood (null if infinite) and Brier score of a Boolean label."""
+    return binary_of(binary_sums(rows, label, p, threshold, by), by)
+
+
+MASK_SUMS = ("rows", "exact", "tp", "fp", "fn", "bce", "cells", "zero")
+
+
+def mask_sums(cells: DataFrame, row: list[str], truth: str, p: str, threshold: float = 0.5) -> DataFrame:
+    """What `mask_of` needs, as sums that can be added; the cells of a row must be together."""
     y, yes = F.col(truth), F.col(p) >= threshold
     own = F.when(y, F.col(p)).otherwise(1 - F.col(p))
     rows = cells.groupBy(*row).agg(F.min((yes == y).cast("int")).alias("exact"), F.count_if(yes & y).alias("tp"), F.count_if(yes & ~y).alias("fp"), F.count_if(~yes & y).alias("fn"), F.sum(-F.log(F.when(own > 0, own))).alias("bce"), F.count("*").alias("cells"), F.count_if(own <= 0).alias("zero"))
-    sums = rows.agg(F.avg("exact").alias("exact_match"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "bce", "cells", "zero")))
+    return rows.withColumn("rows", F.lit(1)).agg(*(F.sum(c).alias(c) for c in MASK_SUMS))
+
+
+def mask_of(parts: DataFrame) -> DataFrame:
+    sums = parts.agg(*(F.sum(c).alias(c) for c in MASK_SUMS))
     over = lambda a, b: F.coalesce(F.when(b > 0, a / b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return sums.select("exact_match", over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), F.when(F.col("zero") == 0, F.col("bce") / F.col("cells")).alias("bce"))
+    return sums.select((F.col("exact") / F.col("rows")).alias("exact_match"), over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), F.when(F.col("zero") == 0, F.col("bce") / F.col("cells")).alias("bce"))
+
+
+def mask_metrics(cells: DataFrame, row: list[str], truth: str, p: str, threshold: float = 0.5) -> DataFrame:
+    """Multi-label cells: exact match by row, micro precision, recall and F1 (0 where undefined), mean cross entropy."""
+    return mask_of(mask_sums(cells, row, truth, p, threshold))
 
 
 def mask_balanced_loss(cells: DataFrame, truth: str, p: str) -> DataFrame:

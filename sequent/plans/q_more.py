@@ -143,7 +143,8 @@ def a_mode_slice(spark, d):
 
 
 R3 = "game, side, step"
-GRID2 = [(0.0, 0.1), (0.5, 0.1), (0.5, 0.2)]
+#: Every alpha with every smoothing (fixed values).
+GRID2 = [(al, sm) for al in (0.0, 0.25, 0.5, 1.0, 2.0) for sm in (0.0, 0.01, 0.05, 0.1, 0.2)]
 
 
 def smoothed(spark, d):
@@ -326,11 +327,11 @@ def f_splitmix64(spark, d):
     return read(spark, d, "events").select("event_id", g.splitmix64(F.col("event_id")).alias("mixed"))
 
 
-def streamed(spark, rows, operator):
-    """Rows written out of order and read as a stream through a stateful operator."""
+def streamed(spark, rows, operator, batches=True):
+    """Rows written out of order and read as a stream of several batches (or one) through a stateful operator."""
     path = fresh_path(spark, "live")
-    rows.orderBy(F.desc("revision")).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
+    (rows.repartitionByRange(3, F.desc("revision")) if batches else rows.orderBy(F.desc("revision"))).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 if batches else 1_000).parquet(path)
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -353,6 +354,17 @@ def st_live_posterior(spark, d):
     return rounded(live_rows(spark, d).select("session", "revision", "class_id", "p"))
 
 
+@query("st_live_restart", f"WITH live AS ({q_sources.ORACLES['st_live_posterior_batch']}), cut AS (SELECT session, max(revision) // 2 AS half FROM live GROUP BY session) SELECT live.* FROM live JOIN cut USING (session) WHERE revision > half")
+def st_live_restart(spark, d):
+    """The later half of each session, as a stream that starts from a snapshot of the first half's list; a file a batch."""
+    rows = a.event_steps(spark, d).select(F.col("game").alias("session"), F.col("step").alias("revision"), score_array(F.col("kind")).alias("scores"))
+    half = F.floor(F.max("revision").over(W.Window.partitionBy("session")) / 2)
+    rows = rows.withColumn("early", F.col("revision") <= half)
+    start = live.snapshot(rows.where("early"), EVENT_TYPES)
+    found = streamed(spark, rows.where("not early").drop("early"), lambda stream, classes: live.live_posterior(stream, classes, start=start))
+    return rounded(found.select("session", "revision", "class_id", "p"))
+
+
 @query("st_reorder", f"WITH {a.EVENTS_SQL} SELECT game AS session, step AS revision, 'delivered' AS status, step = max(step) OVER (PARTITION BY game) AS latest FROM ev")
 def st_reorder(spark, d):
     """Revisions that arrive last first, delivered in order, the latest one marked."""
@@ -369,7 +381,7 @@ def st_session_switch(spark, d):
     steps = a.event_steps(spark, d).select(F.col("game").alias("client"), "step", score_array(F.col("kind")).alias("scores"))
     own = steps.select("client", (F.col("step") * 2).alias("arrival"), F.floor((F.col("step") - 1) / 5).alias("session"), ((F.col("step") - 1) % 5 + 1).alias("revision"), "scores")
     late = steps.where("step % 5 = 2 and step > 5").select("client", (F.col("step") * 2 + 1).alias("arrival"), (F.floor((F.col("step") - 1) / 5) - 1).alias("session"), F.lit(5).cast("long").alias("revision"), "scores")
-    found = streamed(spark, own.unionByName(late), live.switching_posterior)
+    found = streamed(spark, own.unionByName(late), live.switching_posterior, batches=False)
     return rounded(found.select("client", "session", "revision", "class_id", "p", "status"))
 
 

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sequent.operators import metrics as m
 from sequent.operators import posteriors as o
 from sequent.operators import sequences as s
 from sequent.plans import adapters as a
+from sequent.plans import q_metrics
 from sequent.plans.adapters import EVENT_TYPES, read
 from sequent.sources import ndjson as src
 from sequent.sources.folders import fresh_path
@@ -159,26 +161,47 @@ def snk_training_frequency(spark, d):
     return found.groupBy("side").agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
 
 
-def event_stream(spark, d, columns):
-    """The events table as a stream."""
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path + "*").select(*columns)
+def in_two_runs(spark, rows, first, use):
+    """use(stream) over rows that come as several files: some of them, then, after a restart, the others; a file a batch."""
+    path = fresh_path(spark, "stream")
+    for some in (first, ~first):
+        rows.where(some).repartition(3).write.mode("append").parquet(path)
+        found = use(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    return found
 
 
-@query("st_metrics", "SELECT event_type, count(*) AS n, round(avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS top_1 FROM events GROUP BY event_type")
+@query("st_metrics", q_metrics.ORACLES["m_report"])
 def st_metrics(spark, d):
-    hit = (F.col("event_id") % 3 == 0).cast("double")
-    stream = event_stream(spark, d, ["event_type", *(hit.alias(f"credit_{k}") for k in (1, 3, 5)), F.lit(0.0).alias("nll"), F.lit(0.0).alias("brier")])
-    found = live.run_to_files(live.streaming_metrics(stream, ["event_type"]), fresh_path(spark, "st-metrics"), "complete")
-    return found.select("event_type", "n", F.round("top_1", 6).alias("top_1"))
+    """The whole report of a stream of row scores, tracks being split over batches and a restart in between."""
+    path = fresh_path(spark, "st-metrics")
+    tracks = in_two_runs(spark, q_metrics.scores(spark, d), F.col("step") % 2 == 0, lambda stream: live.accumulated(stream, path, m.track_sums, m.added_tracks))
+    return q_metrics.rounded(m.reported(tracks))
+
+
+@query("st_metrics_binary", q_metrics.ORACLES["m_binary"])
+def st_metrics_binary(spark, d):
+    path = fresh_path(spark, "st-binary")
+    merge = lambda parts: parts.groupBy("lang").agg(*(F.sum(c).alias(c) for c in parts.columns if c != "lang"))
+    sums = in_two_runs(spark, q_metrics.labelled(spark, d), F.col("doc_id") % 2 == 0, lambda stream: live.accumulated(stream, path, lambda rows: m.binary_sums(rows, "y", "q", by=("lang",)), merge))
+    return q_metrics.rounded(m.binary_of(sums, ("lang",)))
+
+
+@query("st_metrics_mask", q_metrics.ORACLES["m_mask"])
+def st_metrics_mask(spark, d):
+    """A row's cells come together, as one row of the stream."""
+    path = fresh_path(spark, "st-mask")
+    rows = q_metrics.cells(spark, d).groupBy(*a.ROW).agg(F.collect_list(F.struct("y", "q")).alias("cells"))
+    part = lambda batch: m.mask_sums(batch.select(*a.ROW, F.explode("cells").alias("c")).select(*a.ROW, "c.*"), a.ROW, "y", "q")
+    merge = lambda parts: parts.agg(*(F.sum(c).alias(c) for c in parts.columns))
+    return q_metrics.rounded(m.mask_of(in_two_runs(spark, rows, F.col("step") % 2 == 0, lambda stream: live.accumulated(stream, path, part, merge))))
 
 
 @query("st_convert", "SELECT DISTINCT user_id, event_type FROM events")
 def st_convert(spark, d):
-    """Repeats within the watermark's delay are dropped, so the memory of keys is bounded."""
-    rows = live.converted(event_stream(spark, d, ["user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")]), ["user_id", "event_type"], "ts", "60 days")
-    return live.run_to_files(rows.select("user_id", "event_type"), fresh_path(spark, "st-convert"))
+    """Repeats go, however far apart they are."""
+    path = fresh_path(spark, "st-convert")
+    rows = read(spark, d, "events").select("event_id", "user_id", "event_type")
+    return in_two_runs(spark, rows, F.col("event_id") % 2 == 0, lambda stream: live.converted_to_files(stream, ["user_id", "event_type"], path)).select("user_id", "event_type")
 
 
 LIVE = f"WITH {a.EVENTS_SQL}, kk(class_id) AS (VALUES {', '.join(f'({chr(39)}{e}{chr(39)})' for e in EVENT_TYPES)}), w AS (SELECT game, step, class_id, sum(CASE WHEN kind = class_id THEN 0.5 ELSE -0.25 END) OVER (PARTITION BY game, class_id ORDER BY step) AS w FROM ev CROSS JOIN kk), e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY game, step)) AS e FROM w) SELECT game AS session, step AS revision, class_id, round(e / sum(e) OVER (PARTITION BY game, step), 6) AS p FROM e"

@@ -17,28 +17,38 @@ class LivePosterior(StatefulProcessor):
 
     Rows (session, revision, scores) may come out of order: a revision ahead of its turn waits in a buffer, one that
     was seen already is stale and is dropped, and each delivered one updates the log weights.  State is dropped with
-    the session's time to live.
+    the session's time to live.  With `patience` (milliseconds, event time) a gap is given up once the watermark has
+    passed the session's last event by so much: the revisions that waited behind it are reported as abandoned and their
+    buffer is freed; the session still goes on if the missing revision comes after all.
     """
 
-    def __init__(self, classes: list[str], ttl_ms: int | None = None):
-        self._classes, self._ttl = classes, ttl_ms
+    def __init__(self, classes: list[str], ttl_ms: int | None = None, patience: int | None = None):
+        self._classes, self._ttl, self._patience = classes, ttl_ms, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("posterior", "next long, weights array<double>", self._ttl)
         self._waiting = handle.getMapState("waiting", "revision long", "scores array<double>", self._ttl)
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        """A session goes on from a snapshot (session, next, weights)."""
+        for turn, weights in zip(initialState["next"], initialState["weights"], strict=True):
+            self._state.update((int(turn), [float(x) for x in weights]))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         import numpy as np
 
         held = self._state.get()
         turn, weights = (held[0], np.array(held[1])) if held else (1, np.zeros(len(self._classes)))
-        out, stale = [], []
+        out, stale, last = [], [], 0
         for frame in rows:
             for revision, scores in zip(frame["revision"], frame["scores"], strict=True):
                 if revision < turn:
                     stale.append(int(revision))
                 else:
                     self._waiting.updateValue((int(revision),), ([float(x) for x in scores],))
+            if self._patience is not None:
+                last = max(last, int(frame["ts"].max().timestamp() * 1000))
         while self._waiting.containsKey((turn,)):
             weights = weights + np.array(self._waiting.getValue((turn,))[0])
             self._waiting.removeKey((turn,))
@@ -46,13 +56,34 @@ class LivePosterior(StatefulProcessor):
             out += [(key[0], turn, c, float(x), "delivered") for c, x in zip(self._classes, p / p.sum(), strict=True)]
             turn += 1
         self._state.update((turn, weights.tolist()))
+        if self._patience is not None:
+            for timer in list(self._handle.listTimers()):
+                self._handle.deleteTimer(timer)
+            if self._waiting.exists():
+                self._handle.registerTimer(last + self._patience)
         out += [(key[0], r, None, None, "stale") for r in stale]
         yield pd.DataFrame(out, columns=["session", "revision", "class_id", "p", "status"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        waiting = sorted(k[0] for k in self._waiting.keys())
+        self._waiting.clear()
+        yield pd.DataFrame([(key[0], r, None, None, "abandoned") for r in waiting], columns=["session", "revision", "class_id", "p", "status"])
+
     def close(self) -> None:
         pass
 
 
+def snapshot(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """(session, next, weights) of lists of delivered rows (session, revision from 1 without gaps, scores): where a live posterior goes on.
+
+    Weights are the sums of the scores, class by class; a session whose revisions have gaps or repeats fails.
+    """
+    sums = F.array(*(F.sum(F.get("scores", F.lit(k))) for k in range(len(classes))))
+    found = rows.groupBy("session").agg((F.max("revision") + 1).alias("next"), sums.alias("weights"), F.count("*").alias("n"), F.count_distinct("revision").alias("own"))
+    whole = (F.col("n") == F.col("own")) & (F.col("n") + 1 == F.col("next"))
+    return found.select("session", F.when(whole, F.col("next")).otherwise(F.raise_error(F.lit("snapshot: revisions have gaps or repeats")).cast("long")).alias("next"), "weights")
+
+
 class SwitchingPosterior(LivePosterior):
     """The posterior of each client's current session: a newer session discards the state, and an older one's rows are late.
 
@@ -86,21 +117,56 @@ def switching_posterior(stream: DataFrame, classes: list[str], ttl_ms: int | Non
     return stream.groupBy("client").transformWithStateInPandas(SwitchingPosterior(classes, ttl_ms), f"client long, {OUTPUT}", "append", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def live_posterior(stream: DataFrame, classes: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """Posteriors of a stream (session, revision from 1, scores array<double>), as revisions get their turn."""
-    return stream.groupBy("session").transformWithStateInPandas(LivePosterior(classes, ttl_ms), OUTPUT, "append", "None" if ttl_ms is None else "ProcessingTime")
+def live_posterior(stream: DataFrame, classes: list[str], ttl_ms: int | None = None, start: DataFrame | None = None, patience: int | None = None) -> DataFrame:
+    """Posteriors of a stream (session, revision from 1, scores array<double>), as revisions get their turn.
+
+    start: a snapshot (session, next, weights) that sessions go on from.  patience: the stream has event times `ts` with a
+    watermark, and gaps are given up so many milliseconds after the session's last event.
+    """
+    mode = "EventTime" if patience is not None else "None" if ttl_ms is None else "ProcessingTime"
+    begin = None if start is None else start.groupBy("session")
+    return stream.groupBy("session").transformWithStateInPandas(LivePosterior(classes, ttl_ms, patience), OUTPUT, "append", mode, begin)
 
 
-def streaming_metrics(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Additive metrics of a stream of row scores; run in complete or update mode."""
-    return scores.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(f"credit_{k}").alias(f"top_{k}") for k in (1, 3, 5)), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"))
+def accumulated(stream: DataFrame, path: str, part, merge) -> DataFrame:
+    """The merged parts of everything that a stream has brought so far; part: batch -> sums, merge: sums -> sums.
 
+    State n is state n - 1 with batch n, written under its number: a batch that is replayed after a failure writes the same
+    state again and so counts once, and a query that is started anew with the path goes on from the last one.  State is as
+    large as the merged sums (a row a track and the like), not as the stream.
+    """
+    spark = stream.sparkSession
+    states = f"{path}/states"
 
-def converted(traces: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Step rows of a stream without repeats of (keys); with an ingestion time the memory of keys is bounded."""
-    if time is None:
-        return traces.dropDuplicates(keys)
-    return traces.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    def keep(batch: DataFrame, number: int) -> None:
+        sums = part(batch)
+        if number:
+            sums = spark.read.parquet(f"{states}/batch={number - 1}").select(*sums.columns).unionByName(sums)
+        merge(sums).write.mode("overwrite").parquet(f"{states}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    every = spark.read.parquet(states)
+    return every.join(every.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+
+
+def converted_to_files(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Rows of a stream whose keys have not come before, in this batch or any other: exact, however far apart repeats are.
+
+    A batch is held against what earlier batches have committed by an anti-join, so no memory of keys grows with the stream;
+    a batch that is replayed is held against the same earlier ones and writes the same keys again.
+    """
+    spark = stream.sparkSession
+    rows = f"{path}/rows"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if number:
+            held = spark.read.parquet(rows).where(F.col("batch") < number).select(*(F.col(k).alias(f"__{k}") for k in keys))
+            new = new.join(held, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+        new.write.mode("overwrite").parquet(f"{rows}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(rows).drop("batch")
 
 
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
