@@ -37,6 +37,21 @@ def temperature_nll(logits: DataFrame, key: str, grid: list[float] | Column, by:
     return each.withColumn("nll", F.log(total) - (F.col("own") - F.col("top")) / F.col("t")).groupBy(*by, "t").agg(F.avg("nll").alias("nll"))
 
 
+def calibration(logits: DataFrame, key: str, by: str, fitted: dict) -> DataFrame:
+    """by, t, before, after, improved, regained, each_side, accepted: the truth's loss at temperature 1 and at the fitted one of each of a few groups.
+
+    regained: eliminated classes that the fitted temperature gives mass.  accepted: the mean of the groups' losses falls
+    strictly, and nothing is regained; each_side: it falls in every group.
+    """
+    own = F.element_at(F.create_map(*(x for g, t in fitted.items() for x in (F.lit(g), F.lit(float(t))))), F.col(by))
+    before = temperature_nll(logits, key, [1.0], (by,)).select(by, F.col("nll").alias("before"))
+    after = temperature_nll(logits, key, F.array(own), (by,)).select(by, "t", F.col("nll").alias("after"))
+    regained = softmax(logits, [key], F.col("logit") / own, ~F.col("eliminated")).groupBy(by).agg(F.count_if(F.col("eliminated") & (F.col("p") != 0)).alias("regained"))
+    found = before.join(after, by).join(regained, by).withColumn("improved", F.col("after") < F.col("before"))
+    every = found.agg((F.avg("after") < F.avg("before")).alias("__less"), F.min("improved").alias("each_side"), F.sum("regained").alias("__regained"))
+    return found.crossJoin(every).withColumn("accepted", F.col("__less") & (F.col("__regained") == 0)).drop("__less", "__regained")  # one row
+
+
 def fit_temperature(logits: DataFrame, key: str, rounds: int = 4, points: int = 33) -> tuple[float, float]:
     """The temperature of the least mean nll within bounds, and that nll; of ties the smaller one.
 

@@ -203,6 +203,51 @@ def non_regression(control: DataFrame, treatment: DataFrame, keys: list[str], hi
     return both.withColumn("gain", gain).withColumn("ok", F.coalesce(gain >= -slack, F.lit(False)))
 
 
+#: Checks of a treatment against its control: metrics (or their common beginning), whether more is better, and how much may be lost.
+RELIABILITY = [
+    ("top_1", "track_top_1", True, 0.0), ("top_3", "track_top_3", True, 0.0), ("nll", "track_nll", False, 0.0), ("brier", "track_brier", False, 0.0), ("calibration", "ece", False, 0.0), ("horizons", "horizon_%", True, 0.0),
+    ("trigger", "trigger", True, 0.0), ("forced", "forced", True, 0.0), ("classes", "class_%", True, 0.01),
+]
+
+
+def reliability(table: DataFrame, control: str, treatment: str) -> DataFrame:
+    """check, ok: the eleven checks of a treatment against its control, from long metrics (system, metric, value).
+
+    primary: (top 1, top 3, -nll) of the treatment is greater, compared in this order.  authority: for both, rows were
+    checked, none of them without a mask, no eliminated class has mass.  A metric that one system lacks, or that is null
+    or not finite, fails its check, and so does a check that finds no metric at all.
+    """
+    finite = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    one = lambda name: table.where(F.col("system") == name).select("metric", finite.alias(name))
+    both = one(control).withColumnRenamed(control, "x").join(one(treatment).withColumnRenamed(treatment, "y"), "metric", "full_outer")
+    x, y = F.col("x"), F.col("y")
+    every = [F.coalesce(F.min(F.when(F.col("metric").like(name), F.coalesce((y - x if more else x - y) >= -slack, F.lit(False)).cast("int"))) == 1, F.lit(False)).alias(check) for check, name, more, slack in RELIABILITY]
+    value = lambda c, name: F.max(F.when(F.col("metric") == name, c))
+    order = [(value(c, "track_top_1"), value(c, "track_top_3"), -value(c, "track_nll")) for c in (y, x)]
+    known = F.array(*order[0], *order[1])
+    primary = F.struct(*order[0]) > F.struct(*order[1])
+    clean = [(value(c, "checked") > 0) & (value(c, "masked") == value(c, "checked")) & (value(c, "violations") == 0) & (value(c, "max_eliminated") == 0) for c in (x, y)]
+    wide = both.agg((primary & F.forall(known, lambda v: v.isNotNull())).alias("primary"), *every, F.coalesce(clean[0] & clean[1], F.lit(False)).alias("authority"))
+    names = ["primary", *(c for c, *_ in RELIABILITY), "authority"]
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("ok")) for c in names))).alias("c")).select("c.*")
+
+
+def claim(scores: DataFrame, game: str, track: list[str], truth: str, p_truth: str, claimed: list[str], known: list[str], least_games: int = 2_000, least_tracks: int = 10) -> DataFrame:
+    """games, undercovered, unknown, zero_tracks, failures, satisfied: whether what is claimed of classes can be said.
+
+    There must be `least_games` games, `least_tracks` tracks of each claimed class, no claimed class that is not known, and no
+    track that gives its truth no mass; nothing claimed satisfies nothing.
+    """
+    tracks = scores.groupBy(*track).agg(F.max(truth).alias("__truth"), F.min(p_truth).alias("__p"))
+    wanted = scores.sparkSession.createDataFrame([(c, c in known) for c in claimed], "__truth string, known boolean")
+    support = wanted.join(tracks.groupBy("__truth").agg(F.count("*").alias("n")), "__truth", "left").fillna(0, ["n"])
+    names = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("__truth")))), ",")
+    covered = support.agg(names(F.col("n") < least_tracks).alias("undercovered"), names(~F.col("known")).alias("unknown"), F.count("*").alias("claims"))  # the claimed classes
+    counts = scores.agg(F.count_distinct(game).alias("games")).crossJoin(tracks.agg(F.count_if(F.col("__p") == 0).alias("zero_tracks"))).crossJoin(covered)  # one row each
+    failures = F.filter(F.array(F.when(F.col("games") < least_games, "games"), F.when(F.col("unknown") != "", "unknown"), F.when(F.col("undercovered") != "", "tracks"), F.when(F.col("zero_tracks") > 0, "zero truth")), lambda x: x.isNotNull())
+    return counts.withColumn("failures", F.array_join(failures, ",")).withColumn("satisfied", (F.col("failures") == "") & (F.col("claims") > 0)).drop("claims")
+
+
 def release(values: DataFrame, deltas: DataFrame, least_gain: float, place: int) -> DataFrame:
     """Whether the mean paired gain and its bootstrap lower bound allow a release."""
     gain = deltas.agg(F.avg("delta").alias("gain"))

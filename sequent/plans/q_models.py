@@ -246,17 +246,46 @@ def g_stability(spark, d):
     return rounded(halves.agg(gap.alias("gap"), (gap <= 0.05).alias("ok")))
 
 
-@query("g_reliability", f"{AB}, a AS (SELECT truth, avg(credit_1) AS v FROM s GROUP BY truth), b AS (SELECT truth, avg(credit_1) AS v FROM s_b GROUP BY truth) SELECT truth, round(b.v - a.v, 6) AS delta, b.v >= a.v - 0.01 AS ok FROM a JOIN b USING (truth)")
+def reliability_metrics(spark, d):
+    """Long metrics (system, metric, value) of both systems that the reliability checks read."""
+    own = both_systems(spark, d)
+    report = m.report(own, ("system",)).where("metric like 'track%' or metric = 'ece'")
+    horizons = m.at_horizons(own, track=("system", *TRACK)).groupBy("system", F.concat(F.lit("horizon_"), F.col("horizon").cast("string")).alias("metric")).agg(F.avg("credit_1").alias("value"))
+    classes = own.groupBy("system", F.concat(F.lit("class_"), "truth").alias("metric")).agg(F.avg("credit_1").alias("value"))
+    right = lambda p, n: F.avg(((F.col(p) >= 0.5) == (F.col("step") % n == 0)).cast("double"))
+    heads = m.melted(own.groupBy("system").agg(right("confidence", 3).alias("trigger"), right("credit_1", 4).alias("forced")), ("system",))
+    pred = predictions(spark, d, "AB")
+    gone = F.col("eliminated")
+    parts = [x for s, c in (("A", "p"), ("B", "other")) for x in (F.count_if(gone & (F.col(c) != 0)).alias(f"{s}_violations"), F.coalesce(F.max(F.when(gone, F.col(c))), F.lit(0.0)).alias(f"{s}_max_eliminated"), F.count_distinct(*ROW).alias(f"{s}_checked"), F.count_distinct(F.when(gone.isNotNull(), F.struct(*ROW))).alias(f"{s}_masked"))]
+    masks = m.melted(pred.agg(*parts)).select(F.substring("metric", 1, 1).alias("system"), F.expr("substring(metric, 3)").alias("metric"), "value")
+    return reduce(lambda a, b: a.unionByName(b), [report, horizons, classes, heads, masks])
+
+
+RELIABILITY = f"""{AB}, ab AS (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b),
+tr AS (SELECT system, game, side, avg(credit_1) AS a, avg(credit_3) AS b, avg(nll) AS n, avg(brier) AS r FROM ab GROUP BY ALL),
+bn AS (SELECT system, least(floor(confidence * 15), 14) AS bin, count(*) AS n, sum(credit_1) - sum(confidence) AS gap FROM ab GROUP BY ALL),
+hz(horizon) AS (VALUES (5), (10), (15), (20)), lt AS (SELECT horizon, ab.* FROM ab JOIN hz ON step <= horizon QUALIFY row_number() OVER (PARTITION BY system, horizon, game, side ORDER BY step DESC) = 1),
+mt AS (
+  SELECT system, 'track_top_1' AS metric, avg(a) AS value FROM tr GROUP BY system UNION ALL SELECT system, 'track_top_3', avg(b) FROM tr GROUP BY system UNION ALL SELECT system, 'track_nll', avg(n) FROM tr GROUP BY system UNION ALL SELECT system, 'track_brier', avg(r) FROM tr GROUP BY system
+  UNION ALL SELECT system, 'ece', sum(abs(gap)) / sum(n) FROM bn GROUP BY system UNION ALL SELECT system, 'horizon_' || horizon, avg(credit_1) FROM lt GROUP BY system, horizon UNION ALL SELECT system, 'class_' || truth, avg(credit_1) FROM ab GROUP BY system, truth
+  UNION ALL SELECT system, 'trigger', avg(CAST((confidence >= 0.5) = (step % 3 = 0) AS INT)) FROM ab GROUP BY system UNION ALL SELECT system, 'forced', avg(CAST((credit_1 >= 0.5) = (step % 4 = 0) AS INT)) FROM ab GROUP BY system),
+bo AS (SELECT metric, max(value) FILTER (system = 'A') AS x, max(value) FILTER (system = 'B') AS y FROM mt GROUP BY metric),
+wide AS (SELECT max(x) FILTER (metric = 'track_top_1') AS x1, max(y) FILTER (metric = 'track_top_1') AS y1, max(x) FILTER (metric = 'track_top_3') AS x3, max(y) FILTER (metric = 'track_top_3') AS y3, max(x) FILTER (metric = 'track_nll') AS xn, max(y) FILTER (metric = 'track_nll') AS yn FROM bo)"""
+RELIABILITY_SQL = f"{RELIABILITY} SELECT 'primary' AS \"check\", (y1, y3, -yn) > (x1, x3, -xn) AS ok FROM wide UNION ALL " + " UNION ALL ".join(f"SELECT '{check}', bool_and({'y - x' if more else 'x - y'} >= -{slack}) FROM bo WHERE metric LIKE '{name}'" for check, name, more, slack in g.RELIABILITY) + " UNION ALL SELECT 'authority', (SELECT count(*) FROM pred WHERE eliminated AND p <> 0) + (SELECT count(*) FROM pred_b WHERE eliminated AND p <> 0) = 0 AND (SELECT count(*) FROM s) > 0"
+
+
+@query("g_reliability", RELIABILITY_SQL)
 def g_reliability(spark, d):
-    control, treatment = (m.summary(scores(spark, d, k), ("truth",)).select("truth", F.col("top_1").alias(k)) for k in "AB")
-    both_classes = control.join(treatment, "truth")
-    return rounded(both_classes.select("truth", (F.col("B") - F.col("A")).alias("delta"), (F.col("B") >= F.col("A") - 0.01).alias("ok")))
+    """All eleven checks of system B against system A."""
+    return g.reliability(reliability_metrics(spark, d), "A", "B")
+
 
+CLAIMED = [*CLASSES[:4], "OTHER"]
 
-@query("g_claim", f"{AB}, t AS (SELECT truth, count(DISTINCT (game, side)) AS tracks FROM s GROUP BY truth) SELECT truth, tracks, tracks >= 10 AS claimed FROM t")
+
+@query("g_claim", f"{AB}, t AS (SELECT game, side, max(truth) AS truth, min(p_truth) AS p FROM s GROUP BY game, side), w(truth) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in CLAIMED)}), n AS (SELECT w.truth, count(t.truth) AS n FROM w LEFT JOIN t USING (truth) GROUP BY w.truth), o AS (SELECT (SELECT count(DISTINCT game) FROM s) AS games, (SELECT count(*) FROM t WHERE p = 0) AS zero_tracks, coalesce((SELECT string_agg(truth, ',' ORDER BY truth) FROM n WHERE n < 10), '') AS undercovered, 'OTHER' AS unknown), f AS (SELECT *, array_to_string(list_filter([CASE WHEN games < 2000 THEN 'games' END, 'unknown', CASE WHEN undercovered <> '' THEN 'tracks' END, CASE WHEN zero_tracks > 0 THEN 'zero truth' END], lambda x: x IS NOT NULL), ',') AS failures FROM o) SELECT *, failures = '' AS satisfied FROM f")
 def g_claim(spark, d):
-    tracks = scores(spark, d).groupBy("truth").agg(F.count_distinct("game", "side").alias("tracks"))
-    return tracks.withColumn("claimed", F.col("tracks") >= 10)
+    return g.claim(scores(spark, d), "game", TRACK, "truth", "p_truth", CLAIMED, CLASSES)
 
 
 DELTAS = f"{AB}, ga AS (SELECT game, side, avg(credit_1) AS v FROM s GROUP BY ALL), gb AS (SELECT game, side, avg(credit_1) AS v FROM s_b GROUP BY ALL), dl AS (SELECT game, avg(ga.v - gb.v) AS delta FROM ga JOIN gb USING (game, side) GROUP BY game HAVING count(*) = 2)"
@@ -360,8 +389,14 @@ def g_bootstrap(spark, d):
     return summary_intervals(spark, d).select("side", "metric", passed.alias("passed"))
 
 
-@query("c_calibration_accept", f"{NLL}, q AS (SELECT max(CASE WHEN t = 1 THEN nll END) AS before, max(CASE WHEN t = 2 THEN nll END) AS after FROM a) SELECT round(before, 6) AS before, round(after, 6) AS after, after < before AS accepted FROM q")
+CALIBRATED = f"{fit_sql().rsplit(' SELECT side', 1)[0]}, ft AS (SELECT side, round(t, 4) AS t FROM b5), nl AS (SELECT side, k, avg(ln(list_sum(list_transform(every, lambda x: exp((x - top) / u)))) - (own - top) / u) AS nll FROM (SELECT rw.*, v.k, CASE WHEN v.k = 'after' THEN ft.t ELSE 1.0 END AS u FROM rw JOIN ft USING (side), (VALUES ('before'), ('after')) AS v(k)) GROUP BY side, k), sd AS (SELECT side, max(nll) FILTER (k = 'before') AS before, max(nll) FILTER (k = 'after') AS after FROM nl GROUP BY side), av AS (SELECT avg(before) AS b, avg(after) AS a, bool_and(after < before) AS each_side FROM sd)"
+
+
+@query("c_calibration_accept", f"{CALIBRATED} SELECT side, round(t, 4) AS t, round(before, 6) AS before, round(after, 6) AS after, after < before AS improved, 0 AS regained, each_side, a < b AS accepted FROM sd JOIN ft USING (side), av")
 def c_calibration_accept(spark, d):
-    grid = f.temperature_nll(logits(spark, d), "vec_id", [1.0, 2.0])
-    found = grid.agg(F.max(F.when(F.col("t") == 1, F.col("nll"))).alias("before"), F.max(F.when(F.col("t") == 2, F.col("nll"))).alias("after"))
-    return rounded(found.withColumn("accepted", F.col("after") < F.col("before")))
+    """Each side's fitted temperature: accepted if the mean of the sides' losses falls and no eliminated class gets mass."""
+    rows = logits(spark, d)
+    fitted = {side: round(t, 4) for side, (t, _) in f.fit_temperatures(rows, "vec_id", "side").items()}
+    return rounded(f.calibration(rows, "vec_id", "side", fitted))
+
+
