@@ -33,14 +33,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate class; one row of those alike in doc_id and text.
 
     Of a class the text of the smallest doc_id stays, null ids last, then the one of the smallest hash.  Null, empty
-    and blank texts are like nothing and stay, but once for each doc_id.
+    and blank texts are like nothing and stay, but once for each doc_id.  Of rows alike in doc_id and text the one with
+    the smallest lang, source and n_chars stays, nulls first, so reruns agree.
     """
     kept = jaccard.jaccard_classes(docs).where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "rows")
     found = docs.select(COLUMNS).withColumn("__key", F.xxhash64("text"))
     found = found.join(kept, (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     once, again = found.where("rows = 1").select(COLUMNS), found.where("rows > 1").select(COLUMNS)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    first = again.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return once.unionByName(first.select("doc_id", "text", "row.*").select(COLUMNS))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

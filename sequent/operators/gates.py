@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -203,6 +204,55 @@ def non_regression(control: DataFrame, treatment: DataFrame, keys: list[str], hi
     return both.withColumn("gain", gain).withColumn("ok", F.coalesce(gain >= -slack, F.lit(False)))
 
 
+#: Absolute bounds of a side's metrics, and of its horizons: top k after so many observed steps (fixed values).
+ABSOLUTE = [("track_top_1", ">=", 0.10), ("track_top_3", ">=", 0.25), ("track_top_5", ">=", 0.35), ("row_nll", "<=", 4.50), ("row_brier", "<=", 0.970), ("ece", "<=", 0.080)]
+HORIZONS = [("top_1", 10, 0.040), ("top_1", 15, 0.070), ("top_1", 20, 0.100), ("top_3", 20, 0.250)]
+
+
+def absolute(report: DataFrame, horizons: DataFrame, sides: tuple[str, ...] = ("white", "black")) -> DataFrame:
+    """gate, side, metric, op, bound, value, status of each side's bounds, from a report (side, metric, value) and horizons (group, horizon, top_1, top_3)."""
+    bounds = [*ABSOLUTE, *((f"horizon_{h}_{m}", ">=", b) for m, h, b in HORIZONS)]
+    wanted = [(f"{side}.{metric}", side, metric, op, bound) for side in sides for metric, op, bound in bounds]
+    pairs = F.explode(F.array(*(F.struct(F.concat(F.lit("horizon_"), F.col("horizon").cast("string"), F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("top_1", "top_3")))).alias("m")
+    own = report.select("side", "metric", "value").unionByName(horizons.select(F.col("group").alias("side"), pairs).select("side", "m.*"))
+    return gates(own, report.sparkSession.createDataFrame(wanted, "gate string, side string, metric string, op string, bound double"), ["side", "metric"])
+
+
+def slices_complete(rows: DataFrame, dims: list[str], truth: str, classes: int) -> DataFrame:
+    """rows, a sum over the slices of each dimension, classes, complete: one aggregate over all slices.
+
+    complete: every dimension's slices add up to all rows (no row lacks a value), and every class has rows on its own.
+    """
+    cells = rows.groupingSets([[F.col(d)] for d in dims], *dims).agg(F.count("*").alias("n"), F.grouping_id(*dims).alias("level"))
+    mine = {d: F.col("level") == (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - k)) for k, d in enumerate(dims)}
+    every = lambda d: F.sum(F.when(mine[d], F.col("n")))
+    named = lambda d: F.coalesce(F.sum(F.when(mine[d] & F.col(d).isNotNull(), F.col("n"))), F.lit(0))
+    found = cells.agg(every(dims[0]).alias("rows"), *(named(d).alias(f"by_{d}") for d in dims), F.count_if(mine[truth] & F.col(truth).isNotNull()).alias("classes"))
+    same = reduce(lambda a, b: a & b, (F.col(f"by_{d}") == F.col("rows") for d in dims))
+    return found.withColumn("complete", F.coalesce(same & (F.col("classes") == classes), F.lit(False)))
+
+
+def coverage(scores: DataFrame, diagnostics: DataFrame, unscorable: Column) -> DataFrame:
+    """rows, scored, unscorable, max_sum_error, violations, passed: every row is scored or known to be unscorable, distributions sum to 1 within 1e-6, and no eliminated class has mass."""
+    counts = scores.agg(F.count("*").alias("rows"), F.count_if(F.col("nll").isNotNull() & ~unscorable).alias("scored"), F.count_if(unscorable).alias("unscorable"))
+    found = counts.crossJoin(diagnostics.select("max_sum_error", "violations", "max_eliminated_p"))  # one row each
+    passed = (F.col("scored") + F.col("unscorable") == F.col("rows")) & (F.col("max_sum_error") <= 1e-6) & (F.col("violations") == 0) & (F.col("max_eliminated_p") == 0)
+    return found.withColumn("passed", passed & (F.col("rows") > 0)).drop("max_eliminated_p")
+
+
+def calibration_gates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """side, gate, value, passed: calibration moves no top-k credit by more than 1e-12, its error is no greater and its loss strictly less.
+
+    before, after: reports (side, metric, value) of the same rows.  A metric that is missing on one side of the comparison fails its gate.
+    """
+    ranking = [f"{grain}_top_{k}" for grain in ("row", "track") for k in (1, 3, 5)]
+    both = before.select("side", "metric", F.col("value").alias("x")).join(after.select("side", "metric", F.col("value").alias("y")), ["side", "metric"], "full_outer").where(F.col("metric").isin(*ranking, "ece", "row_nll"))
+    change = F.col("y") - F.col("x")
+    value = F.when(F.col("metric").isin(*ranking), F.abs(change)).otherwise(change)
+    passed = F.when(F.col("metric").isin(*ranking), value <= 1e-12).when(F.col("metric") == "ece", value <= 0).otherwise(value < 0)
+    return both.select("side", F.col("metric").alias("gate"), value.alias("value"), F.coalesce(passed & ~F.isnan(value), F.lit(False)).alias("passed"))
+
+
 #: Checks of a treatment against its control: metrics (or their common beginning), whether more is better, and how much may be lost.
 RELIABILITY = [
     ("top_1", "track_top_1", True, 0.0), ("top_3", "track_top_3", True, 0.0), ("nll", "track_nll", False, 0.0), ("brier", "track_brier", False, 0.0), ("calibration", "ece", False, 0.0), ("horizons", "horizon_%", True, 0.0),

@@ -10,7 +10,7 @@ from sequent.operators import fusion as f
 from sequent.operators import gates as g
 from sequent.operators import metrics as m
 from sequent.plans.adapters import CLASSES, ROW, TRACK, distributions, pred_sql, predictions, read, score_sql, with_sql
-from sequent.plans.q_metrics import both_systems, rounded, scores
+from sequent.plans.q_metrics import LATEST, both_systems, report_sql, rounded, scores
 from sequent.plans.q_tables import PAIRS
 
 QUERIES: dict = {}
@@ -200,9 +200,13 @@ def absolute(spark, d):
     return g.gates(own, thresholds(spark), ["side", "metric"])
 
 
-@query("g_absolute", f"{METRICS}, {TH} SELECT gate, side, metric, op, bound, round(value, 6) AS value, {STATUS} AS status FROM th LEFT JOIN (SELECT * FROM mt WHERE system = 'A') USING (side, metric)")
+ABSOLUTE_SQL = "ab(metric, op, bound) AS (VALUES " + ", ".join(f"('{x}', '{op}', {b}::DOUBLE)" for x, op, b in [*g.ABSOLUTE, *((f"horizon_{h}_{x}", ">=", b) for x, h, b in g.HORIZONS)]) + "), th AS (SELECT v.side || '.' || metric AS gate, v.side, ab.* FROM ab, (VALUES ('white'), ('black')) AS v(side))"
+
+
+@query("g_absolute", f"{AB}, {LATEST}, {ABSOLUTE_SQL}, rp AS ({report_sql('side').replace('round(value, 6) AS value', 'value')}), hv AS (SELECT side, 'horizon_' || horizon || '_' || unnest(['top_1', 'top_3']) AS metric, unnest([avg(credit_1), avg(credit_3)]) AS value FROM l GROUP BY side, horizon), mt AS (SELECT side, metric, value FROM rp UNION ALL SELECT * FROM hv) SELECT gate, side, metric, op, bound, round(value, 6) AS value, {STATUS} AS status FROM th LEFT JOIN mt USING (side, metric)")
 def g_absolute(spark, d):
-    return rounded(absolute(spark, d).select("gate", "side", "metric", "op", "bound", "value", "status"))
+    own = scores(spark, d)
+    return rounded(g.absolute(m.report(own, ("side",)), m.horizon_full(own)).select("gate", "side", "metric", "op", "bound", "value", "status"))
 
 
 @query("g_collect", f"{METRICS}, {TH}, st AS (SELECT {STATUS} AS status FROM th LEFT JOIN (SELECT * FROM mt WHERE system = 'A') USING (side, metric)) SELECT status, count(*) AS n FROM st GROUP BY status")
@@ -226,17 +230,18 @@ def g_class_macro(spark, d):
     return rounded(by.agg(F.avg("top_3").alias("macro_top_3"), F.avg((F.col("top_5") > 5 / 6).cast("double")).alias("above_uniform"), F.count("*").alias("classes")))
 
 
-@query("g_slices", f"{AB}, p AS (SELECT side, count(*) AS n FROM s GROUP BY side), t AS (SELECT truth, count(*) AS n FROM s GROUP BY truth) SELECT (SELECT count(*) FROM s) AS rows, (SELECT CAST(sum(n) AS BIGINT) FROM p) AS by_side, (SELECT CAST(sum(n) AS BIGINT) FROM t) AS by_class, (SELECT count(*) FROM t) AS classes")
+@query("g_slices", f"{AB}, x AS (SELECT *, game % 5 AS agent, CASE WHEN step % 2 = 0 THEN 'evidence' WHEN step % 7 <> 0 THEN 'synchronous' END AS mode FROM s) SELECT count(*) AS rows, count(agent) AS by_agent, count(mode) AS by_mode, count(side) AS by_side, count(truth) AS by_truth, count(DISTINCT truth) AS classes, count(mode) = count(*) AND count(DISTINCT truth) = 6 AS complete FROM x")
 def g_slices(spark, d):
-    own = scores(spark, d)
-    sums = [x.agg(F.sum("n").alias(name)) for name, x in (("by_side", own.groupBy("side").agg(F.count("*").alias("n"))), ("by_class", own.groupBy("truth").agg(F.count("*").alias("n"))))]
-    every = own.agg(F.count("*").alias("rows"), F.count_distinct("truth").alias("classes"))
-    return reduce(lambda a, b: a.crossJoin(b), [every, *sums]).select("rows", "by_side", "by_class", "classes")  # one row each
+    """Slices by agent, mode, side and class; some rows have no mode."""
+    mode = F.when(F.col("step") % 2 == 0, "evidence").when(F.col("step") % 7 != 0, "synchronous")
+    rows = scores(spark, d).select("side", "truth", (F.col("game") % 5).alias("agent"), mode.alias("mode"))
+    return g.slices_complete(rows, ["agent", "mode", "side", "truth"], "truth", len(CLASSES))
 
 
-@query("g_coverage", f"{AB} SELECT count(*) AS rows, count(nll) AS scored, count(*) - count(nll) AS unscorable, max(sum_error) <= 1e-6 AS normalised FROM s")
+@query("g_coverage", f"{AB}, v AS (SELECT count(*) AS n, coalesce(max(p), 0) AS most FROM pred WHERE eliminated AND p <> 0) SELECT count(*) AS rows, count(nll) FILTER (step % 50 <> 0) AS scored, count(*) FILTER (step % 50 = 0) AS unscorable, round(max(sum_error), 6) AS max_sum_error, any_value(v.n) AS violations, count(nll) FILTER (step % 50 <> 0) + count(*) FILTER (step % 50 = 0) = count(*) AND max(sum_error) <= 1e-6 AND any_value(v.n) = 0 AS passed FROM s, v")
 def g_coverage(spark, d):
-    return scores(spark, d).agg(F.count("*").alias("rows"), F.count("nll").alias("scored"), F.count_if(F.col("nll").isNull()).alias("unscorable"), (F.max("sum_error") <= 1e-6).alias("normalised"))
+    """Every fiftieth step is known to be unscorable."""
+    return rounded(g.coverage(scores(spark, d), m.diagnostics(predictions(spark, d), ROW), F.col("step") % 50 == 0))
 
 
 @query("g_stability", f"{AB}, h AS (SELECT game % 2 = 0 AS test, avg(credit_1) AS v FROM s GROUP BY 1) SELECT round(abs(max(CASE WHEN test THEN v END) - max(CASE WHEN NOT test THEN v END)), 6) AS gap, abs(max(CASE WHEN test THEN v END) - max(CASE WHEN NOT test THEN v END)) <= 0.05 AS ok FROM h")

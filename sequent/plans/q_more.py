@@ -223,14 +223,33 @@ def s_blend_run(spark, d):
     return best.crossJoin(control).select("weight", F.when(ok, "promote").otherwise("retain").alias("decision"))  # one row each
 
 
-@query("g_calibration", f"{NLL} SELECT 0 AS reordered, max(CASE WHEN t = 2 THEN nll END) < max(CASE WHEN t = 1 THEN nll END) AS better FROM a")
+def calibration_sql() -> str:
+    """Reports of the logits' distributions at temperature 1 and at each side's fitted one, compared."""
+    parts = [q_models.CALIBRATED.removeprefix("WITH "), "lt AS (SELECT lg.*, ft.t FROM lg JOIN ft USING (side))"]
+    for k, logit in (("x", "logit"), ("y", "logit / t")):
+        parts.append(q_models.softmax_sql(logit, "NOT eliminated", "lt", "vec_id", f"sm{k}"))
+        parts.append(f"d{k} AS (SELECT vec_id // 10 AS game, side, vec_id AS step, truth, c AS class_id, q AS p FROM sm{k})")
+        parts.append(score_sql(f"s{k}", f"d{k}").replace("pt AS (SELECT", f"pt{k} AS (SELECT").replace("FROM pt GROUP", f"FROM pt{k} GROUP"))
+        tracks = f"(SELECT side, avg(credit_1) AS a, avg(credit_3) AS b, avg(credit_5) AS c FROM s{k} GROUP BY side, game)"
+        values = [*((f"row_top_{n}", f"avg(credit_{n})", f"s{k}") for n in (1, 3, 5)), *((f"track_top_{n}", f"avg({c})", tracks) for n, c in ((1, "a"), (3, "b"), (5, "c"))), ("row_nll", "avg(nll)", f"s{k}")]
+        rows = " UNION ALL ".join(f"SELECT side, '{name}' AS metric, {value} AS value FROM {source} GROUP BY side" for name, value, source in values)
+        parts.append(f"m{k} AS ({rows} UNION ALL SELECT side, 'ece', sum(abs(gap)) / sum(n) FROM (SELECT side, least(floor(confidence * 15), 14) AS bin, count(*) AS n, sum(credit_1) - sum(confidence) AS gap FROM s{k} GROUP BY side, bin) GROUP BY side)")
+    value = "CASE WHEN metric LIKE '%top%' THEN abs(my.value - mx.value) ELSE my.value - mx.value END"
+    return "WITH " + ", ".join(parts) + f", z AS (SELECT side, metric AS gate, {value} AS value FROM mx JOIN my USING (side, metric)) SELECT side, gate, round(value, 6) + 0.0::DOUBLE AS value, CASE WHEN gate LIKE '%top%' THEN value <= 1e-12 WHEN gate = 'ece' THEN value <= 0 ELSE value < 0 END AS passed FROM z"
+
+
+@query("g_calibration", calibration_sql())
 def g_calibration(spark, d):
+    """Embeddings as logits, ten to a game, at temperature 1 and at each side's fitted one."""
     rows = logits(spark, d)
-    before, after = f.softmax(rows, ["vec_id"], F.col("logit"), ~F.col("eliminated"), "p"), f.softmax(rows, ["vec_id"], F.col("logit") / 2, ~F.col("eliminated"), "q")
-    top = lambda x, p: x.groupBy("vec_id").agg(F.max_by("c", p).alias(p))
-    moved = top(before, "p").join(top(after, "q"), "vec_id").agg(F.count_if(F.col("p") != F.col("q")).alias("reordered"))
-    nll = f.temperature_nll(rows, "vec_id", [1.0, 2.0]).agg((F.max(F.when(F.col("t") == 2, F.col("nll"))) < F.max(F.when(F.col("t") == 1, F.col("nll")))).alias("better"))
-    return moved.crossJoin(nll)  # one row each
+    fitted = {side: round(t, 4) for side, (t, _) in f.fit_temperatures(rows, "vec_id", "side").items()}
+    own = F.element_at(F.create_map(*(x for side, t in fitted.items() for x in (F.lit(side), F.lit(t)))), F.col("side"))
+    rows = rows.withColumn("game", F.floor(F.col("vec_id") / 10)).withColumn("class_id", F.col("c").cast("int"))
+    reports = []
+    for t in (F.lit(1.0), own):
+        pred = f.softmax(rows, ["vec_id"], F.col("logit") / t, ~F.col("eliminated"))
+        reports.append(m.report(m.row_scores(pred, ["game", "side", "vec_id"]), ("side",)))
+    return rounded(g.calibration_gates(*reports))
 
 
 @query("g_blend", f"{METRICS}, b AS (SELECT side, metric, a.value AS control, b.value AS treatment, CASE WHEN metric IN ('support', 'top_1', 'top_3', 'top_5') THEN b.value - a.value ELSE a.value - b.value END AS gain FROM (SELECT * FROM mt WHERE system = 'A') a JOIN (SELECT * FROM mt WHERE system = 'B') b USING (side, metric)) SELECT side, metric, round(control, 6) AS control, round(treatment, 6) AS treatment, round(gain, 6) + 0.0::DOUBLE AS gain, gain >= -0.01 AS ok FROM b")
