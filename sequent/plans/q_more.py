@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from sequent.functions import columns as c
+from sequent.operators import comparators as k
 from sequent.operators import fusion as f
 from sequent.operators import gates as g
 from sequent.operators import metrics as m
@@ -18,9 +19,9 @@ from sequent.operators import sequences as s
 from sequent.plans import adapters as a
 from sequent.plans import q_features, q_models, q_sources
 from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, TRACK, pred_sql, predictions, read, score_sql, with_sql
-from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, rounded, scores
+from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, report_sql, rounded, scores
 from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, blended_scores, boot_sql, logits, metric_table, track_deltas
-from sequent.plans.q_sequences import IN_VIEW, VIEW
+from sequent.plans.q_sequences import VIEW
 from sequent.sources import ndjson as src
 from sequent.sources.committing import write_lines
 from sequent.sources.folders import fresh_path
@@ -101,28 +102,69 @@ def m_heldout(spark, d):
     return rounded(reduce(DataFrame.unionByName, [x.select(F.lit(head).alias("head"), F.lit(name).alias("metric"), F.col(name).alias("value")) for head, name, x in parts]))
 
 
-def comparator_scores(spark, d):
-    pred = predictions(spark, d)
-    systems = {"model": pred, "uniform": o.uniform(pred, ROW), "survivors": o.uniform(pred, ROW, survivors=True)}
-    return reduce(DataFrame.unionByName, [m.row_scores(x, ROW).withColumn("system", F.lit(k)) for k, x in systems.items()])
-
-
-SYS = with_sql(pred_sql()) + ", sys AS (SELECT 'model' AS system, game, side, step, truth, class_id, p FROM pred UNION ALL SELECT 'uniform', game, side, step, truth, class_id, 1.0 / 6 FROM pred UNION ALL SELECT 'survivors', game, side, step, truth, class_id, CASE WHEN eliminated THEN 0 ELSE 1.0 / count(*) FILTER (NOT eliminated) OVER (PARTITION BY game, side, step) END FROM pred), " + score_sql("ss", "sys").replace("PARTITION BY game, side, step", "PARTITION BY system, game, side, step").replace("SELECT game, side, step, truth", "SELECT system, game, side, step, truth").replace("GROUP BY game, side, step, truth", "GROUP BY system, game, side, step, truth")
-
-
-@query("a_comparators", f"{SYS} SELECT system, count(*) AS support, {MEAN} FROM ss GROUP BY system")
+MEMBERS, ALPHA, TEMPERATURES = ["member-1", "member-2", "member-3"], 0.8, {"white": 1.5, "black": 0.8}
+VIEWS = {"all": CLASSES, "four": VIEW}
+
+
+def every_system(spark, d):
+    """All comparators of all steps; frequencies are of four fifths of the games, a residual is the members' own."""
+    trained = o.training_frequency(a.steps(spark, d).where("game % 5 <> 0"), ["game"], "side", "truth")
+    shares = trained.groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct("truth", "p"))).alias("shares"))  # an entry a class
+    rows = a.distributions(spark, d).join(F.broadcast(shares), "side", "left")
+    residuals = lambda x: F.array(*((F.col("okey") * 3 + F.col("step") * (k + 1) + F.length(x["class_id"])) % 7 / 2.0 for k in range(len(MEMBERS))))
+    share = lambda x: F.coalesce(F.element_at("shares", x["class_id"]), F.lit(0.0))
+    options = F.transform("o", lambda x: F.struct(x["class_id"].alias("class_id"), x["eliminated"].alias("eliminated"), x["p"].alias("prior"), share(x).alias("frequency"), residuals(x).alias("residuals")))
+    temperature = F.when(F.col("side") == "white", TEMPERATURES["white"]).otherwise(TEMPERATURES["black"])
+    return k.systems(rows.select(*ROW, "truth", options.alias("options")), "options", MEMBERS, ALPHA, temperature)
+
+
+def systems_sql() -> str:
+    """CTE `sys` (system, row, truth, class_id, p) of all comparators, and what it needs."""
+    row = "game, side, step"
+    shared = lambda value: f"CASE WHEN sum({value}) OVER (PARTITION BY {row}) > 0 THEN {value} / sum({value}) OVER (PARTITION BY {row}) ELSE 0 END"
+    parts = [
+        "ft AS (SELECT side, truth, count(*) AS n FROM (SELECT DISTINCT game, side, truth FROM steps WHERE game % 5 <> 0) GROUP BY side, truth), fq AS (SELECT side, truth AS class_id, n / sum(n) OVER (PARTITION BY side) AS f FROM ft)",
+        "zz AS (SELECT p0.*, CASE WHEN eliminated THEN 0 ELSE coalesce(f, 0) END AS f, CASE WHEN eliminated THEN 0.0 ELSE 1.0 END AS one, " + ", ".join(f"(okey * 3 + step * {n + 1} + length(class_id)) % 7 / 2.0 AS r{n}" for n in range(3)) + f", count(*) FILTER (NOT eliminated) OVER (PARTITION BY {row}) AS n, CASE WHEN NOT eliminated AND p > 0 THEN ln(p) END AS tier FROM pred p0 LEFT JOIN fq USING (side, class_id))",
+        f"hd AS (SELECT {row}, tier, least(1.0, coalesce((tier - lag(tier) OVER w) / 4, 1.0), coalesce((lead(tier) OVER w - tier) / 4, 1.0)) AS room FROM (SELECT DISTINCT {row}, tier FROM zz WHERE tier IS NOT NULL) WINDOW w AS (PARTITION BY {row} ORDER BY tier))",
+        f"z1 AS (SELECT zz.*, coalesce(zz.tier, coalesce(min(zz.tier) OVER (PARTITION BY zz.game, zz.side, zz.step), 0) - 1e6) AS base, coalesce(room, 1.0) AS room FROM zz LEFT JOIN hd ON zz.game = hd.game AND zz.side = hd.side AND zz.step = hd.step AND zz.tier = hd.tier)",
+    ]
+    union = [f"SELECT 'uniform' AS system, {row}, truth, class_id, {shared('one')} AS p FROM z1", f"SELECT 'training-frequency', {row}, truth, class_id, {shared('f')} FROM z1", f"SELECT 'symbolic-only', {row}, truth, class_id, p FROM z1"]
+    for n, (name, residual, t) in enumerate([*((x, f"r{i}", "1") for i, x in enumerate(MEMBERS)), ("uncalibrated-ensemble", "(r0 + r1 + r2) / 3", "1"), ("calibrated-ensemble", "(r0 + r1 + r2) / 3", f"CASE WHEN side = 'white' THEN {TEMPERATURES['white']!r}::DOUBLE ELSE {TEMPERATURES['black']!r}::DOUBLE END")]):
+        parts.append(q_models.softmax_sql(residual, "NOT eliminated", "z1", row, f"sg{n}"))
+        parts.append(f"lo{n} AS (SELECT * EXCLUDE (q), base + {ALPHA!r} * room * (q - 1.0 / n) AS lo FROM sg{n})")
+        parts.append(q_models.softmax_sql(f"lo / {t}", "NOT eliminated", f"lo{n}", row, f"fu{n}"))
+        union.append(f"SELECT '{name}', {row}, truth, class_id, q FROM fu{n}")
+    return with_sql(pred_sql()) + ", " + ", ".join(parts) + f", sys AS ({' UNION ALL '.join(union)})"
+
+
+def grouped_scores(name: str, pred: str, keys: str) -> str:
+    """Row scores where a row is known by more keys."""
+    found = score_sql(name, pred).replace("PARTITION BY game, side, step", f"PARTITION BY {keys}, game, side, step")
+    return found.replace("SELECT game, side, step, truth", f"SELECT {keys}, game, side, step, truth").replace("GROUP BY game, side, step, truth", f"GROUP BY {keys}, game, side, step, truth")
+
+
+@query("a_comparators", f"{systems_sql()}, {grouped_scores('ss', 'sys', 'system')} SELECT system, count(*) AS support, {MEAN} FROM ss GROUP BY system")
 def a_comparators(spark, d):
-    return rounded(m.summary(comparator_scores(spark, d), ("system",)))
+    """Eight systems of the same rows."""
+    return rounded(m.summary(m.array_scores(every_system(spark, d), "o", ["system", *ROW]), ("system",)))
 
 
-VS = with_sql(pred_sql()) + f", vp AS (SELECT game, side, step, truth, class_id, p / sum(p) OVER (PARTITION BY game, side, step) AS p FROM pred WHERE class_id IN {IN_VIEW}), {score_sql('vs', 'vp')}"
+def views_sql() -> str:
+    parts = []
+    for name, classes in VIEWS.items():
+        inside = ", ".join(f"'{c}'" for c in classes)
+        total = "sum(p) OVER (PARTITION BY system, game, side, step)"
+        parts.append(f"SELECT '{name}' AS view, system, game, side, step, truth, class_id, round(CASE WHEN {total} > 0 THEN p / {total} ELSE 0 END, 12) AS p FROM sys WHERE class_id IN ({inside})")
+    by = "view, system, side"
+    return f"{systems_sql()}, vw AS ({' UNION ALL '.join(parts)}), {grouped_scores('vs', 'vw', 'view, system')}, vk AS (SELECT * FROM vs WHERE p_truth IS NOT NULL) {report_sql(by, 'vk')} UNION ALL SELECT {by}, 'unscorable', count(*) FROM vs WHERE p_truth IS NULL GROUP BY {by}"
 
 
-@query("a_view_systems", f"{VS} SELECT side, count(p_truth) AS scored, count(*) - count(p_truth) AS unscorable, round(avg(CASE WHEN p_truth IS NOT NULL THEN credit_1 END), 6) AS top_1, round(avg(nll), 6) AS nll FROM vs GROUP BY side")
+@query("a_view_systems", views_sql())
 def a_view_systems(spark, d):
-    found = m.row_scores(o.class_view(predictions(spark, d), ROW, VIEW), ROW)
-    known = F.col("p_truth").isNotNull()
-    return rounded(found.groupBy("side").agg(F.count_if(known).alias("scored"), F.count_if(~known).alias("unscorable"), F.avg(F.when(known, F.col("credit_1"))).alias("top_1"), F.avg("nll").alias("nll")))
+    """The whole report of each class view, system and side; twelve decimals, so that equal shares fall into one confidence bin."""
+    rows = k.viewed(every_system(spark, d), "o", VIEWS)
+    even = F.transform("o", lambda x: F.struct(x["class_id"].alias("class_id"), F.round(x["p"], 12).alias("p")))
+    return rounded(k.view_report(rows.withColumn("o", even), "o", ROW))
 
 
 def marked_scores(spark, d):
@@ -132,9 +174,15 @@ def marked_scores(spark, d):
 OK = S.replace("SELECT game, side, step, truth, any_value(pt)", "SELECT game, side, step, truth, any_value(okey) AS okey, any_value(pt)")
 
 
-@query("a_agent_profile", f"{OK} SELECT okey % 3 AS agent, side, count(*) AS support, {MEAN} FROM s GROUP BY 1, side")
+STRENGTH = "okey % 3 * 100 + CAST(okey % 3 = 2 AND okey % 50 = 0 AS INT)"
+
+
+@query("a_agent_profile", f"{OK}, sa AS (SELECT *, okey % 3 AS agent, {STRENGTH} AS strength FROM s), ct AS (SELECT agent, count(DISTINCT strength) AS contracts FROM sa GROUP BY agent) SELECT x.*, contracts = 1 AS steady FROM ({report_sql('agent, side', 'sa')}) x JOIN ct USING (agent)")
 def a_agent_profile(spark, d):
-    return rounded(m.summary(marked_scores(spark, d).withColumn("agent", F.col("okey") % 3), ("agent", "side")))
+    """The whole report of each agent and side, and whether the agent keeps one style and strength (the last one does not)."""
+    rows = marked_scores(spark, d).withColumns({"agent": F.col("okey") % 3, "style": F.lit("calm"), "strength": F.expr(STRENGTH)})
+    changed = k.agents_that_change(rows, "agent", ["style", "strength"])
+    return rounded(m.report(rows, ("agent", "side"))).join(changed, "agent", "left").select("agent", "side", "metric", "value", F.col("contracts").isNull().alias("steady"))
 
 
 @query("a_mode_slice", f"{OK} SELECT CASE WHEN okey % 2 = 0 THEN 'evidence' ELSE 'synchronous' END AS mode, side, count(*) AS support, {MEAN} FROM s GROUP BY 1, side")
