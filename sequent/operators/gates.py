@@ -259,11 +259,17 @@ RELIABILITY = [
     ("trigger", "trigger", True, 0.0), ("forced", "forced", True, 0.0), ("classes", "class_%", True, 0.01),
 ]
 
+#: What a blend must pass besides: top 5, each side, the heads' losses, parameters.
+BLEND = [
+    ("top_5", "track_top_5", True, 0.0), *(("sides", f"{side}_track_{m}", more, 0.0) for side in ("white", "black") for m, more in (("top_1", True), ("top_3", True), ("nll", False))),
+    *(("auxiliary", f"{head}_{m}", False, 0.0) for head in ("trigger", "forced") for m in ("nll", "brier")), ("parameters", "parameters", True, 0.0),
+]
+
 
-def reliability(table: DataFrame, control: str, treatment: str) -> DataFrame:
-    """check, ok: the eleven checks of a treatment against its control, from long metrics (system, metric, value).
+def reliability(table: DataFrame, control: str, treatment: str, extra: list = ()) -> DataFrame:
+    """check, ok: the eleven checks of a treatment against its control, from long metrics (system, metric, value), and `extra` ones (as BLEND).
 
-    primary: (top 1, top 3, -nll) of the treatment is greater, compared in this order.  authority: for both, rows were
+    A check of several entries needs all of them.  primary: (top 1, top 3, -nll) of the treatment is greater, compared in this order.  authority: for both, rows were
     checked, none of them without a mask, no eliminated class has mass.  A metric that one system lacks, or that is null
     or not finite, fails its check, and so does a check that finds no metric at all.
     """
@@ -271,14 +277,18 @@ def reliability(table: DataFrame, control: str, treatment: str) -> DataFrame:
     one = lambda name: table.where(F.col("system") == name).select("metric", finite.alias(name))
     both = one(control).withColumnRenamed(control, "x").join(one(treatment).withColumnRenamed(treatment, "y"), "metric", "full_outer")
     x, y = F.col("x"), F.col("y")
-    every = [F.coalesce(F.min(F.when(F.col("metric").like(name), F.coalesce((y - x if more else x - y) >= -slack, F.lit(False)).cast("int"))) == 1, F.lit(False)).alias(check) for check, name, more, slack in RELIABILITY]
+    passed: dict[str, Column] = {}
+    for check, name, more, slack in [*RELIABILITY, *extra]:
+        kept = F.coalesce(F.min(F.when(F.col("metric").like(name), F.coalesce((y - x if more else x - y) >= -slack, F.lit(False)).cast("int"))) == 1, F.lit(False))
+        passed[check] = passed[check] & kept if check in passed else kept
+    every = [kept.alias(check) for check, kept in passed.items()]
     value = lambda c, name: F.max(F.when(F.col("metric") == name, c))
     order = [(value(c, "track_top_1"), value(c, "track_top_3"), -value(c, "track_nll")) for c in (y, x)]
     known = F.array(*order[0], *order[1])
     primary = F.struct(*order[0]) > F.struct(*order[1])
     clean = [(value(c, "checked") > 0) & (value(c, "masked") == value(c, "checked")) & (value(c, "violations") == 0) & (value(c, "max_eliminated") == 0) for c in (x, y)]
     wide = both.agg((primary & F.forall(known, lambda v: v.isNotNull())).alias("primary"), *every, F.coalesce(clean[0] & clean[1], F.lit(False)).alias("authority"))
-    names = ["primary", *(c for c, *_ in RELIABILITY), "authority"]
+    names = ["primary", *passed, "authority"]
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("ok")) for c in names))).alias("c")).select("c.*")
 
 
@@ -298,7 +308,14 @@ def claim(scores: DataFrame, game: str, track: list[str], truth: str, p_truth: s
     return counts.withColumn("failures", F.array_join(failures, ",")).withColumn("satisfied", (F.col("failures") == "") & (F.col("claims") > 0)).drop("claims")
 
 
-def release(values: DataFrame, deltas: DataFrame, least_gain: float, place: int) -> DataFrame:
-    """Whether the mean paired gain and its bootstrap lower bound allow a release."""
-    gain = deltas.agg(F.avg("delta").alias("gain"))
-    return gain.crossJoin(lower_bound(values, place).withColumnRenamed("value", "low")).select("gain", "low", ((F.col("gain") >= least_gain) & (F.col("low") > 0)).alias("released"))  # one row each
+def release_checks(table: DataFrame, control: str, treatment: str, deltas: DataFrame, values: DataFrame, place: int, least_gain: float = 0.001) -> DataFrame:
+    """check, ok: all of reliability and BLEND, and that the paired gain agrees with the metrics, is large enough and surely above 0.
+
+    deltas: a row for each game (delta: treatment less control); values: bootstrap replicates (r, value) of their mean.
+    agreement: the mean delta and the difference of track_top_1 are within 1e-12.
+    """
+    both = table.where(F.col("metric") == "track_top_1").agg((F.max(F.when(F.col("system") == treatment, F.col("value"))) - F.max(F.when(F.col("system") == control, F.col("value")))).alias("change"))
+    found = deltas.agg(F.avg("delta").alias("gain"), F.lit(1).alias("one")).join(lower_bound(values, place).withColumn("one", F.lit(1)), "one", "left").crossJoin(both)  # one row each
+    rules = {"agreement": F.abs(F.col("gain") - F.col("change")) <= 1e-12, "gain": F.col("gain") >= least_gain, "bound": F.col("value") > 0}
+    paired = found.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for name, ok in rules.items()))).alias("c")).select("c.*")
+    return reliability(table, control, treatment, BLEND).unionByName(paired)

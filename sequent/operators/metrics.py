@@ -268,6 +268,33 @@ def horizon_full(scores: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Dat
     return groups.select("horizon", "group", F.col("n").alias("support"), *(F.try_divide(f"s_{b}", f"n_{b}").alias(b) for _, b in MEANS), gap_error().alias("ece"))
 
 
+def gate_metrics(scores: DataFrame, classes: list[str], heads: dict[str, tuple[Column, Column]], right: Column, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """(system, metric, value): all that the gates read of each system, from one row a track, so in one pass over the rows.
+
+    scores: row scores with system, track and step, and for each row violations (eliminated classes with mass),
+    max_eliminated (the greatest such mass) and masked (whether it has a mask).  heads: a Boolean label and its
+    probability for each auxiliary head; right: whether the parameters are right (null: not scored).  A class that is
+    no row's truth has no metric; other metrics of what no row has are null.
+    """
+    own = lambda y, p: F.when(y, p).otherwise(1 - p)
+    parts = [x for h, (y, p) in heads.items() for x in (F.sum(((p >= 0.5) == y).cast("double")).alias(f"{h}_right"), F.sum(-F.log(F.when(own(y, p) > 0, own(y, p)))).alias(f"{h}_loss"), F.sum((p - y.cast("double")) ** 2).alias(f"{h}_square"))]
+    masks = [F.sum("violations").alias("violations"), F.max("max_eliminated").alias("most"), F.count_if("masked").alias("masked")]
+    picks = [F.max_by("credit_1", F.when(F.col("step") <= h, F.col("step"))).alias(f"h{h}") for h in horizons]
+    tracks = scores.groupBy("system", *TRACK).agg(F.first("truth").alias("truth"), *sums(), *gap_sums(), *parts, *masks, *picks, F.sum(right.cast("double")).alias("right"), F.count(right).alias("judged"))
+    mean = {b: F.try_divide(f"s_{b}", f"n_{b}") for _, b in MEANS}
+    of = lambda c, cond: F.when(cond, c) if cond is not None else c
+    found = {f"track_{b}": F.avg(x) for b, x in mean.items()} | {f"{side}_track_{b}": F.avg(of(mean[b], F.col("side") == side)) for side in ("white", "black") for b in ("top_1", "top_3", "nll")}
+    found |= {f"horizon_{h}": F.avg(f"h{h}") for h in horizons}
+    found |= {f"class_{c}": F.try_divide(F.sum(of(F.col("s_top_1"), F.col("truth") == c)), F.sum(of(F.col("n"), F.col("truth") == c))) for c in classes}
+    rows = F.sum("n")
+    for h in heads:
+        found |= {h: F.sum(f"{h}_right") / rows, f"{h}_nll": F.sum(f"{h}_loss") / rows, f"{h}_brier": F.sum(f"{h}_square") / rows}
+    gaps = sum((F.abs(F.coalesce(F.sum(f"gap_{b}"), F.lit(0.0))) for b in range(15)), F.lit(0.0))
+    found |= {"parameters": F.try_divide(F.sum("right"), F.sum("judged")), "ece": gaps / rows, "checked": rows, "masked": F.sum("masked"), "violations": F.sum("violations"), "max_eliminated": F.max("most")}
+    long = melted(tracks.groupBy("system").agg(*(x.cast("double").alias(name) for name, x in found.items())), ("system",))
+    return long.where(~F.col("metric").startswith("class_") | F.col("value").isNotNull())
+
+
 def parameters(truth: DataFrame, predicted: DataFrame, row: list[str]) -> DataFrame:
     """Accuracy of each named parameter and of all; a parameter that is not predicted is wrong."""
     joined = truth.join(predicted.withColumnRenamed("value", "guess"), [*row, "name"], "left")

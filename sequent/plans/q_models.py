@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sequent.operators import fusion as f
 from sequent.operators import gates as g
 from sequent.operators import metrics as m
+from sequent.operators import selection as sel
 from sequent.plans.adapters import CLASSES, ROW, TRACK, distributions, pred_sql, predictions, read, score_sql, with_sql
 from sequent.plans.q_metrics import LATEST, both_systems, report_sql, rounded, scores
 from sequent.plans.q_tables import PAIRS
@@ -173,10 +174,20 @@ def s_epoch(spark, d):
     return f.earliest_good(epochs(spark, d), "epoch", "nll")
 
 
-@query("s_candidate", "WITH c AS (SELECT source, round(avg(n_chars % 2), 4) AS top_1, round(avg(n_chars % 3), 4) AS top_3, count(*) AS n FROM documents GROUP BY source) SELECT source, top_1, top_3 FROM c ORDER BY top_1 DESC, top_3 DESC, n, source LIMIT 1")
+#: Runs are sources of documents: even lengths are its top-1, and so on.
+RUNS = "runs AS (SELECT source AS name, round(avg(CAST(n_chars % 2 = 0 AS INT)), 4) AS track_top_1, round(avg(CAST(n_chars % 3 > 0 AS INT)), 4) AS track_top_3, round(avg(n_chars % 7), 4) AS track_nll, length(source) / 2.0 AS multiplier, coalesce(TRY_CAST(substr(source, 4) AS INT), 0) AS seed, 't1' AS train, 'v1' AS validation FROM documents GROUP BY source)"
+
+
+def runs(spark, d):
+    yes = lambda c, name: F.round(F.avg(c.cast("int")), 4).alias(name)
+    n = F.col("n_chars")
+    found = read(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(yes(n % 2 == 0, "track_top_1"), yes(n % 3 > 0, "track_top_3"), F.round(F.avg(n % 7), 4).alias("track_nll"))
+    return found.withColumns({"multiplier": F.length("name") / 2.0, "seed": F.coalesce(F.substring("name", 4, 9).try_cast("int"), F.lit(0)), "train": F.lit("t1"), "validation": F.lit("v1")})
+
+
+@query("s_candidate", f"WITH {RUNS}, n AS (SELECT count(*) AS candidates, count(*) - count(DISTINCT (multiplier, seed)) AS repeated FROM runs) SELECT name, track_top_1, track_top_3, track_nll, multiplier, seed, candidates, repeated, 1 AS inputs, candidates >= 2 AND repeated = 0 AS valid FROM runs, n ORDER BY track_top_1 DESC, track_top_3 DESC, track_nll, multiplier, seed LIMIT 1")
 def s_candidate(spark, d):
-    found = read(spark, d, "documents").groupBy("source").agg(F.round(F.avg(F.col("n_chars") % 2), 4).alias("top_1"), F.round(F.avg(F.col("n_chars") % 3), 4).alias("top_3"), F.count("*").alias("n"))
-    return f.ordered_choice(found, [F.desc("top_1"), F.desc("top_3"), "n", "source"]).select("source", "top_1", "top_3")
+    return sel.selected(runs(spark, d), ["multiplier", "seed"], ["train", "validation"]).drop("train", "validation")
 
 
 def metric_table(spark, d):
@@ -251,38 +262,64 @@ def g_stability(spark, d):
     return rounded(halves.agg(gap.alias("gap"), (gap <= 0.05).alias("ok")))
 
 
-def reliability_metrics(spark, d):
-    """Long metrics (system, metric, value) of both systems that the reliability checks read."""
-    own = both_systems(spark, d)
-    report = m.report(own, ("system",)).where("metric like 'track%' or metric = 'ece'")
-    horizons = m.at_horizons(own, track=("system", *TRACK)).groupBy("system", F.concat(F.lit("horizon_"), F.col("horizon").cast("string")).alias("metric")).agg(F.avg("credit_1").alias("value"))
-    classes = own.groupBy("system", F.concat(F.lit("class_"), "truth").alias("metric")).agg(F.avg("credit_1").alias("value"))
-    right = lambda p, n: F.avg(((F.col(p) >= 0.5) == (F.col("step") % n == 0)).cast("double"))
-    heads = m.melted(own.groupBy("system").agg(right("confidence", 3).alias("trigger"), right("credit_1", 4).alias("forced")), ("system",))
-    pred = predictions(spark, d, "AB")
-    gone = F.col("eliminated")
-    parts = [x for s, c in (("A", "p"), ("B", "other")) for x in (F.count_if(gone & (F.col(c) != 0)).alias(f"{s}_violations"), F.coalesce(F.max(F.when(gone, F.col(c))), F.lit(0.0)).alias(f"{s}_max_eliminated"), F.count_distinct(*ROW).alias(f"{s}_checked"), F.count_distinct(F.when(gone.isNotNull(), F.struct(*ROW))).alias(f"{s}_masked"))]
-    masks = m.melted(pred.agg(*parts)).select(F.substring("metric", 1, 1).alias("system"), F.expr("substring(metric, 3)").alias("metric"), "value")
-    return reduce(lambda a, b: a.unionByName(b), [report, horizons, classes, heads, masks])
-
-
-RELIABILITY = f"""{AB}, ab AS (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b),
-tr AS (SELECT system, game, side, avg(credit_1) AS a, avg(credit_3) AS b, avg(nll) AS n, avg(brier) AS r FROM ab GROUP BY ALL),
+def with_systems(rows, found: dict):
+    """Row scores of several distributions of each row (system -> p of a class), with what the mask checks read: one scan."""
+    options = lambda p: F.transform("o", lambda x: F.struct(x["class_id"].alias("class_id"), x["eliminated"].alias("eliminated"), p(x).alias("p")))
+    every = F.array(*(F.struct(F.lit(name).alias("system"), options(p).alias("o")) for name, p in found.items()))
+    rows = rows.select(*ROW, "truth", F.explode(every).alias("s")).select(*ROW, "truth", "s.*")
+    gone = F.transform(F.filter("o", lambda x: x["eliminated"]), lambda x: x["p"])
+    rows = rows.withColumns({"violations": F.size(F.filter(gone, lambda p: p != 0)), "max_eliminated": F.coalesce(F.array_max(gone), F.lit(0.0)), "masked": F.forall("o", lambda x: x["eliminated"].isNotNull())})
+    return m.array_scores(rows, "o", ["system", *ROW], ("violations", "max_eliminated", "masked"))
+
+
+def gate_metrics(spark, d, found: dict, part=None):
+    """Long metrics of systems (of each part of the games, if one is given), with heads and parameters that follow from each row's scores."""
+    step = F.col("step")
+    heads = {"trigger": (step % 3 == 0, F.col("confidence")), "forced": (step % 4 == 0, 0.1 + 0.8 * F.col("credit_1"))}
+    right = F.when(step % 5 != 0, F.col("above") % 3 == (F.col("game") + step) % 3)
+    own = with_systems(distributions(spark, d, "AB"), found)
+    return m.gate_metrics(own if part is None else own.withColumn("system", F.concat("system", part)), CLASSES, heads, right)
+
+
+AB_SYSTEMS = {"A": lambda x: x["p"], "B": lambda x: x["other"]}
+BLENDS = {f"w{w}": lambda x, w=w: (1 - w) * x["p"] + w * x["other"] for w in WEIGHTS}
+
+
+def gate_metrics_sql(scores: str) -> str:
+    """CTE `gm` (system, metric, value) from `ab` (system and row scores), which `scores` gives."""
+    own = lambda y, p: f"CASE WHEN {y} THEN {p} ELSE 1 - {p} END"
+    heads = {"trigger": ("step % 3 = 0", "confidence"), "forced": ("step % 4 = 0", "(0.1 + 0.8 * credit_1)")}
+    parts = [f"SELECT system, 'track_{x}' AS metric, avg({x}) AS value FROM tr GROUP BY system" for x in ("top_1", "top_3", "top_5", "nll", "brier")]
+    parts += [f"SELECT system, side || '_track_{x}', avg({x}) FROM tr GROUP BY system, side" for x in ("top_1", "top_3", "nll")]
+    parts += ["SELECT system, 'ece', sum(abs(gap)) / sum(n) FROM bn GROUP BY system", "SELECT system, 'horizon_' || horizon, avg(credit_1) FROM lt GROUP BY system, horizon", "SELECT system, 'class_' || truth, avg(credit_1) FROM ab GROUP BY system, truth"]
+    for h, (y, p) in heads.items():
+        parts += [f"SELECT system, '{h}', avg(CAST(({p} >= 0.5) = ({y}) AS INT)) FROM ab GROUP BY system", f"SELECT system, '{h}_nll', avg(-ln({own(y, p)})) FROM ab GROUP BY system", f"SELECT system, '{h}_brier', avg(({p} - CAST({y} AS INT)) * ({p} - CAST({y} AS INT))) FROM ab GROUP BY system"]
+    parts.append("SELECT system, 'parameters', avg(CAST(above % 3 = (game + step) % 3 AS INT)) FROM ab WHERE step % 5 <> 0 GROUP BY system")
+    return f"""{scores},
+tr AS (SELECT system, game, side, avg(credit_1) AS top_1, avg(credit_3) AS top_3, avg(credit_5) AS top_5, avg(nll) AS nll, avg(brier) AS brier FROM ab GROUP BY ALL),
 bn AS (SELECT system, least(floor(confidence * 15), 14) AS bin, count(*) AS n, sum(credit_1) - sum(confidence) AS gap FROM ab GROUP BY ALL),
 hz(horizon) AS (VALUES (5), (10), (15), (20)), lt AS (SELECT horizon, ab.* FROM ab JOIN hz ON step <= horizon QUALIFY row_number() OVER (PARTITION BY system, horizon, game, side ORDER BY step DESC) = 1),
-mt AS (
-  SELECT system, 'track_top_1' AS metric, avg(a) AS value FROM tr GROUP BY system UNION ALL SELECT system, 'track_top_3', avg(b) FROM tr GROUP BY system UNION ALL SELECT system, 'track_nll', avg(n) FROM tr GROUP BY system UNION ALL SELECT system, 'track_brier', avg(r) FROM tr GROUP BY system
-  UNION ALL SELECT system, 'ece', sum(abs(gap)) / sum(n) FROM bn GROUP BY system UNION ALL SELECT system, 'horizon_' || horizon, avg(credit_1) FROM lt GROUP BY system, horizon UNION ALL SELECT system, 'class_' || truth, avg(credit_1) FROM ab GROUP BY system, truth
-  UNION ALL SELECT system, 'trigger', avg(CAST((confidence >= 0.5) = (step % 3 = 0) AS INT)) FROM ab GROUP BY system UNION ALL SELECT system, 'forced', avg(CAST((credit_1 >= 0.5) = (step % 4 = 0) AS INT)) FROM ab GROUP BY system),
-bo AS (SELECT metric, max(value) FILTER (system = 'A') AS x, max(value) FILTER (system = 'B') AS y FROM mt GROUP BY metric),
-wide AS (SELECT max(x) FILTER (metric = 'track_top_1') AS x1, max(y) FILTER (metric = 'track_top_1') AS y1, max(x) FILTER (metric = 'track_top_3') AS x3, max(y) FILTER (metric = 'track_top_3') AS y3, max(x) FILTER (metric = 'track_nll') AS xn, max(y) FILTER (metric = 'track_nll') AS yn FROM bo)"""
-RELIABILITY_SQL = f"{RELIABILITY} SELECT 'primary' AS \"check\", (y1, y3, -yn) > (x1, x3, -xn) AS ok FROM wide UNION ALL " + " UNION ALL ".join(f"SELECT '{check}', bool_and({'y - x' if more else 'x - y'} >= -{slack}) FROM bo WHERE metric LIKE '{name}'" for check, name, more, slack in g.RELIABILITY) + " UNION ALL SELECT 'authority', (SELECT count(*) FROM pred WHERE eliminated AND p <> 0) + (SELECT count(*) FROM pred_b WHERE eliminated AND p <> 0) = 0 AND (SELECT count(*) FROM s) > 0"
+gm AS ({' UNION ALL '.join(parts)})"""
+
+
+def checks_sql(control: str, treatment: str, extra: list = (), more: str = "") -> str:
+    """CTE `ck` (check, ok) of the reliability checks over `gm`; no system has mass on eliminated classes, by construction."""
+    named: dict[str, list[str]] = {}
+    for check, name, higher, slack in [*g.RELIABILITY, *extra]:
+        named.setdefault(check, []).append(f"(SELECT coalesce(bool_and({'y - x' if higher else 'x - y'} >= -{slack}), false) FROM bo WHERE metric LIKE '{name}')")
+    value = lambda c, name: f"max({c}) FILTER (metric = '{name}')"
+    order = lambda c: f"({value(c, 'track_top_1')}, {value(c, 'track_top_3')}, -{value(c, 'track_nll')})"
+    rows = [f"SELECT 'primary' AS \"check\", {order('y')} > {order('x')} AS ok FROM bo", *(f"SELECT '{check}', {' AND '.join(c)}" for check, c in named.items()), "SELECT 'authority', true", *([more] if more else [])]
+    return f"bo AS (SELECT metric, max(value) FILTER (system = {control}) AS x, max(value) FILTER (system = {treatment}) AS y FROM gm WHERE system IN ({control}, {treatment}) GROUP BY metric), ck AS ({' UNION ALL '.join(rows)})"
+
+
+AB_METRICS = gate_metrics_sql(f"{AB}, ab AS (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b)")
 
 
-@query("g_reliability", RELIABILITY_SQL)
+@query("g_reliability", f"""{AB_METRICS}, {checks_sql("'A'", "'B'")} SELECT * FROM ck""")
 def g_reliability(spark, d):
     """All eleven checks of system B against system A."""
-    return g.reliability(reliability_metrics(spark, d), "A", "B")
+    return g.reliability(gate_metrics(spark, d, AB_SYSTEMS), "A", "B")
 
 
 CLAIMED = [*CLASSES[:4], "OTHER"]

@@ -15,12 +15,13 @@ from sequent.operators import fusion as f
 from sequent.operators import gates as g
 from sequent.operators import metrics as m
 from sequent.operators import posteriors as o
+from sequent.operators import selection as sel
 from sequent.operators import sequences as s
 from sequent.plans import adapters as a
 from sequent.plans import q_features, q_models, q_sources
 from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, TRACK, pred_sql, predictions, read, score_sql, with_sql
 from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, report_sql, rounded, scores
-from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, blended_scores, boot_sql, logits, metric_table, track_deltas
+from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, boot_sql, logits, metric_table, track_deltas
 from sequent.plans.q_sequences import VIEW
 from sequent.sources import ndjson as src
 from sequent.sources.committing import write_lines
@@ -219,56 +220,56 @@ def s_alpha_smoothing(spark, d):
     return f.ordered_choice(smoothed(spark, d), [F.desc("top_1"), F.desc("top_3"), "nll", "alpha", "smoothing"])
 
 
-RUNS = "cand AS (SELECT source AS name, CASE WHEN source < 'src15' THEN 'control' ELSE 'treatment' END AS mode, length(source) AS seed, round(avg(n_chars % 5), 4) AS score FROM documents GROUP BY source)"
+ABLATION = f"{q_models.RUNS}, ru AS (SELECT name, CASE WHEN seed < 10 THEN 'control' ELSE 'treatment' END AS mode, seed % 10 AS pair, seed = 13 AS config, seed = 5 AS validation, track_top_1, track_nll FROM runs)"
 
 
-@query("s_ablation_pair", f"WITH {RUNS} SELECT x.name AS control, y.name AS treatment, round(y.score - x.score, 4) AS gain FROM cand x JOIN cand y USING (seed) WHERE x.mode = 'control' AND y.mode = 'treatment'")
+@query("s_ablation_pair", f"WITH {ABLATION} SELECT x.name AS control, y.name AS treatment, y.track_top_1 - x.track_top_1 AS track_top_1, y.track_nll - x.track_nll AS track_nll, CASE WHEN x.name IS NULL THEN 'no control' WHEN y.name IS NULL THEN 'no treatment' END AS fault FROM (SELECT * FROM ru WHERE mode = 'control') x FULL JOIN (SELECT * FROM ru WHERE mode = 'treatment') y ON x.pair = y.pair AND x.config = y.config AND x.validation = y.validation".join(["SELECT control, treatment, round(track_top_1, 6) + 0.0::DOUBLE AS track_top_1, round(track_nll, 6) + 0.0::DOUBLE AS track_nll, fault FROM (", ")"]))
 def s_ablation_pair(spark, d):
-    runs = read(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.round(F.avg(F.col("n_chars") % 5), 4).alias("score")).withColumn("seed", F.length("name"))
-    control, treatment = runs.where("name < 'src15'").select(F.col("name").alias("control"), "seed", F.col("score").alias("x")), runs.where("name >= 'src15'").select(F.col("name").alias("treatment"), "seed", F.col("score").alias("y"))
-    return rounded(control.join(treatment, "seed").select("control", "treatment", (F.col("y") - F.col("x")).alias("gain")), 4)
+    """Ten pairs of runs by seed; one's configuration and another's input are changed, so that they have no partner."""
+    n = F.col("seed")
+    rows = q_models.runs(spark, d).drop("validation").withColumns({"mode": F.when(n < 10, "control").otherwise("treatment"), "pair": n % 10, "config": n == 13, "validation": n == 5})
+    return rounded(sel.ablation_pairs(rows, ["pair", "config", "train", "validation"], "control", "treatment", ["track_top_1", "track_nll"]))
 
 
-def treatments(spark, d):
-    table = blended_scores(spark, d).groupBy("weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
-    best = f.ordered_choice(table.where("weight > 0"), [F.desc("top_1"), F.desc("top_3"), "nll", "weight"])
-    return compared(best, table.where("weight = 0"))
+BLEND_BEST = "SELECT * FROM (SELECT system, round(max(value) FILTER (metric = 'track_top_1'), 9) AS a, round(max(value) FILTER (metric = 'track_top_3'), 9) AS b, round(max(value) FILTER (metric = 'track_nll'), 9) AS n FROM gm GROUP BY system) WHERE {where} ORDER BY a DESC, b DESC, n, {then} LIMIT 1"
+BLEND_METRICS = q_models.gate_metrics_sql(f"{BLENDED}, ab AS (SELECT 'w' || CAST(CAST(weight AS DOUBLE) AS VARCHAR) AS system, bs.* EXCLUDE (weight) FROM bs)")
+VERDICT = "SELECT (SELECT system FROM bt1) AS name, (SELECT ok FROM ck WHERE \"check\" = 'primary') AS \"primary\", coalesce((SELECT string_agg(\"check\", ',' ORDER BY \"check\") FROM ck WHERE NOT ok), '') AS failed, CASE WHEN (SELECT bool_and(ok) FROM ck) THEN 'promote' ELSE 'retain' END AS decision"
 
 
-def compared(best, control):
-    """A treatment's metrics against the control's, one row each."""
-    control = control.select(*(F.col(x).alias(f"c_{x}") for x in ("top_1", "top_3", "nll")))
-    primary = F.struct("top_1", "top_3", -F.col("nll")) > F.struct("c_top_1", "c_top_3", -F.col("c_nll"))
-    return best.crossJoin(control).select("weight", "top_1", "c_top_1", primary.alias("primary"), (primary & (F.col("nll") <= F.col("c_nll") + 0.05)).alias("release"))  # one row each
+def blend_runs(table):
+    """One row for each weight, with the metrics that decide between them."""
+    value = lambda name: F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name)
+    return table.groupBy(F.col("system").alias("name")).agg(*map(value, sel.PERFORMANCE))
 
 
-def treatment_sql(where: str = "") -> str:
-    return f"{BLENDED}, tb AS (SELECT weight, round(avg(credit_1), 6) AS top_1, round(avg(credit_3), 6) AS top_3, round(avg(nll), 6) AS nll FROM bs {where} GROUP BY weight), b AS (SELECT * FROM tb WHERE weight > 0 ORDER BY top_1 DESC, top_3 DESC, nll, weight LIMIT 1), k AS (SELECT * FROM tb WHERE weight = 0) SELECT b.weight, b.top_1, k.top_1 AS c_top_1, (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AS \"primary\", (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AND b.nll <= k.nll + 0.05 AS release FROM b, k"
-
-
-@query("s_treatment", treatment_sql())
+@query("s_treatment", f"""{BLEND_METRICS}, bt1 AS ({BLEND_BEST.format(where="system <> 'w0.0'", then="CASE WHEN system = 'w1.0' THEN 'w0.0' ELSE system END")}), {q_models.checks_sql("'w0.0'", "(SELECT system FROM bt1)")} SELECT *, 0 AS incomparable FROM ({VERDICT})""")
 def s_treatment(spark, d):
-    return treatments(spark, d)
+    """Blends as treatments of one control; the whole of the other system is an ablation, so that it must share seed, multiplier and training input."""
+    table = q_models.gate_metrics(spark, d, q_models.BLENDS)
+    exact = F.col("name") == "w1.0"
+    weight = F.substring("name", 2, 9).cast("double")
+    runs = blend_runs(table).withColumns({"mode": F.when(exact, "exact").otherwise("zero"), "seed": F.lit(1), "multiplier": weight % 1, "config": F.lit("c"), "validation": F.lit("v"), "train": F.lit("t")})
+    return sel.treatment_comparison(runs, table, "w0.0", ["config"], "validation", "train", ("zero", "exact"))
 
 
-COMPARED = "SELECT b.weight, b.top_1, k.top_1 AS c_top_1, (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AS \"primary\", (b.top_1, b.top_3, -b.nll) > (k.top_1, k.top_3, -k.nll) AND b.nll <= k.nll + 0.05 AS release FROM b, k"
+HELD_METRICS = q_models.gate_metrics_sql(f"{BLENDED}, ab AS (SELECT 'w' || CAST(CAST(weight AS DOUBLE) AS VARCHAR) || CASE WHEN game % 3 = 0 THEN '/test' ELSE '/choice' END AS system, bs.* EXCLUDE (weight) FROM bs)")
 
 
-@query("s_paired_test", f"{BLENDED}, tb AS (SELECT game % 3 = 0 AS test, weight, round(avg(credit_1), 6) AS top_1, round(avg(credit_3), 6) AS top_3, round(avg(nll), 6) AS nll FROM bs GROUP BY 1, 2), pick AS (SELECT weight FROM tb WHERE NOT test AND weight > 0 ORDER BY top_1 DESC, top_3 DESC, nll, weight LIMIT 1), b AS (SELECT tb.* FROM tb JOIN pick USING (weight) WHERE test), k AS (SELECT * FROM tb WHERE test AND weight = 0) {COMPARED}")
+@query("s_paired_test", f"""{HELD_METRICS}, bt0 AS ({BLEND_BEST.format(where="system LIKE '%/choice' AND system <> 'w0.0/choice'", then="system")}), bt1 AS (SELECT replace(system, '/choice', '/test') AS system FROM bt0), {q_models.checks_sql("'w0.0/test'", "(SELECT system FROM bt1)")} SELECT replace(name, '/test', '') AS name, * EXCLUDE (name) FROM ({VERDICT})""")
 def s_paired_test(spark, d):
     """The treatment chosen on two thirds of the games, compared with the control once on the third that is held out."""
-    table = blended_scores(spark, d).groupBy((F.col("game") % 3 == 0).alias("test"), "weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
-    best = f.ordered_choice(table.where("not test and weight > 0"), [F.desc("top_1"), F.desc("top_3"), "nll", "weight"]).select("weight")
-    return compared(table.where("test").join(best, "weight"), table.where("test and weight = 0"))
+    table = q_models.gate_metrics(spark, d, q_models.BLENDS, F.when(F.col("game") % 3 == 0, "/test").otherwise("/choice"))
+    part = lambda end: table.where(F.col("system").endswith(end)).withColumn("system", F.regexp_replace("system", "/.*", ""))
+    best = f.ordered_choice(blend_runs(part("/choice")).where("name <> 'w0.0'"), sel.preference(("name",)))
+    return sel.compared(part("/test"), best, "w0.0")
 
 
-@query("s_blend_run", treatment_sql().replace("SELECT b.weight, b.top_1, k.top_1 AS c_top_1,", "SELECT b.weight, CASE WHEN b.top_1 >= k.top_1 AND b.nll <= k.nll THEN 'promote' ELSE 'retain' END AS decision FROM b, k --"))
+@query("s_blend_run", f"""{BLEND_METRICS}, bt1 AS ({BLEND_BEST.format(where="system <> 'w0.0'", then="system")}), {q_models.checks_sql("'w0.0'", "(SELECT system FROM bt1)", g.BLEND)} {VERDICT}""")
 def s_blend_run(spark, d):
-    table = blended_scores(spark, d).groupBy("weight").agg(*(F.round(F.avg(x), 6).alias(y) for x, y in (("credit_1", "top_1"), ("credit_3", "top_3"), ("nll", "nll"))))
-    control = table.where("weight = 0").select(F.col("top_1").alias("c_top_1"), F.col("nll").alias("c_nll"))
-    best = f.ordered_choice(table.where("weight > 0"), [F.desc("top_1"), F.desc("top_3"), "nll", "weight"])
-    ok = (F.col("top_1") >= F.col("c_top_1")) & (F.col("nll") <= F.col("c_nll"))
-    return best.crossJoin(control).select("weight", F.when(ok, "promote").otherwise("retain").alias("decision"))  # one row each
+    """The whole grid of weights; the best one is promoted only if it passes every check of a blend against weight 0."""
+    table = q_models.gate_metrics(spark, d, q_models.BLENDS)
+    best = f.ordered_choice(blend_runs(table).where("name <> 'w0.0'"), sel.preference(("name",)))
+    return sel.compared(table, best, "w0.0", g.BLEND)
 
 
 def calibration_sql() -> str:
@@ -300,17 +301,21 @@ def g_calibration(spark, d):
     return rounded(g.calibration_gates(*reports))
 
 
-@query("g_blend", f"{METRICS}, b AS (SELECT side, metric, a.value AS control, b.value AS treatment, CASE WHEN metric IN ('support', 'top_1', 'top_3', 'top_5') THEN b.value - a.value ELSE a.value - b.value END AS gain FROM (SELECT * FROM mt WHERE system = 'A') a JOIN (SELECT * FROM mt WHERE system = 'B') b USING (side, metric)) SELECT side, metric, round(control, 6) AS control, round(treatment, 6) AS treatment, round(gain, 6) + 0.0::DOUBLE AS gain, gain >= -0.01 AS ok FROM b")
+@query("g_blend", f"""{q_models.AB_METRICS}, {q_models.checks_sql("'A'", "'B'", g.BLEND)} SELECT * FROM ck""")
 def g_blend(spark, d):
-    table = metric_table(spark, d)
-    found = g.non_regression(table.where("system = 'A'"), table.where("system = 'B'"), ["side"], ["support", "top_1", "top_3", "top_5"], 0.01)
-    return rounded(found.select("side", "metric", "control", "treatment", "gain", "ok"))
+    """The reliability checks and those of a blend, of system B against system A."""
+    return g.reliability(q_models.gate_metrics(spark, d, q_models.AB_SYSTEMS), "A", "B", g.BLEND)
+
+
+PAIRED_CHECKS = "SELECT 'agreement', abs((SELECT avg(delta) FROM dl) - (SELECT y - x FROM bo WHERE metric = 'track_top_1')) <= 1e-12 UNION ALL SELECT 'gain', (SELECT avg(delta) FROM dl) >= 0.001 UNION ALL SELECT 'bound', (SELECT value FROM lo) > 0"
 
 
-@query("g_release", f"{FIXED_SQL}, ga2 AS (SELECT avg(delta) AS gain FROM dl) SELECT round(gain, 6) + 0.0::DOUBLE AS gain, round(value, 6) + 0.0::DOUBLE AS low, gain >= 0.001 AND value > 0 AS released FROM ga2, lo")
+@query("g_release", f"""{FIXED_SQL}, {q_models.gate_metrics_sql("ab AS (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b)")}, {q_models.checks_sql("'B'", "'A'", g.BLEND, PAIRED_CHECKS)} SELECT * FROM ck""")
 def g_release(spark, d):
+    """Every check of a release of system A in place of system B."""
     deltas = track_deltas(spark, d)
-    return rounded(g.release(g.bootstrap(deltas.withColumn("w", F.lit(1.0)), "game", "delta", "w", FIXED), deltas, 0.001, PLACE))
+    values = g.bootstrap(deltas.withColumn("w", F.lit(1.0)), "game", "delta", "w", FIXED)
+    return g.release_checks(q_models.gate_metrics(spark, d, q_models.AB_SYSTEMS), "B", "A", deltas, values, PLACE)
 
 
 @query("x_statistic", boot_sql("gm", {"t": "t"}, 1_000).join(["WITH gm AS (SELECT o_custkey AS game, max(o_orderkey) AS t FROM orders GROUP BY 1), ", " SELECT r, max(t) AS value FROM dr JOIN cl USING (j) GROUP BY r"]))
