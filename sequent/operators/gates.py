@@ -197,13 +197,6 @@ def bootstrap_statistic(clusters: DataFrame, key: str, statistic: Column, count:
     return resampled(clusters, key, count, seed).groupBy("r").agg(statistic.alias("value"))
 
 
-def non_regression(control: DataFrame, treatment: DataFrame, keys: list[str], higher: list[str], slack: float = 0.0) -> DataFrame:
-    """Per key and metric whether the treatment is no worse; metrics in `higher` should grow, the others fall."""
-    both = control.select(*keys, "metric", F.col("value").alias("control")).join(treatment.select(*keys, "metric", F.col("value").alias("treatment")), [*keys, "metric"], "full_outer")
-    gain = F.when(F.col("metric").isin(higher), F.col("treatment") - F.col("control")).otherwise(F.col("control") - F.col("treatment"))
-    return both.withColumn("gain", gain).withColumn("ok", F.coalesce(gain >= -slack, F.lit(False)))
-
-
 #: Absolute bounds of a side's metrics, and of its horizons: top k after so many observed steps (fixed values).
 ABSOLUTE = [("track_top_1", ">=", 0.10), ("track_top_3", ">=", 0.25), ("track_top_5", ">=", 0.35), ("row_nll", "<=", 4.50), ("row_brier", "<=", 0.970), ("ece", "<=", 0.080)]
 HORIZONS = [("top_1", 10, 0.040), ("top_1", 15, 0.070), ("top_1", 20, 0.100), ("top_3", 20, 0.250)]
@@ -319,3 +312,40 @@ def release_checks(table: DataFrame, control: str, treatment: str, deltas: DataF
     rules = {"agreement": F.abs(F.col("gain") - F.col("change")) <= 1e-12, "gain": F.col("gain") >= least_gain, "bound": F.col("value") > 0}
     paired = found.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("ok")) for name, ok in rules.items()))).alias("c")).select("c.*")
     return reliability(table, control, treatment, BLEND).unionByName(paired)
+
+
+#: Bounds of a side's classes and parameters, and of a member's means over both sides (fixed values).
+CLASS_BOUNDS = [("above_uniform", ">=", 0.80), ("macro_top_3", ">=", 0.18), ("starved", "=", 0.0), ("parameters", ">=", 0.20), ("parameter_coverage", ">=", 0.95)]
+MEMBER_BOUNDS = [("mean_top_3", ">=", 0.18), ("mean_nll", "<=", 4.90)]
+
+
+def class_metrics(scores: DataFrame, classes: list[str], track: list[str], right: Column, eligible: Column, least_tracks: int = 25) -> DataFrame:
+    """(part, metric, value) of each side: means over classes, classes without any top-5 credit though they have tracks enough (starved), parameters.
+
+    Means over classes are null unless every class has rows.  right: whether a row's parameters are right (null: not
+    scorable); eligible: whether the row has parameters at all.
+    """
+    tracks = scores.groupBy("side", "truth", *(t for t in track if t != "side")).agg(F.sum("credit_3").alias("c3"), F.sum("credit_5").alias("c5"), F.count("*").alias("n"), F.count_if(eligible).alias("eligible"), F.count_if(eligible & right.isNotNull()).alias("judged"), F.count_if(eligible & right).alias("right"))
+    cells = tracks.groupBy("side", "truth").agg((F.sum("c3") / F.sum("n")).alias("top_3"), (F.sum("c5") / F.sum("n")).alias("top_5"), F.count("*").alias("tracks"), *(F.sum(c).alias(c) for c in ("eligible", "judged", "right")))
+    known = F.col("truth").isin(classes)
+    every = F.count_if(known) == len(classes)
+    found = cells.groupBy(F.col("side").alias("part")).agg(
+        F.when(every, F.avg(F.when(known, (F.col("top_5") > 5 / len(classes)).cast("double")))).alias("above_uniform"), F.when(every, F.avg(F.when(known, F.col("top_3")))).alias("macro_top_3"),
+        F.count_if((F.col("tracks") >= least_tracks) & (F.col("top_5") == 0)).cast("double").alias("starved"), F.try_divide(F.sum("right"), F.sum("judged")).alias("parameters"), F.try_divide(F.sum("judged"), F.sum("eligible")).alias("parameter_coverage"),
+    )
+    return found.select("part", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c, *_ in CLASS_BOUNDS))).alias("m")).select("part", "m.*")
+
+
+def member_metrics(scores: DataFrame, track: list[str]) -> DataFrame:
+    """(part, metric, value) of each system: the mean of both sides' track top-3 and of their row losses; null if a side is missing or its loss infinite."""
+    tracks = scores.groupBy("system", *track).agg(F.avg("credit_3").alias("t3"), F.sum("nll").alias("loss"), F.count("nll").alias("finite"), F.count("*").alias("n"))
+    sides = tracks.groupBy("system", "side").agg(F.avg("t3").alias("t3"), F.when(F.sum("finite") == F.sum("n"), F.sum("loss") / F.sum("n")).alias("nll"))
+    both = F.count("*") == 2
+    found = sides.groupBy(F.col("system").alias("part")).agg(F.when(both, F.avg("t3")).alias("mean_top_3"), F.when(both & (F.count("nll") == 2), F.avg("nll")).alias("mean_nll"))
+    return found.select("part", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c, *_ in MEMBER_BOUNDS))).alias("m")).select("part", "m.*")
+
+
+def class_gates(metrics: DataFrame, members: list[str], sides: tuple[str, ...] = ("white", "black")) -> DataFrame:
+    """gate, part, metric, op, bound, value, status of every side's and member's bounds; what has no metric is missing."""
+    wanted = [(f"{part}.{m}", part, m, op, bound) for parts, bounds in ((sides, CLASS_BOUNDS), (members, MEMBER_BOUNDS)) for part in parts for m, op, bound in bounds]
+    return gates(metrics, metrics.sparkSession.createDataFrame(wanted, "gate string, part string, metric string, op string, bound double"), ["part", "metric"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.operators.contracts import violations
+
 
 def survivors(rows: DataFrame, row: list[str]) -> DataFrame:
     """Surviving hypotheses and classes, whether one class is left, and the credit of a uniform guess among them."""
@@ -48,6 +50,32 @@ def slices(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*aggregates, F.grouping_id(*keys).alias("level"))
 
 
+def observation_faults(rows: DataFrame, horizon: str, indices: str, ordinary: str, truth: str, truth_id: str, hypotheses: str) -> DataFrame:
+    """Observations that break a rule, with `violations`.
+
+    indices: an array of steps, positive, strictly rising, the last within the horizon; ordinary: an entry for each of
+    them; hypotheses: an array of (id, class_id, eliminated, history, posterior).  horizon: above 0; indices; alignment:
+    ordinary and every history have an entry for each index; hypotheses: some, with ids of their own; truth: the true
+    hypothesis is there, of the true class, not eliminated; posterior: all have one or none, finite, not below 0, 0 if
+    eliminated, summing to 1 within 1e-6.  A null breaks the rule that needs it.
+    """
+    steps, hyps = F.col(indices), F.col(hypotheses)
+    rising = F.forall(F.sequence(F.lit(1), F.size(steps)), lambda n: F.coalesce(F.element_at(steps, n) > F.when(n > 1, F.element_at(steps, F.greatest(n - 1, F.lit(1)))).otherwise(0), F.lit(False)))
+    mine = F.filter(hyps, lambda x: x["id"] == F.col(truth_id))
+    known = F.filter(hyps, lambda x: x["posterior"].isNotNull())
+    sound = F.forall(known, lambda x: (x["posterior"] >= 0) & (x["posterior"] < float("inf")) & (~x["eliminated"] | (x["posterior"] == 0)))
+    total = F.aggregate(known, F.lit(0.0), lambda t, x: t + x["posterior"])
+    rules = {
+        "horizon": F.col(horizon) > 0,
+        "indices": F.when(F.size(steps) > 0, rising & (F.element_at(steps, -1) <= F.col(horizon))),
+        "alignment": (F.size(ordinary) == F.size(steps)) & F.forall(hyps, lambda x: F.size(x["history"]) == F.size(steps)),
+        "hypotheses": (F.size(hyps) > 0) & (F.size(F.array_distinct(F.transform(hyps, lambda x: x["id"]))) == F.size(hyps)),
+        "truth": (F.size(mine) > 0) & F.forall(mine, lambda x: (x["class_id"] == F.col(truth)) & ~x["eliminated"]),
+        "posterior": (F.size(known) == 0) | ((F.size(known) == F.size(hyps)) & sound & (F.abs(total - 1) <= 1e-6)),
+    }
+    return violations(rows, rules)
+
+
 def longitudinal(rows: DataFrame, track: list[str], order: str, then: tuple[str, ...], truth: str, move: Column, past: str, hypotheses: str, mask: str) -> DataFrame:
     """Rows with `faults`, for all that break what must hold along a track: in constant state a row, however long the track is.
 

@@ -12,6 +12,7 @@ from sequent.operators import identify as i
 from sequent.operators import metrics as m
 from sequent.operators import sampling as p
 from sequent.operators import sequences as s
+from sequent.operators.comparators import let
 from sequent.plans import adapters as a
 from sequent.plans.adapters import ROW, TRACK, posterior_sql, pred_sql, predictions, read, with_sql
 from sequent.plans.q_metrics import rounded
@@ -190,9 +191,11 @@ def i_model_top(spark, d):
     return rounded(i.model_top(predictions(spark, d), ROW))
 
 
-@query("i_slices", PRED + ", b AS (SELECT *, max(p) OVER (PARTITION BY game, side, step) AS best FROM pred), t AS (SELECT game, side, step, truth, count(*) AS size, max(CAST(class_id = truth AS INT)) AS h FROM b WHERE p = best GROUP BY ALL) SELECT side, truth, count(*) AS n, round(avg(size), 6) AS size, round(avg(h / size), 6) AS credit, CAST(grouping(side, truth) AS BIGINT) AS level FROM t GROUP BY GROUPING SETS ((), (side), (truth), (side, truth))")
+@query("i_slices", PRED + ", b AS (SELECT *, max(p) OVER (PARTITION BY game, side, step) AS best FROM pred), t AS (SELECT game, side, step, truth, count(*) AS size, max(CAST(class_id = truth AS INT)) AS h FROM b WHERE p = best GROUP BY ALL), hz(horizon) AS (VALUES (5), (10), (15), (20)), l AS (SELECT horizon, t.* FROM t JOIN hz ON step <= horizon QUALIFY row_number() OVER (PARTITION BY horizon, game, side ORDER BY step DESC) = 1) SELECT horizon, side, truth, count(*) AS n, round(avg(size), 6) AS size, round(avg(h / size), 6) AS credit, CAST(grouping(horizon, side, truth) AS BIGINT) AS level FROM l GROUP BY GROUPING SETS ((), (horizon), (side), (truth), (horizon, side, truth))")
 def i_slices(spark, d):
-    return rounded(i.slices(i.model_top(predictions(spark, d), [*ROW, "truth"]), ["side", "truth"], ["size", "credit"]))
+    """What the model's top set says at each horizon: over all, by horizon, by side, by class, and by all three."""
+    rows = m.at_horizons(i.model_top(predictions(spark, d), [*ROW, "truth"]))
+    return rounded(i.slices(rows, ["horizon", "side", "truth"], ["size", "credit"]))
 
 
 LONG_SQL = f"""WITH {a.EVENTS_SQL}, h AS (SELECT *, CAST('0x' || substr(sha256(step || ':' || kind), 1, 15) AS HUGEINT) AS one FROM ev),
@@ -213,12 +216,35 @@ def i_longitudinal(spark, d):
     return found.select(*EV, "copy", F.array_join("faults", ",").alias("faults"))
 
 
-@query("i_validate", "SELECT event_id, array_to_string(list_filter([CASE WHEN user_id % 2 = 0 AND event_id % 3 = 0 THEN 'truth-eliminated' END, CASE WHEN value < 5 THEN 'low' END], lambda x: x IS NOT NULL), ',') AS violations FROM events WHERE (user_id % 2 = 0 AND event_id % 3 = 0) OR value < 5")
-def i_validate(spark, d):
-    from sequent.operators.contracts import violations
+VALIDATE = {"indices": "event_id % 29 = 0", "alignment": "event_id % 31 = 0", "hypotheses": "event_id % 37 = 0", "truth": "event_id % 19 = 0 OR event_id % 23 = 0", "posterior": "event_id % 13 = 0 OR event_id % 17 = 0"}
+
 
-    rules = {"truth-eliminated": (F.col("user_id") % 2 != 0) | (F.col("event_id") % 3 != 0), "low": F.col("value") >= 5}
-    return violations(read(spark, d, "events"), rules).select("event_id", F.array_join("violations", ",").alias("violations"))
+@query("i_validate", "SELECT * FROM (SELECT event_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in VALIDATE.items()) + "], lambda x: x IS NOT NULL), ',') AS violations FROM events) WHERE violations <> ''")
+def i_validate(spark, d):
+    """Each event as an observation with twenty hypotheses; every kind of fault is planted in some."""
+    at = lambda n: F.col("event_id") % n == 0
+    rows = a.event_steps(spark, d).select("event_id", "step", "truth")
+    steps = F.when(at(29), F.array(F.lit(0).cast("long"), F.col("step"))).when(F.col("step") > 1, F.array(F.lit(1).cast("long"), F.col("step"))).otherwise(F.array("step"))
+    own = F.array_position(F.array(*map(F.lit, a.EVENT_TYPES)), F.col("truth")) * 4 - 4
+    rows = rows.withColumn("indices", steps).withColumn("own", own)
+
+    def hypothesis(h):
+        class_id = F.element_at(F.array(*map(F.lit, a.EVENT_TYPES)), F.floor(h / 4).cast("int") + 1)
+        gone = F.when(h == F.col("own"), at(19)).otherwise(((F.col("event_id") + h) % 11 == 0) & (class_id != F.col("truth")))
+        history = F.when(at(31) & (h == 3), F.array().cast("array<long>")).otherwise(F.col("indices"))
+        return F.struct(F.when(at(37) & (h == 5), F.lit("h4")).otherwise(F.concat(F.lit("h"), h.cast("string"))).alias("id"), class_id.alias("class_id"), gone.alias("eliminated"), history.alias("history"))
+
+    def weighed(every, live):
+        mass = lambda x: F.when(at(17) & (x["id"] == "h0"), None).otherwise(F.when(x["eliminated"], 0.0).otherwise(F.when(at(13), 2.0).otherwise(1.0) / live))
+        return F.transform(every, lambda x: F.struct(x["id"].alias("id"), x["class_id"].alias("class_id"), x["eliminated"].alias("eliminated"), x["history"].alias("history"), mass(x).alias("posterior")))
+
+    # A generator stands between what makes the array and what reads it, so that no reader makes it again.
+    rows = rows.withColumn("all", F.explode(F.array(F.transform(F.sequence(F.lit(0), F.lit(19)), hypothesis))))
+    made = let(F.size(F.filter("all", lambda x: ~x["eliminated"])), lambda live: weighed(F.col("all"), live))
+    rows = rows.withColumn("hypotheses", F.explode(F.array(made)))
+    rows = rows.withColumn("truth_id", F.when(at(23), "none").otherwise(F.concat(F.lit("h"), F.col("own").cast("string"))))
+    found = i.observation_faults(rows, "step", "indices", "indices", "truth", "truth_id", "hypotheses")
+    return found.select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("p_game_balanced", a.with_sql() + ", x AS (SELECT game, side, step, row_number() OVER (PARTITION BY game ORDER BY sha256('e1:' || game || ':' || (step * 2 + CAST(side = 'white' AS INT))), step * 2 + CAST(side = 'white' AS INT)) - 1 AS pl, count(*) OVER (PARTITION BY game) AS n FROM steps) SELECT game, side, step, count(*) AS times FROM x, LATERAL (SELECT unnest(range(CASE WHEN n >= 6 THEN 1 ELSE 6 // n + CASE WHEN pl < 6 % n THEN 1 ELSE 0 END END)) AS r) WHERE pl < 6 GROUP BY game, side, step")

@@ -235,10 +235,23 @@ def g_comparator(spark, d):
     return rounded(g.deltas(metric_table(spark, d), ["side", "metric"], "A", "B"))
 
 
-@query("g_class_macro", f"{AB}, c AS (SELECT truth, avg(credit_3) AS t3, avg(credit_5) AS t5 FROM s GROUP BY truth) SELECT round(avg(t3), 6) AS macro_top_3, round(avg(CAST(t5 > 5 / 6.0 AS INT)), 6) AS above_uniform, count(*) AS classes FROM c")
+CLASS_TH = "th(part, metric, op, bound) AS (VALUES " + ", ".join(f"('{part}', '{x}', '{op}', {v}::DOUBLE)" for parts, bounds in ((("white", "black"), g.CLASS_BOUNDS), (("A", "B", "C"), g.MEMBER_BOUNDS)) for part in parts for x, op, v in bounds) + ")"
+CLASS_SQL = f"""{AB}, ce AS (SELECT side, truth, avg(credit_3) AS t3, avg(credit_5) AS t5, count(DISTINCT game) AS n FROM s GROUP BY side, truth),
+sd AS (SELECT side AS part, CASE WHEN count(*) = 6 THEN avg(CAST(t5 > 5 / 6.0 AS INT)) END AS above_uniform, CASE WHEN count(*) = 6 THEN avg(t3) END AS macro_top_3, CAST(count(*) FILTER (n >= 25 AND t5 = 0) AS DOUBLE) AS starved FROM ce GROUP BY side),
+pa AS (SELECT side AS part, avg(CASE WHEN step % 5 <> 0 THEN CAST(above % 3 = (game + step) % 3 AS INT) END) AS parameters, count(*) FILTER (step % 5 <> 0) / count(*) AS parameter_coverage FROM s WHERE step % 7 <> 0 GROUP BY side),
+ab AS (SELECT 'A' AS system, * FROM s UNION ALL SELECT 'B', * FROM s_b), tk AS (SELECT system, game, side, avg(credit_3) AS t3 FROM ab GROUP BY ALL),
+me AS (SELECT system AS part, (SELECT avg(v) FROM (SELECT avg(t3) AS v FROM tk WHERE tk.system = o.system GROUP BY side)) AS mean_top_3, (SELECT avg(v) FROM (SELECT avg(nll) AS v FROM ab WHERE ab.system = o.system GROUP BY side)) AS mean_nll FROM (SELECT DISTINCT system FROM ab) o),
+mt AS (UNPIVOT (SELECT * FROM sd JOIN pa USING (part)) ON above_uniform, macro_top_3, starved, parameters, parameter_coverage INTO NAME metric VALUE value UNION ALL UNPIVOT me ON mean_top_3, mean_nll INTO NAME metric VALUE value), {CLASS_TH}"""
+
+
+@query("g_class_macro", f"{CLASS_SQL} SELECT part || '.' || metric AS gate, part, metric, op, bound, round(value, 6) AS value, CASE WHEN op = '=' AND value = bound THEN 'passed' ELSE {STATUS} END AS status FROM th LEFT JOIN mt USING (part, metric)")
 def g_class_macro(spark, d):
-    by = m.summary(scores(spark, d), ("truth",))
-    return rounded(by.agg(F.avg("top_3").alias("macro_top_3"), F.avg((F.col("top_5") > 5 / 6).cast("double")).alias("above_uniform"), F.count("*").alias("classes")))
+    """Classes and parameters of each side, and two members; a third one that is asked for is not there."""
+    both, step = both_systems(spark, d), F.col("step")
+    right = F.when(step % 5 != 0, F.col("above") % 3 == (F.col("game") + step) % 3)
+    own = g.class_metrics(both.where("system = 'A'"), CLASSES, TRACK, right, step % 7 != 0)
+    found = g.class_gates(own.unionByName(g.member_metrics(both, TRACK)), ["A", "B", "C"])
+    return rounded(found.select("gate", "part", "metric", "op", "bound", "value", "status"))
 
 
 @query("g_slices", f"{AB}, x AS (SELECT *, game % 5 AS agent, CASE WHEN step % 2 = 0 THEN 'evidence' WHEN step % 7 <> 0 THEN 'synchronous' END AS mode FROM s) SELECT count(*) AS rows, count(agent) AS by_agent, count(mode) AS by_mode, count(side) AS by_side, count(truth) AS by_truth, count(DISTINCT truth) AS classes, count(mode) = count(*) AND count(DISTINCT truth) = 6 AS complete FROM x")
