@@ -19,9 +19,9 @@ from sequent.operators import selection as sel
 from sequent.operators import sequences as s
 from sequent.plans import adapters as a
 from sequent.plans import q_features, q_models, q_sources
-from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, TRACK, pred_sql, predictions, read, score_sql, with_sql
+from sequent.plans.adapters import CLASSES, EVENT_TYPES, ROW, pred_sql, predictions, read, score_sql, with_sql
 from sequent.plans.q_metrics import BINARY, CELLS, MEAN, S, cells, labelled, report_sql, rounded, scores
-from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, NLL, PLACE, boot_sql, logits, metric_table, track_deltas
+from sequent.plans.q_models import BLENDED, FIXED, FIXED_SQL, LOGITS, METRICS, PLACE, boot_sql, logits, metric_table, track_deltas
 from sequent.plans.q_sequences import VIEW
 from sequent.sources import ndjson as src
 from sequent.sources.committing import write_lines
