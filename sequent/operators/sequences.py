@@ -124,9 +124,10 @@ def restored(pred: DataFrame, keys: list[str], order: str) -> DataFrame:
     return pred.withColumn("__was", was).where("__was and not eliminated").drop("__was")
 
 
-def history(rows: DataFrame, track: list[str], order: str, value: str, last: int) -> DataFrame:
-    """Adds `history`: the track's last values before each row, in order."""
-    return rows.withColumn("history", F.collect_list(value).over(W.Window.partitionBy(*track).orderBy(order).rowsBetween(-last, -1)))
+def history(rows: DataFrame, track: list[str], order: str, value: str, last: int | None = None) -> DataFrame:
+    """Adds `history`: the track's values before each row, in order; with `last`, only so many."""
+    spec = before(track, order) if last is None else W.Window.partitionBy(*track).orderBy(order).rowsBetween(-last, -1)
+    return rows.withColumn("history", F.collect_list(value).over(spec))
 
 
 def move_digest(place: str, value: str, half: int) -> Column:

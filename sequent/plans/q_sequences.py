@@ -98,7 +98,12 @@ RANK = f"{P}, rc AS (SELECT game, step, truth, class_id, round(p, 6) AS p, elimi
 
 
 def timeline(spark, d):
-    return s.ranked(classes(spark, d).withColumn("p", F.round("p", 6)), EV)
+    """Twelve decimals first: a probability that ends in a 5 is a tie of the rounding, which the last bits of a sum must not decide."""
+    return s.ranked(settled(classes(spark, d)), EV)
+
+
+def settled(rows):
+    return rows.withColumn("p", F.round(F.round("p", 12), 6))
 
 
 @query("w_timeline", f"{RANK} SELECT game, step, class_id, p, CAST(rank AS INT) AS rank FROM rk WHERE rank = 1")
@@ -150,10 +155,11 @@ def w_monotone_mask(spark, d):
 PAST = "CAST(coalesce(sum(CAST('0x' || substr(sha256(step || ':' || kind), {}, 15) AS HUGEINT)) OVER (PARTITION BY game ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS VARCHAR)"
 
 
-@query("w_history_prefix", f"WITH {a.EVENTS_SQL} SELECT game, step, {PAST.format(1)} AS past, {PAST.format(16)} AS past_2 FROM ev")
+@query("w_history_prefix", f"WITH {a.EVENTS_SQL} SELECT game, step, coalesce(string_agg(kind, ' ') OVER (PARTITION BY game ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, {PAST.format(1)} AS past, {PAST.format(16)} AS past_2 FROM ev")
 def w_history_prefix(spark, d):
-    """Digests of whole histories."""
-    return s.with_past(a.event_steps(spark, d), ["game"], "step", "kind").select(*EV, F.col("past").cast("string").alias("past"), F.col("past_2").cast("string").alias("past_2"))
+    """Whole histories: the kinds of all events before each one, in order, and their digests."""
+    rows = s.history(s.with_past(a.event_steps(spark, d), ["game"], "step", "kind"), ["game"], "step", "kind")
+    return rows.select(*EV, F.array_join("history", " ").alias("history"), F.col("past").cast("string").alias("past"), F.col("past_2").cast("string").alias("past_2"))
 
 
 @query("w_history_breaks", f"WITH {a.EVENTS_SQL} SELECT game, step FROM ev WHERE event_id % 31 = 0 AND step > 1")

@@ -1,14 +1,18 @@
 """Systems scored as matrices of a batch against their long forms, and results that larger tables showed to be wrong."""
 
 import math
+import os
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from sequent.operators import comparators as k
 from sequent.operators import metrics as m
+from sequent.plans import q_more, q_sequences
+from sequent.plans.adapters import distributions
 from tests.test_comparators import CASES
-from tests.test_oracles import LARGER, compare, connected
+from tests.test_oracles import LARGER
 
 
 def test_track_sums_of_systems_are_those_of_their_scores(spark):
@@ -26,6 +30,25 @@ def test_track_sums_of_systems_are_those_of_their_scores(spark):
             assert math.isclose(r[c] or 0.0, want[key][c] or 0.0, abs_tol=1e-12), (key, c)
 
 
-@pytest.mark.parametrize("name", ["a_comparators"])
-def test_same_rows_of_larger_tables(spark, name):
-    compare(spark, connected(LARGER), name, LARGER)
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables")
+def test_a_mean_that_ends_in_a_5_is_rounded_up(spark):
+    """On these tables the uniform system's top 3 is a tie of the rounding, which SQL decides by the order of its sum."""
+    sizes = distributions(spark, LARGER).selectExpr("size(filter(o, x -> not x.eliminated)) AS n").groupBy("n").count().collect()
+    exact = sum(min(Fraction(1), Fraction(3, r["n"])) * r["count"] for r in sizes) / sum(r["count"] for r in sizes)
+    assert exact == Fraction("0.6003875")
+    got = {r.system: r.top_3 for r in q_more.a_comparators(spark, LARGER).collect()}
+    assert got["uniform"] == 0.600388
+
+
+def test_ties_of_rounding_do_not_depend_on_last_bits(spark):
+    rows = spark.createDataFrame([(x,) for x in (0.2984375, math.nextafter(0.2984375, 0), math.nextafter(0.2984375, 1), 0.2984374)], "p double")
+    assert [r.p for r in q_sequences.settled(rows).collect()] == [0.298438] * 3 + [0.298437]
+
+
+def test_histories_are_whole(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(1000 - id) AS ts", "id % 2 AS user_id", "concat('k', id % 3) AS event_type", "0.0D AS value", "'{\"k\":1}' AS props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.game, r.step): r.history for r in q_sequences.w_history_prefix(spark, str(tmp_path)).collect()}
+    for game in (0, 1):
+        kinds = [f"k{i % 3}" for i in range(39, -1, -1) if i % 2 == game]
+        assert all(got[game, n + 1] == " ".join(kinds[:n]) for n in range(20))
