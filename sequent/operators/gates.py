@@ -14,8 +14,8 @@ from pyspark.sql import window as W
 
 #: SplitMix64's increment and multipliers, and the seed of the fixed bootstrap (fixed values).
 INCREMENT, FACTORS, SEED = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 633_454_611
-#: Clusters of a block, and draws of a piece of work.
-BLOCK, PIECE = 1 << 16, 1 << 22
+#: Clusters of a block, draws of the least piece of work, and pieces that are wanted.
+BLOCK, PIECE, PIECES = 1 << 16, 1 << 22, 128
 
 
 def mixed64(state: np.ndarray) -> np.ndarray:
@@ -63,6 +63,8 @@ def _blocks(clusters: DataFrame, key: str, count: int) -> tuple[DataFrame, np.nd
     for row in dealt.groupBy("__block").agg(F.count("*").alias("n")).collect():  # a row for each 65,536 clusters
         sizes[row["__block"]] = row["n"]
     step = max(1, min(count, PIECE // max(1, int(sizes.max()))))
+    # Every run has a copy of its block's clusters, so there are no more runs than it takes to have pieces enough.
+    step = max(step, -(-count // max(1, PIECES // len(sizes))))
     runs = -(-count // step)
     pieces = dealt.withColumn("__run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     return pieces.repartition(min(len(sizes) * runs, 16_384), "__block", "__run").groupBy("__block", "__run"), sizes, step
