@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.operators import batches
+
 #: Bounds of a temperature (fixed values).
 LOW_T, HIGH_T = 0.05, 10.0
 
@@ -89,6 +92,13 @@ def hard_mask_fusion(rows: DataFrame, row: list[str], prior: str, residual: str,
     return softmax(rows.withColumn("__m", mixed), row, F.log("__m") + alpha * F.col(residual), ~F.col("eliminated") & (F.col("__m") > 0)).drop("__m")
 
 
+def hard_masked(prior: np.ndarray, residual: np.ndarray, live: np.ndarray, alpha: float, smoothing: float) -> np.ndarray:
+    """p of hard_mask_fusion for a matrix of rows and classes; live: which are not eliminated."""
+    mixed = (1 - smoothing) * prior + smoothing / np.maximum(live.sum(1, keepdims=True), 1)
+    alive = live & (mixed > 0)
+    return batches.softmax(np.where(alive, np.log(np.where(alive, mixed, 1.0)) + alpha * residual, np.nan))
+
+
 def log_prior_fusion(rows: DataFrame, row: list[str], prior: str, logit: str) -> DataFrame:
     """softmax(logit + log(max(prior, 1e-12))) over the survivors."""
     return softmax(rows, row, F.col(logit) + F.log(F.greatest(F.col(prior), F.lit(1e-12))), ~F.col("eliminated"))

@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from sequent.operators import batches, fusion, gates
 from sequent.operators import comparators as k
 from sequent.operators import metrics as m
 from sequent.plans import q_more, q_sequences
@@ -52,3 +53,25 @@ def test_histories_are_whole(spark, tmp_path):
     for game in (0, 1):
         kinds = [f"k{i % 3}" for i in range(39, -1, -1) if i % 2 == game]
         assert all(got[game, n + 1] == " ".join(kinds[:n]) for n in range(20))
+
+
+def test_smoothing_and_row_scores_agree_with_the_long_forms(spark):
+    rows = [(r, "a", [(c, gone, p, 1.5 * n) for n, (c, gone, p, *_) in enumerate(o)]) for r, o in CASES.items() if r != 3]  # all of row 3 are eliminated
+    wide = spark.createDataFrame(rows, "step int, truth string, o array<struct<class_id: string, eliminated: boolean, p: double, residual: double>>")
+    o = F.col("o")
+
+    def each(values, codes, names):
+        yield ("s",), fusion.hard_masked(values["p"], values["residual"], (codes >= 0) & ~values["eliminated"], 0.5, 0.1), None
+
+    got = {r.step: r for r in batches.row_scores(wide, "o", {"p": o["p"], "residual": o["residual"], "eliminated": o["eliminated"]}, ["step"], "system string", each).collect()}
+    long = wide.select("step", "truth", F.inline("o")).withColumnRenamed("p", "prior")
+    for r in m.row_scores(fusion.hard_mask_fusion(long, ["step"], "prior", "residual", 0.5, 0.1), ["step"]).collect():
+        for c in ("p_truth", "above", "tied", "confidence", "brier", "sum_error", "nll", "credit_1", "credit_3", "credit_5"):
+            assert (got[r.step][c] is None) == (r[c] is None) and math.isclose(got[r.step][c] or 0, r[c] or 0, abs_tol=1e-12), (r.step, c)
+
+
+def test_more_clusters_do_not_mean_more_copies_of_them(spark, monkeypatch):
+    monkeypatch.setattr(gates, "BLOCK", 50)
+    for n in (1_000, 6_400):
+        pieces, sizes, step = gates._blocks(spark.range(n), "id", 10_000)
+        assert len(sizes) * -(-10_000 // step) <= 2 * gates.PIECES
