@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -149,6 +150,13 @@ def ensemble_mean(members: DataFrame, row: list[str]) -> DataFrame:
     return members.groupBy(*row, "class_id").agg(F.avg("p").alias("p"), (F.count_distinct("eliminated") == 1).alias("ok"), F.max("eliminated").alias("eliminated"))
 
 
+def row_ensemble(rows: DataFrame, members: list[tuple[str, str]]) -> DataFrame:
+    """As ensemble_mean, where each row has every member's (p, eliminated) in columns of its own: nothing is exchanged."""
+    masks = [F.col(gone) for _, gone in members]
+    same = reduce(lambda a, b: a & b, (x.eqNullSafe(masks[0]) for x in masks[1:]), masks[0].isNotNull())
+    return rows.withColumns({"p": sum((F.col(p) for p, _ in members), F.lit(0.0)) / len(members), "ok": same, "eliminated": reduce(lambda a, b: a | b, masks)})
+
+
 def blend_grid(a: DataFrame, b: DataFrame, row: list[str], weights: list[float]) -> DataFrame:
     """One distribution for each blend weight."""
     q = b.select(*row, "class_id", F.col("p").alias("__q"))

@@ -75,3 +75,11 @@ def test_more_clusters_do_not_mean_more_copies_of_them(spark, monkeypatch):
     for n in (1_000, 6_400):
         pieces, sizes, step = gates._blocks(spark.range(n), "id", 10_000)
         assert len(sizes) * -(-10_000 // step) <= 2 * gates.PIECES
+
+
+def test_members_in_columns_give_the_mean_of_members_in_rows(spark):
+    rows = spark.createDataFrame([(1, "a", 0.5, False, 0.25, False), (1, "b", 0.5, False, 0.75, True), (2, "a", 1.0, True, 0.0, True)], "step int, class_id string, p double, eliminated boolean, q double, gone boolean")
+    long = rows.select("step", "class_id", "p", "eliminated").unionByName(rows.selectExpr("step", "class_id", "q AS p", "gone AS eliminated"))
+    columns = ["step", "class_id", "p", "ok", "eliminated"]
+    assert sorted(fusion.row_ensemble(rows, [("p", "eliminated"), ("q", "gone")]).select(columns).collect()) == sorted(fusion.ensemble_mean(long, ["step"]).select(columns).collect())
+    assert "Exchange" not in fusion.row_ensemble(rows, [("p", "eliminated"), ("q", "gone")])._jdf.queryExecution().toString()
