@@ -115,6 +115,45 @@ def ratio_fusion(a: DataFrame, b: DataFrame, row: list[str], classes: int, weigh
     return both.withColumn("p", F.when(total > 0, F.col("__v") / total).otherwise(0.0)).drop("__q", "__v")
 
 
+def ratio_fused(p: np.ndarray, q: np.ndarray, gone: np.ndarray, classes: int, weight: float = 0.35) -> np.ndarray:
+    """p of ratio_fusion for a matrix of rows and classes; q: NaN where it lacks a class."""
+    with np.errstate(invalid="ignore"):
+        ratio = np.where(np.isnan(q), 1.0, np.maximum(q * classes, 1e-12) ** weight)
+    return batches.normalized(np.where(gone, 0.0, p * ratio))
+
+
+def rank_fused(prior: np.ndarray, residual: np.ndarray, live: np.ndarray, alpha: float) -> np.ndarray:
+    """p of rank_fusion for a matrix of rows and classes; live: which are there and not eliminated."""
+    share = batches.softmax(np.where(live, residual, np.nan))
+    ranked = live & (prior > 0)
+    tier = np.log(np.where(ranked, prior, np.nan))
+    order = np.argsort(tier, 1)  # NaN last
+    own = np.take_along_axis(tier, order, 1)
+    rises = own[:, 1:] > own[:, :-1]
+    below, above = np.full(own.shape, -np.inf), np.full(own.shape, np.inf)
+    below[:, 1:] = np.where(rises, own[:, :-1], -np.inf)
+    above[:, :-1] = np.where(rises, own[:, 1:], np.inf)
+    # Of equal tiers the first one sees the tier below and the last one the tier above; the others take it from them.
+    below, above = np.maximum.accumulate(below, 1), np.minimum.accumulate(above[:, ::-1], 1)[:, ::-1]
+    room = np.ones(own.shape)
+    np.put_along_axis(room, order, np.where(np.isnan(own), 1.0, np.minimum(1.0, np.minimum((own - below) / 4, (above - own) / 4))), 1)
+    lowest = np.where(ranked.any(1), np.where(ranked, tier, np.inf).min(1, initial=np.inf), 0.0)
+    base = np.where(ranked, tier, lowest[:, None] - 1e6)
+    return batches.softmax(np.where(live, base + alpha * room * (share - 1 / np.maximum(live.sum(1, keepdims=True), 1)), np.nan))
+
+
+def row_inversions(prior: np.ndarray, p: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """order_inversions in a matrix of rows and classes: 1 where a class has more prior and less p than its neighbour in prior order, else 0."""
+    order = np.lexsort((np.where(whole, p, np.inf), np.where(whole, prior, np.inf)), axis=1)
+    a, b = (np.take_along_axis(x, order, 1) for x in (prior, p))
+    there = np.take_along_axis(whole, order, 1)
+    found = np.zeros(whole.shape)
+    turned = np.zeros(whole.shape)
+    turned[:, 1:] = there[:, 1:] & there[:, :-1] & (a[:, :-1] < a[:, 1:]) & (b[:, :-1] > b[:, 1:])
+    np.put_along_axis(found, order, turned, 1)
+    return found
+
+
 def rank_fusion(rows: DataFrame, row: list[str], prior: str, residual: str, alpha: float) -> DataFrame:
     """A residual signal that cannot change the order of the prior.
 

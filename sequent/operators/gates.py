@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sequent.sources.tables import stored
+
 #: SplitMix64's increment and multipliers, and the seed of the fixed bootstrap (fixed values).
 INCREMENT, FACTORS, SEED = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), 633_454_611
 #: Clusters of a block, draws of the least piece of work, and pieces that are wanted.
@@ -40,6 +42,36 @@ def drawn(seed: int, counter: np.ndarray, n: int) -> np.ndarray:
     return (value % np.uint64(n)).astype(np.int64)
 
 
+class Drawer:
+    """Draws as of `drawn` for draw numbers that follow each other, in runs that stay in a core's cache, counted by place."""
+
+    def __init__(self, seed: int, n: int, run: int = 1 << 14):
+        self._seed, self._n, self._run = seed & (2**64 - 1), n, run
+        self._steps = np.arange(run, dtype=np.uint64) * np.uint64(INCREMENT)
+        self._state, self._other = np.empty(run, np.uint64), np.empty(run, np.uint64)
+        self._limit = (1 << 64) - (1 << 64) % n  # 2^64: nothing is rejected
+
+    def add(self, first: int, count: int, times: np.ndarray) -> None:
+        """Adds to `times` how often each place is drawn by the numbers from first to first + count - 1."""
+        n = np.uint64(self._n)
+        for at in range(0, count, self._run):
+            size = min(self._run, count - at)
+            z, other = self._state[:size], self._other[:size]
+            np.add(self._steps[:size], np.uint64(((first + at + 1) * INCREMENT + self._seed) & (2**64 - 1)), out=z)
+            for shift, factor in ((30, FACTORS[0]), (27, FACTORS[1]), (31, None)):
+                np.right_shift(z, np.uint64(shift), out=other)
+                np.bitwise_xor(z, other, out=z)
+                if factor:
+                    np.multiply(z, np.uint64(factor), out=z)
+            if self._limit < 1 << 64 and z.max() >= np.uint64(self._limit):
+                while (over := z >= np.uint64(self._limit)).any():
+                    z[over] = mixed64(z[over] + np.uint64(INCREMENT))
+            np.floor_divide(z, n, out=other)  # of a constant by multiplication, unlike the remainder
+            np.multiply(other, n, out=other)
+            np.subtract(z, other, out=z)
+            times += np.bincount(z.view(np.int64), minlength=self._n)
+
+
 def shares(seed: int, sizes: np.ndarray, block: int, count: int) -> np.ndarray:
     """How many of a replicate's sum(sizes) draws fall into a block, for each of `count` replicates.
 
@@ -57,6 +89,7 @@ def shares(seed: int, sizes: np.ndarray, block: int, count: int) -> np.ndarray:
 
 def _blocks(clusters: DataFrame, key: str, count: int) -> tuple[DataFrame, np.ndarray, int]:
     """Clusters dealt to (block, run of replicates), sizes of the blocks, and replicates of a run."""
+    clusters = stored(clusters, "clusters")  # they are counted, sized and drawn from, and made once
     n = clusters.count()
     dealt = clusters.withColumn("__block", F.pmod(F.xxhash64(F.col(key)), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
     sizes = np.zeros(max(1, -(-n // BLOCK)), np.int64)
@@ -78,12 +111,13 @@ def _times(key: tuple, sizes: np.ndarray, step: int, count: int, seed: int) -> I
     stream = seed if len(sizes) == 1 else int(mixed64(np.array([seed + INCREMENT * (block + 1) & (2**64 - 1)], np.uint64))[0])
     most = int(sizes.sum())
     few = max(1, (1 << 20) // n)
+    draw = Drawer(stream, n)
     for at in range(0, last - first, few):
         part = own[at : at + few]
-        replicate = np.repeat(np.arange(len(part)), part)
-        place = np.arange(len(replicate)) - np.repeat(np.cumsum(part) - part, part)
-        number = (replicate + first + at).astype(np.uint64) * np.uint64(most) + place.astype(np.uint64)
-        yield first + at, np.bincount(replicate * n + drawn(stream, number, n), minlength=len(part) * n).reshape(len(part), n)
+        times = np.zeros((len(part), n), np.int64)
+        for k, draws in enumerate(part.tolist()):
+            draw.add((first + at + k) * most, draws, times[k])
+        yield first + at, times
 
 
 def resampled_sums(clusters: DataFrame, key: str, columns: list[str], count: int, seed: int = SEED) -> DataFrame:
@@ -164,8 +198,12 @@ def splitmix64(x: Column) -> Column:
 def track_deltas(a: DataFrame, b: DataFrame, track: list[str], game: str, value: str) -> DataFrame:
     """Per game the mean over its two sides of the difference of track means; games with one side are left out."""
     mean = lambda t, n: t.groupBy(*track).agg(F.avg(value).alias(n))
-    both = mean(a, "x").join(mean(b, "y"), track)
-    return both.groupBy(game).agg(F.avg(F.col("x") - F.col("y")).alias("delta"), F.count("*").alias("sides")).where("sides = 2").select(game, "delta")
+    return game_deltas(mean(a, "x").join(mean(b, "y"), track), game)
+
+
+def game_deltas(tracks: DataFrame, game: str) -> DataFrame:
+    """As track_deltas, of a table of tracks with both means x and y."""
+    return tracks.groupBy(game).agg(F.avg(F.col("x") - F.col("y")).alias("delta"), F.count("*").alias("sides")).where("sides = 2").select(game, "delta")
 
 
 def gates(metrics: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

@@ -125,6 +125,18 @@ def parity(a: DataFrame, b: DataFrame, row: list[str], top: int = 5) -> DataFram
     return both.groupBy(*row).agg((F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0).alias("same_vocabulary"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_difference"), (ids("x") == ids("y")).alias("same_top"), (F.count_if((F.col("x") == 0) != (F.col("y") == 0)) == 0).alias("same_zeros"))
 
 
+def row_parity(rows: DataFrame, options: str, row: list[str], top: int = 5) -> DataFrame:
+    """As parity, of rows whose array `options` has p and `other` of each class (null: that runtime lacks it): nothing is exchanged."""
+    def ids(name: str) -> Column:
+        ordered = F.array_sort(F.transform(F.filter(options, lambda x: x[name].isNotNull()), lambda x: F.struct((-x[name]).alias("n"), x["class_id"])))
+        return F.array_join(F.slice(F.transform(ordered, lambda x: x["class_id"]), 1, top), ",")
+
+    lacking = F.filter(options, lambda x: x["p"].isNull() | x["other"].isNull())
+    differing = F.filter(options, lambda x: (x["p"] == 0) != (x["other"] == 0))
+    greatest = F.array_max(F.transform(options, lambda x: F.abs(x["p"] - x["other"])))
+    return rows.select(*row, (F.size(lacking) == 0).alias("same_vocabulary"), greatest.alias("max_difference"), (ids("p") == ids("other")).alias("same_top"), (F.size(differing) == 0).alias("same_zeros"))
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """What both tables have."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")

@@ -85,6 +85,12 @@ def ranked(pred: DataFrame, row: list[str]) -> DataFrame:
     return pred.withColumn("rank", F.row_number().over(W.Window.partitionBy(*row).orderBy("eliminated", F.desc("p"), "class_id")))
 
 
+def top_ids(options: Column, top: int) -> Column:
+    """The first ids in the order of `ranked`, of an array of a row's classes (class_id, eliminated, p)."""
+    order = F.array_sort(F.transform(options, lambda x: F.struct(x["eliminated"].alias("gone"), x["p"].isNull().alias("none"), (-x["p"]).alias("n"), x["class_id"].alias("class_id"))))
+    return F.slice(F.transform(order, lambda x: x["class_id"]), 1, top)
+
+
 def first_events(timeline: DataFrame, track: list[str], order: str) -> DataFrame:
     """Of the truth's rows of a ranked timeline: first step at rank 1, first step eliminated, last rank and probability."""
     truth = timeline.where(F.col("class_id") == F.col("truth"))
