@@ -198,6 +198,17 @@ def test_main_text_against_plain_python(spark):
     assert maintext.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_with_an_article_are_neighbours_too(spark):
+    """One page of the site lacks an article element: what it shares with the others' unmarked lines and menus goes."""
+    menu, end = "<li>Home<li>About us<li>All the news", "<div>Copyright of the site</div>"
+    whole = f"<nav><ul>{menu}</ul></nav><article><h1>{{0}}</h1><p>The story of {{0}} told at length<p>A common line</article>{end}"
+    rows = [(k, f"https://a.org/n/{k}", whole.format(f"page {k}")) for k in (1, 2, 4, 5)]
+    rows.append((3, "https://a.org/n/3", f"<ul>{menu}</ul><h1>page 3</h1><p>The story of page 3 told at length and more{end}"))
+    got = {r["page_id"]: r["text"] for r in maintext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "page 3\nThe story of page 3 told at length and more"
+    assert all(got[k] == f"page {k}\nThe story of page {k} told at length\nA common line" for k in (1, 2, 4, 5))
+
+
 PAGES = [
     ('<div class="page no-sidebar"><header><h1>Site</h1></header><div id=menu><ul><li>a<li>b</ul></div><div class=post><h2>T &amp; x</h2><p>One<p>Two <i>in</i>line<span hidden>no</span><br>x<table><tr><td>c1<td>c2</table></div><div class="cookie-notice">eat</div><div id="comments"><p>bad</p></div></div>', ["T & x", "One", "Two inline x", "c1", "c2"], True),
     ("<main><article><header><h1>H</h1></header><p>a &lt; b &nbsp; c<aside>no</aside><form><p>no</form><p>d</article><div class=share>no</div></main>", ["H", "a < b c", "d"], False),
