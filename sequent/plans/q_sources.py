@@ -162,11 +162,15 @@ def snk_training_frequency(spark, d):
 
 
 def in_two_runs(spark, rows, first, use):
-    """use(stream) over rows that come as several files: some of them, then, after a restart, the others; a file a batch."""
+    """use(stream) over rows that come as several files: some of them, then, after a restart, the others; each in three batches.
+
+    A batch has a third of the files, and there are as many files as a shuffle has partitions, so no task grows with the rows.
+    """
     path = fresh_path(spark, "stream")
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for some in (first, ~first):
-        rows.where(some).repartition(3).write.mode("append").parquet(path)
-        found = use(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+        rows.where(some).repartition(files).write.mode("append").parquet(path)
+        found = use(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path))
     return found
 
 
@@ -190,8 +194,9 @@ def st_metrics_binary(spark, d):
 def st_metrics_mask(spark, d):
     """A row's cells come together, as one row of the stream."""
     path = fresh_path(spark, "st-mask")
-    rows = q_metrics.cells(spark, d).groupBy(*a.ROW).agg(F.collect_list(F.struct("y", "q")).alias("cells"))
-    part = lambda batch: m.mask_sums(batch.select(*a.ROW, F.explode("cells").alias("c")).select(*a.ROW, "c.*"), a.ROW, "y", "q")
+    cell = lambda x: F.struct((~x["eliminated"]).alias("y"), q_metrics.cell_q(x["class_id"]).alias("q"))
+    rows = a.distributions(spark, d).select(*a.ROW, F.transform("o", cell).alias("cells"))
+    part = lambda batch: m.mask_array_sums(batch, "cells", "y", "q")
     merge = lambda parts: parts.agg(*(F.sum(c).alias(c) for c in parts.columns))
     return q_metrics.rounded(m.mask_of(in_two_runs(spark, rows, F.col("step") % 2 == 0, lambda stream: live.accumulated(stream, path, part, merge))))
 

@@ -7,6 +7,7 @@ import io
 import duckdb
 from pyspark.sql import functions as F
 
+from sequent.operators import metrics
 from sequent.plans import adapters
 
 
@@ -47,3 +48,14 @@ def test_what_is_sorted_is_a_row_an_order(spark, tmp_path):
     above = plan.getvalue().split("Exchange hashpartitioning(game")
     assert len(above) == 2 and "Aggregate(key=[l_orderkey" in above[1] and "Aggregate" not in above[0]
     assert not any(c in plan.getvalue() for c in ("l_extendedprice", "l_shipdate", "l_linenumber"))
+
+
+def test_mask_sums_of_arrays_need_no_exchange_by_row(spark):
+    cells = [[(True, 0.9), (False, 0.2)], [(True, 0.4), (False, 0.7), (True, 0.5)], [(True, 0.0)], []]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, cells array<struct<y:boolean,q:double>>")
+    long = rows.select("k", F.explode("cells").alias("c")).select("k", "c.*")
+    got = metrics.mask_array_sums(rows, "cells", "y", "q")
+    assert got.collect() == metrics.mask_sums(long, ["k"], "y", "q").select(*got.columns).collect()
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        got.explain()
+    assert "hashpartitioning" not in plan.getvalue()
