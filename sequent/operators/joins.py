@@ -93,7 +93,7 @@ def nearest_control(rows: DataFrame, key: list[str], band: Column, order: str, f
     """As nearest_any, but no row serves twice: key, at, control, distance.
 
     Flagged rows are served one after the other in hash order, and each takes the nearest row that is left (of equally
-    near ones that with the smaller hash); the last ones may get none.  One exchange and one sweep (pairing.py).
+    near ones that with the smaller hash); the last ones may get none.  One exchange at most and one sweep (pairing.py).
     """
     slim = rows.select(*key, band.alias("band"), F.col(order).alias("at"), F.coalesce(F.col(flag), F.lit(False)).alias("hit"), tie.alias("tie"))
     return nearest_in_turn(slim.where("at is not null"), [*key, "band"]).select(*key, "at", "control", "distance")

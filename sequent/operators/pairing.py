@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
@@ -86,18 +87,84 @@ def swept(rows: DataFrame, group: list[str], work: Callable[[dict[str, np.ndarra
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(sweep, schema)
 
 
+def _served(group: np.ndarray, at: np.ndarray, hit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the hits that got a control, and its place, for rows that lie by group (numbered from 0) and turn.
+
+    All groups are worked on together; Python runs once a hit.  Chains as in Free, a group's places between its two ends.
+    """
+    values, rank = np.unique(at, return_inverse=True)
+    code = group * len(values) + rank
+    controls = np.flatnonzero(~hit)
+    controls = controls[np.lexsort((turn[controls], code[controls]))]
+    places, head = np.unique(code[controls], return_index=True)
+    if not len(places):
+        return np.empty(0, np.int64), values[:0]
+    of = places // len(values)
+    hits = np.flatnonzero(hit)
+    # Group g's place k, of all places, is node k + 2 g + 1; the nodes before and after a group's places are its ends.
+    firsts = np.searchsorted(of, np.arange(int(group[-1]) + 2))
+    node = np.arange(len(places)) + 2 * of + 1
+    size = len(places) + 2 * int(group[-1]) + 2
+    where, first, end = np.zeros(size, at.dtype), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    where[node], first[node], end[node] = values[places % len(values)], head, np.append(head[1:], len(controls))
+    where, first, end, turns = where.tolist(), first.tolist(), end.tolist(), turn[controls].tolist()
+    left, right = list(range(size)), list(range(size))
+    own = group[hits]
+    begin = np.searchsorted(places, code[hits], side="right") + 2 * own  # the last place at or before the hit, or the end before
+    found, taken = [], []
+    for row, x, k, low, high in zip(hits.tolist(), at[hits].tolist(), begin.tolist(), (firsts[own] + 2 * own).tolist(), (firsts[own + 1] + 2 * own + 1).tolist(), strict=True):
+        a, b = Free._find(left, k), Free._find(right, k + 1)
+        if a == low:
+            if b == high:
+                continue
+            best = b
+        elif b == high:
+            best = a
+        else:
+            before, behind = x - where[a], where[b] - x
+            best = a if before < behind or (before == behind and turns[first[a]] < turns[first[b]]) else b
+        found.append(row)
+        taken.append(where[best])
+        first[best] += 1
+        if first[best] == end[best]:
+            left[best], right[best] = best - 1, best + 1
+    return np.array(found, np.int64), np.array(taken, at.dtype)
+
+
 def nearest_in_turn(rows: DataFrame, group: list[str]) -> DataFrame:
-    """group, at, tie, control, distance: each hit of `rows` (group, at, hit, tie), in order of tie, with the nearest other row of its group that is left."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    """group, at, control, distance: each hit of `rows` (group, at, hit, tie), in order of tie, with the nearest other row of its group that is left.
 
-    def pair(own: dict[str, np.ndarray]) -> dict[str, list]:
-        hit, at, tie = own["hit"].astype(bool), own["at"], own["tie"]
-        free = Free(at[~hit], tie[~hit])
-        order = np.flatnonzero(hit)[np.lexsort((at[hit], tie[hit]))]
-        found = [(at[k], tie[k], c, abs(c - at[k])) for k in order if (c := free.take(at[k])) is not None]
-        return dict(zip(("at", "tie", "control", "distance"), map(list, zip(*found, strict=True)) if found else ([], [], [], []), strict=True))
+    Spark numbers a group's rows by tie, so ties, which may be long, do not go to Python, and rows that already lie by
+    a part of the group are not exchanged again.  A task works on all groups that end in a batch at once.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in group), f"at {kinds['at']}", f"control {kinds['at']}", f"distance {kinds['at']}"])
+    out_schema = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    return swept(rows, group, pair, ", ".join([*(f"{c} {kinds[c]}" for c in group), f"at {kinds['at']}", f"tie {kinds['tie']}", f"control {kinds['at']}", f"distance {kinds['at']}"]))
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            at, turn = whole["at"].to_numpy(), whole["turn"].to_numpy()
+            found, control = _served(np.cumsum(turn == 1) - 1, at, whole["hit"].to_numpy().astype(bool), turn)
+            if len(found):
+                own = whole.select([*group, "at"]).take(pa.array(found))
+                more = [pa.array(x, out_schema.field("at").type) for x in (control, np.abs(control - at[found]))]
+                yield from pa.Table.from_arrays([*own.columns, *more], schema=out_schema).to_batches(10_000)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch["turn"].to_numpy() == 1)
+            if len(begins) and (held or begins[-1]):
+                yield from done([*held, batch.slice(0, begins[-1])])
+                held = []
+            held.append(batch.slice(begins[-1]) if len(begins) else batch)
+        if held:
+            yield from done(held)
+
+    order = ["tie", "at"]
+    turn = F.row_number().over(W.Window.partitionBy(*group).orderBy(*order))
+    # The window's own order, asked for so that it is certain; Spark does not sort again.
+    return rows.withColumn("turn", turn).sortWithinPartitions(*group, *order).select(*group, "at", "hit", "turn").mapInArrow(sweep, schema)
 
 
 def pairs_in_turn(rows: DataFrame, game: str, pairs: str) -> DataFrame:

@@ -258,6 +258,31 @@ def test_ten_thousand_hits_of_one_group_are_one_pass(spark):
     assert {r.at: r.control for r in got} == {s: 10_005 + k for s, k in order.items()}
 
 
+def test_controls_of_many_small_groups_need_no_exchange_and_no_batch_each(spark):
+    rng = random.Random(9)
+    rows = [(None if g == 7 else g, k, rng.random() < 0.4, f"{rng.randrange(99):02x}") for g in range(300) for k in rng.choices(range(60), k=rng.choice([1, 2, 9, 40]))]
+    df = spark.createDataFrame(rows, "g int, step int, hit boolean, t string").groupBy("g").agg(F.collect_list(F.struct("step", "hit", "t")).alias("own")).select("g", F.inline("own"))
+    found = joins.nearest_control(df, ["g"], F.when(F.col("step") < 20, 0).otherwise(1), "step", "hit", F.col("t"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of `df`: what lies by a part of the group stays
+    want = []
+    for key in {(r[0], r[1] >= 20) for r in rows}:
+        own = [r for r in rows if (r[0], r[1] >= 20) == key]
+        free = [r for r in own if not r[2]]
+        for h in sorted((r for r in own if r[2]), key=lambda h: (h[3], h[1])):
+            if free:
+                c = min(free, key=lambda c: (abs(c[1] - h[1]), c[3], c[1]))
+                want.append((h[0] is None, h[0] or 0, h[1], c[1], abs(c[1] - h[1])))
+                free.remove(c)
+    for size in ("10000", "7"):  # groups begin and end anywhere in a batch, and are longer than one
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [(r.g is None, r.g or 0, r.at, r.control, r.distance) for r in found.collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(got) == sorted(want)
+
+
 def plain_paired(rows, k, pairs, anchors):
     """(step, role, place) of one game's rows (game, step, hit), straight from the definition."""
     sha = lambda *x: hashlib.sha256(":".join(map(str, x)).encode()).hexdigest()
