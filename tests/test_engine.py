@@ -229,6 +229,26 @@ def test_resampling_is_uniform_over_many_clusters(spark):
     assert gates.resampled_sums(spark.range(0).withColumn("t", F.lit(1.0)), "id", ["t"], 5).count() == 0
 
 
+def test_scores_of_classes_in_columns_equal_those_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["a", "b", "c", "d", None]), *(rng.choice([0, 0, 1, 1, 2, None]) for _ in "abcxyz")) for k in range(400)]
+    wide = spark.createDataFrame(rows, "step int, truth string, a long, b long, c long, x long, y long, z long")
+    got = {r.step: r for r in metrics.column_scores(wide, list("abc"), {"A": list("abc"), "B": list("xyz")}, "truth", ["step"]).collect()}
+    for step, truth, *both in rows:
+        for s, weights in (("A", both[:3]), ("B", both[3:])):
+            there = [w for w in weights if w is not None]
+            own = dict(zip("abc", weights, strict=True)).get(truth)
+            assert got[step][f"credit_1_{s}"] == (None if own is None else 0.0 if own < max(there) else 1 / there.count(own))
+            assert (got[step][f"nll_{s}"] is None) == (not own) and (not own or math.isclose(got[step][f"nll_{s}"], -math.log(own / sum(there)), abs_tol=1e-12))
+
+
+def test_paired_tracks_are_scored_without_python(spark):
+    from sequent.plans import q_models
+
+    for found in (q_models.track_deltas, q_models.pair_tracks):
+        assert "MapInArrow" not in found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_control_without_reuse(spark):
     rng = random.Random(8)
     rows = [(g, k, rng.random() < 0.45, f"{rng.randrange(16**6):06x}") for g in range(12) for k in sorted(rng.choices(range(60), k=40))]
