@@ -209,6 +209,26 @@ def test_pages_with_an_article_are_neighbours_too(spark):
     assert all(got[k] == f"page {k}\nThe story of page {k} told at length\nA common line" for k in (1, 2, 4, 5))
 
 
+def test_copies_do_not_hide_each_others_lines_from_a_neighbour(spark):
+    """Copies of one article are one run, but the page beside it is held against the copy that is nearest, with that one's menu."""
+    menu, article = "<ul><li>Home<li>About us<li>All the news</ul>", "<article><h1>page 1</h1><p>A story that two pages tell</article>"
+    pages = [article, menu + article, menu + "<h1>page 3</h1><p>The story of page 3 told at length"]
+    rows = [(k, f"https://a.org/n/{k}", page) for k, page in enumerate(pages)] + [(10 + k, f"https://b.org/n/{9 - k}", page) for k, page in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in maintext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == got[12] == "page 3\nThe story of page 3 told at length"
+    assert got[0] == got[1] == got[10] == got[11] == "page 1\nA story that two pages tell"
+
+
+def test_pages_with_an_article_are_differenced_too(spark):
+    """What neighbours share is told of every page, and deleted only where markup leaves it open."""
+    page = "<nav><p>Home</nav><article><h1>{0}</h1><p>Story {0} told at length, in many words<p>Read more of our news</article><p>Imprint"
+    rows = [(k, f"https://a.org/n/{k}", page.format(f"page {k}")) for k in (1, 2, 3)]
+    rows += [(4, "https://b.org/n/4", "<p>no neighbour"), (5, "https://c.org/n/5", None), (6, "https://a.org/n/4", "<h1>page 6</h1><p>Story page 6 told without an article<p>Read more of our news<p>Imprint")]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in maintext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shared=True).collect()}
+    assert {k: v for k, v in got.items() if k < 4} == {k: (f"page {k}\nStory page {k} told at length, in many words\nRead more of our news", 1) for k in (1, 2, 3)}
+    assert got[4] == ("no neighbour", 0) and got[5] == ("", 0) and got[6] == ("page 6\nStory page 6 told without an article", 2)
+
+
 PAGES = [
     ('<div class="page no-sidebar"><header><h1>Site</h1></header><div id=menu><ul><li>a<li>b</ul></div><div class=post><h2>T &amp; x</h2><p>One<p>Two <i>in</i>line<span hidden>no</span><br>x<table><tr><td>c1<td>c2</table></div><div class="cookie-notice">eat</div><div id="comments"><p>bad</p></div></div>', ["T & x", "One", "Two inline x", "c1", "c2"], True),
     ("<main><article><header><h1>H</h1></header><p>a &lt; b &nbsp; c<aside>no</aside><form><p>no</form><p>d</article><div class=share>no</div></main>", ["H", "a < b c", "d"], False),
